@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from fieldquarry.llm import mixing, secrets, sharding
+from fieldquarry.llm import lm, media, mixing, packing, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op3_lm_score": lm.op3_lm_score,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op7_matroska": media.op7_matroska,
+        "op8_pack_documents": packing.op8_pack_documents,
         "op9_shard_documents": sharding.op9_shard_documents,
+        "op10_quality": quality.op10_quality,
     }
 
 

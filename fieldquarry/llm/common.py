@@ -95,14 +95,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 SLICE_BYTES = 8 << 20
 
 
-def text_slices(batches, id_col: str = "doc_id", text_col: str = "text", limit: int = SLICE_BYTES):
-    """(ids, texts) of consecutive rows with at most `limit` bytes of text, or one longer document."""
+def text_slices(batches, id_col: str = "doc_id", text_col: str = "text", limit: int = SLICE_BYTES, most: int = 1 << 62):
+    """(ids, texts) of at most `most` consecutive rows with at most `limit` bytes, or one longer document."""
     for batch in batches:
         ids, texts = batch.column(id_col), pc.fill_null(batch.column(text_col), "").cast(pa.large_string())
         sizes = pc.binary_length(texts).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > start and held + n > limit:
+            if i > start and (held + n > limit or i - start >= most):
                 yield ids.slice(start, i - start), texts.slice(start, i - start)
                 start, held = i, 0
             held += n

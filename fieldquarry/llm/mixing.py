@@ -198,8 +198,8 @@ def _before(key: str, doc_id: str, cut_key: str, cut_id: str) -> Column:
 
 
 def mix(docs: DataFrame, members: Column, weights, copies: int = 3, share: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, source_size, target and taken (words used, repeats counted: a multiple of size)."""
-    made = docs.drop("size", "source_size", "target", "taken")
+    """docs with size, source_size, target, copies and taken (words used, repeats counted: size x copies)."""
+    made = docs.drop("size", "source_size", "target", "copies", "taken")
     made = made.withColumns({"m_members": members, "size": word_count(F.col(text_col)), "m_key": seeded_key(F.col(id_col), seed)})
     made = made.withColumn("m_pattern", pattern_of(F.col("m_members")))
     slim = store(made.select("m_members", "m_pattern", "m_key", F.col(id_col).cast("long").alias("doc_id"), "size"), "mix-slim")
@@ -207,7 +207,7 @@ def mix(docs: DataFrame, members: Column, weights, copies: int = 3, share: float
     slim.drop()
     out = made.join(F.broadcast(plan.table(docs.sparkSession)), "m_pattern")
     extra = _before("m_key", id_col, "m_cut_key", "m_cut_id") | F.coalesce((F.col("m_key") == F.col("m_fill_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("m_fill_id")), F.lit(False))
-    out = out.withColumn("taken", F.col("size") * (F.col("m_copies") + extra.cast("long")))
+    out = out.withColumn("copies", F.col("m_copies") + extra.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
     return out.drop("m_members", "m_pattern", "m_key", "m_copies", "m_cut_key", "m_cut_id", "m_fill_key", "m_fill_id")
 
 

@@ -199,6 +199,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class (the least id; rows without an id stay), all columns as they are."""
+    classes = near_duplicates(docs, id_col, text_col)
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op6_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

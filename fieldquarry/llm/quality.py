@@ -187,6 +187,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scorer(model), "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores threshold or more."""
+
+    def run(batches):
+        for b in batches:
+            marks = [model.score(*passage_features(t)) >= threshold for _, t in text_slices([b], text_col, text_col, limit=FEATURE_BYTES)]
+            yield b.filter(pa.array(np.concatenate(marks))) if marks else b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 

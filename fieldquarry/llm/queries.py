@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from fieldquarry.llm import lm, media, mixing, packing, quality, secrets, sharding
+from fieldquarry.llm import hnsw, licenses, lm, media, mixing, neardup, packing, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
+        "op2_hnsw_neardup": hnsw.op2_hnsw_neardup,
         "op3_lm_score": lm.op3_lm_score,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_bagminhash_dedup": neardup.op6_bagminhash_dedup,
         "op7_matroska": media.op7_matroska,
         "op8_pack_documents": packing.op8_pack_documents,
         "op9_shard_documents": sharding.op9_shard_documents,

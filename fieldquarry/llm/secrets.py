@@ -99,6 +99,17 @@ def mask_spans(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
+def mask_live_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
+    """docs, all columns as they are, with every span masked whose value is not a widely copied example."""
+    keyed = docs.withColumn("s_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    spans = scan_secrets(docs.select(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("s_id"), text_col, owner_col, F.col(id_col).alias("s_repo")), "s_id", text_col, owner_col, "s_repo")
+    live = spans.select(F.col("id").alias("s_id"), F.filter("spans", lambda s: s["label"] != "copied").alias("s_live")).where(F.size("s_live") > 0).dropDuplicates(["s_id"])
+    keyed = keyed.withColumn("s_id", F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), "s_key"))
+    out = keyed.join(live, "s_id", "left")
+    masked = F.when(F.col("s_live").isNotNull(), mask_spans(F.col(text_col), F.col("s_live"), mark)).otherwise(F.col(text_col))
+    return out.withColumn(text_col, masked).select(*docs.columns)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] != "generic")

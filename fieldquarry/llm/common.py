@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from dataclasses import dataclass
 
@@ -108,3 +110,11 @@ def text_slices(batches, id_col: str = "doc_id", text_col: str = "text", limit:
             held += n
         if len(sizes) > start:
             yield ids.slice(start), texts.slice(start)
+
+
+def worker_kept(key, make):
+    """A value that a Python worker keeps from task to task (functions arrive anew with each)."""
+    held = sys.modules.setdefault("_fieldquarry_worker", types.ModuleType("_fieldquarry_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -14,24 +14,29 @@ one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import arrow_words, store, text_slices
+from fieldquarry.llm.common import arrow_words, store, text_slices, worker_kept
 
 CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried again after the first solution.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
-#: Pieces of one length that one window task ranks, about; entries of a task's word cache.
-PER_SALT, CACHE = 1_000_000, 400_000
+#: Pieces of one length that one window task ranks, about; entries of a worker's caches; words encoded at once.
+PER_SALT, CACHE, ENCODE_WORDS = 1_000_000, 600_000, 4000
 
 
 # ---- bin completion -----------------------------------------------------------------------------
@@ -185,33 +190,117 @@ def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tup
 
 
 # ---- tokens -------------------------------------------------------------------------------------
+#: Letters, single digits and other runs, which the tokenizer never joins.
+PARTS = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+# Fixed value: the split pattern of the tokenizer for which words can be encoded one by one.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_parts(word: str) -> list[str]:
+    """word in parts that encode to its ids in turn; whole where its parts could touch.
+
+    Apostrophes (contractions), special tokens, text that normalisation would change and the one
+    letter whose lower case ends in a mark keep a word whole.
+    """
+    if "'" in word or "<|" in word:
+        return [word]
+    if word.isascii():
+        return ASCII_PARTS.findall(word.lower())
+    if "\u0130" in word or not unicodedata.is_normalized("NFC", word):
+        return [word]
+    return PARTS.findall(word)
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs flat[starts:starts + sizes] of codes, one after the other."""
+    per = sizes[codes]
+    ends = np.cumsum(per)
+    return flat[np.repeat(starts[codes] - (ends - per), per) + np.arange(int(per.sum()))]
+
+
+class WordIds:
+    """Ids of words, and of their parts, each found once while it stays in a bounded cache.
+
+    Words never share a token across white space, so the ids of a text are those of its words in
+    turn. Parts are encoded as one pre-split input in short blocks, which spares an object for each.
+    """
+
+    def __init__(self, model):
+        self.model, self.bare = model, type(model)(model.model)
+        self.clear()
+
+    @staticmethod
+    def fits(model) -> bool:
+        """Whether a tokenizer drops white space and splits as word_parts does."""
+        made = json.loads(model.to_str())
+        names = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        return names == ["NFC", "Replace", "Lowercase"] and SPLIT in splits
+
+    def forget_words(self) -> None:
+        self.words: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def clear(self) -> None:
+        self.forget_words()
+        self.parts: dict[str, int] = {}
+        self.part_flat, self.part_sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _encode(self, parts: list[str]) -> None:
+        """Printable ASCII parts are as normalisation leaves them: the bare model encodes those."""
+        flats, sizes = [self.part_flat], [self.part_sizes]
+        plain = [x.isascii() and x.isprintable() and x.lower() == x and "'" not in x and "<|" not in x for x in parts]
+        bare, other = list(compress(parts, plain)), [x for x, p in zip(parts, plain, strict=True) if not p]
+        for x in [*bare, *other]:
+            self.parts[x] = len(self.parts)
+        blocks = [(m, own[i : i + ENCODE_WORDS]) for m, own in ((self.bare, bare), (self.model, other)) for i in range(0, len(own), ENCODE_WORDS)]
+        for model, block in blocks:
+            found = model.encode(block, is_pretokenized=True, add_special_tokens=False)
+            flats.append(np.array(found.ids, dtype="<u4"))
+            sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(block)))
+        self.part_flat, self.part_sizes = np.concatenate(flats), np.concatenate(sizes)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """Positions of words in starts and sizes, which point into flat."""
+        if len(self.words) > CACHE:
+            self.forget_words()
+        if len(self.parts) > CACHE:
+            self.clear()
+        known, parts = self.words, self.parts
+        fresh = [w for w in words if w not in known]
+        split = [word_parts(w) for w in fresh]
+        self._encode(list(dict.fromkeys(x for own in split for x in own if x not in parts)))
+        codes = np.fromiter((parts[x] for own in split for x in own), np.int64)
+        starts = np.cumsum(self.part_sizes) - self.part_sizes
+        of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        self.flat = np.concatenate([self.flat, gather(self.part_flat, starts, self.part_sizes, codes)])
+        sizes = np.bincount(of, weights=self.part_sizes[codes], minlength=len(split)).astype(np.int64)
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        for w in fresh:
+            known[w] = len(known)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
 def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        cache: dict[str, np.ndarray] = {}
+        model = worker_kept(("tokenizer", path), lambda: Tokenizer.from_file(path))
+        words_of = worker_kept(("word ids", path), lambda: WordIds(model)) if WordIds.fits(model) else None
         for doc_ids, texts in text_slices(batches):
-            words, rows = arrow_words(texts, lower=False)
-            coded = words.combine_chunks().dictionary_encode() if isinstance(words, pa.ChunkedArray) else words.dictionary_encode()
-            unique = coded.dictionary.to_pylist()
-            if len(cache) > CACHE:
-                cache.clear()
-            fresh = [w for w in unique if w not in cache]
-            # words never share a token across white space, so ids of a text are those of its words in turn
-            for w, e in zip(fresh, model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4")
-            ids = [cache[w] for w in unique]
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-            starts = np.cumsum(n) - n
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            per = n[codes] if len(codes) else np.zeros(0, np.int64)
-            ends = np.cumsum(per)
-            where = np.repeat(starts[codes] - (ends - per), per) + np.arange(per.sum()) if len(codes) else np.zeros(0, np.int64)
-            stream = flat[where]
-            of_row = np.bincount(rows.to_numpy(zero_copy_only=False), weights=per, minlength=len(texts)).astype(np.int64) if len(codes) else np.zeros(len(texts), np.int64)
+            if words_of is None:  # any other tokenizer: whole texts
+                ids = [e.ids for e in model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+                stream, of_row = np.array([x for own in ids for x in own], dtype="<u4"), np.array([len(own) for own in ids], dtype=np.int64)
+            else:
+                words, rows = arrow_words(texts, lower=False)
+                coded = words.dictionary_encode()
+                place = words_of(coded.dictionary.to_pylist())
+                codes = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+                stream = gather(words_of.flat, words_of.starts, words_of.sizes, codes)
+                of_row = np.bincount(rows.to_numpy(zero_copy_only=False), weights=words_of.sizes[codes], minlength=len(texts)).astype(np.int64)
             out_row, piece, start, length, crc, kept = [], [], [], [], [], []
             at = 0
             for r, m in enumerate(of_row.tolist()):

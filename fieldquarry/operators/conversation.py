@@ -96,3 +96,20 @@ def first_rows_and_more(rows: DataFrame, key: str, order: list, text: Column, mo
     r = r.groupBy(key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     return r.select(key, F.col("n").alias("n_rows"), F.when(F.col("n") > most, F.concat(body, F.lit("\n... and "), F.col("n") - most, F.lit(" more"))).otherwise(body).alias("shown"))
+
+
+def count_prompt(claimed: Column, data: Column) -> Column:
+    return F.concat(F.lit("Check the count. Claimed: "), claimed.cast("string"), F.lit("\nData:\n"), data, F.lit("\nAnswer VALID or INVALID."))
+
+
+def entity_prompt(question: Column) -> Column:
+    return F.concat(F.lit("List network and order numbers as JSON.\nQuestion: "), question)
+
+
+def grounding_prompt(answer: Column, data: Column) -> Column:
+    return F.concat(F.lit("Does the answer state only what the data hold? Answer YES or NO.\nData:\n"), data, F.lit("\nAnswer:\n"), answer)
+
+
+def usage(log: DataFrame, kind: str, capacity: int) -> DataFrame:
+    """Entries by kind, with the share of a cache's capacity that they fill."""
+    return log.groupBy(kind).agg(F.count("*").alias("entries")).withColumn("percent", F.round(F.col("entries") * 100.0 / capacity, 2))

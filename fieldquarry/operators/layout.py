@@ -126,3 +126,24 @@ def valid_header(spans: DataFrame, page_height: float = 1000.0) -> DataFrame:
     s = spans.where((F.col("size") >= 10) & (F.col("y") / page_height <= 0.85))
     near = (s.doc_id == other.o_doc) & (s.page == other.o_page) & (F.abs(s.y - other.oy) < 10) & (other.ox < s.x) & (other.ox >= s.x - 100)
     return s.join(other, near, "left_anti")
+
+
+def near_box(tokens: DataFrame, x: float, y: float, margin: float) -> DataFrame:
+    """Tokens within a margin of a point."""
+    return tokens.where((F.abs(F.col("x") - x) <= margin) & (F.abs(F.col("y") - y) <= margin))
+
+
+def device_names(tokens: DataFrame, pattern: str, left: float = 400.0, right: float = 600.0, above: float = 60.0, keys: tuple[str, ...] = DOC) -> DataFrame:
+    """(keys, no_reg, side, name): the tokens of a device's name column just above or beside its number."""
+    hits = column_split(tokens, pattern, keys).select(*keys, F.col("text").alias("no_reg"), "side", F.col("y").alias("ry"), F.col("x").alias("rx"))
+    words = tokens.where(~F.rlike("text", F.lit(pattern)))
+    box = (F.col("y") > F.col("ry") - above) & (F.col("y") <= F.col("ry")) & F.when(F.col("side") == "right", F.col("x") >= right - (right - left)).otherwise(F.col("x") <= left)
+    joined = hits.join(words, list(keys)).where(box)
+    joined = joined.groupBy(*keys, "no_reg", "side").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("t"))
+    return joined.select(*keys, "no_reg", "side", F.array_join(F.transform("t", lambda w: w["text"]), " ").alias("name"))
+
+
+def find_labels(tokens: DataFrame, labels: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
+    """Tokens that hold one of a small table's labels (label), compared without case and punctuation."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
+    return tokens.join(F.broadcast(labels), F.contains(plain(F.col("text")), plain(F.col("label"))))

@@ -688,3 +688,91 @@ def _keywords(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest work order of each kind for each network, with customer, technician and vendor."""
     return QUERIES["latest_spk_by_jenis"](spark, sf_dir)
+
+
+# ---- checklists and records --------------------------------------------------------------------
+from fieldquarry.operators import checklists, records  # noqa: E402
+from fieldquarry.sources import endpoints  # noqa: E402
+
+
+def site_checklists(spark, d) -> DataFrame:
+    """(doc_id, text): a wireline checklist for each order."""
+    s, j = catalog.spk(spark, d), catalog.jaringan(spark, d).drop("is_deleted")
+    k, day = F.col("id_spk"), F.date_format("tanggal_spk", "dd-MMM-yyyy")
+    text = F.concat(
+        F.lit("FORM CHECKLIST WIRELINE\nNama Pelanggan : "), "nama_pelanggan", F.lit(" Contact Person : PIC\nNomor Jaringan : "), "no_jaringan", F.lit("\nAlamat : Jl. "), k, F.lit(" Kota : "), "lokasi_pelanggan",
+        F.lit("\nPropinsi : No SPK\nTanggal ： "), day, F.lit("\nJam Perintah "), day, F.lit(" 08:00 "), day, F.lit(" 08:10 "), day, F.lit(" 08:20 "), day, F.lit("\nLatitude : -6.2 Longitude : .\nPosisi Modem di Lt. : 2 Ruang : Server\n"),
+        F.lit("1. Output Tegangan\nP-N "), 220 + F.pmod(k, F.lit(9)), F.lit(" VAC . VAC 221 VAC\nP-G 219 VAC\nGrounding Bar terkoneksi ke : Gedung\nENVIRONMENT\nAC Pendingin Ruangan : Ada\nSuhu Ruangan Perangkat : "), 20 + F.pmod(k, F.lit(5)),
+        F.lit("\nMERK UPS : APC\nKapasitas : 10 KVA\nLINE CHECKLIST\nSite Area\nKabel RJ-11 Baik\nPhone Box : "), "jenis_spk", F.lit("\nHRB\nKabel Data OK\nTes Konektivitas\nTest Ping "), k, F.lit(" ms\nRSL\n--\nStandard\n-65 dBm\nNama Barang Router A B2WX"), F.lpad(k.cast("string"), 10, "0"), F.lit("\nNama Barang Modem B"),
+    )
+    return s.join(j, "no_jaringan").select(k.alias("doc_id"), text.alias("text"))
+
+
+_CL = f"{catalog.ORACLE}, cl AS (SELECT s.id_spk AS doc_id, s.*, j.nama_pelanggan, j.lokasi_pelanggan, strftime(tanggal_spk, '%d-%b-%Y') AS day FROM spk s JOIN jaringan j USING (no_jaringan))"
+
+
+@query("checklist_remote_data", f"{_CL} SELECT doc_id, nama_pelanggan, 'PIC' AS contact_person, no_jaringan AS nomor_jaringan, 'Jl. ' || doc_id AS alamat, lokasi_pelanggan AS kota, '' AS propinsi, day AS tanggal FROM cl")
+def _remote(spark, d):
+    return site_checklists(spark, d).select("doc_id", checklists.remote_data(F.col("text")).alias("r")).select("doc_id", "r.nama_pelanggan", "r.contact_person", "r.nomor_jaringan", "r.alamat", "r.kota", "r.propinsi", "r.tanggal")
+
+
+@query("checklist_clocks", f"{_CL} SELECT doc_id, day || ' 08:00' AS jam_perintah, day || ' 08:20' AS jam_berangkat, day AS jam_tiba_di_lokasi, '' AS jam_mulai_kerja, '' AS jam_pulang FROM cl")
+def _clocks(spark, d):
+    return site_checklists(spark, d).select("doc_id", checklists.clocks(F.col("text")).alias("r")).select("doc_id", "r.jam_perintah", "r.jam_berangkat", "r.jam_tiba_di_lokasi", "r.jam_mulai_kerja", "r.jam_pulang")
+
+
+@query("checklist_electrical", f"{_CL} SELECT doc_id, (220 + doc_id % 9) || ' VAC' AS pn_pln, '' AS pn_ups, '221 VAC' AS pn_it, '219 VAC' AS pg_pln, 'Gedung' AS grounding_bar, 'Ada' AS ac, (20 + doc_id % 5) || '°' AS suhu, '-6.2' AS latitude, '' AS longitude, 'Server' AS ruang FROM cl")
+def _electrical(spark, d):
+    t = F.col("text")
+    rows = site_checklists(spark, d).select("doc_id", checklists.electrical(t).alias("e"), checklists.environment(t).alias("v"), checklists.location(t).alias("l"))
+    return rows.select("doc_id", F.col("e.p_n.pln").alias("pn_pln"), F.col("e.p_n.ups").alias("pn_ups"), F.col("e.p_n.it").alias("pn_it"), F.col("e.p_g.pln").alias("pg_pln"), "e.grounding_bar", "v.ac", "v.suhu", "l.latitude", "l.longitude", "l.ruang")
+
+
+@query("checklist_line_items", f"{_CL}, i AS (SELECT doc_id, unnest(['Kabel RJ-11', 'Phone Box', 'Kabel Data', 'Test Ping']) AS item, unnest(['Baik', jenis_spk, 'OK', doc_id || ' ms']) AS value FROM cl) SELECT * FROM i")
+def _line_items(spark, d):
+    return site_checklists(spark, d).select("doc_id", F.explode(checklists.line_items(F.col("text"))).alias("i")).where("i.value <> ''").select("doc_id", "i.item", "i.value")
+
+
+@query("checklist_scalars", f"{_CL} SELECT doc_id, 'APC' AS merk, '10 KVA' AS kapasitas, '-65 dBm' AS rsl, true AS wireline, 'Modem B' AS second_column FROM cl")
+def _scalars(spark, d):
+    t = F.col("text")
+    return site_checklists(spark, d).select("doc_id", checklists.scalar_field(t, r"MERK\s+UPS", ("kapasitas",)).alias("merk"), checklists.scalar_field(t, "Kapasitas", unit="KVA|VA|W").alias("kapasitas"), checklists.quality_row(t, "RSL").alias("rsl"), checklists.is_wireline(t).alias("wireline"), checklists.device_columns(t)["second"].alias("second_column"))
+
+
+@query("device_continuations", "SELECT s_suppkey AS doc_id, 'Firewall HW AND WARRANTY KIT' || chr(10) || 'Router ' || s_suppkey AS names FROM supplier")
+def _continuations(spark, d):
+    names = F.concat(F.lit("Firewall HW AND\nWARRANTY KIT Router "), "doc_id")
+    return _numbers(spark, d).select("doc_id", checklists.join_continuations(names).alias("names"))
+
+
+@query("parser_status_lookup", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{'planned' if t in rules.NOT_IMPLEMENTED else 'active'}')" for c, ts in rules.CATEGORIES.items() for t in ts) + ") v(document_type, category, status)")
+def _status(spark, d):
+    return records.parser_status(spark)
+
+
+@query("parse_records", f"{_WO} SELECT id_spk AS doc_id, CASE WHEN jenis_spk = 'maintenance' THEN 'unknown' ELSE 'spk_' || jenis_spk END AS document_type, CASE WHEN jenis_spk = 'maintenance' THEN 'unknown_document_type' ELSE 'success' END AS parsing_status, CASE WHEN jenis_spk <> 'maintenance' THEN no_spk END AS no_spk FROM wo")
+def _records(spark, d):
+    out = records.parse(work_orders(spark, d))
+    return out.select("doc_id", "document_type", "parsing_status", F.get_json_object("parsed", "$.spk.no_spk").alias("no_spk"))
+
+
+@query("parse_forms", f"{_PM} SELECT doc_id, CASE WHEN code IN ('002', '003', '013', '014', '015') THEN 'not_implemented' WHEN code = '016' THEN 'unknown_document_type' ELSE 'success' END AS parsing_status, CASE WHEN code NOT IN ('002', '003', '013', '014', '015', '016') THEN '1.0' END AS versi FROM f")
+def _parse_forms(spark, d):
+    return records.parse(pm_forms(spark, d)).select("doc_id", "parsing_status", F.get_json_object("parsed", "$.header.versi").alias("versi"))
+
+
+@query("endpoint_answers", "SELECT conv_id, turn, length(coalesce(text, ''))::VARCHAR AS answer FROM conversations")
+def _answers(spark, d):
+    rows = catalog.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return endpoints.answer(rows, "text", lambda ts: [str(len(t or "")) for t in ts]).select("conv_id", "turn", "answer")
+
+
+@query("cache_usage", "SELECT event_type, count(*) AS entries, round(count(*) * 100.0 / 1000, 2)::DOUBLE AS percent FROM events GROUP BY event_type")
+def _usage(spark, d):
+    return conversation.usage(catalog.table(spark, d, "events"), "event_type", 1000).withColumn("percent", F.col("percent").cast("double"))
+
+
+@query("label_hits", "SELECT o_orderkey AS doc_id, 'nama-pelanggan' AS label, 'Nama Pelanggan' AS text FROM orders")
+def _label_hits(spark, d):
+    labels = spark.createDataFrame([("nama-pelanggan",), ("FOTO LOKASI",)], "label string")
+    return layout.find_labels(tokens(spark, d), labels).select("doc_id", "label", "text")

@@ -161,7 +161,7 @@ def section_by_keywords(text: Column, patterns: tuple[str, ...], keywords: tuple
     """The first pattern whose section holds enough of the keywords."""
     from fieldquarry.operators.classify import count_in
 
-    made = [T.found(text, f"(?iU){p}") for p in patterns]
+    made = [T.found(text, f"(?isU){p}") for p in patterns]
     return F.coalesce(*[F.when(count_in(F.lower(m), keywords) >= least, m) for m in made])
 
 

@@ -115,3 +115,32 @@ def test_devices(spark):
 def test_reading_order_rounds_half_to_even(spark):
     t = spark.createDataFrame([("d", 0, "b", 5.0, 10.0), ("d", 1, "a", 1.0, 9.0), ("d", 2, "c", 0.0, 30.0)], "doc_id string, idx int, text string, x double, y double")
     assert [r.text for r in layout.reading_order(t).orderBy("rank").collect()] == ["a", "b", "c"]
+
+
+def test_section_by_keywords(spark):
+    text = "INDOOR AREA none\nNDOOR AREA modem ups kabel\nOUTDOOR"
+    pick = lambda c: fields.section_by_keywords(c, (r"INDOOR AREA(.*?)\n", r"\nNDOOR AREA(.*?)OUTDOOR"), ("modem", "ups", "antena"))
+    assert one(spark, text, pick).strip() == "modem ups kabel"
+    assert one(spark, "nothing", pick) is None
+
+
+def test_temperature_options(spark):
+    got = one(spark, "18 - 25 C\nfine OK\n26 - 30 C\nx\ny\nz NOK", lambda c: forms.temperature_options(c, ("18 - 25 C", "26 - 30 C")))
+    assert [(r.option, r.status) for r in got] == [("18 - 25 C", "OK"), ("26 - 30 C", "")]
+
+
+def test_page_image():
+    import numpy as np
+
+    from fieldquarry.sources.endpoints import enhance
+
+    page = np.full((40, 40), 200.0)
+    page[18:22, 18:22] = 20
+    out = enhance(page)
+    assert out[20, 20] == 0 and out[0, 0] == 255 and out.shape == page.shape
+
+
+def test_headers_and_boxes(spark):
+    spans = spark.createDataFrame([("d", 1, "FOTO", 50.0, 100.0, 12.0), ("d", 1, "no. ", 300.0, 500.0, 12.0), ("d", 1, "FOTO 2", 380.0, 500.0, 12.0), ("d", 1, "foot", 10.0, 950.0, 14.0)], "doc_id string, page int, text string, x double, y double, size double")
+    assert {r.text for r in layout.valid_header(spans).collect()} == {"FOTO", "no. "}
+    assert layout.near_box(spans, 55, 95, 10).count() == 1

@@ -6,7 +6,7 @@ to source quotas; then whole documents are selected in a seeded order, as a per-
 every row is compared with. Rows never move: only word sums per (pattern, hash bucket) are shuffled.
 
 Defined cases: null or blank text has size 0 and takes nothing; a null source is a source of its
-own, sorted last; an empty table gives an empty result; rows that share a doc_id are taken or left
+own, sorted last; a document of no source (null or empty membership) takes nothing; an empty table gives an empty result; rows that share a doc_id are taken or left
 together. Columns of the input are kept, except that a clash with an output column is an error that
 `mix` avoids by replacing the column.
 """
@@ -188,7 +188,7 @@ def plan_mix(slim: DataFrame, weights, copies: int, share: float) -> MixPlan:
     for r, q, (members, words) in zip(found, whole, patterns, strict=True):
         ck, ci, _, _ = cuts[r.m_pattern]
         size = sizes[members[0]] if len(members) == 1 else words
-        rows.append((r.m_pattern, size, sum(targets[s] for s in members), q, ck, ci, *fills.get(r.m_pattern, (None, None))))
+        rows.append((r.m_pattern, size, float(sum(targets[s] for s in members)), q, ck, ci, *fills.get(r.m_pattern, (None, None))))
     return MixPlan(rows, sources, targets, flows)
 
 
@@ -200,7 +200,7 @@ def _before(key: str, doc_id: str, cut_key: str, cut_id: str) -> Column:
 def mix(docs: DataFrame, members: Column, weights, copies: int = 3, share: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size, source_size, target, copies and taken (words used, repeats counted: size x copies)."""
     made = docs.drop("size", "source_size", "target", "copies", "taken")
-    made = made.withColumns({"m_members": members, "size": word_count(F.col(text_col)), "m_key": seeded_key(F.col(id_col), seed)})
+    made = made.withColumns({"m_members": F.coalesce(members.cast("array<string>"), F.array().cast("array<string>")), "size": word_count(F.col(text_col)), "m_key": seeded_key(F.col(id_col), seed)})
     made = made.withColumn("m_pattern", pattern_of(F.col("m_members")))
     slim = store(made.select("m_members", "m_pattern", "m_key", F.col(id_col).cast("long").alias("doc_id"), "size"), "mix-slim")
     plan = plan_mix(slim.df, weights, copies, share)

@@ -8,6 +8,7 @@ import types
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/fieldquarry"
 
 
+#: Rows and bytes of an Arrow batch: bounds what the JVM and a Python worker hold of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches (the setting is read when a plan runs)."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 @dataclass
 class Stored:
     """A table written to the shared folder; later reads survive the loss of executors."""
@@ -118,3 +132,16 @@ def worker_kept(key, make):
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def forest_roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Least position that links (x, y) connect each of n positions with."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import store, text_slices
+from fieldquarry.llm.common import small_batches, store, text_slices
 
 THRESHOLD = 0.8
 TERM = re.compile(r"[a-z0-9.]*[a-z0-9]")
@@ -144,7 +144,7 @@ def _scan(n_docs: int, df: dict[str, int], templates, threshold: float):
 
 def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", is_license_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, own_license, cosine, line, license, inherited_from (directory, '' for the root)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
     counted = rows.select(F.struct("doc_id", "path").alias("doc_id"), "text").mapInArrow(_frequencies(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = {r.term: r.n for r in counted.collect()}  # one row for each template term

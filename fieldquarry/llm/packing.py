@@ -19,7 +19,7 @@ import os
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import compress
 
@@ -30,50 +30,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import arrow_words, store, text_slices, worker_kept
+from fieldquarry.llm.common import arrow_words, small_batches, store, text_slices, worker_kept
 
 CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried again after the first solution.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
-#: Pieces of one length that one window task ranks, about; entries of a worker's caches; words encoded at once.
-PER_SALT, CACHE, ENCODE_WORDS = 1_000_000, 600_000, 4000
+#: Pieces of one length that one window task ranks, about; entries of a worker's caches; words encoded and bytes of text
+#: taken at once.
+PER_SALT, CACHE, ENCODE_WORDS, SLICE_TEXT = 1_000_000, 400_000, 4000, 4 << 20
 
 
 # ---- bin completion -----------------------------------------------------------------------------
 def best_fit(counts: dict[int, int], capacity: int) -> int:
     """Bins of best-fit decreasing on a histogram: the first incumbent."""
-    room: dict[int, int] = {}
+    room: dict[int, int] = {}  # free space -> bins that have it
     spaces: list[int] = []
     bins = 0
+
+    def add(space: int, n: int) -> None:
+        if space and n:
+            if space not in room:
+                insort(spaces, space)
+            room[space] = room.get(space, 0) + n
+
     for length in sorted(counts, reverse=True):
         left = counts[length]
-        while left:
-            i = bisect_right(spaces, length - 1)
-            if i < len(spaces):
-                r = spaces[i]
-                n = min(left, room[r])
-                room[r] -= n
-                if not room[r]:
-                    spaces.pop(i)
-                rest = r - length
-            else:
-                per = capacity // length
-                n = left // per * per if left >= per else left
-                bins += -(-n // per)
-                rest = capacity - min(n, per) * length
-                left -= n
-                made = n // per if n >= per else 1
-                n = 0
-                if rest:
-                    if rest not in room or not room[rest]:
-                        spaces.insert(bisect_right(spaces, rest), rest)
-                    room[rest] = room.get(rest, 0) + made
-                continue
+        while left and (i := bisect_left(spaces, length)) < len(spaces):
+            space = spaces[i]
+            n = min(left, room[space])
             left -= n
-            if rest:
-                if not room.get(rest):
-                    spaces.insert(bisect_right(spaces, rest), rest)
-                room[rest] = room.get(rest, 0) + n
+            room[space] -= n
+            if not room[space]:
+                del room[space], spaces[i]
+            add(space - length, n)
+        full, rest = divmod(left, capacity // length)
+        bins += full + (rest > 0)
+        add(capacity % length, full)
+        add(capacity - rest * length, int(rest > 0))
     return bins
 
 
@@ -290,7 +283,7 @@ def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
 
         model = worker_kept(("tokenizer", path), lambda: Tokenizer.from_file(path))
         words_of = worker_kept(("word ids", path), lambda: WordIds(model)) if WordIds.fits(model) else None
-        for doc_ids, texts in text_slices(batches):
+        for doc_ids, texts in text_slices(batches, limit=SLICE_TEXT):
             if words_of is None:  # any other tokenizer: whole texts
                 ids = [e.ids for e in model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
                 stream, of_row = np.array([x for own in ids for x in own], dtype="<u4"), np.array([len(own) for own in ids], dtype=np.int64)
@@ -325,7 +318,7 @@ def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
     return run
 
 
-def _placed(plan: list, salt_free: bool = True):
+def _placed(plan: list):
     """Where the n-th piece of a length goes: sequence_id and offset, from arrays bounded by the plan."""
     key, first, times, at, seq = [], [], [], [], []
     used: dict[int, int] = {}
@@ -363,7 +356,7 @@ def _placed(plan: list, salt_free: bool = True):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces_of(tokenizer_path, capacity, end_id, keep_ids), schema)
+    cut = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces_of(tokenizer_path, capacity, end_id, keep_ids), schema)
     rows = store(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces").df
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan, _, _ = complete_bins(counts, capacity)

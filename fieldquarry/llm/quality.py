@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import text_slices
+from fieldquarry.llm.common import small_batches, text_slices
 
 #: Bytes of a passage; labelled documents learned from, at most; passages' hidden and attention width.
 PASSAGE, MAX_TRAIN, HIDDEN, ATTENTION = 512, 2000, 24, 12
@@ -163,6 +163,7 @@ def _featurise(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """Learn from at most max_train labelled documents, the first by hash of their id."""
+    docs = small_batches(docs)
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     lab = lab.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label").limit(max_train)
     bags = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "doc_id").select("doc_id", "label", "text")
@@ -184,7 +185,7 @@ def _scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scorer(model), "doc_id long, score double")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scorer(model), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -195,7 +196,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             marks = [model.score(*passage_features(t)) >= threshold for _, t in text_slices([b], text_col, text_col, limit=FEATURE_BYTES)]
             yield b.filter(pa.array(np.concatenate(marks))) if marks else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id):

@@ -60,12 +60,13 @@ def keep_last(log: DataFrame, order: str, most: int = 500) -> DataFrame:
     return log.orderBy(F.desc(order)).limit(most)
 
 
-def nearest_before(queries: DataFrame, history: DataFrame, id_col: str, vector_col: str, payload: str, threshold: float = 0.85) -> DataFrame:
+def nearest_before(queries: DataFrame, history: DataFrame, id_col: str, vector_col: str, payload: str, threshold: float = 0.85, most: int = 500) -> DataFrame:
     """(id, similarity, payload) of the most similar history entry; nulls below the threshold.
 
-    history must be bounded (a kept history is); it is broadcast. The earliest of equals counts.
+    Of history the newest `most` entries count (the feature's capacity), which bounds what is broadcast.
+    The earliest of equals counts.
     """
-    h = history.select(F.col(id_col).alias("h_id"), F.col(vector_col).alias("h_vec"), F.col(payload).alias("h_payload"))
+    h = keep_last(history, id_col, most).select(F.col(id_col).alias("h_id"), F.col(vector_col).alias("h_vec"), F.col(payload).alias("h_payload"))
     pairs = queries.join(F.broadcast(h), F.lit(True)).where(F.col(id_col) != F.col("h_id"))
     pairs = pairs.withColumn("similarity", cosine(F.col(vector_col), F.col("h_vec")))
     best = pairs.groupBy(id_col).agg(F.max(F.struct("similarity", (-F.col("h_id")).alias("neg"), "h_payload")).alias("b"))

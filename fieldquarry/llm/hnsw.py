@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import connected_components, store
+from fieldquarry.llm.common import connected_components, forest_roots, store
 from fieldquarry.llm.neardup import mix
 
 THRESHOLD = 0.95
@@ -281,16 +281,8 @@ def _link(threshold: float):
         if not len(a):
             return empty
         names, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = np.arange(len(names))
         x, y = inverse[: len(a)], inverse[len(a) :]
-        while True:  # least label over links, with shortcuts: the task's own spanning forest
-            low = root.copy()
-            np.minimum.at(low, x, root[y])
-            np.minimum.at(low, y, root[x])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
+        root = forest_roots(x, y, len(names))  # the task's own spanning forest
         n = np.bincount(x, weights=w, minlength=len(names)).astype(np.int64)
         return pa.table({"id": names, "n": n, "root": names[root]})
 

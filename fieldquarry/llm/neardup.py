@@ -8,10 +8,11 @@ probability of their weighted Jaccard similarity. Points come in rounds and stop
 component, so long documents need about one point a shingle. Signatures are cut into bands; documents
 that share a band are compared by exact multiset overlap, and links at SIMILARITY or more are united.
 
-Copies (equal word sequences) are one node from the start. Within a band's bucket, members are
-compared with a pivot, linked members fall together, the pivot leaves, and only buckets that still
-hold different components go on: after STARS pivots whatever pairs remain are all compared, so no
-pair that shares a band is lost, and groups of near copies cost a few rows for each member.
+Copies (equal word sequences) are one node from the start. Each document that shares a bucket first
+meets one hub, the member with most neighbours, and linked documents fall together. Of the buckets
+that then hold several components, all pairs across components are compared, in blocks of bounded
+size as products of membership matrices that give back a spanning forest of links. So no pair that
+shares a band is lost, and no table of pairs is ever made.
 
 Defined cases: a text of one to four words is one shingle; null, empty and blank texts have none and
 link with nothing; rows that share a doc_id are one document; rows without a doc_id link with
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import arrow_words, connected_components, store, text_slices
+from fieldquarry.llm.common import arrow_words, connected_components, forest_roots, small_batches, store, text_slices
 
 WORDS, SIMILARITY = 5, (4, 5)
 #: Bands and rows of a band: a pair of similarity 0.8 is missed with a chance of 6e-5, one of 0.9 of 1e-11.
 BANDS, ROWS = 32, 6
-#: Pivots compared in every bucket before the rest is compared pair by pair.
-STARS = 4
-#: Documents of a slice, so that a document's number and a 52-bit shingle hash share a word.
-SLICE_DOCS, HASH_BITS = 4000, 52
+#: Documents of a block that is compared with itself or another; rows of a cell of blocks; columns of a product.
+BLOCK, CELL, COLUMNS = 512, 4096, 2048
+#: Documents of a slice, so that a document's number and a 52-bit shingle hash share a word; its bytes of text.
+SLICE_DOCS, HASH_BITS, SLICE_TEXT = 4000, 52, 3 << 20
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,7 +120,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketch(batches):
-    for ids, texts in text_slices(batches, most=SLICE_DOCS):
+    for ids, texts in text_slices(batches, limit=SLICE_TEXT, most=SLICE_DOCS):
         doc, item, count, whole = shingle_counts(texts)
         total = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
         keys = band_keys(bag_minhash(doc, item, count, len(texts)))
@@ -131,7 +132,7 @@ def _sketch(batches):
 
 def _shingle_sets(batches):
     """fp and the multiset as a set: the k-th occurrence of a shingle is an element of its own."""
-    for _, texts in text_slices(batches, most=SLICE_DOCS):
+    for _, texts in text_slices(batches, limit=SLICE_TEXT, most=SLICE_DOCS):
         doc, item, count, whole = shingle_counts(texts)
         own = np.repeat(np.arange(len(doc)), count)
         nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
@@ -141,6 +142,47 @@ def _shingle_sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), sets], ["fp", "items"])
 
 
+def _overlaps(items: list[np.ndarray]) -> np.ndarray:
+    """Common elements of all pairs of sets, by products of membership matrices a few columns wide."""
+    sizes = np.array([len(x) for x in items])
+    of = np.repeat(np.arange(len(items)), sizes)
+    _, code, df = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    common = df[code] > 1
+    of, code = of[common], np.unique(code[common], return_inverse=True)[1]
+    out = np.zeros((len(items), len(items)), np.float32)
+    order = np.argsort(code, kind="stable")
+    of, code = of[order], code[order]
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, z = np.searchsorted(code, [first, first + COLUMNS])
+        member = np.zeros((len(items), COLUMNS), np.float32)
+        member[of[a:z], code[a:z] - first] = 1
+        out += member @ member.T
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links across components, for each (bucket, i, j) of a cell."""
+    table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    bucket, i, j, own, ids, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "id", "component"))
+    rows = table.column("items").combine_chunks()
+    flat, offsets = rows.values.to_numpy(), rows.offsets.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(ids) else []
+    a, b = [], []
+    for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+        common = _overlaps([flat[offsets[k] : offsets[k + 1]] for k in range(s, e)])
+        n = np.diff(offsets[s : e + 1])
+        link = common * SIMILARITY[1] >= (n[:, None] + n[None, :] - common) * SIMILARITY[0]
+        link &= component[s:e, None] != component[None, s:e]
+        if i[s] != j[s]:
+            link &= own[s:e, None] != own[None, s:e]
+        x, y = np.nonzero(link)
+        root = forest_roots(x, y, e - s)
+        moved = np.flatnonzero(root != np.arange(e - s))
+        a.append(ids[s:e][moved])
+        b.append(ids[s:e][root[moved]])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose multisets overlap enough."""
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
@@ -153,47 +195,43 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row; component_id: least doc_id of the class."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = store(rows.mapInArrow(_sketch, "doc_id long, fp long, n long, bands array<long>"), "sketch").df
     named = sketch.where("doc_id IS NOT NULL AND fp IS NOT NULL")
     # nodes: one for each different text, named by the least id that has it
     reps = store(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps").df
     placed = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    pivots = store(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "buckets").df
-    members = store(placed.join(pivots, "bucket"), "members")
+    buckets = store(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets").df
+    members = store(placed.join(buckets, "bucket"), "members")
     wanted = members.df.select("id").distinct().join(reps.select("id", "fp"), "id")
     wanted = store(wanted, "wanted").df
     found = rows.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets, "fp long, items array<long>")
     sets = store(found.join(wanted, "fp").groupBy("fp", "id").agg(F.first("items").alias("items")).select("id", "items"), "sets").df
 
-    links, labels, live = None, None, members
-    for turn in range(STARS + 1):
-        if labels is None:
-            now = live.df.withColumn("component", F.col("id"))
-        else:
-            now = live.df.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        now = store(now.select("bucket", "id", "n", "component"), "live")
-        pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order") if turn else F.col("id").alias("order"), F.col("id"), F.col("n"), F.col("component")))
-        mixed = now.df.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).where("lo <> hi")
-        mixed = store(mixed.select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc")), "mixed")
-        if mixed.df.isEmpty():
-            break
-        close = "least(n, pn) * 5 >= greatest(n, pn) * 4 AND component <> pc"
-        joined = now.df.join(mixed.df, "bucket")
-        if turn < STARS:
-            pairs = joined.where(f"id <> p AND {close}").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-            live = store(joined.where("id <> p").select("bucket", "id", "n"), "members")
-        else:
-            other = joined.select("bucket", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            pairs = joined.select("bucket", "id", "n", "component").join(other, "bucket").where(f"id < p AND {close}").select(F.col("id").alias("a"), F.col("p").alias("b"))
-        fresh = store(_verified(pairs.distinct(), sets), "links")
-        links = fresh if links is None else store(links.df.unionByName(fresh.df), "links")
-        labels = connected_components(links.df)
+    # first each document meets one hub: the member with most neighbours of the buckets it is in
+    hub = members.df.join(members.df.groupBy("id").agg(F.sum("size").alias("centre")), "id")
+    hub = hub.groupBy("bucket").agg(F.max(F.struct("centre", (-F.col("id")).alias("low"), "n")).alias("h"))
+    hub = hub.select("bucket", (-F.col("h.low")).alias("p"), F.col("h.n").alias("pn"), F.col("h.centre").alias("centre"))
+    near = members.df.join(store(hub, "hubs").df, "bucket").where("id <> p AND least(n, pn) * 5 >= greatest(n, pn) * 4")
+    near = near.groupBy("id", "p").agg(F.count("*").alias("shared"), F.max("centre").alias("centre"))
+    near = near.groupBy("id").agg(F.max(F.struct("shared", "centre", "p")).alias("b"))
+    links = store(_verified(near.select(F.least("id", "b.p").alias("a"), F.greatest("id", "b.p").alias("b")).distinct(), sets), "links")
+    labels = connected_components(links.df)
+
+    # then, in buckets that still hold several components, every pair across them, block by block
+    now = members.df.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    now = store(now, "placed").df
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    open_ = now.join(store(mixed, "mixed").df, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = store(open_.select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "open").df
+    cells = max(1, -(-open_.count() // CELL))
+    asked = open_.join(sets, "id").withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
+    more = store(asked.groupBy("cell").applyInArrow(_block_links, "a long, b long").distinct(), "links")
+    if not more.df.isEmpty():
+        labels = connected_components(links.df.unionByName(more.df))
     classes = reps.select("fp", "id")
-    if labels is not None:
-        classes = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    else:
-        classes = classes.withColumnRenamed("id", "component_id")
+    classes = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     classes = store(classes, "classes").df
     out = sketch.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

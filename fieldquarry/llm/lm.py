@@ -1,8 +1,9 @@
 """LM scoring by subword lattice likelihood.
 
 An existing subword vocabulary supplies pieces and their ranks; the corpus supplies how often each
-occurs (the vocabulary's own segmentation of all training words, on top of a prior that falls with
-rank), which gives unigram piece probabilities and one for the end of a text. A text's probability
+occurs: first by the vocabulary's own segmentation of all training words, on top of a prior that falls
+with rank, then in expectation over all their segmentations (EM_ROUNDS rounds of forward and backward
+sums). That gives unigram piece probabilities and one for the end of a text. A text's probability
 is the sum over all segmentations of all its words, by forward recursion in log space. Pieces never
 cross white space, so the sum factorises: each distinct word's lattice is summed once.
 
@@ -33,6 +34,8 @@ from fieldquarry.llm.common import arrow_words, store
 CHUNK_CHARS, MIN_CHUNKS, LATTICE_BATCH, LATTICE_LENGTH = 12 << 20, 16, 60_000, 24
 #: Occurrences that the rank prior is worth in all.
 PRIOR = 1000.0
+#: Rounds of expectation-maximisation over all segmentations after the first counts.
+EM_ROUNDS = 2
 MARK = "▁"
 
 
@@ -102,36 +105,83 @@ class Lattice:
     def words(self, texts: pa.Array) -> np.ndarray:
         """Forward recursion over many words at once, by length; the same sums as `word`."""
         out = np.empty(len(texts))
-        marked = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
-        lengths = pc.utf8_length(marked).to_numpy(zero_copy_only=False)
-        names = pa.array(self.names, pa.large_string())
-        for n in np.unique(lengths):
-            where = np.flatnonzero(lengths == n)
-            if n > LATTICE_LENGTH or len(where) < 32:
-                for i, t in zip(where, texts.take(pa.array(where)).to_pylist(), strict=True):
-                    out[i] = self.word(t)
+        for where, own, n in self._groups(texts):
+            if own is None:
+                out[where] = [self.word(t) for t in texts.take(pa.array(where)).to_pylist()]
+            else:
+                out[where] = self._forward(self._edges(own, n)[0], n)[n]
+        return out
+
+    def expected(self, texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of each named piece over all segmentations (long words apart: their positions)."""
+        total = np.zeros(len(self.values))
+        apart = [np.zeros(0, np.int64)]
+        for where, own, n in self._groups(texts, least=1):
+            if own is None:
+                apart.append(where)
                 continue
-            own = marked.take(pa.array(where))
-            spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
-            subs = pa.chunked_array([pc.utf8_slice_codeunits(own, i, j) for i, j in spans])
-            found = pc.fill_null(pc.index_in(subs, value_set=names), len(names)).to_numpy()
-            lp = self.values[found].reshape(len(spans), len(where))
-            alpha = np.full((n + 1, len(where)), -np.inf)
-            alpha[0] = 0
+            lp, found = self._edges(own, n)
+            alpha, beta = self._forward(lp, n), self._backward(lp, n)
+            scale = np.log10(weights[where].astype(float)) - alpha[n]
             at = 0
             for j in range(1, n + 1):
                 first = max(0, j - self.longest)
-                terms = alpha[first:j] + lp[at : at + j - first]
-                single = lp[at + j - first - 1]
-                lost = np.flatnonzero(np.isneginf(single))
-                if len(lost):  # byte pieces spell characters that are no piece
-                    chars = pc.utf8_slice_codeunits(own.take(pa.array(lost)), j - 1, j).to_pylist()
-                    terms[-1, lost] = alpha[j - 1, lost] + np.array([self.char(c) for c in chars])
+                use = alpha[first:j] + lp[at : at + j - first] + beta[j] + scale
+                ids = found[at : at + j - first]
+                real = (ids < len(self.names)) & np.isfinite(use)
+                total += np.bincount(ids[real], weights=10 ** use[real], minlength=len(total))
                 at += j - first
-                top = terms.max(axis=0)
-                alpha[j] = top + np.log10((10 ** (terms - top)).sum(axis=0))
-            out[where] = alpha[n]
-        return out
+        return total[:-1], np.concatenate(apart)
+
+    def _groups(self, texts: pa.Array, least: int = 32):
+        """(positions, marked words or None, length): words of one length; None where too long or few."""
+        marked = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
+        lengths = pc.utf8_length(marked).to_numpy(zero_copy_only=False)
+        for n in np.unique(lengths):
+            where = np.flatnonzero(lengths == n)
+            good = n <= LATTICE_LENGTH and len(where) >= least
+            yield where, marked.take(pa.array(where)) if good else None, int(n)
+
+    def _edges(self, own: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability and piece (len(names): none) of all spans, by their ends, then starts."""
+        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
+        subs = pa.chunked_array([pc.utf8_slice_codeunits(own, i, j) for i, j in spans])
+        found = pc.fill_null(pc.index_in(subs, value_set=pa.array(self.names, pa.large_string())), len(self.names)).to_numpy().reshape(len(spans), len(own))
+        lp = self.values[found]
+        for k, (i, j) in enumerate(spans):
+            if j - i == 1:  # byte pieces spell characters that are no piece
+                lost = np.flatnonzero(np.isneginf(lp[k]))
+                if len(lost):
+                    lp[k, lost] = [self.char(c) for c in pc.utf8_slice_codeunits(own.take(pa.array(lost)), i, j).to_pylist()]
+        return lp, found
+
+    def _forward(self, lp: np.ndarray, n: int) -> np.ndarray:
+        alpha = np.full((n + 1, lp.shape[1]), -np.inf)
+        alpha[0] = 0
+        at = 0
+        for j in range(1, n + 1):
+            first = max(0, j - self.longest)
+            alpha[j] = _log_sum(alpha[first:j] + lp[at : at + j - first])
+            at += j - first
+        return alpha
+
+    def _backward(self, lp: np.ndarray, n: int) -> np.ndarray:
+        at, where = 0, {}
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                where[i, j] = at
+                at += 1
+        beta = np.full((n + 1, lp.shape[1]), -np.inf)
+        beta[n] = 0
+        for i in range(n - 1, -1, -1):
+            ends = range(i + 1, min(n, i + self.longest) + 1)
+            beta[i] = _log_sum(np.stack([lp[where[i, j]] + beta[j] for j in ends]))
+        return beta
+
+
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    top = terms.max(axis=0)
+    return top + np.log10((10 ** (terms - top)).sum(axis=0))
 
 
 def _ask(train_flag: str):
@@ -167,24 +217,48 @@ def _segment(path: str, n_pieces: int):
     return run
 
 
+def _batched(batches, size: int):
+    """(word, c) columns of consecutive batches, about `size` words at a time."""
+    held, rows = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= size:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield t.column("word").chunk(0), t.column("c").chunk(0)
+            held, rows = [], 0
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t.column("word").chunk(0), t.column("c").chunk(0)
+
+
 def _score_words(lattice: Lattice):
     def run(batches):
-        held, size = [], 0
+        for words, c in _batched(batches, LATTICE_BATCH):
+            yield pa.RecordBatch.from_arrays([words, c, pa.array(lattice.words(words))], ["word", "c", "g"])
 
-        def flush():
-            b = pa.Table.from_batches(held).combine_chunks()
-            words = b.column("word").chunk(0)
-            return pa.RecordBatch.from_arrays([words, b.column("c").chunk(0), pa.array(lattice.words(words))], ["word", "c", "g"])
+    return run
 
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
-            if size >= LATTICE_BATCH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+
+def _expect(lattice: Lattice, path: str):
+    """Expected piece counts of words (word, c); words too long to batch count by their own segmentation."""
+
+    def run(batches):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        place = {n: i for i, n in enumerate(lattice.pieces)}
+        total = np.zeros(len(lattice.pieces))
+        named = np.array([place[n] for n in lattice.names], dtype=np.int64)
+        for words, c in _batched(batches, LATTICE_BATCH):
+            weights = c.to_numpy()
+            uses, apart = lattice.expected(words, weights)
+            total[named] += uses
+            for k, ids in zip(apart.tolist(), sp.encode(words.take(pa.array(apart)).to_pylist(), num_threads=1), strict=True):
+                np.add.at(total, ids, float(weights[k]))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["piece", "n"])
 
     return run
 
@@ -213,6 +287,17 @@ def _add_up(base_of, end_base: float, end_known: int, end_score: float):
     return run
 
 
+def _estimate(vocabulary: Vocabulary, uses: dict[int, float], docs: int) -> Lattice:
+    """Probabilities of pieces and of the end from (expected) uses on top of the prior."""
+    counts = vocabulary.prior()
+    for piece, n in uses.items():
+        counts[piece] += n if counts[piece] else 0
+    ends = docs + 1
+    with np.errstate(divide="ignore"):
+        logp = np.log10(counts / (counts.sum() + ends))
+    return Lattice(vocabulary.pieces, logp, logp[vocabulary.bytes_], math.log10(ends / (counts.sum() + ends)))
+
+
 def score_documents(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
@@ -226,13 +311,10 @@ def score_documents(docs: DataFrame, vocabulary_path: str, train: Column, id_col
 
     vocabulary = Vocabulary.load(vocabulary_path)
     seen = words.where("c > 0").mapInArrow(_segment(vocabulary_path, len(vocabulary.pieces)), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    counts = vocabulary.prior()
-    for r in seen.collect():  # at most one row for each piece of the vocabulary
-        counts[r.piece] += r.n if counts[r.piece] else 0
-    ends = size.docs + 1
-    with np.errstate(divide="ignore"):
-        logp = np.log10(counts / (counts.sum() + ends))
-    lattice = Lattice(vocabulary.pieces, logp, logp[vocabulary.bytes_], math.log10(ends / (counts.sum() + ends)))
+    lattice = _estimate(vocabulary, {r.piece: r.n for r in seen.collect()}, size.docs)  # at most a row for each piece
+    for _ in range(EM_ROUNDS):
+        uses = words.where("c > 0").mapInArrow(_expect(lattice, vocabulary_path), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        lattice = _estimate(vocabulary, {r.piece: r.n for r in uses.collect()}, size.docs)
 
     scored = words.mapInArrow(_score_words(lattice), "word string, c long, g double")
     answers = asked.select("chunk", "word").join(scored, "word").select("chunk", "word", "c", "g")

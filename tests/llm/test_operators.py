@@ -192,6 +192,21 @@ def test_mixing(spark, texts):
     assert mixing.mix(docs_of(spark, texts).limit(0), F.array("source"), mixing.cycle_weights).count() == 0
 
 
+def test_mixing_overlapping_sources(spark):
+    rows = [(i, "w " * (5 + i % 4), m) for i, m in enumerate([["a"], ["a", "b"], ["b"], ["b", "a", "a"], None, []] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m array<string>")
+    out = mixing.mix(df, F.col("m"), lambda sources: [1.0, 3.0]).collect()
+    assert len(out) == len(rows) and all(r.taken == 0 for r in out if not r.m)
+    total = sum(r.size for r in out)
+    taken = sum(r.taken for r in out)
+    assert 0 < taken <= 3 * sum(r.size for r in out if r.m) and abs(taken - total) <= 3 * 8
+    by = collections.Counter()
+    for r in out:
+        by[str(sorted(set(r.m or [])))] += r.taken
+    only_a = sum(r.size for r in out if r.m == ["a"])
+    assert by["['b']"] > by["['a']"] or by["['a']"] <= only_a  # the heavier source draws more copies
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 100, 100], [1, 1, 1], 210, 3) == pytest.approx([30, 90, 90])
     assert mixing.water_fill([0, 0], [1, 2], 0, 3) == [0, 0]
@@ -392,6 +407,20 @@ def test_packing(spark, texts):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_with_another_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    assert not packing.WordIds.fits(model) and packing.WordIds.fits(Tokenizer.from_file(P.path("word_bpe_49k.json")))
+    texts = ["two  spaces here", "", None, "tab\tand\nline " * 9]
+    got = packing.pack(docs_of(spark, list(enumerate(texts))), path, capacity=16, keep_ids=True).collect()
+    joined = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        joined[r.doc_id] += r.ids
+    assert dict(joined) == {i: [*model.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 # ---- 9 -----------------------------------------------------------------------------------------
 def test_sharding(spark):
     rows = [(i, 10 + i % 7) for i in range(500)] + [(7, 10)] * 400 + [(None, 5)] * 60 + [(1000, 5000), (1001, 0)]
@@ -440,3 +469,26 @@ def test_attention_gradient():
     w = {"mean": np.zeros(5), "scale": np.ones(5), "W": rng.normal(size=(5, 4)), "b": np.zeros(4), "V": rng.normal(size=(4, 3)), "U": rng.normal(size=(4, 3)), "w": rng.normal(size=3), "c": rng.normal(size=4), "d": np.zeros(1)}
     p, _, _, _, _, a, z = quality._forward(w, x, n)
     assert np.add.reduceat(a, [0, 4, 6]) == pytest.approx([1, 1, 1]) and z.shape == (3, 4) and ((0 < p) & (p < 1)).all()
+
+
+def test_expected_uses_against_enumeration():
+    vocabulary = lm.Vocabulary.load(P.path("piece_bpe_32k.model"))
+    lattice = lm._estimate(vocabulary, {}, 5)
+    words, weights = ["ab", "the", "ünd", "the"], np.array([3, 1, 2, 4])
+    want = collections.Counter()
+    for w, c in zip(words, weights):
+        s, ways = lm.MARK + w, []
+        for cuts in itertools.product([0, 1], repeat=len(s) - 1):
+            at = [0, *[i + 1 for i, x in enumerate(cuts) if x], len(s)]
+            parts = [s[a:z] for a, z in itertools.pairwise(at)]
+            lp = [lattice.table.get(x) if x in lattice.table else (lattice.char(x) if len(x) == 1 else None) for x in parts]
+            if None not in lp:
+                ways.append((10 ** sum(lp), parts))
+        total = sum(p for p, _ in ways)
+        for p, parts in ways:
+            for x in parts:
+                if x in lattice.table:
+                    want[x] += c * p / total
+    got, apart = lattice.expected(pa.array(words, pa.large_string()), weights)
+    assert len(apart) == 0
+    assert {n: round(float(g), 9) for n, g in zip(lattice.names, got) if g > 1e-12} == {n: round(v, 9) for n, v in want.items() if v > 1e-12}

@@ -37,7 +37,7 @@ CAPACITY, END_ID = 4096, 1
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
 #: Pieces of one length that one window task ranks, about; entries of a worker's caches; words encoded and bytes of text
 #: taken at once.
-PER_SALT, CACHE, ENCODE_WORDS, SLICE_TEXT = 1_000_000, 400_000, 4000, 4 << 20
+PER_SALT, CACHE, ENCODE_WORDS, SLICE_TEXT = 1_000_000, 600_000, 4000, 4 << 20
 
 
 # ---- bin completion -----------------------------------------------------------------------------

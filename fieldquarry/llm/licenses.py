@@ -1,21 +1,30 @@
-"""License scans: TF-IDF cosine of lines to templates, then inheritance from the nearest directory.
-
-Every line of every whole text is a candidate header. Terms (lower-case runs of letters, digits and
-dots) are weighted by idf over all documents; only terms of the templates have counted document
-frequencies (a bounded table), any other term gets the idf of one that no document holds, which makes
-its line longer and its cosine smaller. A line's best template counts from THRESHOLD on. Files named
-as licence files govern their directory: a file without a header of its own inherits from the
-nearest ancestor directory that has a licence file, found by joining paths of distinct directories.
-
-Defined cases: null and empty texts have no lines; equal cosines go to the template first by name; of
-equally good lines the first counts; several licence files of a directory count by best cosine, then
-name; null paths neither inherit nor govern; repeated rows give repeated results; an empty table
-gives no rows.
+"""License scans: TF-IDF cosine of texts to licence templates, then inheritance from the nearest directory.
+
+Templates are one-line notices, common headers, SPDX tags and full licence texts. Of every whole text
+three kinds of spans are compared with them: each line, the whole text, and for templates of up to
+WINDOW terms every run of as many terms as the template has, wherever lines break. So a header
+wrapped over several lines, a notice inside a longer line and a whole licence file count alike.
+
+Terms are lower-case runs of letters, digits and dots; an SPDX tag with its id (of an expression, the
+first) is one term. They are weighted by idf over all documents: every term's document frequency is
+counted. Those of template terms (a bounded table) come to the driver; spans are first scored with
+bounds for all other terms, and what could reach THRESHOLD and be its text's best meets the counts of
+its other terms in a salted join. The best span counts from THRESHOLD on. Files named as licence
+files govern their directory: a file without a licence of its own inherits from the nearest ancestor
+directory that has a licence file, found by joining paths of distinct directories.
+
+Defined cases: null and empty texts have no spans; of equally good spans the one that starts on the
+first line counts, then the template first by name; several licence files of a directory count by
+best cosine, then name; null paths neither inherit nor govern; repeated rows give repeated results;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +35,11 @@ from fieldquarry.llm.common import small_batches, store, text_slices
 
 THRESHOLD = 0.8
 TERM = re.compile(r"[a-z0-9.]*[a-z0-9]")
+TAG = "spdx-license-identifier:"
+TAG_OR_TERM = re.compile(TAG + r"[ \t]*\(?[a-z0-9.+-]*[a-z0-9+]|" + TERM.pattern)
+#: Terms of a template up to which runs within a text are compared with it; salts over which a term's rows are spread; terms
+#: that a task counts before it passes them on.
+WINDOW, SALTS, HELD_TERMS = 400, 64, 300_000
 
 # One-line notices by which public licences are commonly declared.
 TEMPLATES = (
@@ -41,9 +55,56 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+# Titles and headers of licence texts, as files carry them, without comment signs.
+_GNU = "This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{end}"
+_LATER = "either version {v} of the License, or (at your option) any later version."
+HEADERS = (
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", _GNU.format(what="program", sep=":", name="Affero General Public License", end=", ") + _LATER.format(v=3)),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License version 3"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", _GNU.format(what="program", sep=";", name="General Public License", end="; ") + _LATER.format(v=2)),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", _GNU.format(what="program", sep=":", name="General Public License", end=", ") + _LATER.format(v=3)),
+    ("GPL-3.0", "under the terms of the GNU General Public License version 3"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", _GNU.format(what="library", sep=";", name="Lesser General Public License", end="; ") + _LATER.format(v="2.1")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", _GNU.format(what="library", sep=":", name="Lesser General Public License", end=", ") + _LATER.format(v=3)),
+    ("MIT", "Licensed under the MIT License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
+# Identifiers of SPDX tags; GNU licences also with a suffix.
+SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+
+
+@cache
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """Notices, headers, SPDX tags and the full texts in license_texts, by name (read on the driver)."""
+    tags = [(n, f"{TAG} {n}{end}") for n in SPDX for end in (("", "+", "-only", "-or-later") if "GPL" in n else ("",))]
+    full = [(f.name.removesuffix(".txt"), f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    return tuple(sorted([*TEMPLATES, *HEADERS, *tags, *full], key=lambda t: t[0]))
+
+
+def term_spans(text: str) -> list[tuple[str, int]]:
+    """Terms of a lower-case text and where they start."""
+    if TAG not in text:
+        return [(m[0], m.start()) for m in TERM.finditer(text)]
+    return [(re.sub(r"[ \t(]", "", m[0]), m.start()) for m in TAG_OR_TERM.finditer(text)]
+
 
 def terms(text: str) -> list[str]:
-    return TERM.findall(text.lower())
+    text = text.lower()
+    return TERM.findall(text) if TAG not in text else [t for t, _ in term_spans(text)]
 
 
 class Scanner:
@@ -63,6 +124,8 @@ class Scanner:
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
         # a line can only reach the threshold if it holds one of the terms that carry each template
         self.rare = self._needed()
+        self.sizes = [len(terms(x)) for _, x in templates]
+        self.share = np.ascontiguousarray((self.matrix**2).T)
 
     def _needed(self) -> list[re.Pattern]:
         """Terms without which no line can reach the threshold, as one pattern.
@@ -115,40 +178,115 @@ class Scanner:
                 found = (self.names[best], cos, text.count("\n", 0, a))
         return found
 
+    def candidates(self, text: str) -> list[dict]:
+        """Spans that could reach the threshold and be the best, whatever the idf of other terms.
 
-def _frequencies(vocabulary: list[str]):
-    def run(batches):
-        at = {t: i for i, t in enumerate(vocabulary)}
-        find = re.compile(r"(?<![a-z0-9.])(?:" + "|".join(sorted(map(re.escape, vocabulary), key=len, reverse=True)) + r")(?!\.*[a-z0-9])")
-        total, docs = np.zeros(len(vocabulary), np.int64), 0
-        for _, texts in text_slices(batches):
-            for text in texts.to_pylist():
-                docs += 1
-                for t in set(find.findall(text.lower())) & at.keys():
-                    total[at[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, None], pa.string()), pa.array([*total.tolist(), docs], pa.int64())], ["term", "n"])
+        A term's idf lies between 1 and that of an unseen one; both ends bound a span's cosine, and
+        a span whose upper bound is below another's lower bound is not the best. Each comes with the
+        scalar product, the squared norm of template terms, and its other terms with their counts.
+        """
+        text, floor = text.lower(), self.threshold - 1e-9
+        present = [self.vocabulary[t] for t in self.vocabulary.keys() & set(terms(text))]
+        if not present:
+            return []
+        # the terms a text shares with a template bound the cosine of all its spans
+        hits = np.flatnonzero(self.share[present].sum(axis=0) >= floor**2)
+        if not len(hits):
+            return []
+        found = term_spans(text)
+        n, v = len(found), len(self.vocabulary)
+        own: dict[str, int] = {}
+        codes = np.array([i if (i := self.vocabulary.get(t)) is not None else v + own.setdefault(t, len(own)) for t, _ in found])
+        others = list(own)
+        line = np.searchsorted(np.array([m.start() for m in re.finditer("\n", text)], np.int64), np.array([a for _, a in found]))
+        cuts = np.flatnonzero(np.diff(line)) + 1
+        starts, stops = np.concatenate([[0], cuts, [0]]), np.concatenate([cuts, [n], [n]])
+        weight = np.concatenate([self.idf, np.zeros(len(others))])
+        norm = np.concatenate([[0.0], np.cumsum(np.where(codes < v, weight[codes] ** 2, 1.0))])  # at most a span's squared norm
+        out: dict[tuple, dict] = {}
+        for t in hits.tolist():
+            a, z = starts, stops
+            if self.sizes[t] <= WINDOW and self.sizes[t] < n:
+                run = np.arange(n - self.sizes[t] + 1)
+                a, z = np.concatenate([a, run]), np.concatenate([z, run + self.sizes[t]])
+            row = np.concatenate([self.matrix[t] * self.idf, np.zeros(len(others))])
+            dot = np.concatenate([[0.0], np.cumsum(row[codes])])
+            for i in np.flatnonzero(dot[z] - dot[a] >= floor * np.sqrt(norm[z] - norm[a])).tolist():
+                u, c = np.unique(codes[a[i] : z[i]], return_counts=True)
+                known = u < v
+                product, square, rest = float(row[u] @ c), float(((weight[u] * c)[known] ** 2).sum()), float((c[~known] ** 2).sum())
+                if product >= floor * np.sqrt(square + rest):
+                    key = (t, u.tobytes(), c.tobytes())
+                    least, most = product / np.sqrt(square + rest * self.unseen**2), product / np.sqrt(square + rest)
+                    one = {"line": int(line[a[i]]), "name": self.names[t], "product": product, "square": square, "least": least, "most": most, "terms": [others[x - v] for x in u[~known]], "times": c[~known].tolist()}
+                    if key not in out or one["line"] < out[key]["line"]:
+                        out[key] = one
+        best = max((x["least"] for x in out.values() if x["least"] >= self.threshold), default=0.0)
+        return [x for x in out.values() if x["most"] >= best - 1e-9]
 
-    return run
+
+def _frequencies(batches):
+    """In how many documents each term is; a null term counts the documents."""
+    held: Counter = Counter()
+    docs = 0
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+
+    for _, texts in text_slices(batches):
+        for text in texts:
+            docs += 1
+            held.update(set(terms(text.as_py())))
+            if len(held) > HELD_TERMS:
+                yield rows()
+                held.clear()
+    yield rows()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([docs], pa.int64())], ["term", "n"])
+
+
+SPANS = "array<struct<line:int,name:string,product:double,square:double,terms:array<string>,times:array<bigint>>>"
 
 
 def _scan(n_docs: int, df: dict[str, int], templates, threshold: float):
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("name", pa.string()), ("product", pa.float64()), ("square", pa.float64()), ("terms", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))]))
+
     def run(batches):
         scanner = Scanner(n_docs, df, templates, threshold)
         for rows, texts in text_slices(batches, "row"):
-            found = [scanner.scan(t) for t in texts.to_pylist()]
-            cols = [pa.array([f[i] for f in found], k) for i, k in ((0, pa.string()), (1, pa.float64()), (2, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*rows.flatten(), *cols], ["doc_id", "path", "license", "cosine", "line"])
+            found = [scanner.candidates(t.as_py()) for t in texts]
+            yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(found, kind)], ["doc_id", "path", "spans"])
 
     return run
 
 
-def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", is_license_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _best_spans(found: DataFrame, counts: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """(rid, best: own_license, cosine, line): the cosines of all candidate spans with every term's own idf."""
+    spans = found.where(F.size("spans") > 0).select("rid", F.posexplode("spans").alias("at", "s"))
+    other = spans.select("rid", "at", F.explode(F.arrays_zip(F.col("s.terms").alias("term"), F.col("s.times").alias("times"))).alias("x"))
+    other = other.select("rid", "at", "x.term", "x.times", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).alias("salt"))
+    idf = F.log((1 + F.lit(float(n_docs))) / (1 + F.col("n"))) + 1
+    asked = other.select("term", "salt").distinct().join(counts, "term").select("term", "salt", idf.alias("idf"))
+    rest = other.join(asked, ["term", "salt"]).groupBy("rid", "at").agg(F.sum(F.pow(F.col("times") * F.col("idf"), 2)).alias("rest"))
+    cosine = F.least(F.lit(1.0), F.col("s.product") / F.sqrt(F.col("s.square") + F.coalesce("rest", F.lit(0.0))))
+    scored = spans.join(rest, ["rid", "at"], "left").select("rid", F.struct(F.col("s.name").alias("own_license"), cosine.alias("cosine"), F.col("s.line").alias("line")).alias("best"))
+    scored = scored.where(F.col("best.cosine") >= threshold - 1e-12)
+    return scored.groupBy("rid").agg(F.min_by("best", F.struct(-F.round("best.cosine", 12), F.col("best.line"), F.col("best.own_license"))).alias("best"))
+
+
+def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", is_license_file: Column | None = None, templates=None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, own_license, cosine, line, license, inherited_from (directory, '' for the root)."""
+    templates = all_templates() if templates is None else templates
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
-    counted = rows.select(F.struct("doc_id", "path").alias("doc_id"), "text").mapInArrow(_frequencies(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r.term: r.n for r in counted.collect()}  # one row for each template term
-    scan = rows.select(F.struct("doc_id", "path").alias("row"), "text").mapInArrow(_scan(df.pop(None, 0) or 0, df, templates, threshold), "doc_id long, path string, license string, cosine double, line int")
+    keyed = rows.select(F.struct("doc_id", "path").alias("row"), "text")
+    counted = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = store(counted, "license-terms").df
+    df = {r.term: r.n for r in counts.where(F.col("term").isNull() | F.col("term").isin(vocabulary)).collect()}  # one row for each template term
+    n_docs = df.pop(None, 0) or 0
+    scan = keyed.mapInArrow(_scan(n_docs, df, templates, threshold), f"doc_id long, path string, spans {SPANS}")
+    scan = store(scan.withColumn("rid", F.monotonically_increasing_id()), "license-spans").df
+    scan = scan.select("rid", "doc_id", "path").join(_best_spans(scan, counts, n_docs, threshold), "rid", "left")
+    scan = scan.select("doc_id", "path", F.col("best.own_license").alias("license"), F.coalesce("best.cosine", F.lit(0.0)).alias("cosine"), F.coalesce("best.line", F.lit(-1)).alias("line"))
     named = F.rlike("path", F.lit(r"(^|/)(LICEN[CS]E|COPYING)[^/]*$")) if is_license_file is None else is_license_file
     found = store(scan.withColumn("governs", F.coalesce(named, F.lit(False))).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")), "licenses").df
     files = found.where("governs AND license IS NOT NULL").groupBy("dir").agg(F.max_by("license", F.struct("cosine", "license")).alias("from_license"))

@@ -100,6 +100,32 @@ def test_license_lines_against_all_lines():
         assert scanner.scan(text) == best
 
 
+def test_license_headers_files_and_tags(spark):
+    full = dict(licenses.all_templates()[::-1])
+    texts = {f.stem: f.read_text() for f in (licenses.Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    wrapped = "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n\nint main;"
+    rows = [(0, wrapped, "GPL-3.0", 0), (1, "ona tir wesh ona kel " * 20 + "Released under the MIT License. " + "mor sel tin ko " * 20, "MIT", 0), (2, "x = 1\n/* SPDX-License-Identifier: (LGPL-2.1-or-later OR MIT) */", "LGPL-2.1", 1), (3, "SPDX-License-Identifier: Unheard-1.0", None, -1), (4, "the software is for you and the license is not", None, -1), (5, "#!/bin/sh\n# under the terms of the GNU General Public\n# License version 2.", "GPL-2.0", 1)]
+    rows += [(10 + i, "\n".join(["Copyright 2020 Somebody Else", *x.split("\n")[1:]]), n, None) for i, (n, x) in enumerate(sorted(texts.items()))]
+    assert len(texts) >= 10 and set(texts) <= set(full)
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(100 + i, "ona tir wesh the of and") for i in range(30)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df, F.lit(None).cast("string")).collect()}
+    for i, _, name, line in rows:
+        assert got[i].own_license == name and (line is None or got[i].line == line), (i, name, got[i])
+
+
+def test_license_idf_of_every_term(spark):
+    notice = (("MIT", "Released under the MIT License"),)
+    rows = [(0, "released under the mit license zeta eta")] + [(i, "zeta eta") for i in range(1, 60)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(None).cast("string"), templates=(("MIT", "released under the mit license zeta iota"),)).collect()}
+    idf = lambda d: math.log(61 / (1 + d)) + 1
+    both = 5 * idf(1) ** 2 + idf(60) ** 2  # zeta is in all documents, eta only beside it, iota nowhere
+    assert got[0].cosine == pytest.approx(both / math.sqrt((both + idf(60) ** 2) * (both + idf(0) ** 2))) and got[0].own_license == "MIT"
+    long = [(0, "alpha under the mit license")] + [(i, "alpha") for i in range(1, 60)]  # five terms, one of them not the template's
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(long, "doc_id long, text string"), F.lit(None).cast("string"), templates=notice).collect()}
+    four = 4 * idf(1) ** 2
+    assert got[0].cosine == pytest.approx(four / math.sqrt((four + idf(60) ** 2) * (four + idf(0) ** 2)))
+
+
 # ---- 2 -----------------------------------------------------------------------------------------
 def test_embedding_links(spark):
     rng = np.random.default_rng(4)

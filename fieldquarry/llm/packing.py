@@ -2,9 +2,11 @@
 
 Documents become token ids plus an end id; only those longer than a sequence are cut. The packer sees
 only how many pieces there are of each length (at most `capacity` numbers, whatever the corpus), so
-bin completion runs on the driver: around the largest length it enumerates undominated fillings,
-prunes by waste against the incumbent (a best-fit solution) and applies a filling as often as counts
-allow. Each application uses up a length, so a plan has at most `capacity` patterns. Pieces then find
+bin completion runs on the driver: the best-fit decreasing plan is the first incumbent; around the
+largest length fillings that no further piece fits are enumerated (every multiple of a length),
+pruned by waste against the incumbent and applied as often as counts allow, each time using up a
+length. The search stops at the lower bound or at its budget (FILL_STEPS, FILLINGS, RETRIES) and never
+returns more bins than best-fit; within the budget it need not be optimal. Pieces then find
 their place by rank within their length; ranks come from salted windows plus offsets, so a length
 that a third of all pieces share is spread over many tasks.
 
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 from fieldquarry.llm.common import arrow_words, small_batches, store, text_slices, worker_kept
 
 CAPACITY, END_ID = 4096, 1
-#: Search steps for one filling, fillings kept for one bin, and bins tried again after the first solution.
+#: Search steps for one filling, fillings kept for one bin, and bins tried after the first step back.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
 #: Pieces of one length that one window task ranks, about; entries of a worker's caches; words encoded and bytes of text
 #: taken at once.
@@ -41,33 +43,41 @@ PER_SALT, CACHE, ENCODE_WORDS, SLICE_TEXT = 1_000_000, 600_000, 4000, 4 << 20
 
 
 # ---- bin completion -----------------------------------------------------------------------------
-def best_fit(counts: dict[int, int], capacity: int) -> int:
-    """Bins of best-fit decreasing on a histogram: the first incumbent."""
-    room: dict[int, int] = {}  # free space -> bins that have it
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Best-fit decreasing on a histogram, as patterns and how many bins use each: the first incumbent."""
+    room: dict[int, dict[tuple, int]] = {}  # free space -> patterns that leave it, and their bins
     spaces: list[int] = []
-    bins = 0
-
-    def add(space: int, n: int) -> None:
-        if space and n:
-            if space not in room:
-                insort(spaces, space)
-            room[space] = room.get(space, 0) + n
+    full: list[tuple[tuple[tuple[int, int], ...], int]] = []
+
+    def add(space: int, pattern: tuple, n: int) -> None:
+        if not n:
+            return
+        if not space:
+            full.append((pattern, n))
+            return
+        if space not in room:
+            insort(spaces, space)
+            room[space] = {}
+        room[space][pattern] = room[space].get(pattern, 0) + n
 
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left and (i := bisect_left(spaces, length)) < len(spaces):
             space = spaces[i]
-            n = min(left, room[space])
-            left -= n
-            room[space] -= n
+            pattern, bins = room[space].popitem()
+            if bins > left:
+                room[space][pattern] = bins - left
             if not room[space]:
                 del room[space], spaces[i]
-            add(space - length, n)
-        full, rest = divmod(left, capacity // length)
-        bins += full + (rest > 0)
-        add(capacity % length, full)
-        add(capacity - rest * length, int(rest > 0))
-    return bins
+            n = min(left, bins)
+            left -= n
+            times = pattern[-1][1] if pattern[-1][0] == length else 0
+            add(space - length, (*(pattern[:-1] if times else pattern), (length, times + 1)), n)
+        most = capacity // length
+        bins, rest = divmod(left, most)
+        add(capacity - most * length, ((length, most),), bins)
+        add(capacity - rest * length, ((length, rest),), int(rest > 0))
+    return [*full, *(own for patterns in room.values() for own in patterns.items())]
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
@@ -77,22 +87,23 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
 
 
 def fillings(lengths: list[int], counts: dict[int, int], room: int, steps: int, keep: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated fillings of room: (waste, ((length, times), ...)), least waste first.
+    """Fillings of room that no further piece fits: (waste, ((length, times), ...)), least waste first.
 
-    Larger lengths are tried first, so of two fillings with equal waste the one that could replace
-    the other's pieces by larger ones comes first; the search ends with the first that wastes nothing.
+    Every multiple of a length is tried, larger lengths and multiples first, so of two fillings with
+    equal waste the one that could replace the other's pieces by larger ones comes first; the search
+    ends with the first that wastes nothing.
     """
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     worst = room + 1
     used = [0]
 
-    def go(i: int, left: int, chosen: list[tuple[int, int]]) -> bool:
-        """i: only lengths[:i] may follow; True once nothing better can be found."""
+    def go(i: int, left: int, spare: int, chosen: list[tuple[int, int]]) -> bool:
+        """i: only lengths[:i] may follow; spare: least length passed over with pieces left; True once nothing better can be found."""
         nonlocal worst
         used[0] += 1
         i = min(i, bisect_right(lengths, left))
         if i == 0 or used[0] > steps:
-            if left < worst or len(found) < keep:
+            if (left < spare or not found) and (left < worst or len(found) < keep):
                 found.append((left, tuple(chosen)))
                 found.sort(key=lambda f: f[0])
                 del found[keep:]
@@ -100,28 +111,30 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, steps: int,
             return left == 0 or used[0] > steps
         for j in range(i - 1, -1, -1):
             length = lengths[j]
-            n = min(counts[length], left // length)
-            if go(j, left - n * length, [*chosen, (length, n)]):
-                return True
+            most = min(counts[length], left // length)
+            passed = lengths[j + 1] if j + 1 < i else spare
+            for n in range(most, 0 if j else most - 1, -1):  # below the least length nothing follows
+                if go(j, left - n * length, min(passed, length) if n < counts[length] else passed, [*chosen, (length, n)]):
+                    return True
             if 2 * length <= left and len(found) == keep and found[0][0] <= 1:
                 return True
         return False
 
-    go(len(lengths), room, [])
+    go(len(lengths), room, room + 1, [])
     return found or [(room, ())]
 
 
 def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], int, int]:
     """(patterns, bins, lower bound); a pattern is ((length, times), ...) and how many bins use it."""
-    total = sum(counts.values())
-    goal, limit = least_bins(counts, capacity), best_fit(counts, capacity)
-    best: list | None = None
-    best_bins = total + 1
+    goal, best = least_bins(counts, capacity), best_fit(counts, capacity)
+    best_bins = sum(n for _, n in best)
+    if best_bins <= goal:
+        return best, best_bins, goal
     left = dict(counts)
     lengths = sorted(left)
     stack: list[list] = []  # [options, next option, applied pattern, times, waste of it]
-    wasted, tries = 0, 0
-    allowed = lambda: (min(best_bins - 1, limit) * capacity) - sum(k * v for k, v in counts.items())
+    wasted, tries, first = 0, 0, True
+    size = sum(k * v for k, v in counts.items())
 
     def put(pattern, times: int) -> None:
         for length, n in pattern:
@@ -159,7 +172,8 @@ def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tup
             wasted -= frame[5]
             frame[3] = None
         top, options, i = frame[:3]
-        tries += best is not None
+        first &= down
+        tries += not first
         if tries > RETRIES:
             break
         if i >= len(options):
@@ -172,14 +186,14 @@ def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tup
         merged[top] = merged.get(top, 0) + 1
         pattern = tuple(sorted(merged.items(), reverse=True))
         times = min(left[length] // n for length, n in pattern)
-        if best is not None and wasted + waste * times > allowed():
+        if wasted + waste * times > (best_bins - 1) * capacity - size:
             down = False
             continue
         put(pattern, times)
         frame[3:] = [pattern, times, waste * times]
         wasted += waste * times
         down = True
-    return best or [], best_bins if best else 0, goal
+    return best, best_bins, goal
 
 
 # ---- tokens -------------------------------------------------------------------------------------

@@ -404,6 +404,34 @@ def test_bins_against_plain_search():
         assert bins == least_bins_plain(sizes, 20)
 
 
+def best_fit_plain(sizes, capacity):
+    room = []
+    for size in sorted(sizes, reverse=True):
+        at = min((r, i) for i, r in enumerate([*room, capacity]) if r >= size)[1]
+        if at == len(room):
+            room.append(capacity)
+        room[at] -= size
+    return len(room)
+
+
+def test_bins_never_exceed_best_fit():
+    assert packing.fillings([3, 4], {3: 5, 4: 5}, 10, 2000, 4)[0] == (0, ((4, 1), (3, 2)))  # not the greatest multiple of 4
+    assert all(w < 3 for w, _ in packing.fillings([3, 4, 5], {3: 9, 4: 9, 5: 9}, 11, 2000, 9))
+    for seed, low, high, n in [(0, 800, 2000, 1500), (1, 1000, 1800, 900), (2, 1100, 2100, 900), (3, 1, 4096, 900)]:
+        random.seed(seed)
+        sizes = [random.randint(low, high) for _ in range(n)]
+        counts = collections.Counter(sizes)
+        plain = best_fit_plain(sizes, 4096)
+        assert sum(times for _, times in packing.best_fit(dict(counts), 4096)) == plain
+        plan, bins, _ = packing.complete_bins(dict(counts), 4096)
+        used = collections.Counter()
+        for pattern, times in plan:
+            assert sum(a * k for a, k in pattern) <= 4096 and len({a for a, _ in pattern}) == len(pattern)
+            for a, k in pattern:
+                used[a] += k * times
+        assert used == counts and bins == sum(t for _, t in plan) <= plain
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 

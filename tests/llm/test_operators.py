@@ -158,6 +158,27 @@ def test_beams_widen_for_large_groups():
     assert len(set(zip(at.tolist(), to.tolist())) & truth) >= 0.99 * len(truth) and set(zip(at.tolist(), to.tolist())) <= truth
 
 
+def test_large_group_does_not_hide_missed_links(monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = np.repeat(rng.normal(size=(200, 24)), 2, axis=0) + rng.normal(size=(400, 24)) * 0.01
+    v = hnsw.unit(np.concatenate([pairs, rng.normal(size=24) + rng.normal(size=(800, 24)) * 0.03])[rng.permutation(1200)])
+    truth = (v @ v.T >= 0.95).sum(1)
+    real = hnsw._search_all
+
+    def lossy(graph, queries, beam, threshold):  # the first beam finds no link of ordinary vectors
+        ids, sims = real(graph, queries, beam, threshold)
+        few = (queries @ v.T >= threshold).sum(1) <= 2
+        return ids, [np.full_like(s, -1.0) if beam == hnsw.SEARCH_BEAM and f else s for s, f in zip(sims, few)]
+
+    monkeypatch.setattr(hnsw, "_search_all", lossy)
+    at, to, beam = hnsw.links_of(hnsw.build(v, np.arange(1200)), v, 0.95)
+    few = truth <= 2
+    assert beam > hnsw.SEARCH_BEAM and few.sum() == 400
+    assert np.array_equal(np.bincount(at, minlength=1200)[few], truth[few])
+    assert hnsw.audit_passes(np.array([5000, 1, 0]), np.array([4990, 1, 0]))
+    assert not hnsw.audit_passes(np.array([5000, 3, 1]), np.array([5000, 2, 1])) and not hnsw.audit_passes(np.array([5000, 3, 1]), np.array([5000, 3, 0]))
+
+
 # ---- 3 -----------------------------------------------------------------------------------------
 def plain_lattice(lattice, word):
     s = lm.MARK + word

@@ -2,9 +2,12 @@ r"""Secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
 Candidates are found in whole texts by four patterns. The hash of each candidate's value is then
 aggregated by distinct repositories and owners over the whole corpus: a value that several owners
-share is a copied example; one that a single owner holds looks live. Pattern kinds (assign, access,
-hex) are always reported; generic tokens (20+ characters with a digit and letters of both cases)
-only where ownership makes them look live. Each candidate is labelled copied or owned.
+share, or that very many repositories hold, is a copied example; any other may be live. Pattern kinds
+(assign, access, hex) are always reported; generic tokens (20+ characters with a digit and letters of
+both cases) unless they are copied. Each candidate is labelled copied, owned (one owner) or shared.
+
+The DuckDB twin has no rule for repositories and drops generic tokens that two owners share; it agrees
+where no generic token has two owners and no value of fewer than COPIED_OWNERS has COPIED_REPOS.
 
 Defined cases: null text is empty and has no spans; repeated rows are scanned one by one and count
 as one repository; a null owner or repository is one of its own; an empty table gives no rows.
@@ -29,8 +32,8 @@ HEX = r"[0-9a-f]{24,}"
 GENERIC = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "generic")
 MIN_VALUE = 6
-#: Owners from which a value counts as a copied example; salts over which a value's rows are spread.
-COPIED_OWNERS, SALTS = 3, 64
+#: Owners and repositories from which a value counts as a copied example; salts over which a value's rows are spread.
+COPIED_OWNERS, COPIED_REPOS, SALTS = 3, 100, 64
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int) -> Column:
@@ -62,8 +65,9 @@ def candidate_spans(text: Column) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """(id, spans) per row of docs; spans: array<struct<start, ord, kind, stop, n_owners, n_repos, label>>.
 
-    label: 'copied' where COPIED_OWNERS or more owners hold the value, 'owned' where one does, else
-    'shared'. Generic candidates stay only if owned and clear of pattern spans.
+    label: 'copied' where COPIED_OWNERS or more owners or COPIED_REPOS or more repositories hold the
+    value, else 'owned' where one owner does, else 'shared'. Generic candidates stay only if not copied
+    and clear of pattern spans.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), candidate_spans(F.col(text_col)).alias("found"))
     slim = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.md5(s["value"]).alias("vh")))
@@ -73,10 +77,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_owner = cand.select("vh", "owner", "repo").distinct().groupBy("vh", "owner").agg(F.count("*").alias("n"))
     stats = per_owner.groupBy("vh").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
     salted = cand.select("vh", "salt").distinct().join(stats, "vh")
-    label = F.when(F.col("n_owners") >= COPIED_OWNERS, "copied").when(F.col("n_owners") == 1, "owned").otherwise("shared")
+    label = F.when((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS), "copied").when(F.col("n_owners") == 1, "owned").otherwise("shared")
     one = F.struct("start", "ord", "kind", "stop", "n_owners", "n_repos", label.alias("label"))
     marked = cand.join(salted, ["vh", "salt"]).groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("spans"))
-    clear = F.filter("spans", lambda s: (s["kind"] != "generic") | ((s["label"] == "owned") & ~F.exists("spans", lambda o: (o["kind"] != "generic") & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))))
+    clear = F.filter("spans", lambda s: (s["kind"] != "generic") | ((s["label"] != "copied") & ~F.exists("spans", lambda o: (o["kind"] != "generic") & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))))
     marked = marked.withColumn("spans", clear)
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,n_owners:bigint,n_repos:bigint,label:string>>")
     return rows.select("rid", "id").join(marked, "rid", "left").select("id", F.coalesce("spans", none).alias("spans"))

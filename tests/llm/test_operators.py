@@ -306,6 +306,18 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_of_two_owners_and_of_many_documents(spark):
+    token, pasted, hexes = "Abcdefgh1234567890Xyz", "Qwertyuiop1234567890Zz", "0123456789abcdef" * 2
+    rows = [(0, f"a {token}", "x"), (1, f"{token} b", "y")]
+    rows += [(10 + i, f"{pasted} {hexes}", "hot") for i in range(secrets.COPIED_REPOS)] + [(1000 + i, "key " + hexes[::-1], "hot") for i in range(secrets.COPIED_REPOS - 1)]
+    got = {r.id: r.spans for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
+    assert [(s.kind, s.start, s.stop, s.label) for i in (0, 1) for s in got[i]] == [("generic", 2, 23, "shared"), ("generic", 0, 21, "shared")]
+    assert [(s.kind, s.label, s.n_owners, s.n_repos) for s in got[10]] == [("hex", "copied", 1, secrets.COPIED_REPOS)]
+    assert [(s.kind, s.label) for s in got[1000]] == [("hex", "owned")]
+    masked = {r.doc_id: r.text for r in secrets.mask_live_secrets(docs_of(spark, rows)).collect()}
+    assert (masked[0], masked[1], masked[10], masked[1000]) == ("a [SECRET]", "[SECRET] b", rows[2][1], "key [SECRET]")
+
+
 def test_mask(spark):
     rows = [(1, "a token=abcdefgh b", "x"), (2, None, "x"), (3, "plain", "y"), (4, "token=sharedvalue", "x"), (5, "token=sharedvalue", "y"), (6, "token=sharedvalue", "z"), (1, "a token=abcdefgh b", "x")]
     got = secrets.mask_live_secrets(docs_of(spark, rows))

@@ -5,8 +5,10 @@ lacing modes, and cues, and yields packets with track, timestamp, byte range and
 writer stores bytes losslessly as unsigned 8-bit mono PCM.
 
 Defined cases: null payload is empty and stores no block; unknown elements are skipped; an element
-that runs past its parent raises ValueError; unknown sizes (all ones) end with their parent; repeated
-rows give repeated results; an empty table gives no rows.
+that runs past its parent raises ValueError; a cluster of unknown size (all ones) ends before the next
+element beside clusters and holds no child of unknown size (ValueError), other unknown sizes end with
+their parent; laced packets follow one another by their duration where the file tells it; repeated rows
+give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067,
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+BLOCK_DURATION, DEFAULT_DURATION = 0x9B, 0x23E383
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+#: Elements beside clusters: file header, segment, seek head, information, tracks, cues, chapters, tags, attachments.
+BESIDE_CLUSTERS = {EBML, SEGMENT, 0x114D9B74, INFO, TRACKS, CLUSTER, CUES, 0x1043A770, 0x1254C367, 0x1941A469}
 
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 #: Samples a second; samples of a packet; packets of a block; blocks of a cluster; padding unit.
@@ -136,18 +141,40 @@ def read_vint(data: bytes, at: int, keep_mark: bool = False) -> tuple[int, int]:
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, body start, body end) of the elements in data[at:end]."""
+    """(id, body start, body end) of the elements in data[at:end].
+
+    A cluster of unknown size ends where an element begins that is no child of clusters; any other
+    element of unknown size ends with its parent.
+    """
     while at < end:
         eid, at = read_vint(data, at, keep_mark=True)
         size, at = read_vint(data, at)
-        stop = end if size < 0 else at + size
+        stop = (cluster_end(data, at, end) if eid == CLUSTER else end) if size < 0 else at + size
         if stop > end:
             raise ValueError("element runs past its parent")
         yield eid, at, stop
         at = stop
 
 
-def read_block(data: bytes, at: int, end: int, base: int, number: int) -> list[Packet]:
+def cluster_end(data: bytes, at: int, end: int) -> int:
+    """Where the body of a cluster of unknown size ends: at the next element of the segment or file."""
+    while at < end:
+        eid, body = read_vint(data, at, keep_mark=True)
+        if eid in BESIDE_CLUSTERS:
+            return at
+        size, body = read_vint(data, body)
+        if size < 0:
+            raise ValueError("child of unknown size in a cluster")
+        at = body + size
+    return end
+
+
+def read_block(data: bytes, at: int, end: int, base: int, number: int, scale: int = 1_000_000, durations: dict[int, tuple[float, float]] | None = None, whole: int | None = None) -> list[Packet]:
+    """The packets of a block.
+
+    Laced ones follow one another by their track's duration (ns of a packet, ns of a byte), or else by
+    even shares of the block's (`whole`, in ticks); where none is known all get the block's timestamp.
+    """
     track, at = read_vint(data, at)
     relative, flags = struct.unpack_from(">hB", data, at)
     at += 3
@@ -173,17 +200,22 @@ def read_block(data: bytes, at: int, end: int, base: int, number: int) -> list[P
                 sizes.append(sizes[-1] + raw - (1 << 7 * (at - was) - 1) + 1)
         sizes = [(end - at) // n] * n if mode == FIXED else [*sizes, end - at - sum(sizes)]
     out = []
+    packet_ns, byte_ns = (durations or {}).get(track, (0, 0))
     for i, size in enumerate(sizes):
         if size < 0 or at + size > end:
             raise ValueError("lace runs past its block")
-        out.append(Packet(track, base + relative, at, size, number, i))
+        if packet_ns or byte_ns:
+            later = int((i * packet_ns or sum(sizes[:i]) * byte_ns) / scale)
+        else:
+            later = i * (whole or 0) // len(sizes)
+        out.append(Packet(track, base + relative + later, at, size, number, i))
         at += size
     return out
 
 
 def read_media(data: bytes) -> Media:
     out = Media([], [], [], [], 1_000_000, 0.0)
-    number = 0
+    number, durations = 0, {}
     for eid, a, z in elements(data, 0, len(data)):
         if eid != SEGMENT:
             continue
@@ -196,13 +228,23 @@ def read_media(data: bytes) -> Media:
                         out.duration = struct.unpack(">d" if x - c == 8 else ">f", data[c:x])[0]
             elif kind == TRACKS:
                 for _, c, x in elements(data, b, y):
-                    track = {}
+                    track, each, sound = {}, 0, {BIT_DEPTH: 0, CHANNELS: 1, SAMPLING_FREQUENCY: 8000.0}
                     for k, d, w in elements(data, c, x):
                         if k in (TRACK_NUMBER, TRACK_TYPE):
                             track["number" if k == TRACK_NUMBER else "type"] = int.from_bytes(data[d:w], "big")
                         elif k == CODEC_ID:
                             track["codec"] = data[d:w].decode()
+                        elif k == DEFAULT_DURATION:
+                            each = int.from_bytes(data[d:w], "big")
+                        elif k == AUDIO:
+                            for k2, e, v in elements(data, d, w):
+                                if k2 == SAMPLING_FREQUENCY:
+                                    sound[k2] = struct.unpack(">d" if v - e == 8 else ">f", data[e:v])[0]
+                                elif k2 in sound:
+                                    sound[k2] = int.from_bytes(data[e:v], "big")
                     out.tracks.append(track)
+                    rate = sound[BIT_DEPTH] * sound[CHANNELS] * sound[SAMPLING_FREQUENCY] if track.get("codec", "").startswith("A_PCM/") else 0
+                    durations[track.get("number")] = each, 8e9 / rate if rate else 0
             elif kind == CLUSTER:
                 base = 0
                 out.clusters.append(b)
@@ -210,12 +252,14 @@ def read_media(data: bytes) -> Media:
                     if k == TIMESTAMP:
                         base = int.from_bytes(data[c:x], "big")
                     elif k == SIMPLE_BLOCK:
-                        out.packets += read_block(data, c, x, base, number)
+                        out.packets += read_block(data, c, x, base, number, out.scale, durations)
                         number += 1
                     elif k == BLOCK_GROUP:
-                        for k2, d, w in elements(data, c, x):
+                        group = list(elements(data, c, x))
+                        whole = next((int.from_bytes(data[d:w], "big") for k2, d, w in group if k2 == BLOCK_DURATION), None)
+                        for k2, d, w in group:
                             if k2 == BLOCK:
-                                out.packets += read_block(data, d, w, base, number)
+                                out.packets += read_block(data, d, w, base, number, out.scale, durations, whole)
                                 number += 1
             elif kind == CUES:
                 for _, c, x in elements(data, b, y):

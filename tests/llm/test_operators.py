@@ -378,6 +378,22 @@ def test_lacing(mode):
     assert [group[p.start : p.start + p.size] for p in packets] == frames and {(p.track, p.timestamp, p.block) for p in packets} == {(3, 8, 0)}
 
 
+def test_streamed_clusters_and_laced_times():
+    open_ = lambda eid, body: eid.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body  # noqa: E731  size unknown
+    frames = [b"ab", b"cd", b"ef"]
+    cluster = lambda t: open_(media.CLUSTER, media.uint(media.TIMESTAMP, t) + media.element(media.SIMPLE_BLOCK, media.block(1, 0, frames, media.FIXED)))
+    track = media.element(media.TRACKS, media.element(media.TRACK_ENTRY, media.uint(media.TRACK_NUMBER, 1) + media.uint(media.DEFAULT_DURATION, 20_000_000)))
+    point = media.element(media.CUES, media.element(media.CUE_POINT, media.uint(media.CUE_TIME, 7)))
+    data = open_(media.SEGMENT, track + cluster(100) + cluster(200) + cluster(300) + point)
+    m = media.read_media(data)
+    assert [(p.timestamp, data[p.start : p.start + p.size]) for p in m.packets] == [(t + 20 * i, f) for t in (100, 200, 300) for i, f in enumerate(frames)]
+    assert len(m.clusters) == 3 and m.cues == [(7, 0, 0)]
+    group = media.element(media.BLOCK_GROUP, media.element(media.BLOCK, media.block(1, 0, frames, media.FIXED)) + media.uint(media.BLOCK_DURATION, 30))
+    assert [p.timestamp for p in media.read_media(media.element(media.SEGMENT, open_(media.CLUSTER, media.uint(media.TIMESTAMP, 5) + group))).packets] == [5, 15, 25]
+    pcm = media.read_media(media.write_pcm(bytes(media.PACKET * media.LACES * 2)))
+    assert [p.timestamp for p in pcm.packets] == [i * media.PACKET * 1000 // media.RATE for i in range(media.LACES * 2)]
+
+
 def test_vint_round_trip():
     for v in [0, 1, 126, 127, 128, 16382, 16383, 16384, 2**28, 2**49]:
         assert media.read_vint(media.vint(v), 0) == (v, len(media.vint(v)))

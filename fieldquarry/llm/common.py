@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -19,14 +20,25 @@ WORD_BREAK = r"[ \t-\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only where none is configured and all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="fieldquarry-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/fieldquarry"
 
 
+#: Rows of a table of one or two long columns that may be broadcast (about 24 bytes each); larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, a stored table of a few numbers a row, to be broadcast where its size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 #: Rows and bytes of an Arrow batch: bounds what the JVM and a Python worker hold of whole texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -60,6 +72,28 @@ def store(df: DataFrame, name: str) -> Stored:
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
+class Scratch:
+    """Tables of one run; those that no later read needs are dropped together."""
+
+    def __init__(self) -> None:
+        self.made: list[Stored] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(store(df, name))
+        return self.made[-1].df
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that stays, after which all others go."""
+        out = store(df, name).df
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        for one in self.made:
+            one.drop()
+        self.made = []
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-break characters; null and empty texts have none."""
     inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
@@ -75,12 +109,13 @@ def arrow_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, pa.Array]:
     return words.filter(keep), rows.filter(keep)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of an undirected graph given as long columns a, b; component: least node.
 
     Each round points every node at its least neighbour and contracts the graph, so edges shrink
     fast and nothing but an emptiness test reaches the driver. Every round's tables go to the
-    shared folder. Nodes without edges are absent. Null ends and loops are ignored.
+    shared folder; the result's is left to `scratch`. Nodes without edges are absent. Null ends and loops
+    are ignored.
     """
     links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     links = store(links, "links")
@@ -104,6 +139,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         links = rest
         if links.df.isEmpty():
             links.drop()
+            if scratch is not None:
+                scratch.made.append(labels)
             return labels.df
 
 
@@ -126,6 +163,39 @@ def text_slices(batches, id_col: str = "doc_id", text_col: str = "text", limit:
             yield ids.slice(start), texts.slice(start)
 
 
+def joined(batches, limit: int):
+    """Consecutive batches as one until they hold `limit` bytes, about."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def give_back() -> None:
+    """Return memory that this Python worker has freed but still holds to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """run over a task's batches; afterwards the worker, which later tasks reuse, holds no freed memory."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def worker_kept(key, make):
     """A value that a Python worker keeps from task to task (functions arrive anew with each)."""
     held = sys.modules.setdefault("_fieldquarry_worker", types.ModuleType("_fieldquarry_worker")).__dict__

@@ -11,12 +11,13 @@ that share a band are compared by exact multiset overlap, and links at SIMILARIT
 Copies (equal word sequences) are one node from the start. Each document that shares a bucket first
 meets one hub, the member with most neighbours, and linked documents fall together. Of the buckets
 that then hold several components, all pairs across components are compared, in blocks of bounded
-size as products of membership matrices that give back a spanning forest of links. So no pair that
-shares a band is lost, and no table of pairs is ever made.
+size: first by their signatures, each pair in the least band that it shares; then, with the shingles
+of the rows that remain, as products of membership matrices that give back a spanning forest of
+links. So no pair that shares a band is lost, and no table of pairs is ever made.
 
 Defined cases: a text of one to four words is one shingle; null, empty and blank texts have none and
-link with nothing; rows that share a doc_id are one document; rows without a doc_id link with
-nothing; an empty table gives no rows.
+link with nothing; rows that share a doc_id each belong to the class of their own text (equal rows to
+one); rows without a doc_id link with nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import arrow_words, connected_components, forest_roots, small_batches, store, text_slices
+from fieldquarry.llm.common import Scratch, arrow_words, connected_components, forest_roots, joined, small_batches, small_side, store, text_slices, tidy
 
 WORDS, SIMILARITY = 5, (4, 5)
 #: Bands and rows of a band: a pair of similarity 0.8 is missed with a chance of 6e-5, one of 0.9 of 1e-11.
 BANDS, ROWS = 32, 6
-#: Documents of a block that is compared with itself or another; rows of a cell of blocks; columns of a product.
-BLOCK, CELL, COLUMNS = 512, 4096, 2048
+#: Components of two signatures that must agree before their shingles are compared: a pair of similarity 0.8 falls below
+#: with a chance of about 1e-11. Pairs whose signatures are compared at once.
+AGREE, PAIRS = 115, 8192
+#: Documents and shingles of a block that is compared with itself or another; rows and bytes of a cell of blocks; columns of
+#: a product.
+BLOCK, BLOCK_SHINGLES, CELL, CELL_BYTES, COLUMNS = 512, 2_000_000, 4096, 32 << 20, 2048
 #: Documents of a slice, so that a document's number and a 52-bit shingle hash share a word; its bytes of text.
 SLICE_DOCS, HASH_BITS, SLICE_TEXT = 4000, 52, 3 << 20
 
@@ -120,26 +126,78 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketch(batches):
-    for ids, texts in text_slices(batches, limit=SLICE_TEXT, most=SLICE_DOCS):
+    for rows, texts in text_slices(joined(batches, SLICE_TEXT), "row", limit=SLICE_TEXT, most=SLICE_DOCS):
         doc, item, count, whole = shingle_counts(texts)
         total = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
         keys = band_keys(bag_minhash(doc, item, count, len(texts)))
         has = total > 0
         offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
         bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[has].ravel()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(whole.view(np.int64), mask=~has), pa.array(total), bands], ["doc_id", "fp", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(whole.view(np.int64), mask=~has), pa.array(total), bands], ["doc_id", "text_key", "fp", "n", "bands"])
 
 
 def _shingle_sets(batches):
-    """fp and the multiset as a set: the k-th occurrence of a shingle is an element of its own."""
-    for _, texts in text_slices(batches, limit=SLICE_TEXT, most=SLICE_DOCS):
+    """fp, signature and the multiset as a set: the k-th occurrence of a shingle is an element of its own."""
+    for want, texts in text_slices(joined(batches, SLICE_TEXT), "want", limit=SLICE_TEXT, most=SLICE_DOCS):
         doc, item, count, whole = shingle_counts(texts)
+        fp = whole.view(np.int64)
         own = np.repeat(np.arange(len(doc)), count)
         nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
         tagged = mix(item[own] * _STEP + nth.astype(np.uint64)).view(np.int64)
         sizes = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
         sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(tagged))
-        yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), sets], ["fp", "items"])
+        sig = mix(bag_minhash(doc, item, count, len(texts)).view(np.uint64).ravel()).astype(np.uint32).view(np.uint8)
+        sigs = pa.Array.from_buffers(pa.binary(4 * BANDS * ROWS), len(texts), [None, pa.py_buffer(sig)]).cast(pa.binary())
+        asked = pa.array(fp == want.to_numpy())  # of rows that share an id only those with the wanted text
+        yield pa.RecordBatch.from_arrays([pa.array(fp), sigs, sets], ["id", "sig", "items"]).filter(asked)
+
+
+def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """(rows, components) of a binary column of signatures."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
+
+
+def _alike(batches):
+    """Pairs (a, b, sa, sb) whose signatures agree in AGREE components or more."""
+    for b in batches:
+        ok = (_signatures(b.column("sa")) == _signatures(b.column("sb"))).sum(axis=1) >= AGREE
+        yield b.select(["a", "b"]).filter(pa.array(ok))
+
+
+def _cuts(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal rows of sorted columns."""
+    if not len(columns[0]):
+        return []
+    new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(np.concatenate([[True], new])).tolist()
+    return list(zip(starts, [*starts[1:], len(columns[0])], strict=True))
+
+
+def _block_candidates(table: pa.Table) -> pa.Table:
+    """Of the blocks of a cell, the rows that some row of another component may be linked with.
+
+    A pair counts only in the least band that it shares, where its signatures agree in AGREE components
+    or more and its sizes do not rule it out.
+    """
+    table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    bucket, i, j, own, n, band, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "n", "band", "component"))
+    sig = _signatures(table.column("sig"))
+    keep = np.zeros(table.num_rows, bool)
+    for s, e in _cuts(bucket, i, j):
+        if e - s < 2:
+            continue
+        pair = component[s:e, None] != component[None, s:e]
+        pair &= np.minimum(n[s:e, None], n[None, s:e]) * 5 >= np.maximum(n[s:e, None], n[None, s:e]) * 4
+        if i[s] != j[s]:
+            pair &= own[s:e, None] != own[None, s:e]
+        x, y = np.nonzero(np.triu(pair))
+        for at in range(0, len(x), PAIRS):
+            same = sig[s + x[at : at + PAIRS]] == sig[s + y[at : at + PAIRS]]
+            ok = same.sum(axis=1) >= AGREE
+            ok &= same.reshape(len(same), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[s]
+            keep[s + x[at : at + PAIRS][ok]] = True
+            keep[s + y[at : at + PAIRS][ok]] = True
+    return table.select(["bucket", "i", "j", "own", "id", "n", "component"]).filter(pa.array(keep))
 
 
 def _overlaps(items: list[np.ndarray]) -> np.ndarray:
@@ -166,9 +224,8 @@ def _block_links(table: pa.Table) -> pa.Table:
     bucket, i, j, own, ids, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "id", "component"))
     rows = table.column("items").combine_chunks()
     flat, offsets = rows.values.to_numpy(), rows.offsets.to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(ids) else []
-    a, b = [], []
-    for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, e in _cuts(bucket, i, j):
         common = _overlaps([flat[offsets[k] : offsets[k + 1]] for k in range(s, e)])
         n = np.diff(offsets[s : e + 1])
         link = common * SIMILARITY[1] >= (n[:, None] + n[None, :] - common) * SIMILARITY[0]
@@ -193,56 +250,109 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.where(F.col("common") * SIMILARITY[1] >= (F.col("total") - F.col("common")) * SIMILARITY[0]).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row; component_id: least doc_id of the class."""
+def _largest(now: DataFrame) -> DataFrame:
+    """(bucket, size, shingles, top) of buckets with several components; top: the one with most rows."""
+    each = now.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    each = each.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("c").alias("size"), F.sum("n").alias("shingles"), F.max(F.struct("c", "component")).alias("top"))
+    return each.where("components > 1").select("bucket", "size", "shingles", F.col("top.component").alias("top"), F.col("top.c").alias("top_size"))
+
+
+def _in_blocks(now: DataFrame) -> DataFrame:
+    """Rows of buckets with several components, once for every pair of blocks (i <= j) that they are part of.
+
+    The rows of a bucket's largest component have blocks of their own, which meet the blocks of the
+    others but not each other: few strangers in a large group cost rows in proportion to it.
+    """
+    per = lambda share: F.greatest(F.ceil(F.col("size") * share / BLOCK), F.ceil(F.col("shingles") * share / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    top_share = F.col("top_size") / F.col("size")
+    sized = _largest(now).withColumns({"others": per(1 - top_share), "tops": per(top_share)})
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("component") == F.col("top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
+    at = now.join(sized.drop("size", "shingles", "top_size"), "bucket").withColumn("is_top", F.col("component") == F.col("top"))
+    at = at.withColumn("own", own + F.when(F.col("is_top"), F.col("others")).otherwise(0))
+    last = F.when(F.col("is_top"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1)
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return at.select("bucket", "band", "id", "n", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _dealt(rows: DataFrame, bytes_each) -> DataFrame:
+    """rows with a cell of bounded size, on average, for their blocks."""
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(bytes_each), F.lit(0)).alias("b")).head()
+    cells = max(1, -(-size.n // CELL), -(-size.b // CELL_BYTES))
+    return rows.withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, fp, class, component_id) per row; class: a number of its own for each class."""
+    scratch = Scratch()
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = store(rows.mapInArrow(_sketch, "doc_id long, fp long, n long, bands array<long>"), "sketch").df
+    rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sketch = rows.select(F.struct("doc_id", "text_key").alias("row"), "text").mapInArrow(tidy(_sketch), "doc_id long, text_key long, fp long, n long, bands array<long>")
+    sketch = scratch.put(sketch, "sketch")
     named = sketch.where("doc_id IS NOT NULL AND fp IS NOT NULL")
-    # nodes: one for each different text, named by the least id that has it
-    reps = store(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps").df
-    placed = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    buckets = store(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets").df
-    members = store(placed.join(buckets, "bucket"), "members")
-    wanted = members.df.select("id").distinct().join(reps.select("id", "fp"), "id")
-    wanted = store(wanted, "wanted").df
-    found = rows.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets, "fp long, items array<long>")
-    sets = store(found.join(wanted, "fp").groupBy("fp", "id").agg(F.first("items").alias("items")).select("id", "items"), "sets").df
+    # nodes: one for each different text; rep: the least id that has it
+    reps = scratch.put(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
+    placed = reps.select(F.col("fp").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
+    buckets = scratch.put(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = scratch.put(placed.join(small_side(buckets), "bucket"), "members")
+    wanted = members.select(F.col("id").alias("want")).distinct().join(reps.select(F.col("fp").alias("want"), "rep"), "want")
+    wanted = scratch.put(wanted, "wanted")
+    found = rows.drop("text_key").join(small_side(wanted), F.col("doc_id") == F.col("rep")).select("want", "text")
+    sets = scratch.put(found.mapInArrow(tidy(_shingle_sets), "id long, sig binary, items array<long>").dropDuplicates(["id"]), "sets")
+    sigs = sets.select("id", "sig")
 
     # first each document meets one hub: the member with most neighbours of the buckets it is in
-    hub = members.df.join(members.df.groupBy("id").agg(F.sum("size").alias("centre")), "id")
-    hub = hub.groupBy("bucket").agg(F.max(F.struct("centre", (-F.col("id")).alias("low"), "n")).alias("h"))
-    hub = hub.select("bucket", (-F.col("h.low")).alias("p"), F.col("h.n").alias("pn"), F.col("h.centre").alias("centre"))
-    near = members.df.join(store(hub, "hubs").df, "bucket").where("id <> p AND least(n, pn) * 5 >= greatest(n, pn) * 4")
+    hub = members.join(members.groupBy("id").agg(F.sum("size").alias("centre")), "id")
+    hub = hub.groupBy("bucket").agg(F.max(F.struct("centre", "id", "n")).alias("h"))
+    hub = hub.select("bucket", F.col("h.id").alias("p"), F.col("h.n").alias("pn"), F.col("h.centre").alias("centre"))
+    near = members.join(scratch.put(hub, "hubs"), "bucket").where("id <> p AND least(n, pn) * 5 >= greatest(n, pn) * 4")
     near = near.groupBy("id", "p").agg(F.count("*").alias("shared"), F.max("centre").alias("centre"))
     near = near.groupBy("id").agg(F.max(F.struct("shared", "centre", "p")).alias("b"))
-    links = store(_verified(near.select(F.least("id", "b.p").alias("a"), F.greatest("id", "b.p").alias("b")).distinct(), sets), "links")
-    labels = connected_components(links.df)
+    near = near.select(F.least("id", "b.p").alias("a"), F.greatest("id", "b.p").alias("b")).distinct()
+    near = near.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    near = scratch.put(near.mapInArrow(_alike, "a long, b long"), "pairs")
+    links = scratch.put(_verified(near, sets), "links")
+    labels = connected_components(links, scratch)
 
     # then, in buckets that still hold several components, every pair across them, block by block
-    now = members.df.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    now = store(now, "placed").df
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-    open_ = now.join(store(mixed, "mixed").df, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = store(open_.select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "open").df
-    cells = max(1, -(-open_.count() // CELL))
-    asked = open_.join(sets, "id").withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
-    more = store(asked.groupBy("cell").applyInArrow(_block_links, "a long, b long").distinct(), "links")
-    if not more.df.isEmpty():
-        labels = connected_components(links.df.unionByName(more.df))
-    classes = reps.select("fp", "id")
-    classes = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    classes = store(classes, "classes").df
-    out = sketch.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
+    open_ = scratch.put(_in_blocks(scratch.put(now, "placed")), "open")
+    asked = _dealt(open_, F.lit(4 * BANDS * ROWS)).join(sigs, "id")
+    asked = scratch.put(asked.groupBy("cell").applyInArrow(_block_candidates, "bucket long, i int, j int, own int, id long, n long, component long"), "asked")
+    asked = _dealt(asked, F.col("n") * 8).join(sets.select("id", "items"), "id")
+    more = scratch.put(asked.groupBy("cell").applyInArrow(_block_links, "a long, b long").distinct(), "links")
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more), scratch)
+    classes = reps.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("class"))
+    classes = scratch.put(classes, "classes")
+    classes = classes.join(classes.groupBy("class").agg(F.min("rep").alias("component_id")), "class").select("fp", "class", "component_id")
+    out = sketch.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left")
+    out = out.select("doc_id", "text_key", "n_shingles", "fp", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.finish(out, "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row; component_id: least doc_id of the class."""
+    return _classes(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class (the least id; rows without an id stay), all columns as they are."""
-    classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each class (that of the least id, then of the least hash of its text; of equal rows
+    the least by the hash of all columns); rows without an id stay. All columns are as they are."""
+    keys = _classes(docs, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.first("class").alias("class"), F.count("*").alias("n"))
+    scratch = Scratch()
+    keys = scratch.put(keys.withColumn("class", F.coalesce(F.col("class").cast("string"), F.concat_ws(":", F.lit("-"), "doc_id", "text_key"))), "row-keys")
+    first = keys.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.*")
+    repeated = scratch.put(keys.join(first, ["doc_id", "text_key"]).where("n > 1").select("doc_id", "text_key"), "repeated-rows")
+    gone = keys.join(first, ["doc_id", "text_key"], "left_anti").select("doc_id", "text_key").unionByName(repeated)
+    gone = store(gone.select(F.col("doc_id").alias("nd_id"), F.col("text_key").alias("nd_key")), "duplicates").df
+    keyed = docs.withColumns({"nd_id": F.col(id_col).cast("long"), "nd_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    out = keyed.join(small_side(gone), ["nd_id", "nd_key"], "left_anti").select(*docs.columns)
+    if not repeated.isEmpty():
+        again = keyed.join(small_side(store(repeated.select(F.col("doc_id").alias("nd_id"), F.col("text_key").alias("nd_key")), "repeated").df), ["nd_id", "nd_key"], "left_semi")
+        order = Window.partitionBy("nd_id", "nd_key").orderBy(F.xxhash64(*docs.columns))
+        out = out.unionByName(again.withColumn("nd_at", F.row_number().over(order)).where("nd_at = 1").select(*docs.columns))
+    scratch.clear()
+    return out
 
 
 def op6_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ largest length fillings that no further piece fits are enumerated (every multipl
 pruned by waste against the incumbent and applied as often as counts allow, each time using up a
 length. The search stops at the lower bound or at its budget (FILL_STEPS, FILLINGS, RETRIES) and never
 returns more bins than best-fit; within the budget it need not be optimal. Pieces then find
-their place by rank within their length; ranks come from salted windows plus offsets, so a length
-that a third of all pieces share is spread over many tasks.
+their place by rank within their length: the rank among their task's pieces plus the pieces of the
+tasks before, so only counts by length and task are shuffled, and a length that a third of all pieces
+share stays where its pieces are.
 
 Defined cases: null text is empty; an empty document is the end id alone; repeated rows are packed
 one by one; an empty table gives no rows.
@@ -23,23 +24,23 @@ import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import arrow_words, small_batches, store, text_slices, worker_kept
+from fieldquarry.llm.common import joined, small_batches, store, text_slices, tidy, worker_kept
 
 CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried after the first step back.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
-#: Pieces of one length that one window task ranks, about; entries of a worker's caches; words encoded and bytes of text
-#: taken at once.
-PER_SALT, CACHE, ENCODE_WORDS, SLICE_TEXT = 1_000_000, 600_000, 4000, 4 << 20
+#: Bytes of a worker's cache; units encoded and bytes of text taken at once; rows of the table of ranks that may be broadcast.
+CACHE_BYTES, ENCODE_WORDS, SLICE_TEXT, BROADCAST_ROWS = 48 << 20, 4000, 8 << 20, 400_000
+BREAK = re.compile(r"[ \t-\r]")
 
 
 # ---- bin completion -----------------------------------------------------------------------------
@@ -87,23 +88,28 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
 
 
 def fillings(lengths: list[int], counts: dict[int, int], room: int, steps: int, keep: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Fillings of room that no further piece fits: (waste, ((length, times), ...)), least waste first.
+    """Undominated fillings of room: (waste, ((length, times), ...)), least waste first.
 
-    Every multiple of a length is tried, larger lengths and multiples first, so of two fillings with
-    equal waste the one that could replace the other's pieces by larger ones comes first; the search
-    ends with the first that wastes nothing.
+    No further piece fits them, and none of their pieces could make way for a larger one that is left.
+    Every multiple of a length is tried, larger lengths and multiples first; the search ends with the
+    first filling that wastes nothing.
     """
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     worst = room + 1
     used = [0]
 
+    def dominated(left: int, chosen: list[tuple[int, int]]) -> bool:
+        """Whether a piece could make way for a larger one that is left."""
+        own = dict(chosen)
+        return any(counts[b] > own.get(b, 0) for a in own for b in lengths[bisect_right(lengths, a) : bisect_right(lengths, a + left)])
+
     def go(i: int, left: int, spare: int, chosen: list[tuple[int, int]]) -> bool:
         """i: only lengths[:i] may follow; spare: least length passed over with pieces left; True once nothing better can be found."""
         nonlocal worst
         used[0] += 1
         i = min(i, bisect_right(lengths, left))
         if i == 0 or used[0] > steps:
-            if (left < spare or not found) and (left < worst or len(found) < keep):
+            if (left < spare or not found) and (left < worst or len(found) < keep) and not dominated(left, chosen):
                 found.append((left, tuple(chosen)))
                 found.sort(key=lambda f: f[0])
                 del found[keep:]
@@ -202,6 +208,10 @@ PARTS = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 # Fixed value: the split pattern of the tokenizer for which words can be encoded one by one.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Classes of bytes: white space, letter, digit, other ASCII, and what keeps its word whole (apostrophes, non-ASCII).
+SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
+_KIND = np.array([SPACE if c in b" \t\n\v\f\r" else WHOLE if c > 127 or c == 39 else DIGIT if 48 <= c < 58 else LETTER if chr(c).isalpha() else OTHER for c in range(256)], np.uint8)
+_LOWER = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
 
 
 def word_parts(word: str) -> list[str]:
@@ -219,6 +229,34 @@ def word_parts(word: str) -> list[str]:
     return PARTS.findall(word)
 
 
+def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(units of all texts in turn, units of each text), by classes of bytes.
+
+    A unit is a lower-case part of a plain ASCII word, or any other word as it stands.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kind = _KIND[data]
+    tags = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" may begin a special token
+    kind[tags] = WHOLE
+    solid = kind != SPACE
+    begins = np.append(True, ~solid[:-1]) & solid if len(data) else solid
+    inner = offsets[:-1][np.diff(offsets) > 0]
+    begins[inner] = solid[inner]
+    through = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])[offsets]
+    data, kind, begins = data[solid], kind[solid], begins[solid]
+    word = np.cumsum(begins, dtype=np.int32) - 1
+    whole = np.zeros(int(word[-1]) + 1 if len(word) else 0, bool)
+    whole[word[kind == WHOLE]] = True
+    whole = whole[word]
+    begins[1:] |= ~whole[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    starts = np.flatnonzero(begins)
+    made = np.where(whole, data, _LOWER[data])
+    units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(made))
+    return units, np.diff(np.searchsorted(starts, through))
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The runs flat[starts:starts + sizes] of codes, one after the other."""
     per = sizes[codes]
@@ -227,15 +265,15 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.nd
 
 
 class WordIds:
-    """Ids of words, and of their parts, each found once while it stays in a bounded cache.
+    """Ids of units, each found once by the tokenizer while it stays in a cache bounded by bytes.
 
-    Words never share a token across white space, so the ids of a text are those of its words in
-    turn. Parts are encoded as one pre-split input in short blocks, which spares an object for each.
+    Words never share a token across white space, nor parts of a word (`word_parts`) among each other,
+    so the ids of a text are those of its units in turn. The cache is an Arrow column, not a dict.
     """
 
     def __init__(self, model):
         self.model, self.bare = model, type(model)(model.model)
-        self.clear()
+        self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     @staticmethod
     def fits(model) -> bool:
@@ -245,91 +283,118 @@ class WordIds:
         splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         return names == ["NFC", "Replace", "Lowercase"] and SPLIT in splits
 
-    def forget_words(self) -> None:
-        self.words: dict[str, int] = {}
-        self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
-
-    def clear(self) -> None:
-        self.forget_words()
-        self.parts: dict[str, int] = {}
-        self.part_flat, self.part_sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
-
-    def _encode(self, parts: list[str]) -> None:
-        """Printable ASCII parts are as normalisation leaves them: the bare model encodes those."""
-        flats, sizes = [self.part_flat], [self.part_sizes]
-        plain = [x.isascii() and x.isprintable() and x.lower() == x and "'" not in x and "<|" not in x for x in parts]
-        bare, other = list(compress(parts, plain)), [x for x, p in zip(parts, plain, strict=True) if not p]
-        for x in [*bare, *other]:
-            self.parts[x] = len(self.parts)
-        blocks = [(m, own[i : i + ENCODE_WORDS]) for m, own in ((self.bare, bare), (self.model, other)) for i in range(0, len(own), ENCODE_WORDS)]
-        for model, block in blocks:
-            found = model.encode(block, is_pretokenized=True, add_special_tokens=False)
-            flats.append(np.array(found.ids, dtype="<u4"))
-            sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(block)))
-        self.part_flat, self.part_sizes = np.concatenate(flats), np.concatenate(sizes)
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """Positions of words in starts and sizes, which point into flat."""
-        if len(self.words) > CACHE:
-            self.forget_words()
-        if len(self.parts) > CACHE:
-            self.clear()
-        known, parts = self.words, self.parts
-        fresh = [w for w in words if w not in known]
-        split = [word_parts(w) for w in fresh]
-        self._encode(list(dict.fromkeys(x for own in split for x in own if x not in parts)))
-        codes = np.fromiter((parts[x] for own in split for x in own), np.int64)
-        starts = np.cumsum(self.part_sizes) - self.part_sizes
-        of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
-        self.flat = np.concatenate([self.flat, gather(self.part_flat, starts, self.part_sizes, codes)])
-        sizes = np.bincount(of, weights=self.part_sizes[codes], minlength=len(split)).astype(np.int64)
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        for w in fresh:
-            known[w] = len(known)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each part). Of printable ASCII normalisation only changes case: the bare model encodes that."""
+        sizes = np.zeros(len(parts), np.int64)
+        plain = np.fromiter((x.isascii() and x.isprintable() and "'" not in x and "<|" not in x for x in parts), bool, len(parts))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        flats = [np.zeros(0, "<u4")]
+        for model, own in ((self.bare, order[: plain.sum()]), (self.model, order[plain.sum() :])):
+            for i in range(0, len(own), ENCODE_WORDS):
+                block = own[i : i + ENCODE_WORDS]
+                found = model.encode([parts[k].lower() if model is self.bare else parts[k] for k in block], is_pretokenized=True, add_special_tokens=False)
+                flats.append(np.array(found.ids, dtype="<u4"))
+                sizes[block] = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(block))
+        flat = np.concatenate(flats)
+        starts = np.empty(len(parts), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gather(flat, starts, sizes, np.arange(len(parts))), sizes
+
+    def _learn(self, fresh: pa.Array) -> None:
+        parts, of = [], []
+        for k, unit in enumerate(fresh.to_pylist()):
+            if unit.isascii() and "'" not in unit and "<|" not in unit:
+                parts.append(unit)
+                of.append(k)
+            else:
+                own = word_parts(unit)
+                parts += own
+                of += [k] * len(own)
+        flat, sizes = self._encode(parts)
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.flat = np.concatenate([self.flat, flat])
+        self.sizes = np.concatenate([self.sizes, np.bincount(of, weights=sizes, minlength=len(fresh)).astype(np.int64)])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, ids of each text)."""
+        units, per_text = units_of(texts)
+        coded = units.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        if place.null_count:
+            if self.known.nbytes + self.flat.nbytes + self.sizes.nbytes > CACHE_BYTES:
+                self.__init__(self.model)
+                place = pc.index_in(coded.dictionary, value_set=self.known)
+            self._learn(coded.dictionary.filter(pc.is_null(place)))
+            place = pc.index_in(coded.dictionary, value_set=self.known)
+        codes = place.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)] if len(units) else np.zeros(0, np.int64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        stream = gather(self.flat, starts, self.sizes, codes)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[codes])])
+        return stream, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
+
+
+def _runs(text: str, limit: int) -> list[str]:
+    """A long text cut at white space into runs of about limit characters: its ids are theirs in turn."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        cut = BREAK.search(text, at + limit)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
 
 
 def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
+    def encode(model, ids_of, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if ids_of is None:  # any other tokenizer: whole texts
+            ids = [e.ids for e in model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([x for own in ids for x in own], dtype="<u4"), np.array([len(own) for own in ids], dtype=np.int64)
+        if len(texts) == 1 and len(texts[0].as_buffer()) > 2 * SLICE_TEXT:
+            streams = [ids_of.ids(pa.array([run], pa.large_string()))[0] for run in _runs(texts[0].as_py(), SLICE_TEXT)]
+            return np.concatenate(streams), np.array([sum(map(len, streams))], dtype=np.int64)
+        return ids_of.ids(texts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = worker_kept(("tokenizer", path), lambda: Tokenizer.from_file(path))
-        words_of = worker_kept(("word ids", path), lambda: WordIds(model)) if WordIds.fits(model) else None
-        for doc_ids, texts in text_slices(batches, limit=SLICE_TEXT):
-            if words_of is None:  # any other tokenizer: whole texts
-                ids = [e.ids for e in model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-                stream, of_row = np.array([x for own in ids for x in own], dtype="<u4"), np.array([len(own) for own in ids], dtype=np.int64)
-            else:
-                words, rows = arrow_words(texts, lower=False)
-                coded = words.dictionary_encode()
-                place = words_of(coded.dictionary.to_pylist())
-                codes = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-                stream = gather(words_of.flat, words_of.starts, words_of.sizes, codes)
-                of_row = np.bincount(rows.to_numpy(zero_copy_only=False), weights=words_of.sizes[codes], minlength=len(texts)).astype(np.int64)
-            out_row, piece, start, length, crc, kept = [], [], [], [], [], []
-            at = 0
-            for r, m in enumerate(of_row.tolist()):
-                own = np.append(stream[at : at + m], np.uint32(end_id)).astype("<u4")
-                at += m
-                for k, s in enumerate(range(0, m + 1, capacity)):
-                    part = own[s : s + capacity]
-                    out_row.append(r)
-                    piece.append(k)
-                    start.append(s)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if keep_ids:
-                        kept.append(part.astype(np.int32))
-            cols = [doc_ids.take(pa.array(out_row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        ids_of = worker_kept(("unit ids", path), lambda: WordIds(model)) if WordIds.fits(model) else None
+        seen = np.zeros(capacity + 1, np.int64)  # pieces of each length that this task has made
+        for doc_ids, texts in text_slices(joined(batches, SLICE_TEXT), limit=SLICE_TEXT):
+            bare, of_row = encode(model, ids_of, texts)
+            held = of_row + 1
+            ends = np.cumsum(held)
+            stream = np.full(int(ends[-1]), end_id, "<u4")
+            inside = np.ones(len(stream), bool)
+            inside[ends - 1] = False
+            stream[inside] = bare
+            pieces = -(-held // capacity)
+            row = np.repeat(np.arange(len(held)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, held[row] - start)
+            at = (ends - held)[row] + start
+            raw = memoryview(stream.view(np.uint8))
+            crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(at))
+            # rank among the task's pieces of equal length
+            order = np.argsort(length, kind="stable")
+            by = length[order]
+            first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+            n_of = np.diff(np.append(first, len(by)))
+            own = np.empty(len(by), np.int64)
+            own[order] = np.arange(len(by)) - np.repeat(first, n_of) + seen[by]
+            seen[by[first]] += n_of
+            cols = [doc_ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(own)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "own"]
             if keep_ids:
-                cols.append(pa.array(kept, pa.list_(pa.int32())))
+                values = pa.array(stream.view(np.int32))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(stream)), pa.int32()), values))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return run
+    return tidy(run)
 
 
 def _placed(plan: list):
@@ -369,21 +434,21 @@ def _placed(plan: list):
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    cut = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces_of(tokenizer_path, capacity, end_id, keep_ids), schema)
-    rows = store(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces").df
-    counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    made = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    made = made.mapInArrow(_pieces_of(tokenizer_path, capacity, end_id, keep_ids), schema + ", own long" + (", ids array<int>" if keep_ids else ""))
+    rows = store(made.withColumn("part", F.spark_partition_id()), "pieces").df
+    # a piece's rank within its length: its rank in its task, after the pieces of all tasks before; rows do not move
+    cells = store(rows.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts").df
+    counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan, _, _ = complete_bins(counts, capacity)
-    salts = max(64, -(-max(counts.values(), default=1) // PER_SALT))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)))
-    cells = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("rid")
-    ranked = rows.withColumn("own", F.row_number().over(own) - 1).join(cells, ["length", "salt"])
-    ranked = ranked.withColumn("rank", (F.col("before") + F.col("own")).cast("long")).drop("before", "own", "salt", "rid")
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "rank")
-    return ranked.mapInArrow(_placed(plan), f"{schema}, sequence_id long, offset long")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    before = F.broadcast(before) if cells.count() <= BROADCAST_ROWS else before.hint("shuffle_hash")
+    ranked = rows.join(before, ["length", "part"]).withColumn("rank", (F.col("before") + F.col("own")).cast("long"))
+    ids = ["ids"] if keep_ids else []
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *ids, "rank")
+    return ranked.mapInArrow(_placed(plan), schema + (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long")
 
 
 def op8_pack_documents(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 6
 AGREE, PAIRS = 115, 8192
 #: Documents and shingles of a block that is compared with itself or another; rows and bytes of a cell of blocks; columns of
 #: a product.
-BLOCK, BLOCK_SHINGLES, CELL, CELL_BYTES, COLUMNS = 512, 2_000_000, 4096, 32 << 20, 2048
+BLOCK, BLOCK_SHINGLES, CELL, CELL_BYTES, COLUMNS = 512, 500_000, 1024, 4 << 20, 2048
 #: Documents of a slice, so that a document's number and a 52-bit shingle hash share a word; its bytes of text.
 SLICE_DOCS, HASH_BITS, SLICE_TEXT = 4000, 52, 3 << 20
 

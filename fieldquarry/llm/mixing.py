@@ -51,8 +51,9 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     """Words that each pattern sends to each of its sources: most words first, then least repetition.
 
     patterns: (sources, words); quotas: words wanted by source; copies: times a word may be used.
-    The k-th copy of a word costs k - 1, so the cost is convex. Successive shortest paths with
-    potentials over pattern nodes, source nodes and a sink; ties go to the lower index.
+    The k-th copy of a word costs k - 1, so the cost is convex. Shortest paths with potentials over
+    pattern nodes, source nodes and a sink; all paths of one cost are saturated by blocking flows, so
+    there are few rounds however many patterns; ties go to the lower index.
     """
     n_p, n_s = len(patterns), len(quotas)
     start, sink = n_p + n_s, n_p + n_s + 1
@@ -78,7 +79,6 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     price = [0] * len(head)
     while True:
         far = [float("inf")] * len(head)
-        came = [-1] * len(head)
         far[start] = 0
         heap = [(0, start)]
         while heap:
@@ -88,19 +88,12 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
             for e in head[u]:
                 v, x = to[e], d + cost[e] + price[u] - price[to[e]]
                 if room[e] > 0 and x < far[v]:
-                    far[v], came[v] = x, e
+                    far[v] = x
                     heapq.heappush(heap, (x, v))
-        if came[sink] < 0:
+        if far[sink] == float("inf"):
             break
-        price = [p + (int(f) if f < float("inf") else 0) for p, f in zip(price, far, strict=True)]
-        path, v = [], sink
-        while v != start:
-            path.append(came[v])
-            v = to[came[v] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+        price = [p + (int(f) if f < far[sink] else int(far[sink])) for p, f in zip(price, far, strict=True)]
+        _saturate(head, to, room, cost, price, start, sink)
     sent: list[dict[int, int]] = [{} for _ in range(n_p)]
     for p in range(n_p):
         for e in head[p]:
@@ -109,6 +102,45 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return sent
 
 
+def _saturate(head: list[list[int]], to: list[int], room: list[int], cost: list[int], price: list[int], start: int, sink: int) -> None:
+    """All flow that arcs of reduced cost 0 can still carry: blocking flows by levels, lower arcs first."""
+    while True:
+        level = [-1] * len(head)
+        level[start] = 0
+        queue = [start]
+        for u in queue:
+            for e in head[u]:
+                v = to[e]
+                if level[v] < 0 and room[e] > 0 and cost[e] + price[u] == price[v]:
+                    level[v] = level[u] + 1
+                    queue.append(v)
+        if level[sink] < 0:
+            return
+        turn, path, u = [0] * len(head), [], start
+        while True:
+            if u == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                cut = next(k for k, e in enumerate(path) if not room[e])
+                u = to[path[cut] ^ 1]
+                del path[cut:]
+            while turn[u] < len(head[u]):
+                e = head[u][turn[u]]
+                if room[e] > 0 and level[to[e]] == level[u] + 1 and cost[e] + price[u] == price[to[e]]:
+                    break
+                turn[u] += 1
+            else:
+                if not path:
+                    break
+                u = to[path.pop() ^ 1]
+                turn[u] += 1
+                continue
+            path.append(e)
+            u = to[e]
+
+
 @dataclass
 class MixPlan:
     """Per-pattern decisions (a small table) and the flow behind them."""
@@ -124,6 +156,10 @@ class MixPlan:
         T.StructField("m_fill_key", T.StringType()), T.StructField("m_fill_id", T.LongType()),
     ])
 
+    def routes(self) -> list[tuple[str, str | None, int]]:
+        """(pattern, source, words): what each pattern sends to each of its sources, by the flow."""
+        return [(r[0], self.sources[s], n) for r, sent in zip(self.rows, self.flows, strict=True) for s, n in sorted(sent.items())]
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, self.SCHEMA)
 
@@ -174,7 +210,7 @@ def plan_mix(slim: DataFrame, weights, copies: int, share: float) -> MixPlan:
         if p == 0 or s is None:
             cuts[r.m_pattern] = ("", -1, 0, p)
         elif s.l is not None:
-            cuts[r.m_pattern] = (s.l.m_key, s.l.doc_id, s.l.through, p)
+            cuts[r.m_pattern] = (s.l.m_key, -1 if s.l.doc_id is None else s.l.doc_id, s.l.through, p)  # -1: see _before
         else:  # no document of the cut bucket fits: all buckets before it are in
             cuts[r.m_pattern] = (s.bucket, -1, s.before, p)
     gaps = spark.createDataFrame([(k, *v) for k, v in cuts.items()], "m_pattern string, ck string, ci long, got long, part long")
@@ -193,6 +229,7 @@ def plan_mix(slim: DataFrame, weights, copies: int, share: float) -> MixPlan:
 
 
 def _before(key: str, doc_id: str, cut_key: str, cut_id: str) -> Column:
+    """Whether a row comes no later than the cut; a null id counts as -1 (only equal ids share a key)."""
     a, b = F.col(key), F.col(cut_key)
     return (a < b) | ((a == b) & (F.coalesce(F.col(doc_id), F.lit(-1)) <= F.col(cut_id)))
 

@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import store
+from fieldquarry.llm.common import BROADCAST_ROWS, Scratch
 
 #: Kinds in report order; the group holds the value. Letters are spelt in both cases where either counts.
 ASSIGN = (
@@ -36,30 +37,59 @@ MIN_VALUE = 6
 COPIED_OWNERS, COPIED_REPOS, SALTS = 3, 100, 64
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int) -> Column:
-    """array<struct<start, ord, kind, stop, value>> of all matches, by the pieces between them."""
+#: Code points of a chunk of text, so that masking many spans of a long text reads it once.
+CHUNK = 4096
+
+
+def _hits(text: Column, kind: str, pattern: str, group: int, good) -> Column:
+    """array<struct<ord, pos, gap, size, ok, vh>>: matches in turn, each with the length of the piece before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pieces = F.split(text, pattern, -1)
-    order = KINDS.index(kind)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,value:string>>").alias("out"))
+    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("piece"), found.alias("found"), values.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        stop = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), stop.alias("stop"), x["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def one(x: Column, i: Column) -> Column:
+        sizes = F.length(x["piece"]).alias("gap"), F.length(x["found"]).alias("size")
+        return F.struct(F.lit(KINDS.index(kind)).alias("ord"), i.alias("pos"), *sizes, good(x["value"]).alias("ok"), F.md5(x["value"]).alias("vh"))
 
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("found"), values.alias("value"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(zero["out"])
+    none = F.array().cast("array<struct<ord:int,pos:int,gap:int,size:int,ok:boolean,vh:string>>")
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(zipped, one)).otherwise(none)
 
 
-def candidate_spans(text: Column) -> Column:
+def _candidates(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    assign = F.filter(_spans(text, "assign", ASSIGN, 2), lambda s: F.length(s["value"]) >= MIN_VALUE)
-    base = F.concat(assign, _spans(text, "access", ACCESS, 0), _spans(text, "hex", HEX, 0))
-    generic = F.filter(_spans(text, "generic", GENERIC, 0), lambda s: F.rlike(s["value"], F.lit("[0-9]")) & F.rlike(s["value"], F.lit("[a-z]")) & F.rlike(s["value"], F.lit("[A-Z]")))
-    return F.array_sort(F.concat(base, generic))
+    has = lambda v, p: F.rlike(v, F.lit(p))
+    return F.concat(
+        _hits(text, "assign", ASSIGN, 2, lambda v: F.length(v) >= MIN_VALUE),
+        _hits(text, "access", ACCESS, 0, lambda v: F.lit(True)),
+        _hits(text, "hex", HEX, 0, lambda v: F.lit(True)),
+        _hits(text, "generic", GENERIC, 0, lambda v: has(v, "[0-9]") & has(v, "[a-z]") & has(v, "[A-Z]")),
+    )
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rid, id) of all rows, and a row for each span that stays: rid, id, start, ord, kind, stop, n_owners, n_repos, label.
+
+    Spans are rows of their own: where they start is a running sum over their row's matches, so the
+    work grows with the matches, however many a text has.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), _candidates(F.col(text_col)).alias("found"))
+    rows = scratch.put(rows.withColumn("rid", F.monotonically_increasing_id()), "secrets")
+    hits = rows.where(F.size("found") > 0).select("rid", "id", "owner", "repo", F.explode("found").alias("s")).select("rid", "id", "owner", "repo", "s.*")
+    through = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("rid", "ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    kinds = F.array(*map(F.lit, KINDS))
+    cand = hits.withColumn("stop", through.cast("int")).where("ok").withColumn("start", F.col("stop") - F.col("size")).withColumn("kind", F.get(kinds, F.col("ord")))
+    cand = scratch.put(cand.drop("ok", "pos", "gap", "size").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS))), "secret-spans")
+    per_owner = cand.select("vh", "owner", "repo").distinct().groupBy("vh", "owner").agg(F.count("*").alias("n"))
+    stats = per_owner.groupBy("vh").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+    salted = cand.select("vh", "salt").distinct().join(stats, "vh")
+    label = F.when((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS), "copied").when(F.col("n_owners") == 1, "owned").otherwise("shared")
+    by_start = Window.partitionBy("rid").orderBy("start")
+    base = F.col("kind") != "generic"
+    before = F.max(F.when(base, F.col("stop"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    marked = cand.join(salted, ["vh", "salt"]).withColumns({"label": label, "clash": F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("stop"), F.lit(False))})
+    marked = marked.where(base | ((F.col("label") != "copied") & ~F.col("clash")))
+    return rows.select("rid", "id"), marked.select("rid", "id", "start", "ord", "kind", "stop", "n_owners", "n_repos", "label")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
@@ -69,48 +99,56 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     value, else 'owned' where one owner does, else 'shared'. Generic candidates stay only if not copied
     and clear of pattern spans.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), candidate_spans(F.col(text_col)).alias("found"))
-    slim = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.md5(s["value"]).alias("vh")))
-    rows = store(rows.withColumn("found", slim).withColumn("rid", F.monotonically_increasing_id()), "secrets").df
-    cand = rows.where(F.size("found") > 0).select("rid", "owner", "repo", F.explode("found").alias("s"))
-    cand = cand.select("rid", "owner", "repo", "s.*", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).alias("salt"))
-    per_owner = cand.select("vh", "owner", "repo").distinct().groupBy("vh", "owner").agg(F.count("*").alias("n"))
-    stats = per_owner.groupBy("vh").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
-    salted = cand.select("vh", "salt").distinct().join(stats, "vh")
-    label = F.when((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS), "copied").when(F.col("n_owners") == 1, "owned").otherwise("shared")
-    one = F.struct("start", "ord", "kind", "stop", "n_owners", "n_repos", label.alias("label"))
-    marked = cand.join(salted, ["vh", "salt"]).groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("spans"))
-    clear = F.filter("spans", lambda s: (s["kind"] != "generic") | ((s["label"] != "copied") & ~F.exists("spans", lambda o: (o["kind"] != "generic") & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))))
-    marked = marked.withColumn("spans", clear)
+    scratch = Scratch()
+    rows, spans = _scan(docs, id_col, text_col, owner_col, repo_col, scratch)
+    one = F.struct("start", "ord", "kind", "stop", "n_owners", "n_repos", "label")
+    marked = spans.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("spans"))
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int,n_owners:bigint,n_repos:bigint,label:string>>")
-    return rows.select("rid", "id").join(marked, "rid", "left").select("id", F.coalesce("spans", none).alias("spans"))
+    return scratch.finish(rows.join(marked, "rid", "left").select("id", F.coalesce("spans", none).alias("spans")), "secret-scan")
 
 
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def mask_spans(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span (sorted by start; overlaps merge) replaced by mark."""
+def _between(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of a text that is given in chunks."""
+    i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+    at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    ends = F.concat(F.substring(at(i), a - i * CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(at(j), F.lit(1), b - j * CHUNK))
+    return F.when(i == j, F.substring(at(i), a - i * CHUNK + 1, b - a)).otherwise(ends)
+
+
+def mask_islands(text: Column, islands: Column, tail: Column, mark: str) -> Column:
+    """text with a mark for each island (struct<start, stop>: of the kept text before it), then the text from tail on."""
     text = F.coalesce(text, F.lit(""))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        out = F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+    def whole(chunks: Column) -> Column:
+        kept = F.transform(islands, lambda s: F.concat(_between(chunks, s["start"], s["stop"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), _between(chunks, tail, F.greatest(tail, F.length(text))))
 
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))), whole), F.lit(0))
 
 
 def mask_live_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """docs, all columns as they are, with every span masked whose value is not a widely copied example."""
-    keyed = docs.withColumn("s_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    spans = scan_secrets(docs.select(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("s_id"), text_col, owner_col, F.col(id_col).alias("s_repo")), "s_id", text_col, owner_col, "s_repo")
-    live = spans.select(F.col("id").alias("s_id"), F.filter("spans", lambda s: s["label"] != "copied").alias("s_live")).where(F.size("s_live") > 0).dropDuplicates(["s_id"])
-    keyed = keyed.withColumn("s_id", F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), "s_key"))
-    out = keyed.join(live, "s_id", "left")
-    masked = F.when(F.col("s_live").isNotNull(), mask_spans(F.col(text_col), F.col("s_live"), mark)).otherwise(F.col(text_col))
+    """docs, all columns as they are, with every span masked whose value is not a widely copied example.
+
+    Texts stay where they are while the rows with such spans are few enough to be broadcast.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    scratch = Scratch()
+    keyed = docs.select(key.alias("s_id"), F.col(text_col).alias("s_text"), F.col(owner_col).alias("s_owner"), F.col(id_col).alias("s_repo"))
+    _, spans = _scan(keyed, "s_id", "s_text", "s_owner", "s_repo", scratch)
+    live = spans.where("label <> 'copied'").select(F.col("id").alias("s_id"), "start", "stop").distinct()
+    # overlapping spans are one: kept text runs from where all earlier ones end
+    before = F.max("stop").over(Window.partitionBy("s_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    live = live.withColumn("kept", F.coalesce(before, F.lit(0)))
+    island = F.when(F.col("start") >= F.col("kept"), F.struct(F.col("kept").alias("start"), F.col("start").alias("stop")))
+    live = live.groupBy("s_id").agg(F.array_sort(F.collect_list(island)).alias("s_islands"), F.max("stop").alias("s_tail"))
+    live = scratch.finish(live, "live-secrets")
+    found = live.agg(F.coalesce(F.sum(F.size("s_islands") + 4), F.lit(0)).alias("n")).head().n
+    out = docs.withColumn("s_id", key).join(F.broadcast(live) if found <= BROADCAST_ROWS else live, "s_id", "left")
+    masked = F.when(F.col("s_islands").isNotNull(), mask_islands(F.col(text_col), F.col("s_islands"), F.col("s_tail"), mark)).otherwise(F.col(text_col))
     return out.withColumn(text_col, masked).select(*docs.columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import types
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words everywhere in this package: 0x20 and 0x09-0x0D.
 WORD_BREAK = r"[ \t-\r]+"
+BREAK = re.compile(r"[ \t-\r]")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -176,6 +178,18 @@ def joined(batches, limit: int):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def runs_of(text: str, limit: int) -> list[str]:
+    """A long text cut at white space into runs of about limit characters: its words are theirs in turn."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        cut = BREAK.search(text, at + limit)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
 def give_back() -> None:
     """Return memory that this Python worker has freed but still holds to the system."""
     pa.default_memory_pool().release_unused()

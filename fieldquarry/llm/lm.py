@@ -7,10 +7,11 @@ sums). That gives unigram piece probabilities and one for the end of a text. A t
 is the sum over all segmentations of all its words, by forward recursion in log space. Pieces never
 cross white space, so the sum factorises: each distinct word's lattice is summed once.
 
-Word counts and word scores have as many rows as the corpus has words, so neither is broadcast. Texts
-are dealt into chunks of bounded size by hash; a chunk asks for each of its words once, the answers
-come back by chunk, and the chunk adds them up. A word's rows are at most one per chunk, so frequent
-words make no hot keys.
+Word counts and word scores have as many rows as the corpus has words, so neither is broadcast. Each
+task cuts its texts into slices of bounded size, where they lie; a slice asks for each of its words
+once and keeps its texts as numbers of its words; the answers come back by slice, and the slice adds
+them up. Texts are read once and never shuffled. A word's rows are at most one per slice, so frequent
+words and repeated rows make no hot keys.
 
 Defined cases: null and empty texts are the end token alone; repeated rows count and score one by
 one; null ids train (their remainder is undefined) and are scored; characters that the vocabulary
@@ -28,15 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import arrow_words, store
+from fieldquarry.llm.common import Scratch, arrow_words, joined, runs_of, small_batches, text_slices, tidy
 
-#: Characters of a chunk, about, and fewest chunks; words of a lattice batch; longest batched word.
-CHUNK_CHARS, MIN_CHUNKS, LATTICE_BATCH, LATTICE_LENGTH = 12 << 20, 16, 60_000, 24
+#: Bytes of a slice, about; words of a lattice batch; longest batched word (longer ones are summed one by one).
+SLICE_TEXT, LATTICE_BATCH, LATTICE_LENGTH = 12 << 20, 60_000, 24
 #: Occurrences that the rank prior is worth in all.
 PRIOR = 1000.0
 #: Rounds of expectation-maximisation over all segmentations after the first counts.
 EM_ROUNDS = 2
 MARK = "▁"
+#: Columns of what slices ask; rows of it at once.
+ASKED, ASK_ROWS = ["slice", "at", "word", "n_train", "docs", "codes"], 100_000
 
 
 @dataclass
@@ -82,6 +85,7 @@ class Lattice:
         self.names = [self.pieces[i] for i in use]
         self.values = np.append(self.logp[use], -np.inf)
         self.table = dict(zip(self.names, self.logp[use].tolist(), strict=True))
+        self.place = {n: i for i, n in enumerate(self.names)}
         self.longest = max(map(len, self.names), default=1)
 
     def char(self, c: str) -> float:
@@ -113,15 +117,16 @@ class Lattice:
         return out
 
     def expected(self, texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected uses of each named piece over all segmentations (long words apart: their positions)."""
-        total = np.zeros(len(self.values))
-        apart = [np.zeros(0, np.int64)]
+        """Expected uses of each named piece over all segmentations, and the positions of words that have none."""
+        total, none = np.zeros(len(self.values)), [np.zeros(0, np.int64)]
         for where, own, n in self._groups(texts, least=1):
             if own is None:
-                apart.append(where)
+                for k, text in zip(where.tolist(), texts.take(pa.array(where)).to_pylist(), strict=True):
+                    self._expected_one(MARK + text, float(weights[k]), total)
                 continue
             lp, found = self._edges(own, n)
             alpha, beta = self._forward(lp, n), self._backward(lp, n)
+            none.append(where[~np.isfinite(alpha[n])])
             scale = np.log10(weights[where].astype(float)) - alpha[n]
             at = 0
             for j in range(1, n + 1):
@@ -131,7 +136,30 @@ class Lattice:
                 real = (ids < len(self.names)) & np.isfinite(use)
                 total += np.bincount(ids[real], weights=10 ** use[real], minlength=len(total))
                 at += j - first
-        return total[:-1], np.concatenate(apart)
+        return total[:-1], np.concatenate(none)
+
+    def _expected_one(self, s: str, weight: float, total: np.ndarray) -> None:
+        """The same for one word of any length: in natural logs, edges found once."""
+        n, ten = len(s), math.log(10)
+        place, get = self.place, self.table.get
+        edges: list[list[tuple[int, float, int]]] = []  # by end: (start, log probability, piece)
+        alpha = [0.0]
+        for j in range(1, n + 1):
+            own = [(i, lp * ten, place[s[i:j]]) for i in range(max(0, j - self.longest), j) if (lp := get(s[i:j])) is not None]
+            if not own or own[-1][0] != j - 1:
+                own.append((j - 1, self.char(s[j - 1]) * ten, -1))
+            edges.append(own)
+            top = max(alpha[i] + lp for i, lp, _ in own)
+            alpha.append(top + math.log(sum(math.exp(alpha[i] + lp - top) for i, lp, _ in own)))
+        # backwards: what is left of the word's weight at each end, shared among the edges that end there
+        mass = [0.0] * n + [weight]
+        for j in range(n, 0, -1):
+            if mass[j]:
+                for i, lp, piece in edges[j - 1]:
+                    use = mass[j] * math.exp(alpha[i] + lp - alpha[j])
+                    mass[i] += use
+                    if piece >= 0:
+                        total[piece] += use
 
     def _groups(self, texts: pa.Array, least: int = 32):
         """(positions, marked words or None, length): words of one length; None where too long or few."""
@@ -184,18 +212,45 @@ def _log_sum(terms: np.ndarray) -> np.ndarray:
     return top + np.log10((10 ** (terms - top)).sum(axis=0))
 
 
-def _ask(train_flag: str):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        words, rows = arrow_words(table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string()), lower=True)
-        coded = words.dictionary_encode()
-        train = table.column(train_flag).to_numpy().astype(bool)
-        codes, of = coded.indices.to_numpy(zero_copy_only=False), rows.to_numpy(zero_copy_only=False)
-        n = np.bincount(codes, weights=train[of].astype(float), minlength=len(coded.dictionary)).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(n), chunk, np.int64)), "word": coded.dictionary.cast(pa.string()), "n_train": n})
-
-    return run
+def _coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word of all texts in turn, words of each text)."""
+    if len(texts) == 1 and len(texts[0].as_buffer()) > 2 * SLICE_TEXT:  # a long text, run by run
+        split = [arrow_words(pa.array([run], pa.large_string()), lower=True)[0] for run in runs_of(texts[0].as_py(), SLICE_TEXT)]
+        coded = pa.chunked_array(split, pa.large_string()).dictionary_encode().combine_chunks()
+        coded = coded if isinstance(coded, pa.DictionaryArray) else coded.chunk(0)
+        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.array([len(coded)])
+    words, rows = arrow_words(texts, lower=True)
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int32)
+    return coded.dictionary, codes, np.bincount(rows.to_numpy(zero_copy_only=False), minlength=len(texts)) if len(words) else np.zeros(len(texts), np.int64)
+
+
+SCORES = {"doc_id": pa.int64(), "train": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+
+def _ask(batches):
+    """Per slice a row for each of its words (slice, at, word, n_train), and one with its texts as numbers of words."""
+    from pyspark import TaskContext
+
+    part, count = TaskContext.get().partitionId(), 0
+    empty = lambda n, kind: pa.nulls(n, kind)
+    for row, texts in text_slices(joined(batches, SLICE_TEXT), "row", limit=SLICE_TEXT):
+        words, codes, n = _coded_words(texts)
+        ids, train = row.flatten()
+        learnt = np.repeat(train.to_numpy(zero_copy_only=False).astype(float), n)
+        seen = np.bincount(codes, weights=learnt, minlength=len(words)).astype(np.int64)
+        slice_ = (part << 32) + count
+        count += 1
+        one = pa.RecordBatch.from_arrays([ids, train, pa.array(n, pa.int64())], ["doc_id", "train", "n"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, one.schema) as out:
+            out.write_batch(one)
+        packed = pa.compress(codes.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int64()), empty(1, pa.int32()), empty(1, pa.string()), empty(1, pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([packed], pa.binary())], ASKED)
+        for a in range(0, len(words), ASK_ROWS):
+            w = words.slice(a, ASK_ROWS).cast(pa.string())
+            k = len(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, slice_)), pa.array(np.arange(a, a + k), pa.int32()), w, pa.array(seen[a : a + k]), empty(k, pa.binary()), empty(k, pa.binary())], ASKED)
 
 
 def _segment(path: str, n_pieces: int):
@@ -241,22 +296,15 @@ def _score_words(lattice: Lattice):
     return run
 
 
-def _expect(lattice: Lattice, path: str):
-    """Expected piece counts of words (word, c); words too long to batch count by their own segmentation."""
+def _expect(lattice: Lattice):
+    """Expected piece counts of words (word, c)."""
 
     def run(batches):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         place = {n: i for i, n in enumerate(lattice.pieces)}
         total = np.zeros(len(lattice.pieces))
         named = np.array([place[n] for n in lattice.names], dtype=np.int64)
         for words, c in _batched(batches, LATTICE_BATCH):
-            weights = c.to_numpy()
-            uses, apart = lattice.expected(words, weights)
-            total[named] += uses
-            for k, ids in zip(apart.tolist(), sp.encode(words.take(pa.array(apart)).to_pylist(), num_threads=1), strict=True):
-                np.add.at(total, ids, float(weights[k]))
+            total[named] += lattice.expected(words, c.to_numpy())[0]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["piece", "n"])
 
@@ -264,25 +312,21 @@ def _expect(lattice: Lattice, path: str):
 
 
 def _add_up(base_of, end_base: float, end_known: int, end_score: float):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, answers = docs.combine_chunks(), answers.combine_chunks()
-        texts = docs.column("text").chunk(0) if docs.num_rows else pa.array([], pa.string())
-        words, rows = arrow_words(texts, lower=True)
-        m = docs.num_rows
-        if len(words):
-            known = answers.column("word").chunk(0).cast(pa.large_string())
-            coded = words.dictionary_encode()
-            place = pc.index_in(coded.dictionary, value_set=known)
-            if place.null_count:
-                raise RuntimeError("a chunk's words changed between two reads of the same rows")
-            place = place.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
-            c, g = answers.column("c").to_numpy()[place], answers.column("g").to_numpy()[place]
-            of = rows.to_numpy(zero_copy_only=False)
-            n, k = np.bincount(of, minlength=m), np.bincount(of, weights=(c > 0).astype(float), minlength=m)
-            base, score = np.bincount(of, weights=base_of(c), minlength=m), np.bincount(of, weights=g, minlength=m)
-        else:
-            n, k, base, score = np.zeros(m, np.int64), np.zeros(m), np.zeros(m), np.zeros(m)
-        return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": n.astype(np.int64) + 1, "n_known": k.astype(np.int64) + end_known, "base_score": base + end_base, "score": score + end_score})
+    def run(slices: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        at = answers.column("at").to_numpy()
+        c, g = np.empty(len(at), np.int64), np.empty(len(at))
+        c[at], g[at] = answers.column("c").to_numpy(), answers.column("g").to_numpy()
+        known, base = (c > 0).astype(float), base_of(c)
+        for docs, codes in zip(slices.column("docs").to_pylist(), slices.column("codes").to_pylist(), strict=True):
+            with pa.ipc.open_stream(docs) as one:
+                rows = one.read_all()
+            n = rows.column("n").to_numpy()
+            codes = np.frombuffer(pa.decompress(codes, 4 * int(n.sum()), codec="zstd"), np.int32)
+            of = np.repeat(np.arange(len(n)), n)
+            add = lambda v: np.bincount(of, weights=v[codes], minlength=len(n))
+            out.append(pa.table({"doc_id": rows.column("doc_id"), "train": rows.column("train"), "n_tokens": n + 1, "n_known": add(known).astype(np.int64) + end_known, "base_score": add(base) + end_base, "score": add(g) + end_score}))
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in SCORES.items()})
 
     return run
 
@@ -300,33 +344,33 @@ def _estimate(vocabulary: Vocabulary, uses: dict[int, float], docs: int) -> Latt
 
 def score_documents(docs: DataFrame, vocabulary_path: str, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0)).alias("docs")).head()
-    chunks = max(MIN_CHUNKS, -(-size.chars // CHUNK_CHARS))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    asked = store(rows.groupBy("chunk").applyInArrow(_ask("train"), "chunk long, word string, n_train long"), "asked").df
-    words = store(asked.groupBy("word").agg(F.sum("n_train").alias("c")), "words").df
+    scratch = Scratch()
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).alias("text"))
+    asked = rows.select(F.struct("doc_id", "train").alias("row"), "text").mapInArrow(tidy(_ask), "slice long, at int, word string, n_train long, docs binary, codes binary")
+    asked = scratch.put(asked, "asked")
+    words = scratch.put(asked.where("word IS NOT NULL").groupBy("word").agg(F.sum("n_train").alias("c")), "words")
+    trained = rows.agg(F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0)).alias("docs")).head().docs
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).head()
-    n, v = total.n + size.docs, total.v + int(size.docs > 0)
+    n, v = total.n + trained, total.v + int(trained > 0)
 
     vocabulary = Vocabulary.load(vocabulary_path)
-    seen = words.where("c > 0").mapInArrow(_segment(vocabulary_path, len(vocabulary.pieces)), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    lattice = _estimate(vocabulary, {r.piece: r.n for r in seen.collect()}, size.docs)  # at most a row for each piece
+    seen = words.where("c > 0").mapInArrow(tidy(_segment(vocabulary_path, len(vocabulary.pieces))), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    lattice = _estimate(vocabulary, {r.piece: r.n for r in seen.collect()}, trained)  # at most a row for each piece
     for _ in range(EM_ROUNDS):
-        uses = words.where("c > 0").mapInArrow(_expect(lattice, vocabulary_path), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        lattice = _estimate(vocabulary, {r.piece: r.n for r in uses.collect()}, size.docs)
+        uses = words.where("c > 0").mapInArrow(tidy(_expect(lattice)), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        lattice = _estimate(vocabulary, {r.piece: r.n for r in uses.collect()}, trained)
 
-    scored = words.mapInArrow(_score_words(lattice), "word string, c long, g double")
-    answers = asked.select("chunk", "word").join(scored, "word").select("chunk", "word", "c", "g")
+    scored = words.mapInArrow(tidy(_score_words(lattice)), "word string, c long, g double")
+    answers = asked.where("word IS NOT NULL").select("slice", "at", "word").join(scored, "word").select(F.col("slice").alias("of"), "at", "c", "g")
     floor = n + (v + 1)
 
     def base_of(c):
         return np.log10((c + 1) / floor)
 
-    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _add_up(base_of, float(base_of(size.docs)), int(size.docs > 0), lattice.end), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
-    )
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+    slices = asked.where("docs IS NOT NULL").select("slice", "docs", "codes")
+    schema = ", ".join(f"{k} {'boolean' if pa.types.is_boolean(t) else 'double' if pa.types.is_floating(t) else 'long'}" for k, t in SCORES.items())
+    out = slices.groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(_add_up(base_of, float(base_of(trained)), int(trained > 0), lattice.end), schema)
+    return scratch.finish(out.withColumn("train_tokens", F.lit(n).cast("long")), "lm-scores")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:

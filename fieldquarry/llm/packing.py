@@ -33,14 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import joined, small_batches, store, text_slices, tidy, worker_kept
+from fieldquarry.llm.common import joined, runs_of, small_batches, store, text_slices, tidy, worker_kept
 
 CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried after the first step back.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
 #: Bytes of a worker's cache; units encoded and bytes of text taken at once; rows of the table of ranks that may be broadcast.
 CACHE_BYTES, ENCODE_WORDS, SLICE_TEXT, BROADCAST_ROWS = 48 << 20, 4000, 8 << 20, 400_000
-BREAK = re.compile(r"[ \t-\r]")
 
 
 # ---- bin completion -----------------------------------------------------------------------------
@@ -333,25 +332,13 @@ class WordIds:
         return stream, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
 
 
-def _runs(text: str, limit: int) -> list[str]:
-    """A long text cut at white space into runs of about limit characters: its ids are theirs in turn."""
-    out, at = [], 0
-    while len(text) - at > limit:
-        cut = BREAK.search(text, at + limit)
-        if cut is None:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
-
-
 def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
     def encode(model, ids_of, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if ids_of is None:  # any other tokenizer: whole texts
             ids = [e.ids for e in model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([x for own in ids for x in own], dtype="<u4"), np.array([len(own) for own in ids], dtype=np.int64)
         if len(texts) == 1 and len(texts[0].as_buffer()) > 2 * SLICE_TEXT:
-            streams = [ids_of.ids(pa.array([run], pa.large_string()))[0] for run in _runs(texts[0].as_py(), SLICE_TEXT)]
+            streams = [ids_of.ids(pa.array([run], pa.large_string()))[0] for run in runs_of(texts[0].as_py(), SLICE_TEXT)]
             return np.concatenate(streams), np.array([sum(map(len, streams))], dtype=np.int64)
         return ids_of.ids(texts)
 

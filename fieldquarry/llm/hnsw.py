@@ -7,7 +7,9 @@ widen while an audit against brute force, on a sample of the block's and of the
 (which have themselves to find), finds too small a share of the links of a vector, on average over
 vectors of one link, of few and of many apart, so that no large group outweighs the rest; and for
 every single vector whose beam is full of links. A beam as wide as the shard is exact. Cosines are in
-double precision. A task reports link counts and a spanning forest of its links, so groups of near copies cost rows in proportion to their members.
+double precision. A task counts and unites its links step by step and reports counts and a spanning
+forest, so groups of near copies cost memory and rows in proportion to their members, and what its
+audit found.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths do not link; equal vectors are one node with a multiplicity;
@@ -24,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import connected_components, forest_roots, store
+from fieldquarry.llm.common import Scratch, connected_components, forest_roots
 from fieldquarry.llm.neardup import mix
 
 THRESHOLD = 0.95
 #: Fewest shards, vectors of a shard and of a query block at most.
 MIN_SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 100_000, 25_000
+#: Bytes of a shard's vectors at most; pairs of vectors that are compared or held at once; share of a shard above which a
+#: widened beam is replaced by the whole shard.
+SHARD_BYTES, PAIRS, EXACT_SHARE = 192 << 20, 4 << 20, 256
 #: Neighbours of a point, beams of building and of a first search, points searched in step.
 NEIGHBOURS, BUILD_BEAM, SEARCH_BEAM, STEP = 12, 32, 24, 256
 #: Vectors of an audit (of the block, and of the shard itself), and the mean share of a vector's links that must be found.
@@ -218,44 +223,71 @@ def audit_passes(truth: np.ndarray, found: np.ndarray) -> bool:
 
 def links_of(graph: Graph, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
     """(query, point) of all links found, and the beam that passed the audit."""
+    at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    beam, _, _ = audited_beam(graph, queries, threshold)
+    for q, p in link_steps(graph, queries, threshold, beam):
+        at.append(q)
+        to.append(p)
+    at, to = np.concatenate(at), np.concatenate(to)
+    order = np.argsort(at, kind="stable")
+    return at[order], to[order], beam
+
+
+def audited_beam(graph: Graph, queries: np.ndarray, threshold: float) -> tuple[int, int, int]:
+    """The first beam that passes the audit, the links of the sampled vectors, and those it found."""
     n, beam = len(graph.vectors), SEARCH_BEAM
     spread = lambda m: np.linspace(0, m - 1, min(AUDIT, m)).astype(np.int64)
     # the shard's own vectors have at least themselves to find; the block's may have links here
     sample = np.concatenate([queries[spread(len(queries))], graph.vectors[spread(n)]])
-    truth = (sample @ graph.vectors.T >= threshold).sum(1)
-    while beam < n:
-        _, sims = _search_all(graph, sample, beam, threshold)
-        if audit_passes(truth, np.array([int((s >= threshold).sum()) for s in sims])):
-            break
+    truth = np.concatenate([(sample[i : i + STEP] @ graph.vectors.T >= threshold).sum(1) for i in range(0, len(sample), STEP)])
+    while True:
+        found = np.zeros(len(sample), np.int64)
+        for q, _ in link_steps(graph, sample, threshold, beam):
+            found += np.bincount(q, minlength=len(sample))
+        if audit_passes(truth, found):
+            return beam, int(truth.sum()), int(found.sum())
+        if beam >= n:
+            raise RuntimeError("a search of the whole shard misses links")
         beam *= 2
-    ids, sims = _search_all(graph, queries, min(beam, n), threshold)
-    n_of = [int((s >= threshold).sum()) for s in sims]
-    at = np.repeat(np.arange(len(queries)), n_of)
-    return at, np.concatenate([i[:k] for i, k in zip(ids, n_of, strict=True)]) if len(at) else np.zeros(0, np.int64), beam
+
+
+def link_steps(graph: Graph, queries: np.ndarray, threshold: float, beam: int):
+    """(query, point) of links, a bounded number of queries at a time."""
+    for i in range(0, len(queries), STEP // 2):
+        ids, sims = _search_all(graph, queries[i : i + STEP // 2], beam, threshold)
+        n_of = [int((s >= threshold).sum()) for s in sims]
+        if any(n_of):
+            yield i + np.repeat(np.arange(len(n_of)), n_of), np.concatenate([own[:k] for own, k in zip(ids, n_of, strict=True)]).astype(np.int64)
 
 
 def _search_all(graph: Graph, queries: np.ndarray, beam: int, threshold: float):
-    """Per query its beam, best first; beams full of links widen until one entry is below."""
+    """Per query its beam, best first; beams full of links widen until one entry is below.
+
+    A beam widened beyond 1 / EXACT_SHARE of the shard costs more than comparing with every point: from
+    there on it is as wide as the shard (all links, and nothing else, are returned).
+    """
     ids: list = [None] * len(queries)
     sims: list = [None] * len(queries)
     todo, n = np.arange(len(queries)), len(graph.vectors)
     while len(todo):
         more = []
-        step = max(16, STEP * SEARCH_BEAM // max(beam, SEARCH_BEAM))
+        whole = beam >= n or (beam > 4 * SEARCH_BEAM and beam * EXACT_SHARE >= n)
+        step = max(1, min(STEP, PAIRS // n)) if whole else max(16, STEP * SEARCH_BEAM // max(beam, SEARCH_BEAM))
         for i in range(0, len(todo), step):
             part = todo[i : i + step]
-            if beam >= n:  # as wide as the shard: every point
-                s = queries[part] @ graph.vectors.T
-                top = np.argsort(-s, axis=1, kind="stable")
-                fi, fs = top, np.take_along_axis(s, top, 1)
-            else:
-                fi, fs = search(graph, queries[part], beam)
+            if whole:
+                all_sims = queries[part] @ graph.vectors.T
+                for k, p in enumerate(part):
+                    own = np.flatnonzero(all_sims[k] >= threshold).astype(np.int32)
+                    ids[p] = own[np.argsort(-all_sims[k][own], kind="stable")]
+                    sims[p] = all_sims[k][ids[p]]
+                continue
+            fi, fs = search(graph, queries[part], beam)
             for k, p in enumerate(part):
                 ids[p], sims[p] = fi[k], fs[k]
-            if beam < n:
-                more.append(part[fs[:, -1] >= threshold])
+            more.append(part[fs[:, -1] >= threshold])
         todo = np.concatenate(more) if more else np.zeros(0, np.int64)
-        beam = min(n, beam * 4)
+        beam *= 4
     return ids, sims
 
 
@@ -266,60 +298,90 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 
 def _build(table: pa.Table) -> pa.Table:
-    table = table.combine_chunks().sort_by("id")
-    ids = table.column("id").to_numpy()
-    graph = build(_matrix(table), ids)
+    table = table.combine_chunks().sort_by([("key", "ascending"), ("node", "ascending")])
+    graph = build(_matrix(table), table.column("key").to_numpy())
     one = [pa.array([table.column(c)[0].as_py()], pa.int64()) for c in ("dim", "shard")]
-    return pa.table([*one, pa.array([ids.tobytes()], pa.binary()), pa.array([table.column("copies").to_numpy().tobytes()], pa.binary()), pa.array([graph.dump()], pa.binary())], ["dim", "shard", "ids", "copies", "graph"])
+    return pa.table([*one, *(pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in ("node", "copies")), pa.array([graph.dump()], pa.binary())], ["dim", "shard", "nodes", "copies", "graph"])
+
+
+LINKS = {"node": pa.int64(), "n": pa.int64(), "root": pa.int64(), "beam": pa.int64(), "sampled": pa.int64(), "found": pa.int64()}
 
 
 def _link(threshold: float):
+    """Per shard and block: (node, n, root), link counts and a forest of the links; and a row of its audit."""
+
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not shard.num_rows or not block.num_rows:
-            return empty
-        own = np.frombuffer(shard.column("ids")[0].as_py(), np.int64)
-        copies = np.frombuffer(shard.column("copies")[0].as_py(), np.int64)
-        q = block.column("id").to_numpy()
-        at, to, _ = links_of(Graph.load(shard.column("graph")[0].as_py()), _matrix(block.combine_chunks()), threshold)
-        a, b = q[at], own[to]
-        other = a != b
-        a, b, w = a[other], b[other], copies[to][other]
-        if not len(a):
-            return empty
-        names, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = inverse[: len(a)], inverse[len(a) :]
-        root = forest_roots(x, y, len(names))  # the task's own spanning forest
-        n = np.bincount(x, weights=w, minlength=len(names)).astype(np.int64)
-        return pa.table({"id": names, "n": n, "root": names[root]})
+            return pa.table({k: pa.array([], t) for k, t in LINKS.items()})
+        own, copies = (np.frombuffer(shard.column(c)[0].as_py(), np.int64) for c in ("nodes", "copies"))
+        graph = Graph.load(shard.column("graph")[0].as_py())
+        asks, queries = block.column("node").to_numpy(), _matrix(block.combine_chunks())
+        beam, sampled, found = audited_beam(graph, queries, threshold)
+        names, place = np.unique(np.concatenate([asks, own]), return_inverse=True)
+        q_at, p_at = place[: len(asks)], place[len(asks) :]
+        n, root = np.zeros(len(names), np.int64), np.arange(len(names))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def unite() -> None:
+            nonlocal root, held, size
+            if held:
+                x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+                root = forest_roots(np.concatenate([x, np.arange(len(names))]), np.concatenate([y, root]), len(names))
+            held, size = [], 0
+
+        for q, p in link_steps(graph, queries, threshold, beam):
+            x, y = q_at[q], p_at[p]
+            other = x != y
+            x, y = x[other], y[other]
+            n += np.bincount(x, weights=copies[p[other]], minlength=len(names)).astype(np.int64)
+            apart = root[x] != root[y]  # links that the forest does not hold yet
+            held.append((x[apart], y[apart]))
+            size += int(apart.sum())
+            if size > PAIRS:
+                unite()
+        unite()
+        linked = np.flatnonzero((n > 0) | (root != np.arange(len(names))) | np.isin(np.arange(len(names)), root[root != np.arange(len(names))]))
+        none = pa.nulls(len(linked), pa.int64())
+        out = pa.table([pa.array(names[linked]), pa.array(n[linked]), pa.array(names[root[linked]]), none, none, none], list(LINKS))
+        audit = pa.table([*([pa.nulls(1, pa.int64())] * 3), *(pa.array([v], pa.int64()) for v in (beam, sampled, found))], list(LINKS))
+        return pa.concat_tables([out, audit])
 
     return run
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id) per row of vectors."""
+    """(vec_id, n_links, component_id, audit_recall) per row of vectors; audit_recall: share of the links of
+    all audited vectors that the beams found (1.0 where none had links)."""
+    scratch = Scratch()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = store(rows.withColumn("embedding", F.when(fine, F.col("embedding"))), "vectors").df
-    nodes = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).where("id IS NOT NULL")
-    nodes = store(nodes.withColumn("dim", F.size("embedding").cast("long")), "vector-nodes").df
-    total = nodes.count()
-    shards, blocks = max(MIN_SHARDS, -(-total // SHARD_ROWS)), max(1, -(-total // BLOCK_ROWS))
-    deal = nodes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    graphs = store(deal.groupBy("dim", "shard").applyInArrow(_build, "dim long, shard long, ids binary, copies binary, graph binary"), "graphs").df
+    rows = scratch.put(rows.withColumn("embedding", F.when(fine, F.col("embedding"))), "vectors")
+    # a node is a distinct vector, whatever ids its rows have; key: decides its shard, level and order on every run
+    nodes = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    nodes = nodes.withColumns({"node": F.monotonically_increasing_id(), "key": F.xxhash64("embedding"), "dim": F.size("embedding").cast("long")})
+    nodes = scratch.put(nodes, "vector-nodes")
+    size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).head()
+    most = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * size.dim)))
+    shards, blocks = max(MIN_SHARDS, -(-size.n // most)), max(1, -(-size.n // min(BLOCK_ROWS, most)))
+    deal = nodes.select("dim", "node", "key", "copies", "embedding", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    graphs = scratch.put(deal.groupBy("dim", "shard").applyInArrow(_build, "dim long, shard long, nodes binary, copies binary, graph binary"), "graphs")
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    asks = nodes.select("dim", "id", "embedding", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"))
+    asks = nodes.select("dim", "node", "embedding", F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"))
     keys = ["dim", "shard", "block"]
-    found = store(left.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(_link(threshold), "id long, n long, root long"), "vector-links").df
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    labels = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = nodes.join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    known = store(known, "vector-classes").df
-    out = rows.join(known, "embedding", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
+    found = left.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(_link(threshold), ", ".join(f"{k} long" for k in LINKS))
+    found = scratch.put(found, "vector-links")
+    audit = found.agg(F.coalesce(F.sum("sampled"), F.lit(0)).alias("sampled"), F.coalesce(F.sum("found"), F.lit(0)).alias("found")).head()
+    found = found.where("node IS NOT NULL")
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    labels = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    known = nodes.join(counts, "node", "left").join(labels, "node", "left").select("embedding", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("class"))
+    known = scratch.put(known, "vector-classes")
+    known = known.join(known.groupBy("class").agg(F.min("id").alias("component")), "class").select("embedding", "n_links", "component")
+    out = rows.join(known, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
+    return scratch.finish(out.withColumn("audit_recall", F.lit(audit.found / audit.sampled if audit.sampled else 1.0)), "embedding-links")
 
 
 def op2_hnsw_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "audit_recall")

@@ -39,7 +39,7 @@ CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried after the first step back.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
 #: Bytes of a worker's cache; units encoded and bytes of text taken at once; rows of the table of ranks that may be broadcast.
-CACHE_BYTES, ENCODE_WORDS, SLICE_TEXT, BROADCAST_ROWS = 48 << 20, 4000, 8 << 20, 400_000
+CACHE_BYTES, ENCODE_WORDS, SLICE_TEXT, BROADCAST_ROWS = 24 << 20, 4000, 2 << 20, 400_000
 
 
 # ---- bin completion -----------------------------------------------------------------------------
@@ -243,7 +243,7 @@ def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins = np.append(True, ~solid[:-1]) & solid if len(data) else solid
     inner = offsets[:-1][np.diff(offsets) > 0]
     begins[inner] = solid[inner]
-    through = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])[offsets]
+    through = np.concatenate([np.zeros(1, np.int32), np.cumsum(solid, dtype=np.int32)])[offsets]
     data, kind, begins = data[solid], kind[solid], begins[solid]
     word = np.cumsum(begins, dtype=np.int32) - 1
     whole = np.zeros(int(word[-1]) + 1 if len(word) else 0, bool)
@@ -257,10 +257,12 @@ def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The runs flat[starts:starts + sizes] of codes, one after the other."""
+    """The runs flat[starts:starts + sizes] of codes, one after the other (32-bit positions: of a slice)."""
     per = sizes[codes]
-    ends = np.cumsum(per)
-    return flat[np.repeat(starts[codes] - (ends - per), per) + np.arange(int(per.sum()))]
+    ends = np.cumsum(per, dtype=np.int32)
+    at = np.repeat(starts[codes] - ends + per, per)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
 
 class WordIds:
@@ -272,7 +274,10 @@ class WordIds:
 
     def __init__(self, model):
         self.model, self.bare = model, type(model)(model.model)
-        self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int32)
 
     @staticmethod
     def fits(model) -> bool:
@@ -284,7 +289,7 @@ class WordIds:
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each part). Of printable ASCII normalisation only changes case: the bare model encodes that."""
-        sizes = np.zeros(len(parts), np.int64)
+        sizes = np.zeros(len(parts), np.int32)
         plain = np.fromiter((x.isascii() and x.isprintable() and "'" not in x and "<|" not in x for x in parts), bool, len(parts))
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         flats = [np.zeros(0, "<u4")]
@@ -295,8 +300,8 @@ class WordIds:
                 flats.append(np.array(found.ids, dtype="<u4"))
                 sizes[block] = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(block))
         flat = np.concatenate(flats)
-        starts = np.empty(len(parts), np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        starts = np.empty(len(parts), np.int32)
+        starts[order] = np.cumsum(sizes[order], dtype=np.int32) - sizes[order]
         return gather(flat, starts, sizes, np.arange(len(parts))), sizes
 
     def _learn(self, fresh: pa.Array) -> None:
@@ -312,7 +317,7 @@ class WordIds:
         flat, sizes = self._encode(parts)
         self.known = pa.concat_arrays([self.known, fresh])
         self.flat = np.concatenate([self.flat, flat])
-        self.sizes = np.concatenate([self.sizes, np.bincount(of, weights=sizes, minlength=len(fresh)).astype(np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.bincount(of, weights=sizes, minlength=len(fresh)).astype(np.int32)])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, ids of each text)."""
@@ -321,14 +326,19 @@ class WordIds:
         place = pc.index_in(coded.dictionary, value_set=self.known)
         if place.null_count:
             if self.known.nbytes + self.flat.nbytes + self.sizes.nbytes > CACHE_BYTES:
-                self.__init__(self.model)
+                self.clear()
                 place = pc.index_in(coded.dictionary, value_set=self.known)
-            self._learn(coded.dictionary.filter(pc.is_null(place)))
-            place = pc.index_in(coded.dictionary, value_set=self.known)
-        codes = place.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)] if len(units) else np.zeros(0, np.int64)
-        starts = np.cumsum(self.sizes) - self.sizes
+            fresh = pc.is_null(place)
+            first = len(self.known)
+            self._learn(coded.dictionary.filter(fresh))
+            place, new = pc.fill_null(place, 0).to_numpy().copy(), np.flatnonzero(fresh.to_numpy(zero_copy_only=False))
+            place[new] = np.arange(first, first + len(new))
+        else:
+            place = place.to_numpy()
+        codes = place[coded.indices.to_numpy(zero_copy_only=False)] if len(units) else np.zeros(0, np.int32)
+        starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         stream = gather(self.flat, starts, self.sizes, codes)
-        ends = np.concatenate([[0], np.cumsum(self.sizes[codes])])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[codes], dtype=np.int64)])
         return stream, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
 
 

@@ -42,7 +42,7 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 #: Rows and bytes of an Arrow batch: bounds what the JVM and a Python worker hold of whole texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:

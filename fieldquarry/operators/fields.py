@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +13,38 @@ from fieldquarry.operators import rules
 EMAIL = r"[\w.-]+@[\w.-]+\.\w+"
 
 
-def work_order(text: Column) -> Column:
-    """struct of all sections by the field tables, with the three positional stamps."""
-    order, report = T.split_report(text)
-    parts = {"all": text, "order": order, "report": report}
-    made = [F.struct(*[T.search_field(parts[part], p, multi).alias(name) for name, p, part, multi in table]).alias(section) for section, table in rules.SECTIONS.items()]
-    return F.struct(*made, stamps(text).alias("pelaksanaan"))
+def work_order(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> Column:
+    """struct of sections by the field tables, and of the three positional stamps. Only those named are computed."""
+    _, report = T.split_report(text)
+    parts = {"all": text, "report": report}
+    made = [F.struct(*[T.search_field(parts[part], p, multi).alias(name) for name, p, part, multi in rules.SECTIONS[s]]).alias(s) for s in sections if s in rules.SECTIONS]
+    return F.struct(*made, *([stamps(text).alias("pelaksanaan")] if "pelaksanaan" in sections else []))
+
+
+def _words(heading: str) -> str:
+    return r"\s*".join(map(re.escape, heading.split()))
+
+
+def survey(text: Column) -> Column:
+    """struct of the survey's sections: a map of labels and values for each, arrays for hand holes.
+
+    A section that has a heading but is missing is read from the whole text where the fold needs no
+    section, else it is empty.
+    """
+    folds = {
+        "next": lambda t, ls: label_next_line(t, ls), "last": lambda t, ls: label_next_line(T.clean_space(t), ls), "first": lambda t, ls: label_next_line(T.clean_space(t), ls, keep="first"),
+        "inline": lambda t, ls: label_inline(F.regexp_replace(t, r"(?i)\(PLN ([PN])-\s*\n\s*([NG])\)", r"(PLN $1-$2)"), ls), "prefix": label_prefix,
+    }
+    made = []
+    for name, start, ends, fold, labels in rules.SURVEY:
+        own = text
+        if start:
+            stop = "|".join([*map(_words, ends), r"\z"])
+            own = F.coalesce(T.found(text, rf"(?iU){_words(start)}([\s\S]*?)(?={stop})"), text if fold in ("inline", "last") else F.lit(""))
+        made.append(folds[fold](own, labels).alias(name))
+    for name, start, ends in rules.HH_SECTIONS:
+        made.append(hh_groups(F.coalesce(T.section(text, _words(start), "|".join(map(_words, ends))), F.lit(""))).alias(name))
+    return F.struct(*made)
 
 
 def stamps(text: Column) -> Column:
@@ -39,7 +67,8 @@ def vendor(text: Column) -> Column:
     return F.struct(
         T.found(text, r"(?i)Koordinat\s*\n?\s*(-?\d+\.\d+)\s*,", 1).alias("latitude"),
         T.found(text, r"(?i)Koordinat\s*\n?\s*-?\d+\.\d+\s*,\s*(-?\d+\.\d+)", 1).alias("longitude"),
-        T.found(text, r"(?i)PIC\s*Pelanggan\s*:\s*([^\n]+)").alias("pic_pelanggan"),
+        T.found(text, r"(?i)(?<!Kontak )PIC\s*Pelanggan\s*:\s*([^\n]+)").alias("pic_pelanggan"),
+        T.strip(T.found(text, r"(?i)Kontak\s+PIC\s+Pelanggan\s*[:\-]?\s*([0-9+\-() ]*[0-9])")).alias("kontak_pic_pelanggan"),
         T.strip(F.regexp_replace(tech, quoted, F.lit(""))).alias("teknisi"),
         T.strip(name).alias("nama_vendor"),
     )
@@ -102,7 +131,7 @@ def label_prefix(text: Column, labels: tuple[str, ...]) -> Column:
     made = []
     for label in labels:
         hit = F.get(F.filter(own, _prefix_test(label)), F.lit(0))
-        rest = T.strip(F.regexp_replace(F.substring(hit["own"], len(label) + 1, 1_000_000), r"\A\s*[:\-–=]", ""))
+        rest = T.strip(F.regexp_replace(F.substring(hit["own"], F.lit(len(label) + 1), F.length(hit["own"])), r"\A\s*[:\-–=]", ""))
         value = F.when(rest != "", rest).when(~_is_label(hit["next"], labels), hit["next"])
         made.append(F.struct(F.lit(_key(label)).alias("key"), value.alias("value")))
     return F.map_from_entries(F.filter(F.array(*made), lambda e: e["value"].isNotNull()))
@@ -112,7 +141,7 @@ def _prefix_test(label: str):
     return lambda x: F.startswith(F.lower(x["own"]), F.lit(label.lower()))
 
 
-HH_LABEL = r"(?i)\A(?:Kondisi HH-\d+|Lokasi HH-\d+|Longitude dan Latitude HH-\d+|Ketersediaan Closure-\d+|Kapasitas Closure-\d+|Kondisi Closure-\d+|Kebutuhan penambahan Closure-\d+)\z"
+HH_LABEL = r"(?i)\A(?:" + "|".join(rules.HH_LABELS) + r")-\d+\z"
 HH_HEAD = r"(?i)\AData\s*HH\s*(\d+)"
 
 
@@ -157,6 +186,26 @@ def quality_pair(text: Column, label: str, tail: int = 20) -> Column:
     return F.struct(F.coalesce(T.found(text, pattern, 1), F.when(T.strip(near) != "", T.strip(near))).alias("standard"), T.found(text, pattern, 2).alias("existing"))
 
 
+def _values(options: tuple[str, ...]) -> str:
+    """A group of the values that a parameter may have; '#' is a number, blanks and commas may vary."""
+    return "(" + "|".join(re.escape(o).replace(r"\#", r"\d+(?:[.,]\d+)?").replace(",", ",?").replace(r"\ ", r"\s*") for o in options) + ")"
+
+
+def quality_table(text: Column, table: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...]) -> Column:
+    """array<struct<parameter, standard, existing>>, an entry for every parameter, '' where a value is missing.
+
+    The standard is the first of its values within 60 characters of the label, the existing value the
+    first of its own right behind it.
+    """
+    made = []
+    for label, standards, existing in table:
+        words = r"\s+".join(re.escape(w) for w in label.split())
+        first = rf"(?isU){words}[^\n]{{0,60}}?(?<!\w){_values(standards)}"
+        both = rf"{first}\s+{_values(existing)}"
+        made.append(F.struct(F.lit(label).alias("parameter"), F.coalesce(T.found(text, both, 1), T.found(text, first, 1), F.lit("")).alias("standard"), F.coalesce(T.found(text, both, 2), F.lit("")).alias("existing")))
+    return F.array(*made)
+
+
 def section_by_keywords(text: Column, patterns: tuple[str, ...], keywords: tuple[str, ...], least: int = 2) -> Column:
     """The first pattern whose section holds enough of the keywords."""
     from fieldquarry.operators.classify import count_in

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldquarry.operators import checklists, classify, fields, forms
+from fieldquarry.operators import checklists, classify, fields, forms, rules
 from fieldquarry.sources.sinks import to_json
 
-REMOVED = ("pic_pelanggan", "teknisi", "nama_vendor")
+REMOVED = ("pic_pelanggan", "kontak_pic_pelanggan", "teknisi", "nama_vendor")
 
 
 def _order(text: Column) -> Column:
@@ -18,6 +18,12 @@ def _order(text: Column) -> Column:
     return F.struct(w["spk"].alias("spk"), w["pelanggan"].alias("pelanggan"), w["jaringan"].alias("jaringan"), w["berita_acara"].alias("berita_acara"), w["pelaksanaan"].alias("pelaksanaan"), fields.vendor(text).alias("vendor"))
 
 
+def _survey(text: Column) -> Column:
+    w, v = _order(text), fields.survey(text)
+    names = ("spk", "pelanggan", "jaringan", "berita_acara", "pelaksanaan", "vendor")
+    return F.struct(*[w[n].alias(n) for n in names], *[v[n].alias(n) for n, *_ in (*rules.SURVEY, *rules.HH_SECTIONS)])
+
+
 def _dismantle(text: Column) -> Column:
     w, v = fields.work_order(text), fields.vendor(text)
     worker = F.struct(*[v[n].alias(n) for n in REMOVED])
@@ -30,7 +36,7 @@ def _checklist(kind: str) -> Callable[[Column], Column]:
     def made(text: Column) -> Column:
         common = [checklists.remote_data(text).alias("data_remote"), checklists.clocks(text).alias("pelaksanaan"), fields.devices(text, pattern).alias("data_perangkat")]
         if kind == "wireless":
-            return F.struct(*common, fields.voltage_table(text).alias("tegangan"), fields.quality_pair(text, "RSL").alias("rsl"))
+            return F.struct(*common, fields.voltage_table(text).alias("tegangan"), fields.quality_pair(text, "RSL").alias("rsl"), F.struct(*[fields.quality_table(text, t).alias(n) for n, t in rules.QUALITY.items()]).alias("quality_parameter"))
         return F.struct(*common, checklists.location(text).alias("data_lokasi"), checklists.electrical(text).alias("electrical"), checklists.environment(text).alias("environment"), checklists.line_items(text).alias("line_checklist"))
 
     return made
@@ -55,9 +61,10 @@ _PERFORMANCE = ("performance_measurement", _items(r"2\.\s*Performance", r"(?:3\.
 
 #: Registry: a document type's record. New types are added here (or to a copy that parse() is given).
 PARSERS: dict[str, Callable[[Column], Column]] = {
-    "spk_survey": _order, "spk_instalasi": _order, "spk_aktivasi": _order, "spk_dismantle": _dismantle,
+    "spk_survey": _survey, "spk_instalasi": _order, "spk_aktivasi": _order, "spk_dismantle": _dismantle,
     "checklist_wireless": _checklist("wireless"), "checklist_wireline": _checklist("wireline"),
-    **{f"form_pm_{n}": _form(_PHYSICAL, _PERFORMANCE) for n in ("inverter", "rectifier", "ruang_shelter", "petir_grounding", "instalasi_kabel", "pole_tower")},
+    **{f"form_pm_{n}": _form(_PHYSICAL, _PERFORMANCE) for n in ("rectifier", "ruang_shelter", "petir_grounding", "instalasi_kabel", "pole_tower")},
+    "form_pm_inverter": _form(("inverter", forms.inverter)),
     "form_pm_ac": _form(_PHYSICAL, ("psi_pressure", forms.pressure), ("output_temperature", forms.output_temperature)),
     "form_pm_battery": _form(("battery_banks", forms.battery_banks)),
     "form_pm_dokumentasi_perangkat": _form(("inventory", forms.inventory)),

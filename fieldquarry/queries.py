@@ -126,7 +126,7 @@ _WO = f"{catalog.ORACLE}, wo AS (SELECT s.*, j.nama_pelanggan, j.lokasi_pelangga
 
 @query("roundtrip_spk_header", f"{_WO} SELECT id_spk AS doc_id, 'SURAT PERINTAH KERJA' AS judul_spk, no_spk, strftime(tanggal_spk, '%d/%b/%Y') AS tanggal_spk, NULL::VARCHAR AS no_fps FROM wo")
 def _rt_header(spark, d):
-    return work_orders(spark, d).select("doc_id", fields.work_order(F.col("text")).alias("w")).select("doc_id", "w.spk.*")
+    return work_orders(spark, d).select("doc_id", fields.work_order(F.col("text"), ("spk",)).alias("w")).select("doc_id", "w.spk.*")
 
 
 @query("roundtrip_pelanggan", f"{_WO} SELECT id_spk AS doc_id, nama_pelanggan, lokasi_pelanggan, '021' || substr(no_jaringan, 4, 7) AS telepon FROM wo")
@@ -144,7 +144,7 @@ def _rt_network(spark, d):
 @query("roundtrip_berita_acara", f"{_WO} SELECT id_spk AS doc_id, no_spk AS nomor_spk, 'PIC ' || id_spk AS kontak_person, '021' || lpad(id_spk::VARCHAR, 7, '9') AS telepon FROM wo")
 def _rt_report(spark, d):
     _, report = T.split_report(F.col("text"))
-    made = F.struct(*[T.search_field(F.col("text") if part == "all" else report, p, m).alias(n) for n, p, part, m in rules.REPORT])
+    made = F.struct(*[T.search_field(F.col("text") if part == "all" else report, p, m).alias(n) for n, p, part, m in rules.REPORT if n in ("nomor_spk", "kontak_person", "telepon")])
     return work_orders(spark, d).select("doc_id", made.alias("c")).select("doc_id", "c.*")
 
 
@@ -177,6 +177,72 @@ def _category(spark, d):
     return classify.validate(docs, "expected").select("doc_id", "is_valid", "category", "parsing_status")
 
 
+_SURVEY_ROWS = (
+    ("informasi_gedung", "status_gedung", "c_mktsegment"), ("informasi_gedung", "kondisi_gedung", "'Baik'"), ("informasi_gedung", "pelanggan_fo", "NULL"), ("informasi_gedung", "email", "'c' || c_custkey || '@mail.test'"),
+    ("sarpen_ruang_server", "ups", "'Ada ' || c_custkey"), ("sarpen_ruang_server", "info_kelistrikan_pln_p_n", "'220 VAC'"), ("sarpen_ruang_server", "perangkat_pelanggan", "'Router'"),
+    ("lokasi_antena", "lokasi_antena", "c_name"), ("lokasi_antena", "tindak_lanjut", "'baru'"),
+    ("perizinan_biaya_gedung", "pic_bm", "c_name"), ("perizinan_biaya_gedung", "supervisi", "'lama'"),
+    ("perizinan_biaya_kawasan", "nama_kawasan", "'Kawasan ' || c_nationkey"), ("perizinan_biaya_kawasan", "biaya_sewa", "'0'"),
+    ("data_splitter", "id_splitter", "'SP-' || c_custkey"),
+)
+
+
+def surveys(spark, d) -> DataFrame:
+    """(doc_id, text): a survey report for each customer, with repeated labels, a label without a value and a missing section."""
+    c = catalog.table(spark, d, "customer")
+    text = F.concat(
+        F.lit("SURAT PERINTAH KERJA\nSPK SURVEY\nNomor : 1\nStatus Gedung\n"), "c_mktsegment", F.lit("\nKondisi Gedung\nBaik\nPelanggan bersedia dipasang perangkat\nEmail\nto c"), "c_custkey", F.lit("@mail.test now\nINFORMASI LOKASI ANTENA\nLokasi Antena\n"), "c_name",
+        F.lit("\nTindak Lanjut\nlama\nTindak Lanjut\nbaru\nSURVEY REPORT\nDATA PERIZINAN DAN BIAYA  YANG TIMBUL DALAM GEDUNG\nPIC BM\n"), "c_name",
+        F.lit("\nSupervisi\nlama\nSupervisi\nbaru\nINFORMASI SARPEN DAN RUANG SERVER PELANGGAN\nUPS : Ada "), "c_custkey", F.lit("\nInfo Kelistrikan (PLN P-\nN)\n220 VAC\nPerangkat Pelanggan\nRouter\nDATA PERIZINAN DAN BIAYA YANG TIMBUL DALAM KAWASAN\nNama Kawasan : Kawasan "), "c_nationkey",
+        F.lit("\nbiaya sewa\n0\nDATA KAWASAN UMUM\nDATA JALUR KABEL\nDATA SPLITTER\nID Splitter SP-"), "c_custkey", F.lit("\nDATA HH BARU\nData HH 2\nKondisi HH-2\nBaik\nFOTO LOKASI HH BARU\nData HH 9"),
+    )
+    return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+
+
+@query("record_spk_survey", "SELECT c_custkey AS doc_id, " + ", ".join(f"unnest([{', '.join(v)}]) AS {n}" for n, v in zip(("section", "key", "value"), ([f"'{a}'" for a, _, _ in _SURVEY_ROWS] + ["'hh_baru'"], [f"'{b}'" for _, b, _ in _SURVEY_ROWS] + ["'hh_2.kondisi_hh_2'"], [x for *_, x in _SURVEY_ROWS] + ["'Baik'"]), strict=True)) + " FROM customer")
+def _survey(spark, d):
+    s = surveys(spark, d).select("doc_id", fields.survey(F.col("text")).alias("s"))
+    wanted = {(a, b) for a, b, _ in _SURVEY_ROWS}
+    maps = [s.select("doc_id", F.lit(n).alias("section"), F.explode(F.col(f"s.{n}")).alias("key", "value")) for n, *_ in rules.SURVEY]
+    out = maps[0]
+    for more in maps[1:]:
+        out = out.unionByName(more)
+    # inline sections list all their labels; the others only what they hold
+    out = out.where((F.col("section") != "sarpen_ruang_server") | F.col("key").isin(*[b for a, b in wanted if a == "sarpen_ruang_server"]) | F.col("value").isNotNull())
+    hh = s.select("doc_id", F.lit("hh_baru").alias("section"), F.explode("s.hh_baru").alias("h")).select("doc_id", "section", F.concat_ws(".", "h.hh", "h.key").alias("key"), "h.value")
+    return out.unionByName(hh)
+
+
+_QUALITY_ROWS = (("Menggunakan UPS", "'Ya'", "CASE WHEN k % 2 = 0 THEN 'Ya' ELSE 'Tidak' END"), ("Ruangan Bebas Debu", "''", "''"), ("Suhu Ruangan", "'< 25 C'", "(k % 40) || ' C'"), ("Terpasang ground bar dan terhubung ke MDP pertanahan", "'Tidak'", "''"))
+
+
+@query("quality_parameters_indoor", "SELECT k AS doc_id, " + ", ".join(f"unnest([{', '.join(v)}]) AS {n}" for n, v in zip(("parameter", "standard", "existing"), ([f"'{a}'" for a, _, _ in _QUALITY_ROWS], [b for _, b, _ in _QUALITY_ROWS], [c for *_, c in _QUALITY_ROWS]), strict=True)) + " FROM (SELECT s_suppkey AS k FROM supplier)")
+def _quality_indoor(spark, d):
+    k = F.col("doc_id")
+    text = F.concat(F.lit("Menggunakan  UPS Ya "), F.when(F.pmod(k, F.lit(2)) == 0, "Ya").otherwise("Tidak"), F.lit("\nSuhu Ruangan < 25 C "), F.pmod(k, F.lit(40)), F.lit(" C\nTerpasang ground bar dan terhubung ke MDP pertanahan Tidak\n"))
+    return _numbers(spark, d).select("doc_id", F.explode(fields.quality_table(text, rules.QUALITY["sarana_penunjang"])).alias("q")).select("doc_id", "q.*")
+
+
+@query("roundtrip_inverter", "SELECT s_suppkey AS doc_id, unnest(['1.a', '2.a', '2.e', '2.b']) AS no, unnest(['Clean', (48 + s_suppkey % 8) || ',5', '30', (s_suppkey % 40) || ',0']) AS result, unnest(['Clean, No dust', '48 - 56 VDC ', '0-35 c', CASE WHEN s_suppkey % 40 <= 12 THEN '9 A' WHEN s_suppkey % 40 <= 24 THEN '16 A' ELSE '33 A' END]) AS standard, unnest(['OK', 'NOK', 'OK', 'OK']) AS status FROM supplier")
+def _inverter(spark, d):
+    k = F.col("doc_id")
+    text = F.concat(
+        F.lit("1. Physical Check\na. Environment Condition Clean Normal Clean, No dust OK\n2. Performance and Capacity Check\na. DC Input Voltage "), 48 + F.pmod(k, F.lit(8)), F.lit(",5 VDC\n48-56 VDC NOK\nb. DC Current Input *) "),
+        F.pmod(k, F.lit(40)), F.lit(",0 A 500VA 9 A OK\ne. Equipment Temperature 30 C 0 - 35 C OK\nNotes : none"),
+    )
+    made = _numbers(spark, d).select("doc_id", forms.inverter(text).alias("r"))
+    items = made.select("doc_id", F.explode(F.concat("r.physical_check", "r.performance_check")).alias("i")).select("doc_id", "i.no", "i.result", "i.standard", "i.status")
+    options = made.select("doc_id", F.col("r.dc_current_input.no").alias("no"), F.explode("r.dc_current_input.checklist").alias("o")).where("o.result <> ''")
+    return items.unionByName(options.select("doc_id", "no", "o.result", "o.standard", "o.status"))
+
+
+@query("image_labels", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(x)}, {len(rules.section_words(x))})" for t, x in rules.IMAGE_LABELS.items()) + ") AS v(document_type, n_labels, n_words)")
+def _image_labels(spark, d):
+    types = spark.createDataFrame([(t,) for t in ("SPK Survey", "spk-instalasi", "spk_dismantle", "SPK_AKTIVASI", "checklist wireline", "checklist_wireless", "form_pm_ac")], "t string").toLocalIterator()
+    rows = [(t.lower().replace(" ", "_").replace("-", "_"), len(rules.image_labels(t)), len(rules.section_words(rules.image_labels(t)))) for (t,) in types]
+    return spark.createDataFrame([r for r in rows if r[1]], "document_type string, n_labels int, n_words int")
+
+
 def pm_forms(spark, d) -> DataFrame:
     """(doc_id, text): a maintenance form for each part."""
     p = catalog.table(spark, d, "part")
@@ -614,10 +680,10 @@ def _prompt(spark, d):
     return t.select("conv_id", "turn", F.md5(conversation.prompt(F.lit("q"), F.col("text"), F.col("history"), strict=True)).alias("h"))
 
 
-@query("nearest_history_cosine", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), h AS (SELECT * FROM v ORDER BY vec_id DESC LIMIT 500), p AS (SELECT v.vec_id, h.vec_id AS m, h.label, list_cosine_similarity(v.e, h.e) AS s, row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.e, h.e) DESC, h.vec_id) AS r FROM v JOIN h ON v.vec_id <> h.vec_id WHERE v.vec_id % 10 = 0) SELECT vec_id, CASE WHEN s >= 0.4 THEN m END AS match_id, CASE WHEN s >= 0.4 THEN round(s, 6) END AS similarity FROM p WHERE r = 1")
+@query("nearest_history_cosine", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), h AS (SELECT * FROM v ORDER BY vec_id DESC LIMIT 500), p AS (SELECT v.vec_id, h.vec_id AS m, h.label, list_cosine_similarity(v.e, h.e) AS s, row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.e, h.e) DESC, h.vec_id) AS r FROM v JOIN h ON v.vec_id <> h.vec_id) SELECT vec_id, CASE WHEN s >= 0.4 THEN m END AS match_id, CASE WHEN s >= 0.4 THEN round(s, 6) END AS similarity FROM p WHERE r = 1")
 def _nearest(spark, d):
     v = catalog.table(spark, d, "embeddings")
-    out = conversation.nearest_before(v.where("vec_id % 10 = 0"), conversation.keep_last(v, "vec_id", 500), "vec_id", "embedding", "label", 0.4)
+    out = conversation.nearest_before(v, conversation.keep_last(v, "vec_id", 500), "vec_id", "embedding", "label", 0.4)
     return out.select("vec_id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 

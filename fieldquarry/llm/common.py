@@ -70,7 +70,7 @@ class Stored:
 def store(df: DataFrame, name: str) -> Stored:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 

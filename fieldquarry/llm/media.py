@@ -129,10 +129,14 @@ class Media:
 
 def read_vint(data: bytes, at: int, keep_mark: bool = False) -> tuple[int, int]:
     """(value, next position); a size of all ones is -1."""
+    if at >= len(data):
+        raise ValueError("variable-length integer behind the end")
     first = data[at]
     if not first:
         raise ValueError("variable-length integer of more than 8 bytes")
     width = 9 - first.bit_length()
+    if at + width > len(data):
+        raise ValueError("variable-length integer is cut off")
     value = int.from_bytes(data[at : at + width], "big")
     if keep_mark:
         return value, at + width
@@ -214,6 +218,14 @@ def read_block(data: bytes, at: int, end: int, base: int, number: int, scale: in
 
 
 def read_media(data: bytes) -> Media:
+    """Tracks, packets, clusters and cues of a file; ValueError where it is damaged."""
+    try:
+        return _read(data)
+    except (IndexError, struct.error) as damage:
+        raise ValueError("damaged file") from damage
+
+
+def _read(data: bytes) -> Media:
     out = Media([], [], [], [], 1_000_000, 0.0)
     number, durations = 0, {}
     for eid, a, z in elements(data, 0, len(data)):

@@ -4,7 +4,8 @@ A document is a bag of passages. Every passage of the whole text is described by
 byte-class-pair frequencies and by how repetitive it is, encoded by a tanh layer, weighted by gated
 attention (softmax of w . (tanh(V h) * sigmoid(U h))), and the weighted passage representation is
 scored by a logistic unit. Weights are learned from document labels alone, by Adam on the driver,
-over a bounded sample of labelled documents (`MAX_TRAIN`, chosen by hash order); scoring covers all.
+over a bounded sample of labelled documents (`MAX_TRAIN`, chosen by hash order, of each at most
+`MAX_PASSAGES`, so the driver's share does not grow with texts); scoring covers all.
 
 Defined cases: null and empty texts are one blank passage; null labels are not learned from; repeated
 labels count as often as they occur; without labelled rows (or with one class) the score is 0.5, or
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from fieldquarry.llm.common import small_batches, text_slices
 
-#: Bytes of a passage; labelled documents learned from, at most; passages' hidden and attention width.
-PASSAGE, MAX_TRAIN, HIDDEN, ATTENTION = 512, 2000, 24, 12
+#: Bytes of a passage; labelled documents learned from, at most; passages of each, at most (spread over the text; scoring
+#: takes all); passages' hidden and attention width.
+PASSAGE, MAX_TRAIN, MAX_PASSAGES, HIDDEN, ATTENTION = 512, 2000, 128, 24, 12
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 4e-3, 1e-4
 #: Text bytes whose features are computed at once (small enough for a CPU's cache).
 FEATURE_BYTES = 1 << 20
@@ -116,6 +118,22 @@ def _forward(w: dict, x: np.ndarray, n: np.ndarray):
     return _sigmoid(z @ w["c"] + w["d"]), xn, h, t, g, a, z
 
 
+def gradient(w: dict, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss over bags (n passages each, labels y), by weight."""
+    p, xn, h, t, g, a, z = _forward(w, x, n)
+    dlogit = (p - y) / len(y)
+    dzr = np.repeat(np.outer(dlogit, w["c"]), n, axis=0)
+    dh = dzr * a[:, None]
+    da = (dzr * h).sum(1)
+    starts = np.cumsum(n) - n
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts), n))
+    dtg = np.outer(de, w["w"])
+    dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+    dh += dt @ w["V"].T + dg @ w["U"].T
+    dpre = dh * (1 - h * h)
+    return {"W": xn.T @ dpre, "b": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dlogit, "d": np.array([dlogit.sum()])}
+
+
 def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     if len(y) == 0 or y.min() == y.max():
         return Model({}, float(y.mean()) if len(y) else 0.5)
@@ -132,19 +150,7 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
             bags = order[i : i + BATCH]
             rows = np.concatenate([np.arange(starts[b], starts[b] + n[b]) for b in bags])
             nb, yb = n[bags], y[bags]
-            p, xn, h, t, g, a, z = _forward(w, x[rows], nb)
-            dlogit = (p - yb) / len(yb)
-            dz = np.outer(dlogit, w["c"])
-            dzr = np.repeat(dz, nb, axis=0)
-            dh = dzr * a[:, None]
-            da = (dzr * h).sum(1)
-            sb = np.cumsum(nb) - nb
-            de = a * (da - np.repeat(np.add.reduceat(a * da, sb), nb))
-            dtg = np.outer(de, w["w"])
-            dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            dh += dt @ w["V"].T + dg @ w["U"].T
-            dpre = dh * (1 - h * h)
-            grad = {"W": xn.T @ dpre, "b": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dlogit, "d": np.array([dlogit.sum()])}
+            grad = gradient(w, x[rows], nb, yb)
             step += 1
             for k, gk in grad.items():
                 gk = gk + DECAY * w[k]
@@ -157,8 +163,8 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
 def _featurise(batches):
     for labels, texts in text_slices(batches, "label", limit=FEATURE_BYTES):
         x, n = passage_features(texts)
-        cut = np.cumsum(n)[:-1]
-        yield pa.RecordBatch.from_arrays([labels, pa.array([part.astype(np.float16).tobytes() for part in np.split(x, cut)], pa.binary())], ["label", "x"])
+        bags = [part if len(part) <= MAX_PASSAGES else part[np.linspace(0, len(part) - 1, MAX_PASSAGES).astype(int)] for part in np.split(x, np.cumsum(n)[:-1])]
+        yield pa.RecordBatch.from_arrays([labels, pa.array([part.astype(np.float16).tobytes() for part in bags], pa.binary())], ["label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:

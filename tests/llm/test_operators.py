@@ -595,3 +595,242 @@ def test_expected_uses_against_enumeration():
     got, apart = lattice.expected(pa.array(words, pa.large_string()), weights)
     assert len(apart) == 0
     assert {n: round(float(g), 9) for n, g in zip(lattice.names, got) if g > 1e-12} == {n: round(v, 9) for n, v in want.items() if v > 1e-12}
+
+
+# ---- cases found later ---------------------------------------------------------------------------
+def test_mix_takes_rows_without_id_at_the_cut(spark):
+    rows = [(None, "w " * 5, "a"), (9063, "w " * 5, "a"), (2_000_000, "w " * 5, "b")]
+    for copies in (1, 2, 3):
+        out = mixing.mix(docs_of(spark, rows), F.array("source"), mixing.cycle_weights, copies=copies).collect()
+        assert len(out) == 3 and all(r.taken is not None and 0 <= r.taken <= copies * r.size for r in out)
+
+
+def test_mix_routes_meet_quotas(spark):
+    rows = [(i, "w " * 10, m) for i, m in enumerate([["a"], ["a", "b"], ["b", "c"], ["c"]] * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m array<string>")
+    slim = df.select(F.col("m").alias("m_members"), mixing.pattern_of(F.col("m")).alias("m_pattern"), mixing.seeded_key(F.col("doc_id"), "mix").alias("m_key"), "doc_id", F.lit(10).cast("long").alias("size"))
+    plan = mixing.plan_mix(slim, lambda sources: [1.0, 2.0, 1.0], 3, 1.0)
+    sent = collections.Counter()
+    for _, source, words in plan.routes():
+        sent[source] += words
+    assert plan.sources == ["a", "b", "c"] and [sent[s] for s in plan.sources] == [round(t) for t in plan.targets]
+    assert {p: sum(w for q, _, w in plan.routes() if q == p) for p, *_ in plan.routes()} == {r[0]: sum(f.values()) for r, f in zip(plan.rows, plan.flows) if f}
+
+
+def test_flow_with_many_patterns():
+    random.seed(4)
+    patterns = [(p, random.randint(1, 10**6)) for p in sorted({tuple(sorted(random.sample(range(40), random.randint(1, 4)))) for _ in range(3000)})]
+    total = sum(w for _, w in patterns)
+    quotas = [total * (1 + i % 3) // 80 for i in range(40)]
+    sent = mixing.min_cost_flow(patterns, quotas, 3)
+    assert [sum(f.get(s, 0) for f in sent) for s in range(40)] == quotas
+    assert all(sum(f.values()) <= 3 * w for f, (_, w) in zip(sent, patterns))
+
+
+def test_vectors_that_share_an_id_are_nodes_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (5, [0.0, 1.0]), (None, [0.01, 1.0]), (7, [-1.0, 0.0])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in hnsw.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (1, 1, 1), (5, 1, 5), (7, 0, 7)]
+
+
+def test_links_of_a_large_group_in_bounded_steps():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.01, rng.normal(size=(300, 16))])
+    graph = hnsw.build(hnsw.unit(v), np.arange(1200))
+    shard = pa.table({"nodes": pa.array([np.arange(1200).tobytes()], pa.binary()), "copies": pa.array([np.ones(1200, np.int64).tobytes()], pa.binary()), "graph": pa.array([graph.dump()], pa.binary())})
+    out = hnsw._link(0.95)(shard, pa.table({"node": np.arange(1200), "embedding": list(v)})).to_pylist()
+    x = hnsw.unit(v)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    audit = [r for r in out if r["node"] is None]
+    assert {r["node"]: r["n"] for r in out if r["node"] is not None} == {i: n for i, n in enumerate(want.tolist()) if n}
+    assert len(audit) == 1 and audit[0]["found"] >= 0.995 * audit[0]["sampled"] > 0
+
+
+def test_document_scores_are_plain_sums(spark, texts):
+    path = P.path("piece_bpe_32k.model")
+    rows = [(r[0], r[1]) for r in texts if r[0] not in (45,)] + [(900, "ab" * 40 + " tail"), (900, "ab" * 40 + " tail")]
+    df = docs_of(spark, rows)
+    out = lm.score_documents(df, path, F.lit(True)).collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(i for i, _ in rows)
+    # the model again, from the plain counts: first segmentation, then expectations word by word
+    import sentencepiece
+
+    counts = collections.Counter(w for _, t in rows for w in WORD.findall((t or "").translate(LOWER)))
+    vocabulary = lm.Vocabulary.load(path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    uses = collections.Counter()
+    for w, c in counts.items():
+        for piece in sp.encode(w):
+            uses[piece] += c
+    lattice = lm._estimate(vocabulary, uses, len(rows))
+    for _ in range(lm.EM_ROUNDS):
+        place = {n: i for i, n in enumerate(vocabulary.pieces)}
+        total = np.zeros(len(lattice.values))
+        for w, c in counts.items():
+            lattice._expected_one(lm.MARK + w, float(c), total)
+        lattice = lm._estimate(vocabulary, {place[n]: u for n, u in zip(lattice.names, total[:-1]) if u}, len(rows))
+    want = {(i, t): lattice.end + sum(plain_lattice(lattice, w) for w in WORD.findall((t or "").translate(LOWER))) for i, t in rows}
+    got = collections.defaultdict(list)
+    for r in out:
+        got[r.doc_id].append(r.score)
+    for (i, _), score in want.items():
+        assert any(abs(s - score) < 1e-6 for s in got[i])
+
+
+def test_long_words_count_in_expectation():
+    lattice = lm._estimate(lm.Vocabulary.load(P.path("piece_bpe_32k.model")), {}, 5)
+    word = "thequickbrownfox" * 3
+    one = np.zeros(len(lattice.values))
+    lattice._expected_one(lm.MARK + word, 2.0, one)
+    uses, none = lattice.expected(pa.array([word, "the"], pa.large_string()), np.array([2, 1]))
+    short, _ = lattice.expected(pa.array(["the"], pa.large_string()), np.array([1]))
+    assert len(none) == 0 and np.allclose(uses, one[:-1] + short)
+    assert sum(len(n) * u for n, u in zip(lattice.names, one)) == pytest.approx(2.0 * (len(word) + 1))
+
+
+def test_masks_in_chunks(spark):
+    random.seed(9)
+    texts = ["", "plain", "token=abcdefgh", "token=deadbeef" * 3 + "0123456789abcdef" * 2]
+    for gap in (4080, 4095, 4096, 4097, 8192, 20_000):
+        texts.append("é" * gap + " secret=q" + str(gap) + "zzzzz " + "x " * gap + "AKIA" + "Z" * 12 + str(10_000 + gap) + " 😀" * random.randint(0, 9))
+    rows = [(i, t, f"o{i}") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in secrets.mask_live_secrets(docs_of(spark, rows)).collect()}
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for _, a, z in (x.split(":") for x in plain_spans(text).split(",") if x):
+            if int(a) >= at:
+                out += text[at : int(a)] + "[SECRET]"
+            at = max(at, int(z))
+        assert got[i] == out + text[at:]
+
+
+def test_many_secrets_in_one_text(spark):
+    values = [f"{i:024x}" for i in range(20_000)]
+    text = " ".join(values)
+    got = secrets.scan_secrets(docs_of(spark, [(1, text, "a")])).collect()[0].spans
+    assert len(got) == len(values) and [(s.start, s.stop) for s in got[:2]] == [(0, 24), (25, 49)]
+    masked = secrets.mask_live_secrets(docs_of(spark, [(1, text, "a")])).collect()[0].text
+    assert masked == " ".join(["[SECRET]"] * len(values))
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "pqr"]
+    rows = [(1, long[0]), (1, long[1]), (2, long[0]), (3, long[1]), (3, long[1]), (4, long[2]), (5, ""), (5, ""), (6, None)]
+    got = collections.Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 2, (4, 4): 1, (5, 5): 2, (6, 6): 1}
+    kept = sorted((r.doc_id, r.text or "") for r in neardup.drop_near_duplicates(docs_of(spark, rows)).collect())
+    assert kept == sorted([(1, long[0]), (1, long[1]), (4, long[2]), (5, ""), (6, "")])
+
+
+def test_hot_bucket_with_few_strangers(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    random.seed(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # a chain of drifting copies around one text
+        w = list(base)
+        for _ in range(i % 6):
+            w[random.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * sum((sets[a] & sets[b]).values()) >= 4 * sum((sets[a] | sets[b]).values())]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == components(sets, links)
+
+
+def test_no_tables_are_left_but_results(spark, texts):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    neardup.near_duplicates(docs_of(spark, texts[:20])).count()
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert left == {"classes"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bins_are_optimal_on_small_cases(seed):
+    random.seed(seed)
+    for _ in range(150):
+        capacity = random.randint(8, 40)
+        sizes = [random.randint(1, capacity) for _ in range(random.randint(1, 9))]
+        assert packing.complete_bins(dict(collections.Counter(sizes)), capacity)[1] == least_bins_plain(sizes, capacity)
+    sizes = [736, 907, 1167, 1331, 1366, 1425, 1499, 1627, 1644, 1652, 1687, 1719, 1764, 1817, 1832, 2001, 2114]
+    assert packing.complete_bins(dict(collections.Counter(sizes)), 4096)[1] == 7
+
+
+def test_units_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own = packing.WordIds(Tokenizer.from_file(P.path("word_bpe_49k.json")))
+    random.seed(5)
+    alphabet = [*"abAB09'.,<|>-_ \t\n\x00\x1c\x7f", *"éÉßİıǅﬁ中文ΩςΣ½²😀가", "\u0301", "\xa0", "\u2003", "\x85", "\u200b", "'s", "'LL", "<|endoftext|>", "\ufeff"]
+    for _ in range(400):
+        texts = ["".join(random.choices(alphabet, k=random.randint(0, 14))) for _ in range(random.randint(1, 4))]
+        ids, n = own.ids(pa.array(texts, pa.large_string()))
+        assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_text_in_runs(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "SLICE_TEXT", 200)
+    text = "Some words, 12 of them; don't stop Größe. " * 60
+    run = packing._pieces_of(path, 64, 1, True)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "x"])], ["doc_id", "text"])
+    got = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    ids = [x for r in got if r["doc_id"] == 1 for x in r["ids"]]
+    assert ids == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+    assert collections.Counter(r["length"] for r in got) == collections.Counter(len(r["ids"]) for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["length"]].append(r["own"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(2)
+    n = np.array([3, 1, 4, 2])
+    x, y = rng.normal(size=(10, 6)), np.array([1.0, 0.0, 0.0, 1.0])
+    w = {"mean": np.zeros(6), "scale": np.ones(6), "W": rng.normal(size=(6, 5)), "b": rng.normal(size=5), "V": rng.normal(size=(5, 3)), "U": rng.normal(size=(5, 3)), "w": rng.normal(size=3), "c": rng.normal(size=5), "d": np.zeros(1)}
+
+    def plain(w):  # an independent forward pass, bag by bag
+        out, at = [], 0
+        for k in n:
+            h = np.tanh((x[at : at + k] - w["mean"]) * w["scale"] @ w["W"] + w["b"])
+            e = (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["w"]
+            a = np.exp(e) / np.exp(e).sum()
+            out.append(float(1 / (1 + np.exp(-((a[:, None] * h).sum(0) @ w["c"] + w["d"][0])))))
+            at += k
+        return np.array(out)
+
+    assert np.allclose(quality._forward(w, x, n)[0], plain(w))
+    loss = lambda w: -np.mean(y * np.log(plain(w)) + (1 - y) * np.log(1 - plain(w)))
+    grad = quality.gradient(w, x, n, y)
+    for k, g in grad.items():
+        for at in itertools.islice(np.ndindex(w[k].shape), 6):
+            up, down = {**w, k: w[k].copy()}, {**w, k: w[k].copy()}
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert g[at] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("cut", [1, 5, 30, 41, 60, 90])
+def test_damaged_media(cut):
+    whole = media.write_pcm(bytes(range(64)) * 4)
+    with pytest.raises(ValueError):
+        media.read_media(whole[: len(whole) - cut])
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import joined, runs_of, small_batches, store, text_slices, tidy, worker_kept
+from fieldquarry.llm.common import give_back, joined, runs_of, small_batches, store, text_slices, tidy, worker_kept
 
 CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried after the first step back.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
 #: Bytes of a worker's cache; units encoded and bytes of text taken at once; rows of the table of ranks that may be broadcast.
-CACHE_BYTES, ENCODE_WORDS, SLICE_TEXT, BROADCAST_ROWS = 24 << 20, 4000, 2 << 20, 400_000
+CACHE_BYTES, ENCODE_WORDS, SLICE_TEXT, BROADCAST_ROWS = 16 << 20, 4000, 2 << 20, 400_000
 
 
 # ---- bin completion -----------------------------------------------------------------------------
@@ -357,7 +357,8 @@ def _pieces_of(path: str, capacity: int, end_id: int, keep_ids: bool):
         from tokenizers import Tokenizer
 
         model = worker_kept(("tokenizer", path), lambda: Tokenizer.from_file(path))
-        ids_of = worker_kept(("unit ids", path), lambda: WordIds(model)) if WordIds.fits(model) else None
+        ids_of = worker_kept(("unit ids", path), lambda: WordIds(model) if WordIds.fits(model) else None)
+        give_back()  # what reading the model's file took
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length that this task has made
         for doc_ids, texts in text_slices(joined(batches, SLICE_TEXT), limit=SLICE_TEXT):
             bare, of_row = encode(model, ids_of, texts)

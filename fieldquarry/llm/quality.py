@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import small_batches, text_slices
+from fieldquarry.llm.common import small_batches, text_slices, tidy
 
 #: Bytes of a passage; labelled documents learned from, at most; passages of each, at most (spread over the text; scoring
 #: takes all); passages' hidden and attention width.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = lab.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label").limit(max_train)
     bags = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "doc_id").select("doc_id", "label", "text")
     bags = bags.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label", F.xxhash64("text")).limit(max_train)
-    rows = bags.select("label", "text").mapInArrow(_featurise, "label int, x binary").collect()
+    rows = bags.select("label", "text").mapInArrow(tidy(_featurise), "label int, x binary").collect()
     xs = [np.frombuffer(r.x, dtype=np.float16).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(xs).astype(np.float32) if xs else np.zeros((0, N_FEATURES), np.float32)
     return train(x, np.array([len(v) for v in xs], dtype=np.int64), np.array([r.label for r in rows], dtype=np.float64))
@@ -191,7 +191,7 @@ def _scorer(model: Model):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text."""
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scorer(model), "doc_id long, score double")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_scorer(model)), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -202,7 +202,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             marks = [model.score(*passage_features(t)) >= threshold for _, t in text_slices([b], text_col, text_col, limit=FEATURE_BYTES)]
             yield b.filter(pa.array(np.concatenate(marks))) if marks else b
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id):

@@ -14,9 +14,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 where either vector is zero, null where lengths differ."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm: Column | None = None) -> Column:
+    """0 where either vector is zero, null where sizes differ; norm: the product of their lengths, if known."""
+    norm = length(a) * length(b) if norm is None else norm
     return F.when(F.size(a) == F.size(b), F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldquarry.functions.similarity import cosine
+from fieldquarry.functions.similarity import cosine, length
 from fieldquarry.operators.rules import COUNT_TRACES
 
 
@@ -66,9 +66,10 @@ def nearest_before(queries: DataFrame, history: DataFrame, id_col: str, vector_c
     Of history the newest `most` entries count (the feature's capacity), which bounds what is broadcast.
     The earliest of equals counts.
     """
-    h = keep_last(history, id_col, most).select(F.col(id_col).alias("h_id"), F.col(vector_col).alias("h_vec"), F.col(payload).alias("h_payload"))
-    pairs = queries.join(F.broadcast(h), F.lit(True)).where(F.col(id_col) != F.col("h_id"))
-    pairs = pairs.withColumn("similarity", cosine(F.col(vector_col), F.col("h_vec")))
+    h = keep_last(history, id_col, most).select(F.col(id_col).alias("h_id"), F.col(vector_col).alias("h_vec"), F.col(payload).alias("h_payload"), length(F.col(vector_col)).alias("h_length"))
+    asked = queries.select(id_col, vector_col, length(F.col(vector_col)).alias("q_length"))  # once a row, not once a pair
+    pairs = asked.join(F.broadcast(h), F.lit(True)).where(F.col(id_col) != F.col("h_id"))
+    pairs = pairs.withColumn("similarity", cosine(F.col(vector_col), F.col("h_vec"), F.col("q_length") * F.col("h_length")))
     best = pairs.groupBy(id_col).agg(F.max(F.struct("similarity", (-F.col("h_id")).alias("neg"), "h_payload")).alias("b"))
     good = F.col("b.similarity") >= threshold
     return best.select(id_col, F.when(good, -F.col("b.neg")).alias("match_id"), F.when(good, F.col("b.similarity")).alias("similarity"), F.when(good, F.col("b.h_payload")).alias(payload))

@@ -140,6 +140,26 @@ def relative_path(path: Column, base: str) -> Column:
     return F.regexp_replace(F.translate(path, "\\", "/"), "^" + base.rstrip("/").replace(".", r"\.") + "/", "")
 
 
+#: A JSON member whose key tells of a path, with its text value.
+PATH_MEMBER = r'(?<!\\)"(?:[^"\\]*(?:patch_foto|(?i:path))[^"\\]*)"\s*:\s*"(?:[^"\\]++|\\.)*+"'
+
+
+def relative_paths(json: Column, base: str) -> Column:
+    """JSON with every path below base made relative, at any depth: text values of keys with 'path' or 'patch_foto'.
+
+    Such values get forward slashes; those elsewhere keep their place. Other members stay as they are.
+    """
+    plain = base.replace("\\", "/").rstrip("/")
+
+    def one(member: Column) -> Column:
+        value = F.regexp_replace(F.regexp_extract(member, r'(?s)\A"[^"]*"\s*:\s*"(.*)"\z', 1), r"\\\\|\\/", "/")
+        inside = F.startswith(value, lit(plain + "/"))
+        return F.concat(F.regexp_extract(member, r'(?s)\A("[^"]*"\s*:\s*")', 1), F.when(inside, F.substring(value, lit(len(plain) + 2), F.length(value))).otherwise(value), lit('"'))
+
+    members = F.concat(F.transform(F.regexp_extract_all(json, lit(PATH_MEMBER), lit(0)), one), F.array(lit("")))
+    return F.array_join(F.zip_with(F.split(json, PATH_MEMBER, -1), members, lambda a, b: F.concat(a, F.coalesce(b, lit("")))), "")
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 

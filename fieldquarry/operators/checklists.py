@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fieldquarry.functions import text as T
-from fieldquarry.operators.fields import cut_at_labels
+from fieldquarry.operators import rules
+from fieldquarry.operators.fields import cut_at_labels, section_by_keywords
 
 # Labels of the remote-data block, clock fields in order, line items, quality parameters.
 REMOTE = (
@@ -65,8 +66,9 @@ def location(text: Column) -> Column:
 
 
 def voltage_row(text: Column, label: str) -> Column:
-    """struct<pln, ups, it> of a labelled row: three readings, else as many as there are; '.' is none."""
-    line = T.found(text, rf"(?i){label}\s+(.+?)(?=\n|P-[NG]|N-G|Grounding|\z)")
+    """struct<pln, ups, it> of a labelled row: three readings, over lines too, else as many as the line holds; '.' is none."""
+    three = T.found(text, rf"(?i)({label}(?:\s+[\d.]+\s*VAC){{3}})")
+    line = F.coalesce(three, T.found(text, rf"(?i){label}\s+(.+?)(?=\n|P-[NG]|N-G|Grounding|\z)"))
     got = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r"(?i)([\d.]+)\s*VAC"), F.lit(1))
     one = lambda i: F.coalesce(F.when(F.get(got, F.lit(i)) != ".", F.concat(F.get(got, F.lit(i)), F.lit(" VAC"))), F.lit(""))
     return F.struct(*[one(i).alias(n) for i, n in enumerate(("pln", "ups", "it"))])
@@ -105,6 +107,85 @@ def quality_row(text: Column, label: str, labels: tuple[str, ...] = (), ahead: i
     return F.when(~F.lower(good).isin(*[x.lower() for x in labels]), good) if labels else good
 
 
+#: The indoor checklist's heading as it is read (a letter lost, blanks lost), the strict one first.
+INDOOR_STARTS = (r"I?ND[O0]{2}R\s*AREA\s*CHECKLIST", r"I?ND[O0]{2}R.*?CHECKLIST")
+ROW = ("standard", "nms_engineer", "on_site_teknisi", "perbaikan", "hasil_akhir")
+
+
+def _label(label: str) -> str:
+    """A row's label: blanks vary, '/' and '-' may be lost."""
+    return r"\s+".join("".join(f"[{c}]?" if c in "/-" else c for c in w) for w in label.split())
+
+
+def _row_value(section: Column, label: str) -> Column:
+    """The first of the five lines behind a label that is neither noise nor another row's label."""
+    tail = F.regexp_replace(T.found(section, rf"(?is){label}(.{{0,400}})"), r"\A\s+", "")
+    lines = F.slice(T.lines_of(F.coalesce(tail, F.lit("")), keep_blank=True), 1, 5)
+    noise = "|".join([r"\s*".join(w if w.isalpha() else rf"\Q{w}\E" for w in n.split()) for n in rules.INDOOR_NOISE] + [r"\d+\.\s*\z", r"quality\s*\z", r"\d{3}/"])
+    words = "|".join(w.replace(" ", r"\s+") for w in rules.INDOOR_WORDS)
+    labels = "|".join(_label(n) for _, n in rules.INDOOR)
+    skip = rf"(?i)\A(?:{noise}|{labels})|\b(?:{words}|(?:td|rd|rts|cts)/?(?:txd|rxd))\b"
+    return F.coalesce(F.get(F.filter(lines, lambda x: (x != "") & ~F.rlike(x, F.lit(skip))), F.lit(0)), F.lit(""))
+
+
+def indoor(text: Column) -> Column:
+    """array<struct<bagian, parameter, standard, nms_engineer, on_site_teknisi, perbaikan, hasil_akhir>> of the text layer.
+
+    An entry for every row, '' for what is not found; an empty array without the section. Rows whose
+    values hold other rows' words (a modem's quality, speeds, ranges in ohm) have patterns of their own.
+    """
+    section = section_by_keywords(T.clean_checklist(text), tuple(rf"({p}.*?)(?=OUTDOOR|LINE\s*CHECKLIST|KESIMPULAN|\z)" for p in INDOOR_STARTS), rules.INDOOR_KEYWORDS)
+    return F.coalesce(T.let(section, lambda s: F.when(s.isNotNull(), _indoor_rows(s))), F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in ("bagian", "parameter", *ROW)) + ">>"))
+
+
+def _indoor_rows(section: Column) -> Column:
+    ohm = lambda low, high, area: T.found(meter, rf"(?i)({low}[-–]\s*{high}\s*[ΩΩ]\s*\([^)]*(?:{area})[^)]*\))")
+    meter = F.coalesce(T.found(section, r"(?is)by\s+AVO\s+Meter\)(.*?)(?=OUTDOOR|LINE|KESIMPULAN|\z)"), section)
+    link = _label("109/DCD/LINK-WAN")
+    quality = T.found(section, r"(?i)All\s+STU\s+Modem\s+(Quality\s+A)")
+    counter = T.found(section, r"(?i)All\s+STU\s+Modem\s+Quality\s+A\s*(No\s+Counter\s+CRC\s+Error)")
+    speed = r"(?i)Tainet\s+Scorpio\s+(Connected\s+xxx\s+KBps)\s+(Connected\s+KBps)"
+    value = lambda part, label: _row_value(meter if part == "lc_signal_avo" else section, _label(label) + (r"(?!\s+Scorpio)" if label == "Tainet" else ""))
+    own = {name: value(*name) for name in rules.INDOOR}
+    text_or = lambda name, special: F.coalesce(special, own[name])
+    on_site, engineer = {}, {}
+    dcd = ("indikator_modem", "109/DCD/LINK-WAN")
+    state = F.upper(F.coalesce(T.found(section, rf"(?i){link}\s*\n\s*(ON|OFF)\b"), T.found(section, rf"(?i)Modem\s+(ON|OFF)\s+{link}")))
+    own[dcd] = F.coalesce(F.when(own[dcd] != "", own[dcd]), state, F.lit(""))
+    stu = ("merek", "All STU Modem")
+    own[stu] = F.coalesce(F.concat_ws(" ", F.when(counter.isNotNull(), quality), counter), F.lit(""))
+    own[stu] = F.when(own[stu] != "", own[stu]).otherwise(F.coalesce(F.when(value(*stu) != "", value(*stu)), quality, F.lit("")))
+    tainet = ("merek", "Tainet Scorpio")
+    own[tainet], on_site[tainet] = text_or(tainet, T.found(section, speed, 1)), F.regexp_replace(T.found(section, speed, 2), r"\s+", " ")
+    for name, special in ((("lc_signal_avo", "STU 1088/2304"), ohm(400, 700, "Tlkm|Area")), (("lc_signal_avo", "Tainet"), ohm(50, 200, "HRB|Area"))):
+        engineer[name] = F.when(special.isNotNull(), "Ω")
+        own[name] = F.coalesce(special, F.lit("")) if name[1] != "Tainet" else text_or(name, special)
+    express = ("lc_signal_avo", "Adtran Express")
+    volts = T.found(F.translate(meter, "\n", " "), r"(?i)(48[-–]50\s+VDc\s+\(QUAD\s+CES\s+SHDSL\))")
+    own[express] = F.coalesce(volts, T.strip(F.translate(own[express], "Ω", "")))
+    blank = F.lit("")
+    made = [
+        F.struct(
+            F.lit(part).alias("bagian"), F.lit(label).alias("parameter"), F.regexp_replace(own[part, label], r"\s+", " ").alias("standard"), F.coalesce(engineer.get((part, label), blank), blank).alias("nms_engineer"),
+            F.coalesce(on_site.get((part, label), blank), blank).alias("on_site_teknisi"), blank.alias("perbaikan"), blank.alias("hasil_akhir"),
+        )
+        for part, label in rules.INDOOR
+    ]
+    return F.array(*made)
+
+
+def prefer_bands(rows: DataFrame, bands: DataFrame, label: str, columns: dict[str, str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows whose values come from OCR bands (layout.row_band) where these hold a standard, else from the text.
+
+    columns: a row's column to the band's column it takes. Labels meet without case; of several bands
+    of one label the least (by its values) counts. Null labels and keys meet none.
+    """
+    names = [n for n in bands.columns if n not in (*keys, "label")]
+    found = bands.where("standard IS NOT NULL").groupBy(*keys, F.lower("label").alias("__label")).agg(F.min(F.struct(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names])).alias("__band"))
+    both = rows.withColumn("__label", F.lower(F.col(label))).join(found, [*keys, "__label"], "left")
+    return both.withColumns({c: F.when(F.col("__band").isNotNull(), F.col(f"__band.{b}")).otherwise(F.col(c)) for c, b in columns.items()}).select(*rows.columns)
+
+
 def line_items(text: Column) -> Column:
     """array<struct<bagian, item, value>> of the line checklist, group by group."""
     made = [T.let(F.coalesce(T.found(text, rf"(?is){start}(.*?)(?={end}|\z)"), F.lit("")), _group_items(group, items)) for group, (start, end, items) in LINE_GROUPS.items()]

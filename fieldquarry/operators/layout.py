@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldquarry.functions import text as T
+
 DOC = ("doc_id",)
 
 
@@ -15,13 +17,34 @@ def rectangle(bbox: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+#: Shapes of OCR results: parallel lists under these names (each with its older one), alone or first in a list.
+LISTS = "struct<rec_texts:array<string>,rec_text:array<string>,rec_scores:array<double>,rec_score:array<double>,dt_polys:array<array<array<double>>>,rec_polys:array<array<array<double>>>>"
+LINES = "array<array<array<string>>>"
+
+
 def decode_tokens(results: DataFrame, json_col: str = "result") -> DataFrame:
-    """OCR result JSON (parallel lists) as token rows; tokens without text or box go."""
-    schema = "struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<array<array<double>>>>"
-    r = results.withColumn("r", F.from_json(json_col, schema))
-    zipped = F.arrays_zip(F.col("r.rec_texts").alias("text"), F.col("r.rec_scores").alias("score"), F.col("r.rec_polys").alias("bbox"))
-    rows = r.select(*[c for c in results.columns if c != json_col], F.posexplode(zipped).alias("idx", "t")).select("*", "t.*").drop("t")
-    rows = rows.where("text <> '' AND bbox IS NOT NULL AND size(bbox) >= 3")
+    """OCR result JSON as token rows: idx, text, score, bbox, y, x.
+
+    Takes an object of parallel lists, a list that begins with one, or the old form, a list of lines
+    [box, [text, score]] or [box, text] in a list. Tokens without text or a box of four corners go; a missing
+    score is 1; null, empty and broken results have no tokens.
+    """
+    own, token = F.col(json_col), "array<struct<text:string,score:double,bbox:array<array<double>>>>"
+    one = F.coalesce(F.get(F.from_json(F.when(F.rlike(own, F.lit(r"\A\s*\[\s*\{")), own), f"array<{LISTS}>"), F.lit(0)), F.from_json(F.when(F.rlike(own, F.lit(r"\A\s*\{")), own), LISTS))
+
+    def lists(r: Column) -> Column:
+        texts, scores, boxes = F.coalesce(r["rec_texts"], r["rec_text"]), F.coalesce(r["rec_scores"], r["rec_score"]), F.coalesce(r["dt_polys"], r["rec_polys"])
+        return F.transform(texts, lambda t, i: F.struct(t.alias("text"), F.coalesce(F.get(scores, i), F.lit(1.0)).alias("score"), F.get(boxes, i).alias("bbox")))
+
+    def line(x: Column) -> Column:
+        said = F.get(x, F.lit(1))
+        pair = F.from_json(F.when(F.startswith(said, F.lit("[")), said), "array<string>")
+        return F.struct(F.coalesce(F.get(pair, F.lit(0)), said).alias("text"), F.coalesce(F.get(pair, F.lit(1)).try_cast("double"), F.lit(1.0)).alias("score"), F.from_json(F.get(x, F.lit(0)), "array<array<double>>").alias("bbox"))
+
+    old = F.get(F.from_json(F.when(F.rlike(own, F.lit(r"\A\s*\[\s*\[")), own), LINES), F.lit(0))
+    made = F.coalesce(T.let(one, lists), F.transform(old, line)).cast(token)
+    rows = results.withColumn("__tokens", made).select(*[c for c in results.columns if c != json_col], F.posexplode("__tokens").alias("idx", "__t")).select("*", "__t.*").drop("__t")
+    rows = rows.where("text <> '' AND bbox IS NOT NULL AND size(bbox) >= 4")
     return rows.withColumns({"y": (F.col("bbox")[0][1] + F.col("bbox")[2][1]) / 2, "x": F.col("bbox")[0][0]})
 
 

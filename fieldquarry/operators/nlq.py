@@ -22,6 +22,11 @@ def order_of(text: Column) -> Column:
     return T.found(text, ORDER)
 
 
+def asked_order_of(text: Column) -> Column:
+    """The order behind the word 'spk' ('no spk', 'nomor spk'), else the first one."""
+    return F.coalesce(T.found(text, r"(?i)spk\s+" + ORDER), order_of(text))
+
+
 def customer_of(text: Column) -> Column:
     return T.strip(T.found(text, CUSTOMER))
 
@@ -29,7 +34,7 @@ def customer_of(text: Column) -> Column:
 def intent(question: Column, ctx_network: Column, ctx_order: Column, last_was_count: Column) -> Column:
     """struct<type, strategy, confidence, rule>: the first rule that holds."""
     q = F.lower(F.trim(question))
-    own_network, own_order = network_of(q), order_of(question)
+    own_network, own_order = network_of(q), asked_order_of(question)
     n, s = F.coalesce(own_network, ctx_network).isNotNull(), F.coalesce(own_order, ctx_order).isNotNull()
     x = own_network.isNotNull() | own_order.isNotNull()
     words = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))

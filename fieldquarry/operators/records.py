@@ -37,7 +37,7 @@ def _checklist(kind: str) -> Callable[[Column], Column]:
         common = [checklists.remote_data(text).alias("data_remote"), checklists.clocks(text).alias("pelaksanaan"), fields.devices(text, pattern).alias("data_perangkat")]
         if kind == "wireless":
             return F.struct(*common, fields.voltage_table(text).alias("tegangan"), fields.quality_pair(text, "RSL").alias("rsl"), F.struct(*[fields.quality_table(text, t).alias(n) for n, t in rules.QUALITY.items()]).alias("quality_parameter"))
-        return F.struct(*common, checklists.location(text).alias("data_lokasi"), checklists.electrical(text).alias("electrical"), checklists.environment(text).alias("environment"), checklists.line_items(text).alias("line_checklist"))
+        return F.struct(*common, checklists.location(text).alias("data_lokasi"), checklists.electrical(text).alias("electrical"), checklists.environment(text).alias("environment"), checklists.indoor(text).alias("indoor_area"), checklists.line_items(text).alias("line_checklist"))
 
     return made
 
@@ -63,9 +63,11 @@ _PERFORMANCE = ("performance_measurement", _items(r"2\.\s*Performance", r"(?:3\.
 PARSERS: dict[str, Callable[[Column], Column]] = {
     "spk_survey": _survey, "spk_instalasi": _order, "spk_aktivasi": _order, "spk_dismantle": _dismantle,
     "checklist_wireless": _checklist("wireless"), "checklist_wireline": _checklist("wireline"),
-    **{f"form_pm_{n}": _form(_PHYSICAL, _PERFORMANCE) for n in ("rectifier", "ruang_shelter", "petir_grounding", "instalasi_kabel", "pole_tower")},
+    **{f"form_pm_{n}": _form(_PHYSICAL, _PERFORMANCE) for n in ("petir_grounding", "instalasi_kabel", "pole_tower")},
+    "form_pm_rectifier": _form(("rectifier", forms.rectifier)),
+    "form_pm_ruang_shelter": _form(("shelter", forms.shelter)),
     "form_pm_inverter": _form(("inverter", forms.inverter)),
-    "form_pm_ac": _form(_PHYSICAL, ("psi_pressure", forms.pressure), ("output_temperature", forms.output_temperature)),
+    "form_pm_ac": _form(("air_conditioner", forms.air_conditioner)),
     "form_pm_battery": _form(("battery_banks", forms.battery_banks)),
     "form_pm_dokumentasi_perangkat": _form(("inventory", forms.inventory)),
     "form_pm_1phase_ups": _form(("checklist_items", lambda t: forms.ups_template())),

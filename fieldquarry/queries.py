@@ -236,6 +236,46 @@ def _inverter(spark, d):
     return items.unionByName(options.select("doc_id", "no", "o.result", "o.standard", "o.status"))
 
 
+_FORM = "WITH f AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS third, (s_suppkey % 80) || ',5' AS amps, s_suppkey % 80 + 0.5 AS a FROM supplier)"
+
+
+@query("roundtrip_rectifier", f"{_FORM} SELECT k AS doc_id, unnest(['1.a', '1.d', '2.a', '3']) AS no, unnest(['Clean', NULL, (200 + k % 40)::VARCHAR, '-']) AS result, unnest(['Clean, No dust', NULL, '180-240 VAC', 'Rectifier Normal Operations']) AS standard, unnest(['OK', NULL, CASE WHEN third THEN 'NOK' ELSE 'OK' END, '']) AS status FROM f UNION ALL SELECT k, '2.b', '-', NULL, '' FROM f UNION ALL SELECT k, '2.c', amps, CASE WHEN a <= 37.5 THEN '25 A ( Single Power Module )' WHEN a <= 62.5 THEN '50 A ( Dual Power Module )' ELSE '75 A ( Three Power Module )' END, 'OK' FROM f")
+def _rectifier(spark, d):
+    k = F.col("doc_id")
+    text = F.concat(
+        F.lit("Kap.Power Module : Dual\n1. Physical Check\na. Environment Condition Clean Clean, No\ndust OK\nb. LED / display\nd. Rectifier Module Installed\n2. Performance and Capacity Check\na. AC Input Voltage "), 200 + F.pmod(k, F.lit(40)),
+        F.lit(" 180-240 VAC "), F.when(F.pmod(k, F.lit(3)) == 0, "NOK").otherwise("OK"), F.lit("\nb. AC Current Input -\nc. DC Current Output "), F.pmod(k, F.lit(80)), F.lit(",5 25 A\n50 A\nOK\nBackup Tests\n3. Rectifier Switching test\nNotes : none"),
+    )
+    made = _numbers(spark, d).select("doc_id", forms.rectifier(text).alias("r"))
+    names = ("no", "result", "standard", "status")
+    items = made.select("doc_id", F.explode(F.concat("r.physical_check", "r.performance_capacity_check", "r.backup_tests")).alias("i")).select("doc_id", *[f"i.{n}" for n in names])
+    loads = made.select("doc_id", F.explode(F.array("r.ac_current_input", "r.dc_current_output")).alias("i")).select("doc_id", "i.no", "i.result", F.col("i.standard_selected").alias("standard"), "i.status")
+    return items.unionByName(loads)
+
+
+@query("roundtrip_shelter", f"{_FORM} SELECT k AS doc_id, unnest(['1.a', '2.c', '<25C Shelter Room', '<35C Outdoor Cabinet (ODC)', '<40C Pole Outdoor Cabinet (ODC)']) AS no, unnest(['Clean', 'Easy', '', '', '']) AS result, unnest([CASE WHEN third THEN 'NOK' ELSE 'OK' END, 'OK', 'OK', CASE WHEN third THEN 'NOK' ELSE 'OK' END, '']) AS status FROM f")
+def _shelter(spark, d):
+    bad = F.when(F.pmod("doc_id", F.lit(3)) == 0, "NOK").otherwise("OK")
+    text = F.concat(
+        F.lit("1. Physical Check\na. Room Condition Clean Clean, free from\nleaks "), bad, F.lit("\n2. Room Infrastructure\nb. Security Management Control\nc. Ease Of Access Easy Safe and efficient OK\n3. Room Temprature\n<25°C Shelter Room OK\n<35C Outdoor\nCabinet (ODC) x\n"),
+        bad, F.lit("\n<40C Pole\n\n\nNotes : OK"),
+    )
+    made = _numbers(spark, d).select("doc_id", forms.shelter(text).alias("r"))
+    items = made.select("doc_id", F.explode(F.concat("r.physical_check", "r.room_infrastructure")).alias("i")).select("doc_id", "i.no", "i.result", "i.status")
+    return items.unionByName(made.select("doc_id", F.explode("r.room_temperature").alias("i")).select("doc_id", F.col("i.standard").alias("no"), "i.result", "i.status"))
+
+
+@query("roundtrip_air_conditioner", f"{_FORM} SELECT k AS doc_id, unnest(['1.a', '1.b', '1.c', '2', '3', '4']) AS no, unnest(['Unit', 'Filter', 'Pipe', 'PSI Pressure', 'Input Current AC (AC = 1 PK)', 'Output Temperature AC']) AS description, unnest(['Clean', 'No Dust', NULL, (100 + k % 50) || ' psi', amps || ' Amp', CASE WHEN third THEN NULL ELSE (k % 20)::VARCHAR END]) AS result, unnest(['Clean, dry', 'None', NULL, '60 - 80 psi', '¾ -1 PK ≤ 4 A' || chr(10) || '2 PK ≤ 10 A', '16 - 20°C']) AS standard, unnest(['OK', 'NOK', NULL, 'OK', 'OK', 'NOK']) AS status FROM f")
+def _air_conditioner(spark, d):
+    k = F.col("doc_id")
+    text = F.concat(
+        F.lit("S/N : AC 1 : X1\nCapacity : 1 PK AC 2 : X2\n1. Physical Check\na. Unit Clean Clean, dry OK\nb. Filter No Dust\nNone NOK\nc. Pipe\n2. PSI Pressure "), 100 + F.pmod(k, F.lit(50)), F.lit(" psi 60 - 80 psi OK\n3. Input Current AC\nAC = 1 PK "),
+        F.pmod(k, F.lit(80)), F.lit(",5 Amp ¾ -1  PK ≤ 4 A\n   2 PK ≤ 10 A\nOK\n4. Output Temperature AC ....... "), F.when(F.pmod(k, F.lit(3)) == 0, "").otherwise(F.pmod(k, F.lit(20)).cast("string")), F.lit(" 16 - 20 °C NOK\nNotes : none"),
+    )
+    made = _numbers(spark, d).select("doc_id", forms.air_conditioner(text).alias("r"))
+    return made.select("doc_id", F.explode(F.concat("r.physical_check", F.array("r.psi_pressure", "r.input_current", "r.output_temperature"))).alias("i")).select("doc_id", "i.*")
+
+
 @query("image_labels", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(x)}, {len(rules.section_words(x))})" for t, x in rules.IMAGE_LABELS.items()) + ") AS v(document_type, n_labels, n_words)")
 def _image_labels(spark, d):
     types = spark.createDataFrame([(t,) for t in ("SPK Survey", "spk-instalasi", "spk_dismantle", "SPK_AKTIVASI", "checklist wireline", "checklist_wireless", "form_pm_ac")], "t string").toLocalIterator()
@@ -534,6 +574,25 @@ def _ocr(spark, d):
     return layout.decode_tokens(_numbers(spark, d).select("doc_id", js.alias("result"))).select("doc_id", "idx", "text", "y", "x")
 
 
+@query("ocr_shapes", "SELECT s_suppkey AS doc_id, shape, 'T' || s_suppkey AS text, CASE WHEN shape = 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS score, 15.0::DOUBLE AS y, s_suppkey::DOUBLE AS x FROM supplier, (SELECT unnest([0, 1, 2, 3]) AS shape)")
+def _ocr_shapes(spark, d):
+    box = F.format_string("[[%1$d,10],[%1$d,10],[%1$d,20],[%1$d,20]]", F.col("doc_id"))
+    said = F.concat(F.lit('"T'), "doc_id", F.lit('"'))
+    lists = lambda t, s, b: F.concat(F.lit(f'{{"{t}":['), said, F.lit(f',""],"{s}":[0.5],"{b}":['), box, F.lit(","), box, F.lit("]}"))
+    shapes = F.array(lists("rec_texts", "rec_scores", "dt_polys"), F.concat(F.lit("["), lists("rec_text", "rec_score", "rec_polys"), F.lit("]")), F.concat(F.lit("[[["), box, F.lit(",["), said, F.lit(",0.5]]]]")), F.concat(F.lit("[[["), box, F.lit(","), said, F.lit("],[[[1,2]],\"short\"]]]")))
+    rows = _numbers(spark, d).select("doc_id", F.posexplode(shapes).alias("shape", "result"))
+    return layout.decode_tokens(rows).select("doc_id", "shape", "text", "score", "y", "x")
+
+
+@query("device_name_boxes", "SELECT o_orderkey AS doc_id, 'B2WN' || lpad(o_orderkey::VARCHAR, 10, '0') AS no_reg, 'left' AS side, 'Router ' || o_custkey AS name FROM orders UNION ALL SELECT o_orderkey, 'B2WN' || lpad((o_orderkey + 1)::VARCHAR, 10, '0'), 'right', 'Modem FO' FROM orders")
+def _device_boxes(spark, d):
+    o = catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    reg = lambda n: F.concat(F.lit("B2WN"), F.lpad((F.col("doc_id") + n).cast("string"), 10, "0"))
+    token = lambda t, x, y: F.struct(t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    made = F.array(token(F.lit("Router"), 100.0, 570.0), token(F.col("o_custkey").cast("string"), 180.0, 570.0), token(reg(0), 110.0, 600.0), token(F.lit("Modem"), 620.0, 560.0), token(F.lit("FO"), 620.0, 580.0), token(reg(1), 630.0, 600.0), token(F.lit("far"), 100.0, 300.0))
+    return layout.device_names(o.select("doc_id", F.posexplode(made).alias("idx", "t")).select("doc_id", "idx", "t.*"), fields.WIRELESS_REG)
+
+
 # ---- questions ---------------------------------------------------------------------------------
 FORMS = (
     "berapa spk untuk {n}", "sebutkan", "detail spk {o}", "pop nya apa?", "jelaskan prosedur pemasangan", "halo", "sebutkan spk survey", "kapan aktivasi untuk nomor {n}",
@@ -630,6 +689,17 @@ def _lint(spark, d):
     return _statements(spark).select("id", F.size(sqlgate.lint(F.col("sql"))).alias("n_warnings"))
 
 
+@query("sql_sanitised", f"{catalog.ORACLE} SELECT id_spk, 'SELECT no_spk FROM spk WHERE id_spk = ' || id_spk AS sql, md5({"'Write one SELECT statement for this schema.' || chr(10) || 'spk(id_spk)' || chr(10) || 'Question: spk ' || no_spk || chr(10) || 'SQL:'"}) AS prompt FROM spk")
+def _sanitised(spark, d):
+    sql = F.concat(F.lit("  SELECT no_spk\n  FROM spk\tWHERE id_spk = "), "id_spk", F.lit(";; "))
+    return catalog.spk(spark, d).select("id_spk", sqlgate.sanitise(sql).alias("sql"), F.md5(nlq.sql_prompt(F.concat(F.lit("spk "), "no_spk"), "spk(id_spk)")).alias("prompt"))
+
+
+@query("asked_order", f"{catalog.ORACLE} SELECT id_spk, CASE WHEN id_spk % 2 = 0 THEN no_spk ELSE '000001/WO-LA/1999' END AS no_spk FROM spk")
+def _asked_order(spark, d):
+    return catalog.spk(spark, d).select("id_spk", nlq.asked_order_of(F.concat(F.lit("bandingkan 000001/WO-LA/1999 dengan "), F.when(F.pmod("id_spk", F.lit(2)) == 0, "nomor SPK ").otherwise(""), "no_spk")).alias("no_spk"))
+
+
 # ---- conversations -----------------------------------------------------------------------------
 def talk(spark, d) -> DataFrame:
     """conversations with a network or an order mentioned in some turns."""
@@ -724,6 +794,13 @@ def _ratcliff(spark, d):
     return evaluate.accuracy(evaluate.compare_fields(t, p, S.block_ratio))
 
 
+@query("field_details", "SELECT p_partkey AS doc_id, 'brand' AS field, p_brand AS ground_truth, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS parsed, p_partkey % 7 <> 0 AS correct FROM part")
+def _details(spark, d):
+    t, p = _truth_parsed(spark, d)
+    one = F.element_at("details", F.lit("brand"))
+    return evaluate.details(evaluate.compare_fields(t, p, S.edit_ratio)).select("doc_id", F.lit("brand").alias("field"), one["ground_truth"].alias("ground_truth"), one["parsed"].alias("parsed"), one["correct"].alias("correct"))
+
+
 @query("page_text_predicate", r"SELECT page_id, length(regexp_replace(html, '[\n \t]', '', 'g')) >= 20 AS has_text FROM pages")
 def _has_text(spark, d):
     return catalog.table(spark, d, "pages").select("page_id", pages.has_text(F.col("html")).alias("has_text"))
@@ -842,3 +919,48 @@ def _usage(spark, d):
 def _label_hits(spark, d):
     labels = spark.createDataFrame([("nama-pelanggan",), ("FOTO LOKASI",)], "label string")
     return layout.find_labels(tokens(spark, d), labels).select("doc_id", "label", "text")
+
+
+@query("json_paths", "SELECT s_suppkey AS doc_id, '{\"a\":[{\"patch_foto\":\"spk/foto ' || s_suppkey || '.jpg\",\"no\":1}],\"OutPath\":\"/other/' || s_suppkey || '\",\"text\":\"/data/public/x\"}' AS record FROM supplier")
+def _json_paths(spark, d):
+    record = F.concat(F.lit('{"a":[{"patch_foto":"/data/public/spk\\\\foto '), "doc_id", F.lit('.jpg","no":1}],"OutPath":"/other/'), "doc_id", F.lit('","text":"/data/public/x"}'))
+    return _numbers(spark, d).select("doc_id", T.relative_paths(record, "/data/public/").alias("record"))
+
+
+def indoor_checklists(spark, d) -> DataFrame:
+    """(doc_id, text): an indoor checklist for each supplier; every third without its meter part."""
+    k = F.col("doc_id")
+    text = F.concat(
+        F.lit("NDOORAREA CHECKLIST\nQuality Parameter Standard\nPOWER\nMerek : x\nGreen "), F.pmod(k, F.lit(5)), F.lit("\nModem OFF 109/DCD/LINK-WAN\nTD/TXD/103 Blinking\nRTS105\nCTS/106\nAlarm LED Off\nAll STU Modem Quality A No Counter CRC Error\nTainet Scorpio Connected xxx KBps Connected\nKBps\nOptical LED Alarm "),
+        k, F.lit("\nSTU 160\n> 20 dB\n"), F.when(F.pmod(k, F.lit(3)) != 0, "(Checked by AVO Meter)\nSTU 1088/2304\n400-700 Ω (Tlkm Area)\nTainet\n50–200 Ω (HRB Area)\nAdtran Express 48-50 VDc (QUAD\nCES SHDSL)\n").otherwise(""), F.lit("OUTDOOR AREA"),
+    )
+    return _numbers(spark, d).select("doc_id", text.alias("text"))
+
+
+_INDOOR = (
+    ("indikator_modem", "POWER", "'Green ' || k % 5", ""), ("indikator_modem", "109/DCD/LINK-WAN", "'OFF'", ""), ("merek", "TD/TXD/103", "'Blinking'", ""), ("merek", "Alarm LED", "'Off'", ""), ("merek", "All STU Modem", "'Quality A No Counter CRC Error'", ""),
+    ("merek", "Tainet Scorpio", "'Connected xxx KBps'", ""), ("modem_fo", "Optical LED Alarm", "k::VARCHAR", ""), ("lc_signal_kop", "STU 160", "'> 20 dB'", ""), ("lc_signal_avo", "STU 1088/2304", "'400-700 Ω (Tlkm Area)'", "Ω"),
+    ("lc_signal_avo", "Tainet", "'50–200 Ω (HRB Area)'", "Ω"), ("lc_signal_avo", "Adtran Express", "'48-50 VDc (QUAD CES SHDSL)'", ""),
+)
+
+
+@query("checklist_indoor", " UNION ALL ".join(f"SELECT k AS doc_id, '{p}' AS bagian, '{n}' AS parameter, {v} AS standard, '{e}' AS nms_engineer, '{'Connected KBps' if n == 'Tainet Scorpio' else ''}' AS on_site_teknisi FROM (SELECT s_suppkey AS k FROM supplier) WHERE {'k % 3 <> 0' if p == 'lc_signal_avo' else 'true'}" for p, n, v, e in _INDOOR))
+def _indoor(spark, d):
+    rows = indoor_checklists(spark, d).select("doc_id", F.explode(checklists.indoor(F.col("text"))).alias("r")).where("r.standard <> ''")
+    known = F.array(*[F.lit(f"{p}/{n}") for p, n, *_ in _INDOOR])
+    return rows.where(F.array_contains(known, F.concat_ws("/", "r.bagian", "r.parameter")) & ((F.col("r.bagian") != "lc_signal_avo") | (F.pmod("doc_id", F.lit(3)) != 0))).select("doc_id", "r.bagian", "r.parameter", "r.standard", "r.nms_engineer", "r.on_site_teknisi")
+
+
+@query("indoor_by_bands", "SELECT o_orderkey AS doc_id, 'POWER' AS parameter, 'ON' || (o_orderkey % 7) AS standard, 'OK' AS nms_engineer FROM orders UNION ALL SELECT o_orderkey, 'Alarm LED', 'Off', '' FROM orders")
+def _indoor_bands(spark, d):
+    text = F.lit("INDOOR AREA CHECKLIST Quality Parameter\nPOWER Green\nAlarm LED Off\n")
+    rows = catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(checklists.indoor(text)).alias("r")).select("doc_id", "r.*")
+    bands = layout.row_band(tokens(spark, d), ("POWER",))
+    return checklists.prefer_bands(rows, bands, "parameter", {n: n for n in checklists.ROW}).where("standard <> ''").select("doc_id", "parameter", "standard", "nms_engineer")
+
+
+@query("voltage_rows", "SELECT s_suppkey AS doc_id, (220 + s_suppkey % 9) || ' VAC' AS pln, '' AS ups, CASE WHEN s_suppkey % 2 = 0 THEN '221 VAC' ELSE '' END AS it FROM supplier")
+def _voltage_rows(spark, d):
+    one = F.concat(F.lit("Output Tegangan\nP-N "), 220 + F.pmod("doc_id", F.lit(9)), F.lit(" VAC"))
+    text = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(one, F.lit("\n. VAC\n221 VAC\nP-G 1 VAC"))).otherwise(F.concat(one, F.lit("\nP-G 1 VAC")))
+    return _numbers(spark, d).select("doc_id", checklists.electrical(text)["p_n"].alias("v")).select("doc_id", "v.*")

@@ -27,6 +27,8 @@ from fieldquarry.llm.common import store, word_count
 BUCKET_DIGITS = 3
 #: Membership patterns and sources the driver's flow problem may have; more is an error, never a cut.
 MAX_PATTERNS = 100_000
+#: Files of the table of bucket sums, at most: it has a row for each pattern and bucket, however many documents there are.
+CELL_FILES = 32
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -176,7 +178,8 @@ def pattern_of(members: Column) -> Column:
 def plan_mix(slim: DataFrame, weights, copies: int, share: float) -> MixPlan:
     """slim: m_members array<string>, m_pattern, m_key, doc_id, size; weights: sources -> list of weights."""
     spark = slim.sparkSession
-    cells = store(slim.groupBy("m_pattern", F.substring("m_key", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("words"), F.first("m_members").alias("members")), "mix-cells")
+    cells = slim.groupBy("m_pattern", F.substring("m_key", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("words"), F.first("m_members").alias("members"))
+    cells = store(cells.coalesce(CELL_FILES), "mix-cells")
     found = cells.df.groupBy("m_pattern").agg(F.sum("words").alias("words"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; group sources before mixing")
@@ -196,7 +199,7 @@ def plan_mix(slim: DataFrame, weights, copies: int, share: float) -> MixPlan:
     cum = cells.df.select("m_pattern", "bucket", "words", F.sum("words").over(run).alias("through")).join(F.broadcast(rest), "m_pattern")
     cut = cum.where("through > part").groupBy("m_pattern").agg(F.min(F.struct("bucket", "through", "words", "part")).alias("c"))
     cut = cut.select("m_pattern", F.col("c.bucket").alias("bucket"), (F.col("c.through") - F.col("c.words")).alias("before"), F.col("c.part").alias("part"))
-    edge = store(cut, "mix-cut")
+    edge = store(cut.coalesce(1), "mix-cut")
     near = slim.withColumn("bucket", F.substring("m_key", 1, BUCKET_DIGITS)).join(F.broadcast(edge.df), ["m_pattern", "bucket"])
     near = near.groupBy("m_pattern", "m_key", "doc_id", "before", "part").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("m_pattern").orderBy("m_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -13,12 +13,25 @@ from fieldquarry.operators import rules
 EMAIL = r"[\w.-]+@[\w.-]+\.\w+"
 
 
-def work_order(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> Column:
-    """struct of sections by the field tables, and of the three positional stamps. Only those named are computed."""
+def order_parts(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> dict[str, Column]:
+    """Sections by the field tables, and the three positional stamps; a column for each, so that a record holds none twice."""
     _, report = T.split_report(text)
-    parts = {"all": text, "report": report}
-    made = [F.struct(*[T.search_field(parts[part], p, multi).alias(name) for name, p, part, multi in rules.SECTIONS[s]]).alias(s) for s in sections if s in rules.SECTIONS]
-    return F.struct(*made, *([stamps(text).alias("pelaksanaan")] if "pelaksanaan" in sections else []))
+    own = lambda s, part: [T.search_field(part, p, multi).alias(name) for name, p, _, multi in s]
+    made = {}
+    for name in sections:
+        if name == "pelaksanaan":
+            made[name] = stamps(text)
+        elif all(part == "report" for _, _, part, _ in rules.SECTIONS[name]):
+            made[name] = T.let(report, lambda part, name=name: F.struct(*own(rules.SECTIONS[name], part)))
+        else:
+            parts = {"all": text, "report": report}
+            made[name] = F.struct(*[T.search_field(parts[part], p, multi).alias(n) for n, p, part, multi in rules.SECTIONS[name]])
+    return made
+
+
+def work_order(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> Column:
+    """order_parts as one struct. Only those named are computed."""
+    return F.struct(*[c.alias(n) for n, c in order_parts(text, sections).items()])
 
 
 def _words(heading: str) -> str:
@@ -26,7 +39,12 @@ def _words(heading: str) -> str:
 
 
 def survey(text: Column) -> Column:
-    """struct of the survey's sections: a map of labels and values for each, arrays for hand holes.
+    """survey_parts as one struct."""
+    return F.struct(*[c.alias(n) for n, c in survey_parts(text).items()])
+
+
+def survey_parts(text: Column) -> dict[str, Column]:
+    """The survey's sections: a map of labels and values for each, arrays for hand holes.
 
     A section that has a heading but is missing is read from the whole text where the fold needs no
     section, else it is empty.
@@ -35,16 +53,16 @@ def survey(text: Column) -> Column:
         "next": lambda t, ls: label_next_line(t, ls), "last": lambda t, ls: label_next_line(T.clean_space(t), ls), "first": lambda t, ls: label_next_line(T.clean_space(t), ls, keep="first"),
         "inline": lambda t, ls: label_inline(F.regexp_replace(t, r"(?i)\(PLN ([PN])-\s*\n\s*([NG])\)", r"(PLN $1-$2)"), ls), "prefix": label_prefix,
     }
-    made = []
+    made = {}
     for name, start, ends, fold, labels in rules.SURVEY:
         own = text
         if start:
             stop = "|".join([*map(_words, ends), r"\z"])
             own = F.coalesce(T.found(text, rf"(?iU){_words(start)}([\s\S]*?)(?={stop})"), text if fold in ("inline", "last") else F.lit(""))
-        made.append(folds[fold](own, labels).alias(name))
+        made[name] = folds[fold](own, labels)
     for name, start, ends in rules.HH_SECTIONS:
-        made.append(hh_groups(F.coalesce(T.section(text, _words(start), "|".join(map(_words, ends))), F.lit(""))).alias(name))
-    return F.struct(*made)
+        made[name] = hh_groups(F.coalesce(T.section(text, _words(start), "|".join(map(_words, ends))), F.lit("")))
+    return made
 
 
 def stamps(text: Column) -> Column:
@@ -60,18 +78,23 @@ def list_items(text: Column) -> Column:
 
 
 def vendor(text: Column) -> Column:
+    """vendor_parts as one struct."""
+    return F.struct(*[c.alias(n) for n, c in vendor_parts(text).items()])
+
+
+def vendor_parts(text: Column) -> dict[str, Column]:
     """Coordinates, contact, vendor name and technician (minus the vendor's name)."""
     name = T.found(text, r"(?i)Vendor\s*:?\s*([^\n]+)")
     tech = T.found(text, r"(?is)Pelaksana[^\n:]*:?\s*(.*?)\s*Vendor")
     quoted = F.concat(F.lit("\\Q"), F.coalesce(name, F.lit("\0")), F.lit("\\E"))
-    return F.struct(
-        T.found(text, r"(?i)Koordinat\s*\n?\s*(-?\d+\.\d+)\s*,", 1).alias("latitude"),
-        T.found(text, r"(?i)Koordinat\s*\n?\s*-?\d+\.\d+\s*,\s*(-?\d+\.\d+)", 1).alias("longitude"),
-        T.found(text, r"(?i)(?<!Kontak )PIC\s*Pelanggan\s*:\s*([^\n]+)").alias("pic_pelanggan"),
-        T.strip(T.found(text, r"(?i)Kontak\s+PIC\s+Pelanggan\s*[:\-]?\s*([0-9+\-() ]*[0-9])")).alias("kontak_pic_pelanggan"),
-        T.strip(F.regexp_replace(tech, quoted, F.lit(""))).alias("teknisi"),
-        T.strip(name).alias("nama_vendor"),
-    )
+    return {
+        "latitude": T.found(text, r"(?i)Koordinat\s*\n?\s*(-?\d+\.\d+)\s*,", 1),
+        "longitude": T.found(text, r"(?i)Koordinat\s*\n?\s*-?\d+\.\d+\s*,\s*(-?\d+\.\d+)", 1),
+        "pic_pelanggan": T.found(text, r"(?i)(?<!Kontak )PIC\s*Pelanggan\s*:\s*([^\n]+)"),
+        "kontak_pic_pelanggan": T.strip(T.found(text, r"(?i)Kontak\s+PIC\s+Pelanggan\s*[:\-]?\s*([0-9+\-() ]*[0-9])")),
+        "teknisi": T.strip(F.regexp_replace(tech, quoted, F.lit(""))),
+        "nama_vendor": T.strip(name),
+    }
 
 
 def _is_label(line: Column, labels: tuple[str, ...]) -> Column:
@@ -106,14 +129,16 @@ def label_next_line(text: Column, labels: tuple[str, ...], keep: str = "last") -
 
 def label_inline(text: Column, labels: tuple[str, ...]) -> Column:
     """map of all labels -> 'label : value' of the first such line, else the line after the label."""
-    own = _pairs(text)
-    made = []
-    for label in labels:
+    def one(own: Column, label: str) -> Column:
         pattern = rf"(?i)\A\Q{label}\E\s*[:\-–=]\s*(.+)\z"
-        hit = F.get(F.filter(own, _line_test(label, pattern)), F.lit(0))
-        value = F.when(F.rlike(hit["own"], F.lit(pattern)), F.trim(F.regexp_extract(hit["own"], pattern, 1))).when(~_is_label(hit["next"], labels), hit["next"])
-        made.append(F.struct(F.lit(_key(label)).alias("key"), value.alias("value")))
-    return F.map_from_entries(F.array(*made))
+
+        def entry(hit: Column) -> Column:
+            value = F.when(F.rlike(hit["own"], F.lit(pattern)), F.trim(F.regexp_extract(hit["own"], pattern, 1))).when(~_is_label(hit["next"], labels), hit["next"])
+            return F.struct(F.lit(_key(label)).alias("key"), value.alias("value"))
+
+        return T.let(F.get(F.filter(own, _line_test(label, pattern)), F.lit(0)), entry)
+
+    return T.let(_pairs(text), lambda own: F.map_from_entries(F.array(*[one(own, label) for label in labels])))
 
 
 def _line_test(label: str, pattern: str):
@@ -127,14 +152,15 @@ def _key(label: str) -> str:
 
 def label_prefix(text: Column, labels: tuple[str, ...]) -> Column:
     """map: lines that begin with a label (first in list order); the rest of the line, else the next line."""
-    own = _pairs(text)
-    made = []
-    for label in labels:
-        hit = F.get(F.filter(own, _prefix_test(label)), F.lit(0))
-        rest = T.strip(F.regexp_replace(F.substring(hit["own"], F.lit(len(label) + 1), F.length(hit["own"])), r"\A\s*[:\-–=]", ""))
-        value = F.when(rest != "", rest).when(~_is_label(hit["next"], labels), hit["next"])
-        made.append(F.struct(F.lit(_key(label)).alias("key"), value.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*made), lambda e: e["value"].isNotNull()))
+    def one(own: Column, label: str) -> Column:
+        def entry(hit: Column) -> Column:
+            rest = T.strip(F.regexp_replace(F.substring(hit["own"], F.lit(len(label) + 1), F.length(hit["own"])), r"\A\s*[:\-–=]", ""))
+            value = F.when(rest != "", rest).when(~_is_label(hit["next"], labels), hit["next"])
+            return F.struct(F.lit(_key(label)).alias("key"), value.alias("value"))
+
+        return T.let(F.get(F.filter(own, _prefix_test(label)), F.lit(0)), entry)
+
+    return T.let(_pairs(text), lambda own: F.map_from_entries(F.filter(F.array(*[one(own, label) for label in labels]), lambda e: e["value"].isNotNull())))
 
 
 def _prefix_test(label: str):

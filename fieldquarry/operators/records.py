@@ -13,21 +13,24 @@ from fieldquarry.sources.sinks import to_json
 REMOVED = ("pic_pelanggan", "kontak_pic_pelanggan", "teknisi", "nama_vendor")
 
 
+ORDER_SECTIONS = ("spk", "pelanggan", "jaringan", "berita_acara", "pelaksanaan")
+
+
+def _struct(parts: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+
 def _order(text: Column) -> Column:
-    w = fields.work_order(text)
-    return F.struct(w["spk"].alias("spk"), w["pelanggan"].alias("pelanggan"), w["jaringan"].alias("jaringan"), w["berita_acara"].alias("berita_acara"), w["pelaksanaan"].alias("pelaksanaan"), fields.vendor(text).alias("vendor"))
+    return _struct(fields.order_parts(text, ORDER_SECTIONS) | {"vendor": fields.vendor(text)})
 
 
 def _survey(text: Column) -> Column:
-    w, v = _order(text), fields.survey(text)
-    names = ("spk", "pelanggan", "jaringan", "berita_acara", "pelaksanaan", "vendor")
-    return F.struct(*[w[n].alias(n) for n in names], *[v[n].alias(n) for n, *_ in (*rules.SURVEY, *rules.HH_SECTIONS)])
+    return _struct(fields.order_parts(text, ORDER_SECTIONS) | {"vendor": fields.vendor(text)} | fields.survey_parts(text))
 
 
 def _dismantle(text: Column) -> Column:
-    w, v = fields.work_order(text), fields.vendor(text)
-    worker = F.struct(*[v[n].alias(n) for n in REMOVED])
-    return F.struct(w["spk"].alias("spk"), w["pelanggan"].alias("pelanggan"), w["jaringan"].alias("jaringan"), w["pelaksanaan"].alias("pelaksanaan"), worker.alias("pekerja_cabut"), fields.list_items(text).alias("list_item"))
+    own, worker = fields.order_parts(text, ("spk", "pelanggan", "jaringan", "pelaksanaan")), fields.vendor_parts(text)
+    return _struct(own | {"pekerja_cabut": _struct({n: worker[n] for n in REMOVED}), "list_item": fields.list_items(text)})
 
 
 def _checklist(kind: str) -> Callable[[Column], Column]:
@@ -59,11 +62,13 @@ def _items(start: str, end: str, letters: str, prefix: str) -> Callable[[Column]
 _PHYSICAL = ("physical_check", _items(r"1\.\s*Physical\s+Check", r"2\.", "abcdefgh", "1"))
 _PERFORMANCE = ("performance_measurement", _items(r"2\.\s*Performance", r"(?:3\.|Notes)", "a-z", "2"))
 
+_MARKED = _form(_PHYSICAL, _PERFORMANCE)
+
 #: Registry: a document type's record. New types are added here (or to a copy that parse() is given).
 PARSERS: dict[str, Callable[[Column], Column]] = {
     "spk_survey": _survey, "spk_instalasi": _order, "spk_aktivasi": _order, "spk_dismantle": _dismantle,
     "checklist_wireless": _checklist("wireless"), "checklist_wireline": _checklist("wireline"),
-    **{f"form_pm_{n}": _form(_PHYSICAL, _PERFORMANCE) for n in ("petir_grounding", "instalasi_kabel", "pole_tower")},
+    **{f"form_pm_{n}": _MARKED for n in ("petir_grounding", "instalasi_kabel", "pole_tower")},
     "form_pm_rectifier": _form(("rectifier", forms.rectifier)),
     "form_pm_ruang_shelter": _form(("shelter", forms.shelter)),
     "form_pm_inverter": _form(("inverter", forms.inverter)),
@@ -78,7 +83,10 @@ def parse(docs: DataFrame, text_col: str = "text", parsers: dict[str, Callable[[
     """docs with document_type, category, parsing_status and parsed (the record as JSON, null without parser)."""
     parsers = PARSERS if parsers is None else parsers
     typed = classify.with_envelope(docs.withColumn("document_type", classify.document_type(F.col(text_col))))
-    made = classify.first_of([(F.col("document_type") == t, to_json(f(F.col(text_col)))) for t, f in parsers.items()])
+    types: dict[Callable[[Column], Column], list[str]] = {}
+    for t, f in parsers.items():
+        types.setdefault(f, []).append(t)
+    made = classify.first_of([(F.col("document_type").isin(*ts), to_json(f(F.col(text_col)))) for f, ts in types.items()])
     return typed.withColumn("parsed", made)
 
 

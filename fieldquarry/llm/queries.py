@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldquarry.llm import hnsw, licenses, lm, media, mixing, neardup, packing, quality, secrets, sharding
+from fieldquarry.llm import hnsw, licenses, lm, media, mixing, neardup, packing, quality, secrets, sharding, turns, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_pack_documents": packing.op8_pack_documents,
         "op9_shard_documents": sharding.op9_shard_documents,
         "op10_quality": quality.op10_quality,
+        "op11_warc_history": warc.op11_warc_history,
+        "op12_conversation_repair": turns.op12_conversation_repair,
+
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.oracle(), "op5_secret_scan": secrets.oracle(), "op9_shard_documents": sharding.oracle()}
+    return {
+        "op4_mix_sources": mixing.oracle(),
+        "op5_secret_scan": secrets.oracle(),
+        "op9_shard_documents": sharding.oracle(),
+        "op11_warc_history": warc.oracle(),
+        "op12_conversation_repair": turns.oracle(),
+
+    }

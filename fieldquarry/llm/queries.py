@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldquarry.llm import hnsw, licenses, lm, media, mixing, neardup, packing, quality, secrets, sharding, turns, warc
+from fieldquarry.llm import hnsw, licenses, lm, media, mixing, neardup, packing, quality, ranking, secrets, sharding, turns, warc
 
 
 def queries() -> dict:
@@ -19,7 +19,7 @@ def queries() -> dict:
         "op10_quality": quality.op10_quality,
         "op11_warc_history": warc.op11_warc_history,
         "op12_conversation_repair": turns.op12_conversation_repair,
-
+        "op13_ranked_search": ranking.op13_ranked_search,
     }
 
 
@@ -30,5 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_shard_documents": sharding.oracle(),
         "op11_warc_history": warc.oracle(),
         "op12_conversation_repair": turns.oracle(),
-
+        "op13_ranked_search": ranking.oracle(),
     }

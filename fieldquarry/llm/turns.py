@@ -133,36 +133,70 @@ WAYS = pa.list_(pa.struct([("enter", pa.int32()), ("leave", pa.int32()), ("cost"
 WAYS_SQL = "ways array<struct<enter: int, leave: int, cost: long, rank: int, edits: string>>"
 
 
-def chosen(ways: list[list[dict]]) -> tuple[int, list[tuple[int, int]]]:
-    """Total cost, and for each segment in turn the states before and after it, of the cheapest, then ASCII-least edits.
+class Path:
+    """Cheapest, then ASCII-least edits over a conversation's segments, from their costs and ranks alone.
 
-    Forward, each state keeps its least cost and how its edits so far rank among the other states'.
+    Forward, each state keeps its least cost and how its edits so far rank among the other states';
+    of a segment four bytes remain: for each state after it the state before it.
     """
-    held, back = {START: (0, 0)}, []
-    for seg in ways:
+
+    def __init__(self) -> None:
+        self.held, self.back = {START: (0, 0)}, bytearray()
+
+    def step(self, ways: list[dict]) -> None:
         found: dict[int, tuple] = {}
-        for w in seg:
-            if w["enter"] in held:
-                cost, order = held[w["enter"]]
+        for w in ways:
+            if w["enter"] in self.held:
+                cost, order = self.held[w["enter"]]
                 way = (cost + w["cost"], order, w["rank"], w["enter"])
                 if w["leave"] not in found or way < found[w["leave"]]:
                     found[w["leave"]] = way
         ranks = {k: i for i, k in enumerate(sorted({f[1:3] for f in found.values()}))}
-        held = {s: (f[0], ranks[f[1:3]]) for s, f in found.items()}
-        back.append({s: f[3] for s, f in found.items()})
-    cost, _, state = min((c + INSERT * len(TAIL[s]), order, s) for s, (c, order) in held.items())
-    path = []
-    for step in reversed(back):
-        path.append((step[state], state))
-        state = step[state]
-    return cost, path[::-1]
+        self.held = {s: (f[0], ranks[f[1:3]]) for s, f in found.items()}
+        self.back += bytes(found[s][3] if s in found else 0 for s in range(4))
 
+    def end(self) -> tuple[int, list[tuple[int, int]]]:
+        """Total cost, and for each segment in turn the states before and after it."""
+        cost, _, state = min((c + INSERT * len(TAIL[s]), order, s) for s, (c, order) in self.held.items())
+        path = []
+        for at in range(len(self.back) - 4, -1, -4):
+            path.append((self.back[at + state], state))
+            state = self.back[at + state]
+        return cost, path[::-1]
+
+
+def chosen(ways: list[list[dict]]) -> tuple[int, list[tuple[int, int]]]:
+    path = Path()
+    for w in ways:
+        path.step(w)
+    return path.end()
 
-def _choose(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["seg"])
-    cost, path = chosen([r["ways"] for r in rows])
-    n = len(rows)
-    return pa.table([pa.array([rows[0]["conv_id"]] * n, pa.int64()), pa.array([r["seg"] for r in rows], pa.int64()), pa.array([p[0] for p in path], pa.int32()), pa.array([p[1] for p in path], pa.int32()), pa.array([cost] * n, pa.int64())], names=["conv_id", "seg", "enter", "leave", "cost"])
+
+def _choose(batches):
+    """(conv_id, seg, enter, leave, cost) of segments that come in order."""
+    conv, path, done = None, None, []
+
+    def ended():
+        cost, states = path.end()
+        done.extend((conv, i, a, z, cost) for i, (a, z) in enumerate(states))
+
+    def taken():
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        cols = list(zip(*done, strict=True)) if done else [[]] * 5
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "seg", "enter", "leave", "cost"])
+
+    for b in batches:
+        for r in b.to_pylist():
+            if path is None or r["conv_id"] != conv:
+                if path is not None:
+                    ended()
+                conv, path = r["conv_id"], Path()
+            path.step(r["ways"])
+        yield taken()
+    if path is not None:
+        ended()
+        yield taken()
 
 
 # ---- replay -------------------------------------------------------------------------------------
@@ -229,8 +263,8 @@ def repair(rows: DataFrame, scratch: Scratch) -> DataFrame:
     solved = scratch.put(segments.select("sig").distinct().mapInArrow(_solved, f"sig string, {WAYS_SQL}"), "turn-solved")
     # numbers of the ways, without edits, are all that putting segments together needs
     slim = solved.select("sig", F.transform("ways", lambda w: F.struct(w["enter"].alias("enter"), w["leave"].alias("leave"), w["cost"].alias("cost"), w["rank"].alias("rank"))).alias("ways"))
-    path = segments.join(slim, "sig").groupBy("conv_id").applyInArrow(_choose, "conv_id long, seg long, enter int, leave int, cost long")
-    path = scratch.put(path, "turn-path").alias("p")
+    steps = segments.join(slim, "sig").select("conv_id", "seg", "ways").repartition("conv_id").sortWithinPartitions("conv_id", "seg")
+    path = scratch.put(steps.mapInArrow(_choose, "conv_id long, seg long, enter int, leave int, cost long"), "turn-path").alias("p")
     keyed = segments.alias("s").join(path, F.col("s.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("s.seg") == F.col("p.seg")))
     way = F.filter("ways", lambda w: (w["enter"] == F.col("enter")) & (w["leave"] == F.col("leave")))[0]
     edits = keyed.select("s.conv_id", "s.seg", "s.sig", "enter", "leave", "cost").join(solved, "sig").select("conv_id", "seg", "leave", "cost", way["edits"].alias("edits"))

@@ -99,7 +99,7 @@ def parsed(data: bytes) -> dict:
 
 def members(stream, step: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
     """(offset, stored length, bytes) of each gzip member; plain archives are cut by their records' lengths."""
-    rest, offset = stream.read(step), 0
+    rest, offset = stream.read(max(2, step)), 0
     packed = rest[:2] == b"\x1f\x8b"
     while rest:
         if packed:
@@ -205,7 +205,9 @@ class WarcReader(DataSourceReader):
                 names.update(json.loads(lines.read()))
         return [Archive(n) for n in sorted(names)]
 
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         where, base = opened(self.folder)
         kinds = [pa.field(n, {"long": pa.int64(), "binary": pa.binary()}.get(k, pa.string())) for n, k in (c.split() for c in SCHEMA.split(", "))]
         rows, held = [], 0

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldquarry.functions.similarity import cosine, length
 from fieldquarry.operators.rules import COUNT_TRACES
+from fieldquarry.sources.shared import work_folder
 
 
 def _frame(conv: str, turn: str, back: int, until: int = 0):
@@ -50,10 +55,61 @@ def question_key(question: Column) -> Column:
     return F.md5(F.lower(F.trim(question)))
 
 
-def fifo_cache(log: DataFrame, order: str, key: Column, most: int = 1000) -> DataFrame:
-    """The newest `most` first entries of each key: an insertion-ordered cache after the log."""
-    first = log.withColumn("_k", key).groupBy("_k").agg(F.min(order).alias("seq"))
-    return first.orderBy(F.desc("seq")).limit(most).withColumnRenamed("_k", "cache_key")
+def _pushed(held: OrderedDict, rows: Iterable[tuple], most: int) -> OrderedDict:
+    """A cache (key -> when it came in, oldest first) after more requests: known keys stay where they are."""
+    for seq, key in rows:
+        if key not in held:
+            held[key] = seq
+            if len(held) > most:
+                held.popitem(last=False)
+    return held
+
+
+def fifo_cache(log: DataFrame, order: str, key: Column, most: int = 1000, rows: int = 200_000) -> DataFrame:
+    """(cache_key, seq): an insertion-ordered cache of `most` keys after the whole log, exactly.
+
+    seq is the request that brought the key in for the last time: a key that was pushed out and comes
+    back is new. Requests of one `order` value count by key. Null keys are keys.
+
+    The log is cut into ranges of about `rows` requests. What a range leaves depends on what it
+    starts with, which is unknown at first: all ranges run at once from a guess, what the range before
+    left in the round before. A range whose guess changed runs again. In each round at least one more
+    range is final, mostly all are after few, as a cache soon forgets what it began with. A task
+    holds one range and one cache.
+    """
+    spark = log.sparkSession
+    keyed = log.select(F.col(order).cast("long").alias("seq"), key.cast("string").alias("key"))
+    count = max(1, -(-keyed.count() // rows))
+    folder = work_folder(spark, "fifo")
+    keyed.repartitionByRange(count, "seq", "key").withColumn("range", F.spark_partition_id()).write.parquet(f"{folder}/log")
+    ranges = spark.read.parquet(f"{folder}/log")
+
+    def run(requests: pa.Table, start: pa.Table) -> pa.Table:
+        at = start.column("range")[0].as_py()
+        held = OrderedDict((s["key"], s["seq"]) for s in start.column("cache")[0].as_py())
+        order_ = requests.sort_by([("seq", "ascending"), ("key", "ascending")])
+        held = _pushed(held, zip(order_.column("seq").to_pylist(), order_.column("key").to_pylist(), strict=True), most)
+        return pa.table({"range": pa.array([at], pa.int32()), "left": pa.array([[{"key": k, "seq": s} for k, s in held.items()]], kind)})
+
+    kind = pa.list_(pa.struct([("key", pa.string()), ("seq", pa.int64())]))
+    state = "array<struct<key: string, seq: long>>"
+    starts = spark.range(count).select(F.col("id").cast("int").alias("range"), F.array().cast(state).alias("cache"))
+    changed, done = starts, None
+    for turn in range(count + 1):
+        again = ranges.join(F.broadcast(changed.select("range")), "range", "left_semi") if turn else ranges
+        left = again.groupBy("range").cogroup(changed.groupBy("range")).applyInArrow(run, f"range int, left {state}")
+        left = left if done is None else left.unionByName(done.join(F.broadcast(changed.select("range")), "range", "left_anti"))
+        left.write.parquet(f"{folder}/left{turn}")
+        done = spark.read.parquet(f"{folder}/left{turn}")
+        guess = done.select((F.col("range") + 1).alias("range"), F.col("left").alias("cache")).where(F.col("range") < count)
+        known = starts.withColumnRenamed("cache", "was")
+        guess.join(known, "range").where(~F.col("cache").eqNullSafe(F.col("was"))).select("range", "cache").write.parquet(f"{folder}/changed{turn}")
+        changed = spark.read.schema(f"range int, cache {state}").parquet(f"{folder}/changed{turn}")
+        if changed.isEmpty():
+            break
+        starts = guess.unionByName(starts.where("range = 0"))
+    last = done.where(F.col("range") == count - 1).select(F.explode("left").alias("x"))
+    return last.select(F.col("x.key").alias("cache_key"), F.col("x.seq").alias("seq"))
 
 
 def keep_last(log: DataFrame, order: str, most: int = 500) -> DataFrame:

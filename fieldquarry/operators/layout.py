@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldquarry.functions import text as T
+from fieldquarry.operators import bands, rules
 
 DOC = ("doc_id",)
 
@@ -95,10 +96,13 @@ def column_band(tokens: DataFrame, labels: tuple[str, ...], keys: tuple[str, ...
     """
     low = F.lower(F.trim(F.col("text")))
     lab = tokens.where(low.isin(*[x.lower() for x in labels])).select(*keys, low.alias("label"), F.col("y").alias("ly"), F.col("idx").alias("li"))
-    left = tokens.where("x < 200 AND length(text) > 3").select(*keys, F.col("y").alias("ny"))
-    ends = lab.join(left, list(keys), "left").groupBy(*keys, "label", "ly", "li").agg(F.min(F.when(F.col("ny") > F.col("ly") + 20, F.col("ny"))).alias("ny"))
-    ends = ends.withColumn("end", F.coalesce(F.col("ny") - 5, F.col("ly") + 80))
-    box = ends.join(tokens, list(keys)).where("y >= ly - 15 AND y < end")
+    # the next left token below a label: both in one order, labels where their reach begins
+    marks = lab.select(*keys, (F.col("ly") + 20).alias("at"), "label", "li", "ly", F.lit(None).cast("double").alias("ny"))
+    left = tokens.where("x < 200 AND length(text) > 3").select(*keys, F.col("y").alias("at"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("li"), F.lit(None).cast("double").alias("ly"), F.col("y").alias("ny"))
+    below = Window.partitionBy(*keys).orderBy("at", F.col("label").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    ends = marks.unionByName(left).withColumn("ny", F.min("ny").over(below)).where("label IS NOT NULL")
+    ends = ends.select(*keys, "label", "li", "ly", (F.col("ly") - 15).alias("low"), F.coalesce(F.col("ny") - 5, F.col("ly") + 80).alias("end"))
+    box = bands.interval_join(tokens, ends, keys, "y", "low", "end", more=F.col("y") < F.col("end"))
     join = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("y", "x", "text")))), lambda t: t["text"]), " ")
     std = F.expr("x >= 300 AND x <= 650")
     ext = F.expr("x > 650 AND x <= 900 AND abs(y - ly) <= 15")
@@ -117,11 +121,9 @@ def column_split(tokens: DataFrame, pattern: str, keys: tuple[str, ...] = DOC) -
 def labels_without_context(tokens: DataFrame, label: str, context: str, reach: float = 200.0, keys: tuple[str, ...] = DOC) -> DataFrame:
     """Tokens that hold the label and have no token with the context within reach (anti join)."""
     hits = tokens.where(F.contains(F.lower("text"), F.lit(label.lower())))
-    near = tokens.where(F.contains(F.lower("text"), F.lit(context.lower()))).select(*[F.col(k).alias(f"c_{k}") for k in keys], F.col("y").alias("cy"))
-    cond = F.abs(hits.y - near.cy) < reach
-    for k in keys:
-        cond &= hits[k] == near[f"c_{k}"]
-    return hits.join(near, cond, "left_anti")
+    near = tokens.where(F.contains(F.lower("text"), F.lit(context.lower()))).select(*keys, (F.col("y") - reach).alias("__low"), (F.col("y") + reach).alias("__high"))
+    inside = (F.col("y") > F.col("__low")) & (F.col("y") < F.col("__high"))
+    return bands.interval_join(hits, near, keys, "y", "__low", "__high", width=reach, more=inside, how="left_anti")
 
 
 def crop_plan(headers: DataFrame, page_height: float = 1000.0) -> DataFrame:
@@ -143,12 +145,33 @@ def crop_plan(headers: DataFrame, page_height: float = 1000.0) -> DataFrame:
     return first.unionByName(more)
 
 
+def crop_name(label: Column, page: Column, ending: str = "jpg") -> Column:
+    """<label>_hal<page>.<ending>, blanks and slashes of the label as underlines."""
+    return F.concat(F.translate(F.lower(label), " /", "__"), F.lit("_hal"), page.cast("string"), F.lit(f".{ending}"))
+
+
+def crop_images(plan: DataFrame, rasters: DataFrame, page_height: float = 1000.0) -> DataFrame:
+    """plan (doc_id, label, page, y0, y1) with `image`, its rows of the page's raster (binary PGM, 8 bits).
+
+    Rasters: doc_id, page, image. A crop begins at the row that holds y0 and ends with the one that
+    y1 cuts. Pages without a raster, or with one of another form, give null.
+    """
+    head = F.regexp_extract(F.substring("image", 1, 64).cast("string"), r"(?s)\AP5\s(\d+)\s(\d+)\s255\s", 0)
+    number = lambda i: F.regexp_extract(head, r"(?s)\AP5\s(\d+)\s(\d+)", i).try_cast("int")
+    p = plan.join(rasters.select("doc_id", "page", "image"), ["doc_id", "page"], "left")
+    p = p.withColumns({"__w": number(1), "__h": number(2), "__at": F.octet_length(head)})
+    first, last = F.floor(F.col("y0") / page_height * F.col("__h")).cast("int"), F.ceil(F.col("y1") / page_height * F.col("__h")).cast("int")
+    cut = F.substr("image", F.col("__at") + 1 + first * F.col("__w"), (last - first) * F.col("__w"))
+    made = F.concat(F.format_string("P5\n%d %d\n255\n", F.col("__w"), last - first).cast("binary"), cut)
+    return p.withColumn("image", F.when(F.col("__w").isNotNull(), made)).drop("__w", "__h", "__at")
+
+
 def valid_header(spans: DataFrame, page_height: float = 1000.0) -> DataFrame:
     """Headings: type of 10 points or more, in the upper 85 %, nothing within 100 to the left on the line."""
-    other = spans.select(F.col("doc_id").alias("o_doc"), F.col("page").alias("o_page"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    other = spans.select("doc_id", "page", F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("y") - 10).alias("__low"), (F.col("y") + 10).alias("__high"))
     s = spans.where((F.col("size") >= 10) & (F.col("y") / page_height <= 0.85))
-    near = (s.doc_id == other.o_doc) & (s.page == other.o_page) & (F.abs(s.y - other.oy) < 10) & (other.ox < s.x) & (other.ox >= s.x - 100)
-    return s.join(other, near, "left_anti")
+    beside = (F.abs(F.col("y") - F.col("oy")) < 10) & (F.col("ox") < F.col("x")) & (F.col("ox") >= F.col("x") - 100)
+    return bands.interval_join(s, other, ("doc_id", "page"), "y", "__low", "__high", width=20.0, more=beside, how="left_anti")
 
 
 def near_box(tokens: DataFrame, x: float, y: float, margin: float) -> DataFrame:
@@ -157,16 +180,18 @@ def near_box(tokens: DataFrame, x: float, y: float, margin: float) -> DataFrame:
 
 
 def device_names(tokens: DataFrame, pattern: str, left: float = 400.0, right: float = 600.0, above: float = 60.0, keys: tuple[str, ...] = DOC) -> DataFrame:
-    """(keys, no_reg, side, name): the tokens of a device's name column just above or beside its number."""
-    hits = column_split(tokens, pattern, keys).select(*keys, F.col("text").alias("no_reg"), "side", F.col("y").alias("ry"), F.col("x").alias("rx"))
-    words = tokens.where(~F.rlike("text", F.lit(pattern)))
-    box = (F.col("y") > F.col("ry") - above) & (F.col("y") <= F.col("ry")) & F.when(F.col("side") == "right", F.col("x") >= right - (right - left)).otherwise(F.col("x") <= left)
-    joined = hits.join(words, list(keys)).where(box)
-    joined = joined.groupBy(*keys, "no_reg", "side").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("t"))
-    return joined.select(*keys, "no_reg", "side", F.array_join(F.transform("t", lambda w: w["text"]), " ").alias("name"))
-
+    """(keys, no_reg, side, name): the tokens of a device's name column just above or beside its number.
 
-def find_labels(tokens: DataFrame, labels: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
-    """Tokens that hold one of a small table's labels (label), compared without case and punctuation."""
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
-    return tokens.join(F.broadcast(labels), F.contains(plain(F.col("text")), plain(F.col("label"))))
+    Numbers are found inside tokens. Names stand up to `left` in the left column, from `right` on in
+    the right one; single characters, dates, times and words that forms print are no part of them.
+    """
+    hits = column_split(tokens, pattern, keys).select(*keys, F.regexp_extract("text", pattern, 0).alias("no_reg"), "side", F.col("idx").alias("ri"), (F.col("y") - above).alias("__low"), F.col("y").alias("__high"))
+    low = F.lower(F.trim("text"))
+    printed = F.lit(False)
+    for w in rules.DEVICE_SKIPPED:
+        printed |= F.rlike(low, F.lit(rf"(?<![a-z]){w.replace('.', chr(92) + '.')}(?![a-z])"))
+    words = tokens.where(~F.rlike("text", F.lit(pattern)) & (F.length(F.trim("text")) >= 2) & ~printed & ~F.rlike("text", F.lit(r"\A\s*(\d{2}-[A-Za-z]{3}-\d{4}|\d{2}:\d{2})")))
+    column = F.when(F.col("side") == "right", F.col("x") >= right).otherwise(F.col("x") <= left)
+    joined = bands.interval_join(words, hits, keys, "y", "__low", "__high", width=above, more=(F.col("y") > F.col("__low")) & column)
+    joined = joined.groupBy(*keys, "ri", "no_reg", "side").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("t"))
+    return joined.select(*keys, "no_reg", "side", F.array_join(F.transform("t", lambda w: w["text"]), " ").alias("name"))

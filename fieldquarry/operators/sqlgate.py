@@ -71,68 +71,150 @@ class Refused(ValueError):
     """A statement that the plan gate does not let through."""
 
 
+#: Relations with a soft-delete flag, and the flag.
+FLAGGED, FLAG = ("spk", "jaringan"), "is_deleted"
+#: Nodes that a row passes with all its columns: a filter above them is a filter of the relation below.
+SAME_ROWS = ("Filter", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "Sample")
+
+
 def _scala(seq):
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _walk(node, names: set[str], relations: list[str], functions: set[str]) -> None:
-    kind = node.getClass().getSimpleName()
-    if "Command" in kind or "Insert" in kind or kind.startswith(("Create", "Drop", "Alter", "Truncate", "Delete", "Update", "Merge", "Replace", "Set", "Describe", "Show")):
-        raise Refused(f"not a query: {kind}")
-    if kind == "UnresolvedWith":
-        for item in _scala(node.cteRelations()):
-            names.add(item._1().lower())
-            _walk(item._2(), names, relations, functions)
-    if kind == "UnresolvedRelation":
-        relations.append(".".join(_scala(node.multipartIdentifier())).lower())
-    if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
-        functions.update(x.lower() for x in re.findall(r"\w+", node.toString()))
-    for expr in _scala(node.expressions()):
-        _walk_expr(expr, names, relations, functions)
-    for child in _scala(node.children()):
-        _walk(child, names, relations, functions)
-
-
-def _walk_expr(expr, names, relations, functions) -> None:
-    kind = expr.getClass().getSimpleName()
-    if kind == "UnresolvedFunction":
-        functions.add(expr.nameParts().last().lower())
-    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-        _walk(expr.plan(), names, relations, functions)
-    for child in _scala(expr.children()):
-        _walk_expr(child, names, relations, functions)
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _span(node) -> tuple[int, int]:
+    """Where a node stands in its statement: first character, and the one after the last."""
+    origin = node.origin()
+    return origin.startIndex().get(), origin.stopIndex().get() + 1
+
+
+def _name(attribute) -> list[str]:
+    return [x.lower() for x in _scala(attribute.nameParts())]
+
+
+def _conjuncts(expr) -> list:
+    return [c for x in _scala(expr.children()) for c in _conjuncts(x)] if _kind(expr) == "And" else [expr]
+
+
+def _kept_live(expr) -> str | None:
+    """The qualifier ('' without one) whose deleted rows a condition drops: is_deleted = false (or 0), NOT is_deleted."""
+    parts = _scala(expr.children())
+    if _kind(expr) == "Not" and _kind(parts[0]) == "UnresolvedAttribute":
+        flag = parts[0]
+    elif _kind(expr) == "EqualTo" and any(_kind(x) == "Literal" and x.toString().lower() in ("false", "0") for x in parts):
+        flag = next((x for x in parts if _kind(x) == "UnresolvedAttribute"), None)
+    else:
+        return None
+    name = _name(flag) if flag is not None else []
+    return None if not name or name[-1] != FLAG else name[-2] if len(name) > 1 else ""
+
+
+class Statement:
+    """What Catalyst's parse of a statement holds, and the edits that the policy asks for."""
+
+    def __init__(self, spark: SparkSession, sql: str) -> None:
+        try:
+            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        except Exception as error:
+            raise Refused(f"does not parse: {str(error).splitlines()[0][:120]}") from None
+        self.sql, self.ctes, self.relations, self.functions, self.flag_named = sql, set(), [], set(), False
+        self.edits: list[tuple[int, int, str]] = []
+        self._ctes(plan)
+        self._plan(plan, [], None)
+
+    def _ctes(self, node) -> None:
+        if _kind(node) == "UnresolvedWith":
+            self.ctes |= {item._1().lower() for item in _scala(node.cteRelations())}
+
+    def _plan(self, node, kept: list[str], alias: str | None) -> None:
+        """kept: qualifiers whose deleted rows a filter of this query block drops. alias: what the node is called."""
+        kind = _kind(node)
+        if "Command" in kind or "Insert" in kind or kind.startswith(("Create", "Drop", "Alter", "Truncate", "Delete", "Update", "Merge", "Replace", "Set", "Describe", "Show")):
+            raise Refused(f"not a query: {kind}")
+        if kind == "UnresolvedWith":
+            self._ctes(node)
+            for item in _scala(node.cteRelations()):
+                self._plan(item._2(), [], None)
+        if kind == "UnresolvedRelation":
+            name = ".".join(_scala(node.multipartIdentifier())).lower()
+            self.relations.append(name)
+            if name in FLAGGED and name not in self.ctes and (alias or name) not in kept and "" not in kept:
+                self.edits.append((*_span(node), f"(SELECT * FROM {name} WHERE {FLAG} = false)" + ("" if alias else f" AS {name}")))
+        if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
+            self.functions.update(x.lower() for x in re.findall(r"\w+", node.toString()))
+        if kind not in SAME_ROWS:
+            kept = []
+        if kind == "Filter":
+            kept = kept + [q for c in _conjuncts(node.condition()) if (q := _kept_live(c)) is not None]
+        for expr in _scala(node.expressions()):
+            self._expr(expr)
+        children = _scala(node.children())
+        for i, child in enumerate(children):
+            # a condition of an outer join filters the side that may be missing
+            sides = {"Inner": (0, 1), "Cross": (0, 1), "LeftOuter": (1,), "RightOuter": (0,)}
+            own = [q for c in _conjuncts(node.condition().get()) if (q := _kept_live(c)) is not None] if kind == "Join" and node.condition().isDefined() and i in sides.get(node.joinType().toString(), ()) else []
+            self._plan(child, kept + own, node.alias().lower() if kind == "SubqueryAlias" else None)
+
+    def _expr(self, expr) -> None:
+        kind = _kind(expr)
+        if kind == "UnresolvedFunction":
+            self.functions.add(expr.nameParts().last().lower())
+        if kind == "UnresolvedAttribute":
+            self.flag_named |= _name(expr)[-1] == FLAG
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression", "InSubquery"):
+            if kind != "InSubquery":
+                self._plan(expr.plan(), [], None)
+        parts = _scala(expr.children())
+        names = [_name(x)[-1] if _kind(x) == "UnresolvedAttribute" else None for x in parts]
+        if FLAG in names and kind in ("EqualTo", "EqualNullSafe", "In"):
+            for x in parts:
+                if _kind(x) == "Literal" and x.toString() in ("0", "1"):
+                    self.edits.append((*_span(x), "false" if x.toString() == "0" else "true"))
+        if kind == "Like" and names[0] == "nama_pelanggan":
+            at = re.compile(r"(?i)LIKE").search(self.sql, _span(expr)[0])
+            self.edits.append((at.start(), at.end(), "ILIKE"))
+        for child in parts:
+            self._expr(child)
+
+    def check(self, tables: tuple[str, ...] = TABLES) -> None:
+        if not self.relations:
+            raise Refused("reads no table")
+        for r in self.relations:
+            if r not in self.ctes and r not in tables:
+                raise Refused(f"table not allowed: {r}")
+        for f in self.functions & DENIED:
+            raise Refused(f"function not allowed: {f}")
+        if set(FLAGGED) & set(self.relations) and not self.flag_named:
+            raise Refused("spk and jaringan need is_deleted")
+
+    def rewritten(self) -> str:
+        """The statement with its edits, at the places that the parser gave them; nothing else is touched."""
+        out = self.sql
+        for start, end, text in sorted(set(self.edits), reverse=True):
+            out = out[:start] + text + out[end:]
+        return out
 
 
 def check_plan(spark: SparkSession, sql: str, tables: tuple[str, ...] = TABLES) -> None:
-    """Raise Refused unless sql is one query over allowed tables, without denied functions."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception as error:
-        raise Refused(f"does not parse: {str(error).splitlines()[0][:120]}") from None
-    names: set[str] = set()
-    relations: list[str] = []
-    functions: set[str] = set()
-    _walk(plan, names, relations, functions)
-    if not relations:
-        raise Refused("reads no table")
-    for r in relations:
-        if r not in names and r not in tables:
-            raise Refused(f"table not allowed: {r}")
-    for f in functions & DENIED:
-        raise Refused(f"function not allowed: {f}")
-    if {"spk", "jaringan"} & set(relations) and "is_deleted" not in sql.lower():
-        raise Refused("spk and jaringan need is_deleted")
-
-
-def rewrite(sql: str) -> str:
-    """Boolean literals for is_deleted, and case-insensitive search of customer names."""
-    sql = re.sub(r"(?i)\b((?:\w+\.)?is_deleted)\s*=\s*([01])\b", lambda m: f"{m[1]} = {'false' if m[2] == '0' else 'true'}", sql.strip().rstrip(";"))
-    return re.sub(r"(?i)\b((?:\w+\.)?nama_pelanggan)\s+LIKE\b", r"\1 ILIKE", sql)
+    """Raise Refused unless sql is one query over allowed tables, without denied functions, that names is_deleted."""
+    Statement(spark, sql).check(tables)
+
+
+def rewrite(spark: SparkSession, sql: str) -> str:
+    """sql with the policy in it: only live rows of flagged relations, boolean flags, names compared without case.
+
+    Relations (under aliases, in sub-queries and CTEs) get a filter where their query block does not
+    filter them already, by a condition that all its rows must meet. Literals and comments stay.
+    """
+    return Statement(spark, sql.strip().rstrip(";")).rewritten()
 
 
 def run_checked(spark: SparkSession, sql: str, args: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
-    """Rewrite, check and run a statement; values come as parameters, never as text."""
-    sql = rewrite(sql)
-    check_plan(spark, sql)
-    out = spark.sql(sql, args=args or {})
+    """Check, rewrite and run a statement; values come as parameters, never as text."""
+    statement = Statement(spark, sql.strip().rstrip(";"))
+    statement.check()
+    out = spark.sql(statement.rewritten(), args=args or {})
     return out.limit(limit) if limit is not None else out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,65 +115,70 @@ ROW = ("standard", "nms_engineer", "on_site_teknisi", "perbaikan", "hasil_akhir"
 
 
 def _label(label: str) -> str:
-    """A row's label: blanks vary, '/' and '-' may be lost."""
-    return r"\s+".join("".join(f"[{c}]?" if c in "/-" else c for c in w) for w in label.split())
-
-
-def _row_value(section: Column, label: str) -> Column:
-    """The first of the five lines behind a label that is neither noise nor another row's label."""
-    tail = F.regexp_replace(T.found(section, rf"(?is){label}(.{{0,400}})"), r"\A\s+", "")
-    lines = F.slice(T.lines_of(F.coalesce(tail, F.lit("")), keep_blank=True), 1, 5)
-    noise = "|".join([r"\s*".join(w if w.isalpha() else rf"\Q{w}\E" for w in n.split()) for n in rules.INDOOR_NOISE] + [r"\d+\.\s*\z", r"quality\s*\z", r"\d{3}/"])
-    words = "|".join(w.replace(" ", r"\s+") for w in rules.INDOOR_WORDS)
-    labels = "|".join(_label(n) for _, n in rules.INDOOR)
-    skip = rf"(?i)\A(?:{noise}|{labels})|\b(?:{words}|(?:td|rd|rts|cts)/?(?:txd|rxd))\b"
-    return F.coalesce(F.get(F.filter(lines, lambda x: (x != "") & ~F.rlike(x, F.lit(skip))), F.lit(0)), F.lit(""))
+    """A pattern for a printed label: blanks vary, slashes and hyphens may be lost."""
+    return r"\s+".join(re.sub("[/-]", "[/-]?", w) for w in label.split())
 
 
 def indoor(text: Column) -> Column:
     """array<struct<bagian, parameter, standard, nms_engineer, on_site_teknisi, perbaikan, hasil_akhir>> of the text layer.
 
-    An entry for every row, '' for what is not found; an empty array without the section. Rows whose
-    values hold other rows' words (a modem's quality, speeds, ranges in ohm) have patterns of their own.
+    An entry for every row, '' for what is not found; an empty array without the section. The section
+    is cut at the rows' labels, so a row holds what stands up to the next label and nothing else.
     """
     section = section_by_keywords(T.clean_checklist(text), tuple(rf"({p}.*?)(?=OUTDOOR|LINE\s*CHECKLIST|KESIMPULAN|\z)" for p in INDOOR_STARTS), rules.INDOOR_KEYWORDS)
     return F.coalesce(T.let(section, lambda s: F.when(s.isNotNull(), _indoor_rows(s))), F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in ("bagian", "parameter", *ROW)) + ">>"))
 
 
+#: Marks before and behind the number of a label that has been found.
+OPEN, SHUT = "\x01", "\x02"
+
+
+def _cells(text: Column, labels: list[str]) -> Column:
+    """array<struct<label, cells, before>>: a text cut at labels (the longest first); lines that print headings are left out.
+
+    cells: what follows the label; before: what precedes it, up to the label before.
+    """
+    marked = text
+    for n in sorted(labels, key=len, reverse=True):
+        marked = F.regexp_replace(marked, rf"(?i)(?<![\w/]){_label(n)}(?![\w/])", f"{OPEN}{labels.index(n)}{SHUT}")
+    printed = [h.replace(" ", "") for h in rules.INDOOR_HEADINGS]
+    heading = lambda x: F.exists(F.array(*map(F.lit, printed)), lambda h: F.startswith(F.regexp_replace(F.upper(x), r"[\s(]+", ""), h))
+
+    def piece(x: Column) -> Column:
+        cells = F.array_join(F.filter(T.lines_of(F.substring_index(x, SHUT, -1)), lambda y: ~heading(y)), "\n")
+        return F.struct(F.when(F.contains(x, F.lit(SHUT)), F.get(F.array(*map(F.lit, labels)), F.substring_index(x, SHUT, 1).try_cast("int"))).alias("label"), cells.alias("cells"))
+
+    pieces = T.let(F.split(marked, OPEN), lambda parts: F.transform(parts, piece))
+    return T.let(pieces, lambda all_: F.transform(all_, lambda x, i: F.struct(x["label"].alias("label"), x["cells"].alias("cells"), F.when(i > 0, F.get(all_, i - 1)["cells"]).alias("before"))))
+
+
 def _indoor_rows(section: Column) -> Column:
-    ohm = lambda low, high, area: T.found(meter, rf"(?i)({low}[-–]\s*{high}\s*[ΩΩ]\s*\([^)]*(?:{area})[^)]*\))")
-    meter = F.coalesce(T.found(section, r"(?is)by\s+AVO\s+Meter\)(.*?)(?=OUTDOOR|LINE|KESIMPULAN|\z)"), section)
-    link = _label("109/DCD/LINK-WAN")
-    quality = T.found(section, r"(?i)All\s+STU\s+Modem\s+(Quality\s+A)")
-    counter = T.found(section, r"(?i)All\s+STU\s+Modem\s+Quality\s+A\s*(No\s+Counter\s+CRC\s+Error)")
-    speed = r"(?i)Tainet\s+Scorpio\s+(Connected\s+xxx\s+KBps)\s+(Connected\s+KBps)"
-    value = lambda part, label: _row_value(meter if part == "lc_signal_avo" else section, _label(label) + (r"(?!\s+Scorpio)" if label == "Tainet" else ""))
-    own = {name: value(*name) for name in rules.INDOOR}
-    text_or = lambda name, special: F.coalesce(special, own[name])
-    on_site, engineer = {}, {}
-    dcd = ("indikator_modem", "109/DCD/LINK-WAN")
-    state = F.upper(F.coalesce(T.found(section, rf"(?i){link}\s*\n\s*(ON|OFF)\b"), T.found(section, rf"(?i)Modem\s+(ON|OFF)\s+{link}")))
-    own[dcd] = F.coalesce(F.when(own[dcd] != "", own[dcd]), state, F.lit(""))
-    stu = ("merek", "All STU Modem")
-    own[stu] = F.coalesce(F.concat_ws(" ", F.when(counter.isNotNull(), quality), counter), F.lit(""))
-    own[stu] = F.when(own[stu] != "", own[stu]).otherwise(F.coalesce(F.when(value(*stu) != "", value(*stu)), quality, F.lit("")))
-    tainet = ("merek", "Tainet Scorpio")
-    own[tainet], on_site[tainet] = text_or(tainet, T.found(section, speed, 1)), F.regexp_replace(T.found(section, speed, 2), r"\s+", " ")
-    for name, special in ((("lc_signal_avo", "STU 1088/2304"), ohm(400, 700, "Tlkm|Area")), (("lc_signal_avo", "Tainet"), ohm(50, 200, "HRB|Area"))):
-        engineer[name] = F.when(special.isNotNull(), "Ω")
-        own[name] = F.coalesce(special, F.lit("")) if name[1] != "Tainet" else text_or(name, special)
-    express = ("lc_signal_avo", "Adtran Express")
-    volts = T.found(F.translate(meter, "\n", " "), r"(?i)(48[-–]50\s+VDc\s+\(QUAD\s+CES\s+SHDSL\))")
-    own[express] = F.coalesce(volts, T.strip(F.translate(own[express], "Ω", "")))
-    blank = F.lit("")
-    made = [
-        F.struct(
-            F.lit(part).alias("bagian"), F.lit(label).alias("parameter"), F.regexp_replace(own[part, label], r"\s+", " ").alias("standard"), F.coalesce(engineer.get((part, label), blank), blank).alias("nms_engineer"),
-            F.coalesce(on_site.get((part, label), blank), blank).alias("on_site_teknisi"), blank.alias("perbaikan"), blank.alias("hasil_akhir"),
-        )
-        for part, label in rules.INDOOR
-    ]
-    return F.array(*made)
+    """Rows of the section: those that are checked by AVO meter behind that heading, all others before it."""
+    avo = rf"(?i){_label(rules.AVO_HEADING)}"
+    parts = F.split(section, avo, 2)
+    near, behind = _cells(F.get(parts, F.lit(0)), [n for p, n in rules.INDOOR if p != "lc_signal_avo"]), _cells(F.coalesce(F.get(parts, F.lit(1)), section), [n for p, n in rules.INDOOR if p == "lc_signal_avo"] + ["Tainet Scorpio"])
+
+    def row(part: str, label: str, cells: Column) -> Column:
+        """By position: a printed value as it stands in the form, else the first line; what follows a printed value is the next column's."""
+        at = F.get(F.filter(cells, lambda x: x["label"] == label), F.lit(0))
+        whole = F.coalesce(F.regexp_replace(at["cells"], r"\s+", " "), F.lit(""))
+        plain = F.lower(T.plain_dashes(whole))
+        value, rest = F.substring_index(F.coalesce(at["cells"], F.lit("")), "\n", 1), F.lit("")
+        fixed = rules.INDOOR_VALUES.get((part, label), ())
+        for printed, *_ in reversed(fixed):
+            fits = F.startswith(plain, F.lit(printed.lower()))
+            value, rest = F.when(fits, F.substr(whole, F.lit(1), F.lit(len(printed)))).otherwise(value), F.when(fits, F.trim(F.substr(whole, F.lit(len(printed) + 1)))).otherwise(rest)
+        if (part, label) in rules.INDOOR_STATES:  # the form prints the state before or behind the label
+            last = F.upper(F.regexp_extract(at["before"], r"(?i)\b(on|off)\s*\z", 1))
+            value = F.when(value != "", value).otherwise(F.coalesce(last, F.lit("")))
+        unit, on_site = next(((u, o) for _, u, o in fixed if u or o), ("", ""))
+        if fixed and not unit:
+            value = T.strip(F.translate(value, "Ω", ""))
+        engineer = F.when(F.lit(unit != "") & (value != ""), F.lit(unit)).otherwise("")
+        site = F.when(F.lit(on_site != "") & F.startswith(F.lower(rest), F.lit(on_site.lower())), F.lit(on_site)).otherwise("")
+        return F.struct(F.lit(part).alias("bagian"), F.lit(label).alias("parameter"), F.regexp_replace(value, r"\s+", " ").alias("standard"), engineer.alias("nms_engineer"), site.alias("on_site_teknisi"), F.lit("").alias("perbaikan"), F.lit("").alias("hasil_akhir"))
+
+    return T.let(F.struct(near.alias("near"), behind.alias("behind")), lambda c: F.array(*[row(p, n, c["behind"] if p == "lc_signal_avo" else c["near"]) for p, n in rules.INDOOR]))
 
 
 def prefer_bands(rows: DataFrame, bands: DataFrame, label: str, columns: dict[str, str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

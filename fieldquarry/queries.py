@@ -944,17 +944,27 @@ def indoor_checklists(spark, d) -> DataFrame:
     return _numbers(spark, d).select("doc_id", text.alias("text"))
 
 
-# The rule takes the first of five lines that is no label: rows left empty take a later line's rest ('KBps', 'CES SHDSL)').
 _INDOOR = (
-    ("merek", "RTS/105", "'KBps'", ""), ("merek", "CTS/106", "'KBps'", ""), ("lc_signal_kop", "STU 1088/2304", "'CES SHDSL)'", ""), ("indikator_modem", "POWER", "'Green ' || k % 5", ""), ("indikator_modem", "109/DCD/LINK-WAN", "'OFF'", ""), ("merek", "TD/TXD/103", "'Blinking'", ""), ("merek", "Alarm LED", "'Off'", ""), ("merek", "All STU Modem", "'Quality A No Counter CRC Error'", ""),
+    ("indikator_modem", "POWER", "'Green ' || k % 5", ""), ("indikator_modem", "109/DCD/LINK-WAN", "'OFF'", ""), ("merek", "TD/TXD/103", "'Blinking'", ""), ("merek", "Alarm LED", "'Off'", ""), ("merek", "All STU Modem", "'Quality A No Counter CRC Error'", ""),
     ("merek", "Tainet Scorpio", "'Connected xxx KBps'", ""), ("modem_fo", "Optical LED Alarm", "k::VARCHAR", ""), ("lc_signal_kop", "STU 160", "'> 20 dB'", ""), ("lc_signal_avo", "STU 1088/2304", "'400-700 Ω (Tlkm Area)'", "Ω"),
     ("lc_signal_avo", "Tainet", "'50–200 Ω (HRB Area)'", "Ω"), ("lc_signal_avo", "Adtran Express", "'48-50 VDc (QUAD CES SHDSL)'", ""),
 )
 
 
-@query("checklist_indoor", " UNION ALL ".join(f"SELECT k AS doc_id, '{p}' AS bagian, '{n}' AS parameter, {v} AS standard, '{e}' AS nms_engineer, '{'Connected KBps' if n == 'Tainet Scorpio' else ''}' AS on_site_teknisi FROM (SELECT s_suppkey AS k FROM supplier) WHERE {'k % 3 <> 0' if p == 'lc_signal_avo' or 'CES' in v else 'true'}" for p, n, v, e in _INDOOR))
+def _indoor_sql() -> str:
+    """All rows, those without a value too."""
+    held = {(p, n): (v, e) for p, n, v, e in _INDOOR}
+    rows = []
+    for p, n in rules.INDOOR:
+        v, e = held.get((p, n), ("''", ""))
+        there = "k % 3 <> 0" if p == "lc_signal_avo" else "true"
+        rows.append(f"SELECT k AS doc_id, '{p}' AS bagian, '{n}' AS parameter, CASE WHEN {there} THEN {v} ELSE '' END AS standard, CASE WHEN {there} THEN '{e}' ELSE '' END AS nms_engineer, '{'Connected KBps' if n == 'Tainet Scorpio' else ''}' AS on_site_teknisi FROM (SELECT s_suppkey AS k FROM supplier)")
+    return " UNION ALL ".join(rows)
+
+
+@query("checklist_indoor", _indoor_sql())
 def _indoor(spark, d):
-    rows = indoor_checklists(spark, d).select("doc_id", F.explode(checklists.indoor(F.col("text"))).alias("r")).where("r.standard <> ''")
+    rows = indoor_checklists(spark, d).select("doc_id", F.explode(checklists.indoor(F.col("text"))).alias("r"))
     return rows.select("doc_id", "r.bagian", "r.parameter", "r.standard", "r.nms_engineer", "r.on_site_teknisi")
 
 

@@ -130,5 +130,6 @@ def sql_of_reply(reply: Column) -> Column:
     return T.strip(F.regexp_replace(T.strip(found), r";\z", ""))
 
 
-def sql_prompt(question: Column, schema: str) -> Column:
-    return F.concat(F.lit("Write one SELECT statement for this schema.\n" + schema + "\nQuestion: "), question, F.lit("\nSQL:"))
+def sql_prompt(question: Column, schema: str | Column) -> Column:
+    shown = F.lit(schema) if isinstance(schema, str) else schema
+    return F.concat(F.lit("Write one SELECT statement for this schema.\n"), shown, F.lit("\nQuestion: "), question, F.lit("\nSQL:"))

@@ -268,11 +268,23 @@ def _air_conditioner(spark, d):
     return made.select("doc_id", F.explode(F.concat("r.physical_check", F.array("r.psi_pressure", "r.input_current", "r.output_temperature"))).alias("i")).select("doc_id", "i.*")
 
 
-@query("image_labels", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(x)}, {len(rules.section_words(x))})" for t, x in rules.IMAGE_LABELS.items()) + ") AS v(document_type, n_labels, n_words)")
+#: What the forms print, written out apart from the rules under test.
+_PRINTED = {
+    "spk_survey": ["Dokumentasi foto", "Foto penempatan perangkat di lokasi pelanggan", "Foto jalur kabel dalam gedung", "Plan jalur dalam gedung", "Data jalur kabel", "Foto splitter", "Foto hh eksisting yang dipakai", "Foto lokasi hh baru"],
+    "spk_instalasi": ["HASIL INSTALASI", "PHOTO INSTALASI ETHERNET", "FOTO LAIN-LAIN", "LIST ITEM"],
+    "spk_dismantle": ["HASIL PEKERJAAN CABUT", "DISMANTLE ITEMS"],
+    "spk_aktivasi": ["HASIL AKTIVASI", "DOKUMENTASI FOTO", "LIST ITEM"],
+}
+
+
+@query("image_labels", f"{_WO} SELECT id_spk AS doc_id, unnest(CASE jenis_spk " + " ".join(f"WHEN '{t[4:]}' THEN [{', '.join(repr(x) for x in v)}]" for t, v in _PRINTED.items()) + " END) AS label, CASE jenis_spk WHEN 'survey' THEN 21 WHEN 'instalasi' THEN 18 WHEN 'dismantle' THEN 16 ELSE 17 END AS n_words FROM wo WHERE jenis_spk <> 'maintenance'")
 def _image_labels(spark, d):
-    types = spark.createDataFrame([(t,) for t in ("SPK Survey", "spk-instalasi", "spk_dismantle", "SPK_AKTIVASI", "checklist wireline", "checklist_wireless", "form_pm_ac")], "t string").toLocalIterator()
-    rows = [(t.lower().replace(" ", "_").replace("-", "_"), len(rules.image_labels(t)), len(rules.section_words(rules.image_labels(t)))) for (t,) in types]
-    return spark.createDataFrame([r for r in rows if r[1]], "document_type string, n_labels int, n_words int")
+    """The labels that each work order's images are looked up by."""
+    docs = work_orders(spark, d).select("doc_id", classify.document_type(F.col("text")).alias("t"))
+    known = {t: rules.image_labels(t.replace("_", " ").upper()) for t in rules.IMAGE_LABELS}
+    labels = F.create_map(*[F.lit(x) for t, v in known.items() for x in (t, F.array(*map(F.lit, v)))])
+    words = F.create_map(*[F.lit(x) for t, v in known.items() for x in (t, len(rules.section_words(v)))])
+    return docs.select("doc_id", F.explode(F.try_element_at(labels, "t")).alias("label"), F.try_element_at(words, "t").alias("n_words"))
 
 
 def pm_forms(spark, d) -> DataFrame:
@@ -670,18 +682,28 @@ STATEMENTS = (
 )
 
 
-def _statements(spark):
-    return spark.createDataFrame([(i, s) for i, (s, *_) in enumerate(STATEMENTS)], "id int, sql string")
+def _statements(spark, d):
+    """A statement of one of the forms for each order, with its own numbers in it."""
+    o = catalog.spk(spark, d)
+    forms_ = F.array(*[F.lit(s) for s, *_ in STATEMENTS])
+    own = F.get(forms_, F.pmod("id_spk", F.lit(len(STATEMENTS))).cast("int"))
+    for old, new in (("'0000000085'", F.concat(F.lit("'"), "no_jaringan", F.lit("'"))), ("'123'", F.concat(F.lit("'"), "no_jaringan", F.lit("'"))), ("id_spk = 1", F.concat(F.lit("id_spk = "), "id_spk"))):
+        own = F.replace(own, F.lit(old), new)
+    return o.select(F.col("id_spk").alias("id"), own.alias("sql"))
+
+
+def _by_form(values: list[str]) -> str:
+    return f"CASE o_orderkey % {len(STATEMENTS)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-@query("sql_gate_string", " UNION ALL ".join(f"SELECT {i} AS id, {f"'{r}'" if r else 'NULL::VARCHAR'} AS reason, {e} AS n_errors" for i, (_, r, e, _) in enumerate(STATEMENTS)))
+@query("sql_gate_string", f"SELECT o_orderkey AS id, {_by_form([f"'{r}'" if r else 'NULL::VARCHAR' for _, r, _, _ in STATEMENTS])} AS reason, {_by_form([e for _, _, e, _ in STATEMENTS])} AS n_errors FROM orders")
 def _gate(spark, d):
-    return _statements(spark).select("id", sqlgate.gate(F.col("sql")).alias("reason"), F.size(sqlgate.strict_errors(F.col("sql"))).alias("n_errors"))
+    return _statements(spark, d).select("id", sqlgate.gate(F.col("sql")).alias("reason"), F.size(sqlgate.strict_errors(F.col("sql"))).alias("n_errors"))
 
 
-@query("sql_lint_warnings", " UNION ALL ".join(f"SELECT {i} AS id, {w} AS n_warnings" for i, (*_, w) in enumerate(STATEMENTS)))
+@query("sql_lint_warnings", f"SELECT o_orderkey AS id, {_by_form([w for *_, w in STATEMENTS])} AS n_warnings FROM orders")
 def _lint(spark, d):
-    return _statements(spark).select("id", F.size(sqlgate.lint(F.col("sql"))).alias("n_warnings"))
+    return _statements(spark, d).select("id", F.size(sqlgate.lint(F.col("sql"))).alias("n_warnings"))
 
 
 @query("sql_sanitised", f"{catalog.ORACLE} SELECT id_spk, 'SELECT no_spk FROM spk WHERE id_spk = ' || id_spk AS sql, md5({"'Write one SELECT statement for this schema.' || chr(10) || 'spk(id_spk)' || chr(10) || 'Question: spk ' || no_spk || chr(10) || 'SQL:'"}) AS prompt FROM spk")
@@ -774,9 +796,19 @@ def _count_check(spark, d):
     return catalog.spk(spark, d).groupBy("no_jaringan").agg(F.count("*").alias("n")).withColumn("ok", conversation.count_is_valid(F.col("n"), F.lit(10)))
 
 
-@query("schema_prompt", f"SELECT '{catalog.schema_text()}' AS t")
+_TABLE_TEXTS = (
+    "TABLE jaringan (PK no_jaringan)\n  - no_jaringan VARCHAR(100)\n  - nama_pelanggan VARCHAR(255)\n  - lokasi_pelanggan TEXT\n  - jasa VARCHAR(100)\n  - media_akses VARCHAR(100)\n  - kecepatan VARCHAR(255)\n  - pop TEXT\n  - tgl_rfs_la DATE\n  - tgl_rfs_plg DATE\n  - is_deleted BOOLEAN",
+    "TABLE spk (PK id_spk)\n  - id_spk BIGINT\n  - no_spk VARCHAR(100)\n  - no_jaringan VARCHAR(100)\n  - document_type ENUM\n  - jenis_spk ENUM\n  - tanggal_spk DATE\n  - no_mr VARCHAR(100)\n  - no_fps VARCHAR(100)\n  - is_deleted BOOLEAN",
+    "TABLE spk_execution_info (PK id_execution)\n  - id_execution BIGINT\n  - id_spk BIGINT\n  - latitude DECIMAL(9,6)\n  - longitude DECIMAL(10,6)\n  - pic_pelanggan VARCHAR(255)\n  - kontak_pic_pelanggan VARCHAR(20)\n  - teknisi VARCHAR(255)\n  - nama_vendor VARCHAR(255)",
+)
+
+
+@query("schema_prompt", "SELECT o_orderkey AS id, md5('Write one SELECT statement for this schema.' || chr(10) || CASE o_orderkey % 3 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TABLE_TEXTS)) + " END || chr(10) || 'Question: spk ' || o_orderkey || chr(10) || 'SQL:') AS prompt FROM orders")
 def _schema(spark, d):
-    return spark.range(1).select(F.lit(catalog.schema_text()).alias("t"))
+    """A prompt for each order's question over the one table that it asks about."""
+    asked = F.array(*[F.lit(catalog.schema_text((t,))) for t in ("jaringan", "spk", "spk_execution_info")])
+    schema = F.get(asked, F.pmod("id_spk", F.lit(3)).cast("int"))
+    return catalog.spk(spark, d).select(F.col("id_spk").alias("id"), F.md5(nlq.sql_prompt(F.concat(F.lit("spk "), "id_spk"), schema)).alias("prompt"))
 
 
 # ---- evaluation and sources --------------------------------------------------------------------
@@ -895,9 +927,11 @@ def _continuations(spark, d):
     return _numbers(spark, d).select("doc_id", checklists.join_continuations(names).alias("names"))
 
 
-@query("parser_status_lookup", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{'planned' if t in rules.NOT_IMPLEMENTED else 'active'}')" for c, ts in rules.CATEGORIES.items() for t in ts) + ") v(document_type, category, status)")
+@query("parser_status_lookup", f"{_PM} SELECT doc_id, CASE WHEN code IN ('002', '003', '013', '014', '015') THEN 'planned' WHEN code <> '016' THEN 'active' END AS status, CASE WHEN code <> '016' THEN 'pmpop' END AS category FROM f")
 def _status(spark, d):
-    return records.parser_status(spark)
+    """What the registry says of each form's type."""
+    forms_ = pm_forms(spark, d).select("doc_id", classify.pm_by_code(F.col("text")).alias("document_type"))
+    return forms_.join(F.broadcast(records.parser_status(spark)), "document_type", "left").select("doc_id", "status", "category")
 
 
 @query("parse_records", f"{_WO} SELECT id_spk AS doc_id, CASE WHEN jenis_spk = 'maintenance' THEN 'unknown' ELSE 'spk_' || jenis_spk END AS document_type, CASE WHEN jenis_spk = 'maintenance' THEN 'unknown_document_type' ELSE 'success' END AS parsing_status, CASE WHEN jenis_spk <> 'maintenance' THEN no_spk END AS no_spk FROM wo")
@@ -911,10 +945,17 @@ def _parse_forms(spark, d):
     return records.parse(pm_forms(spark, d)).select("doc_id", "parsing_status", F.get_json_object("parsed", "$.header.versi").alias("versi"))
 
 
-@query("endpoint_answers", "SELECT conv_id, turn, length(coalesce(text, ''))::VARCHAR AS answer FROM conversations")
+def letter_counts(texts: list[str | None]) -> list[list[float]]:
+    """An embedding without a model: how often each of a to z is in a text, as floats."""
+    return [[float((t or "").count(chr(97 + i))) for i in range(26)] for t in texts]
+
+
+@query("endpoint_answers", "SELECT conv_id, turn, length(text) - length(replace(text, 'a', '')) AS a, length(text) - length(replace(text, 'z', '')) AS z, length(regexp_replace(text, '[^a-z]', '', 'g')) AS letters FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def _answers(spark, d):
     rows = catalog.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return endpoints.answer(rows, "text", lambda ts: [str(len(t or "")) for t in ts]).select("conv_id", "turn", "answer")
+    made = endpoints.embed(rows, "text", letter_counts)
+    count = lambda c: c.cast("long")
+    return made.select("conv_id", "turn", count(F.col("embedding")[0]).alias("a"), count(F.col("embedding")[25]).alias("z"), count(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("letters"))
 
 
 @query("cache_usage", "SELECT event_type, count(*) AS entries, round(count(*) * 100.0 / 1000, 2)::DOUBLE AS percent FROM events GROUP BY event_type")
@@ -983,4 +1024,4 @@ def _voltage_rows(spark, d):
     return _numbers(spark, d).select("doc_id", checklists.electrical(text)["p_n"].alias("v")).select("doc_id", "v.*")
 
 
-from fieldquarry import queries_documents  # noqa: E402, F401  (registers its queries)
+from fieldquarry import queries_documents, queries_streams  # noqa: E402, F401  (they register their queries)

@@ -98,6 +98,23 @@ def scalar_field(text: Column, label: str, stop_words: tuple[str, ...] = (), uni
     return value
 
 
+#: Labels beside the UPS brand, and words that are never a brand.
+UPS_LABELS = ("Menggunakan UPS", "Kapasitas UPS", "Jenis UPS", "QUALITY")
+NO_BRAND = ("menggunakan", "kapasitas", "quality", "parameter", "standard", "existing", "jenis", "ruangan")
+
+
+def ups(text: Column) -> Column:
+    """struct<merk, kapasitas> of the UPS: a brand of 3 to 30 characters before the next label, a number with its unit; '' where missing."""
+    line = T.found(text, r"(?i)Merk\s+UPS\s*:\s*([^\n]*)")
+    brand = line
+    for n in UPS_LABELS:
+        brand = F.get(F.split(brand, rf"(?i){n.split()[0]}", 2), F.lit(0))
+    brand = T.strip(brand)
+    fits = F.length(brand).between(3, 30) & F.rlike(brand, F.lit(r"\A[A-Za-z0-9 ,.-]*\w[A-Za-z0-9 ,.-]*\z")) & ~F.exists(F.array(*map(F.lit, NO_BRAND)), lambda w: F.contains(F.lower(brand), w))
+    size = T.found(text, r"(?i)Kapasitas\s+UPS\s*:?\s*(\d+(?:\.\d+)?\s*K?(?:VA|W))(?!\w)")
+    return F.struct(F.when(fits, brand).otherwise("").alias("merk"), F.coalesce(size, F.lit("")).alias("kapasitas"))
+
+
 NOISE = r"(?i)\A(?:[\W_]*|standard|existing|no\.?|page \d+)\z"
 
 

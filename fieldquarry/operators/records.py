@@ -39,7 +39,7 @@ def _checklist(kind: str) -> Callable[[Column], Column]:
     def made(text: Column) -> Column:
         common = [checklists.remote_data(text).alias("data_remote"), checklists.clocks(text).alias("pelaksanaan"), fields.devices(text, pattern).alias("data_perangkat")]
         if kind == "wireless":
-            return F.struct(*common, fields.voltage_table(text).alias("tegangan"), fields.quality_pair(text, "RSL").alias("rsl"), F.struct(*[fields.quality_table(text, t).alias(n) for n, t in rules.QUALITY.items()]).alias("quality_parameter"))
+            return F.struct(*common, fields.voltage_table(text).alias("tegangan"), fields.quality_pair(text, "RSL").alias("rsl"), checklists.ups(text).alias("ups"), F.struct(*[fields.quality_table(text, t).alias(n) for n, t in rules.QUALITY.items()]).alias("quality_parameter"))
         return F.struct(*common, checklists.location(text).alias("data_lokasi"), checklists.electrical(text).alias("electrical"), checklists.environment(text).alias("environment"), checklists.indoor(text).alias("indoor_area"), checklists.line_items(text).alias("line_checklist"))
 
     return made
@@ -73,21 +73,32 @@ PARSERS: dict[str, Callable[[Column], Column]] = {
     "form_pm_ruang_shelter": _form(("shelter", forms.shelter)),
     "form_pm_inverter": _form(("inverter", forms.inverter)),
     "form_pm_ac": _form(("air_conditioner", forms.air_conditioner)),
-    "form_pm_battery": _form(("battery_banks", forms.battery_banks)),
+    "form_pm_battery": _form(("battery", forms.battery_information), ("battery_banks", forms.battery_banks), ("measurement_test", forms.measurements)),
     "form_pm_dokumentasi_perangkat": _form(("inventory", forms.inventory)),
     "form_pm_1phase_ups": _form(("checklist_items", lambda t: forms.ups_template())),
 }
 
 
+#: Record expressions by application, column and registry: making one takes thousands of calls into the JVM.
+_MADE: dict[tuple, Column] = {}
+
+
+def record_column(spark, text_col: str = "text", parsers: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The record of a row as JSON by its document_type, null without parser. Made once a session and registry."""
+    parsers = PARSERS if parsers is None else parsers
+    key = (spark.sparkContext.applicationId, text_col, tuple(parsers.items()))
+    if key not in _MADE:
+        types: dict[Callable[[Column], Column], list[str]] = {}
+        for t, f in parsers.items():
+            types.setdefault(f, []).append(t)
+        _MADE[key] = classify.first_of([(F.col("document_type").isin(*ts), to_json(f(F.col(text_col)))) for f, ts in types.items()])
+    return _MADE[key]
+
+
 def parse(docs: DataFrame, text_col: str = "text", parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """docs with document_type, category, parsing_status and parsed (the record as JSON, null without parser)."""
-    parsers = PARSERS if parsers is None else parsers
     typed = classify.with_envelope(docs.withColumn("document_type", classify.document_type(F.col(text_col))))
-    types: dict[Callable[[Column], Column], list[str]] = {}
-    for t, f in parsers.items():
-        types.setdefault(f, []).append(t)
-    made = classify.first_of([(F.col("document_type").isin(*ts), to_json(f(F.col(text_col)))) for f, ts in types.items()])
-    return typed.withColumn("parsed", made)
+    return typed.withColumn("parsed", record_column(docs.sparkSession, text_col, parsers))
 
 
 def parser_status(spark) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from fieldquarry.functions import similarity as S
 from fieldquarry.functions import text as T
-from fieldquarry.operators import classify, conversation, evaluate, fields, forms, headings, layout, nlq, rules, sqlgate
+from fieldquarry.operators import checklists, classify, conversation, evaluate, fields, forms, headings, layout, nlq, rules, sqlgate
 from fieldquarry.plans import catalog
 from fieldquarry.registry import ORACLES, QUERIES, query
 from fieldquarry.sources import pages, sinks
@@ -195,14 +195,15 @@ def surveys(spark, d) -> DataFrame:
 def _survey(spark, d):
     s = surveys(spark, d).select("doc_id", fields.survey(F.col("text")).alias("s"))
     wanted = {(a, b) for a, b, _ in _SURVEY_ROWS}
-    maps = [s.select("doc_id", F.lit(n).alias("section"), F.explode(F.col(f"s.{n}")).alias("key", "value")) for n, *_ in rules.SURVEY]
-    out = maps[0]
-    for more in maps[1:]:
-        out = out.unionByName(more)
+    def entries_of(name: str):
+        return F.transform(F.map_entries(F.col(f"s.{name}")), lambda e: F.struct(F.lit(name).alias("section"), e["key"].alias("key"), e["value"].alias("value")))
+
+    entries = [entries_of(n) for n, *_ in rules.SURVEY]
+    groups = F.transform("s.hh_baru", lambda h: F.struct(F.lit("hh_baru").alias("section"), F.concat_ws(".", h["hh"], h["key"]).alias("key"), h["value"].alias("value")))
+    out = s.select("doc_id", F.explode(F.concat(*[F.coalesce(e, F.array().cast("array<struct<section: string, key: string, value: string>>")) for e in [*entries, groups]])).alias("e")).select("doc_id", "e.*")
     # inline sections list all their labels; the others only what they hold
     out = out.where((F.col("section") != "sarpen_ruang_server") | F.col("key").isin(*[b for a, b in wanted if a == "sarpen_ruang_server"]) | F.col("value").isNotNull())
-    hh = s.select("doc_id", F.lit("hh_baru").alias("section"), F.explode("s.hh_baru").alias("h")).select("doc_id", "section", F.concat_ws(".", "h.hh", "h.key").alias("key"), "h.value")
-    return out.unionByName(hh)
+    return out
 
 
 _QUALITY_ROWS = (("Menggunakan UPS", "'Ya'", "CASE WHEN k % 2 = 0 THEN 'Ya' ELSE 'Tidak' END"), ("Ruangan Bebas Debu", "''", "''"), ("Suhu Ruangan", "'< 25 C'", "(k % 40) || ' C'"), ("Terpasang ground bar dan terhubung ke MDP pertanahan", "'Tidak'", "''"))
@@ -382,6 +383,36 @@ def _triplets(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("r.no").cast("long")).alias("sum_no"), F.sum(F.col("r.soh").cast("long")).alias("sum_soh"))
 
 
+@query("battery_measurements", "SELECT s_suppkey AS doc_id, unnest(['1', 'a', 'b', '2']) AS no, unnest(['Voltage of bank', 'Internal resistance', '', 'Load test after load']) AS description, unnest([(10 + s_suppkey % 4) || ',' || s_suppkey % 10, s_suppkey::VARCHAR, 'none', '9']) AS result, unnest(['Min 11,5 V', '≥ 80 mOhm', NULL, '20 - 25 C']) AS operational_standard, unnest(['OK', CASE WHEN s_suppkey % 2 = 0 THEN 'NOK' END, NULL, 'ok']) AS status, (20 + s_suppkey % 9) || ' C' AS temperature, 'B' || s_suppkey AS bank FROM supplier")
+def _measurements(spark, d):
+    k = F.col("doc_id")
+    text = F.concat(
+        F.lit("Location : Site\nBattery Temperature : "), 20 + F.pmod(k, F.lit(9)), F.lit(" C Battery Bank : B"), k, F.lit("\n1. outside\nNo. Descriptions Result Operational Standard Status\n1. Voltage of\nbank "), 10 + F.pmod(k, F.lit(4)), F.lit(","), F.pmod(k, F.lit(10)),
+        F.lit(" Min 11,5 V OK\na. Internal resistance "), k, F.lit(" ≥ 80 mOhm"), F.when(F.pmod(k, F.lit(2)) == 0, " NOK").otherwise(""), F.lit("\nb. none\n2. Load test\nafter load 9 20 - 25 C\nok\nNotes : x\n3. no item"),
+    )
+    made = _numbers(spark, d).select("doc_id", F.explode(forms.measurements(text)).alias("m"), forms.battery_information(text).alias("i"))
+    return made.select("doc_id", "m.*", F.col("i.battery_temperature").alias("temperature"), F.col("i.battery_bank").alias("bank"))
+
+
+@query("capacity_choice", "SELECT s_suppkey AS doc_id, CASE s_suppkey % 3 WHEN 0 THEN '2000VA' WHEN 1 THEN '1000VA' ELSE CASE WHEN s_suppkey % 40 <= 12 THEN '500VA' WHEN s_suppkey % 40 <= 24 THEN '1000VA' ELSE '2000VA' END END AS chosen FROM supplier")
+def _choice(spark, d):
+    """By a mark, by what the item prints, by the number alone."""
+    k = F.col("doc_id")
+    value = F.concat(F.pmod(k, F.lit(40)), F.lit(",0"))
+    options = F.when(F.pmod(k, F.lit(3)) == 0, "9 A (500VA)\n16 A (1000VA)\n✓ 33 A ( 2000VA )").when(F.pmod(k, F.lit(3)) == 1, "16 A\n( 1000VA )").otherwise("16 A")
+    text = F.concat(F.lit("a. DC Input 9 A (500VA)\nb. DC Current Input *) "), value, F.lit(" A "), options, F.lit("\nc. Next 33 A (2000VA)\nNotes : none"))
+    return _numbers(spark, d).select("doc_id", forms.chosen_capacity(text, "DC Current Input", value, OPTIONS).alias("chosen"))
+
+
+@query("ups_fields", "SELECT s_suppkey AS doc_id, CASE s_suppkey % 4 WHEN 0 THEN 'APC Smart ' || s_suppkey WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'ICA-' || s_suppkey END AS merk, CASE s_suppkey % 3 WHEN 0 THEN s_suppkey || ' KVA' WHEN 1 THEN s_suppkey || '.5VA' ELSE '' END AS kapasitas FROM supplier")
+def _ups(spark, d):
+    k = F.col("doc_id")
+    brand = F.when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit("APC Smart "), k, F.lit(" Menggunakan UPS Ya"))).when(F.pmod(k, F.lit(4)) == 1, "Menggunakan UPS Ya").when(F.pmod(k, F.lit(4)) == 2, "Ruangan AC").otherwise(F.concat(F.lit("ICA-"), k))
+    size = F.when(F.pmod(k, F.lit(3)) == 0, F.concat(k, F.lit(" KVA"))).when(F.pmod(k, F.lit(3)) == 1, F.concat(k, F.lit(".5VA x"))).otherwise("QUALITY 5")
+    text = F.concat(F.lit("Merk UPS : "), brand, F.lit("\nKapasitas UPS : "), size, F.lit("\nQUALITY PARAMETER"))
+    return _numbers(spark, d).select("doc_id", checklists.ups(text).alias("u")).select("doc_id", "u.*")
+
+
 @query("roundtrip_inventory_fsm", "WITH i AS (SELECT s_suppkey AS doc_id, unnest(range(1, s_suppkey % 4 + 2)) AS i FROM supplier) SELECT doc_id, 'Switch ' || chr((64 + i)::INT) || ' (RACK)' AS equipment, i::VARCHAR AS qty, CASE WHEN (doc_id + i) % 2 = 0 THEN 'Active' ELSE 'Shutdown' END AS status, CASE WHEN i % 2 = 0 THEN 'Connect' ELSE 'Not Connect' END AS bonding_ground FROM i")
 def _inventory(spark, d):
     k = F.col("doc_id")

@@ -13,9 +13,12 @@ def to_json(record: Column) -> Column:
     return F.to_json(record, {"ignoreNullFields": "false"})
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """One JSON line for each record, in folders by category and document type."""
-    records.write.mode("append").option("ignoreNullFields", "false").partitionBy("category", "document_type").json(path)
+def write_records(records: DataFrame, path: str, at: Column | None = None) -> None:
+    """One JSON line for each record, in folders by category and document type; with `at`, a time, below a folder by type and time."""
+    by = ["category", "document_type"]
+    if at is not None:
+        records, by = records.withColumn("folder", T.folder_name(F.col("document_type"), at)), [*by, "folder"]
+    records.write.mode("append").option("ignoreNullFields", "false").partitionBy(*by).json(path)
 
 
 def output_folder(doc_type: Column, category: Column, at: Column) -> Column:

@@ -1,9 +1,12 @@
 """License scans: TF-IDF cosine of texts to licence templates, then inheritance from the nearest directory.
 
 Templates are one-line notices, common headers, SPDX tags and full licence texts. Of every whole text
-three kinds of spans are compared with them: each line, the whole text, and for templates of up to
-WINDOW terms every run of as many terms as the template has, wherever lines break. So a header
-wrapped over several lines, a notice inside a longer line and a whole licence file count alike.
+four kinds of spans are compared with them: each line, the whole text, for templates of up to
+WINDOW terms every run of as many terms as the template has, wherever lines break, and for longer
+ones the best fitting run of their size and of four fifths of it. So a header wrapped over several
+lines, a notice inside a longer line, a licence file and a licence text inside another count alike.
+Spans of notices and headers must hold the words and the version that name their licence, and no
+word that names a neighbour.
 
 Terms are lower-case runs of letters, digits and dots; an SPDX tag with its id (of an expression, the
 first) is one term. They are weighted by idf over all documents: every term's document frequency is
@@ -87,6 +90,25 @@ HEADERS = (
 SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
 
 
+#: Words that tell one licence from its neighbours. A span must hold those of its template, and no others of them.
+NAMING = frozenset({
+    "affero", "agpl", "apache", "attribution", "bsd", "cc", "cc0", "commons", "creative", "derivatives", "gnu", "gpl", "isc", "lesser", "lgpl", "library", "mit",
+    "mozilla", "mpl", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike", "unencumbered", "unlicense",
+})
+#: Of them, words that also stand in notices without naming anything.
+PLAIN = frozenset({"library"})
+#: Terms of a notice or header at most; longer templates are licence texts. Parts of their size that runs of a longer text have.
+NOTICE, PARTS = 100, (1.0, 0.8)
+
+
+def naming_terms(name: str, text: str) -> tuple[frozenset, frozenset]:
+    """(terms that a span must hold, naming terms that it must not hold) of a template: its naming words and its version."""
+    own = set(terms(text))
+    version = re.search(r"\d+(\.\d+)?", name)
+    forms = {version[0], version[0].removesuffix(".0")} if version else set()
+    return frozenset((own & (NAMING - PLAIN)) | (own & forms)), NAMING - PLAIN - own
+
+
 @cache
 def all_templates() -> tuple[tuple[str, str], ...]:
     """Notices, headers, SPDX tags and the full texts in license_texts, by name (read on the driver)."""
@@ -112,6 +134,8 @@ class Scanner:
 
     def __init__(self, n_docs: int, df: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD):
         self.names, self.threshold = [n for n, _ in templates], threshold
+        short = lambda x: len(terms(x)) <= NOTICE and TAG not in x.lower()
+        self.naming = [naming_terms(n, x) if short(x) else (frozenset(), frozenset()) for n, x in templates]
         self.vocabulary = {t: i for i, t in enumerate(sorted({t for _, x in templates for t in terms(x)}))}
         idf = lambda d: np.log((1 + n_docs) / (1 + d)) + 1
         self.idf = np.array([idf(df.get(t, 0)) for t in self.vocabulary])
@@ -198,6 +222,7 @@ class Scanner:
         own: dict[str, int] = {}
         codes = np.array([i if (i := self.vocabulary.get(t)) is not None else v + own.setdefault(t, len(own)) for t, _ in found])
         others = list(own)
+        code_of = lambda x: self.vocabulary.get(x, v + own[x] if x in own else None)
         line = np.searchsorted(np.array([m.start() for m in re.finditer("\n", text)], np.int64), np.array([a for _, a in found]))
         cuts = np.flatnonzero(np.diff(line)) + 1
         starts, stops = np.concatenate([[0], cuts, [0]]), np.concatenate([cuts, [n], [n]])
@@ -211,8 +236,18 @@ class Scanner:
                 a, z = np.concatenate([a, run]), np.concatenate([z, run + self.sizes[t]])
             row = np.concatenate([self.matrix[t] * self.idf, np.zeros(len(others))])
             dot = np.concatenate([[0.0], np.cumsum(row[codes])])
+            for part in PARTS if self.sizes[t] > NOTICE else ():  # a licence text within a longer one: where it fits best
+                if 0 < (size := int(part * self.sizes[t])) < n:
+                    fit = (dot[size:] - dot[:-size]) / np.sqrt(np.maximum(norm[size:] - norm[:-size], 1e-12))
+                    a, z = np.append(a, fit.argmax()), np.append(z, fit.argmax() + size)
+            must, never = self.naming[t]
+            must, never = {code_of(x) for x in must}, {code_of(x) for x in never} - {None}
             for i in np.flatnonzero(dot[z] - dot[a] >= floor * np.sqrt(norm[z] - norm[a])).tolist():
                 u, c = np.unique(codes[a[i] : z[i]], return_counts=True)
+                if must or never:
+                    held = set(u.tolist())
+                    if not must <= held or never & held:
+                        continue
                 known = u < v
                 product, square, rest = float(row[u] @ c), float(((weight[u] * c)[known] ** 2).sum()), float((c[~known] ** 2).sum())
                 if product >= floor * np.sqrt(square + rest):

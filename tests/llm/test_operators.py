@@ -113,6 +113,22 @@ def test_license_headers_files_and_tags(spark):
         assert got[i].own_license == name and (line is None or got[i].line == line), (i, name, got[i])
 
 
+def test_license_neighbours_and_bodies(spark):
+    """Words that name a licence decide; licence texts are found inside longer ones, their borders cut."""
+    random.seed(11)
+    words = ["ona", "tir", "wesh", "kel", "mor", "sel", "tin", "ko", "under", "the", "mit", "version"]
+    filler = lambda n: "\n".join(" ".join(random.choices(words, k=9)) for _ in range(n))
+    texts = {f.stem: f.read_text() for f in sorted((licenses.Path(licenses.__file__).parent / "license_texts").glob("*.txt"))}
+    bodies = {n: t[len(t) // 10 : len(t) - len(t) // 10] for n, t in texts.items()}
+    rows = [(0, "The tool was released under the license of its vendor", None), (1, "under the terms of the GNU General Public License version 1", None), (2, "Licensed under CC BY-SA 4.0", None)]
+    rows += [(3, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", None), (4, "under the terms of the GNU Lesser General Public License version 3", None), (5, "Licensed under CC BY 4.0", "CC-BY-4.0"), (6, "Released under the MIT License", "MIT")]
+    rows += [(100 + i, f"{filler(400)}\n{b}\n{filler(400)}", n) for i, (n, b) in enumerate(bodies.items())]
+    rows += [(1000 + i, filler(3), None) for i in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.own_license for r in licenses.license_scan(df, F.lit(None).cast("string")).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: n for i, _, n in rows}
+
+
 def test_license_idf_of_every_term(spark):
     notice = (("MIT", "Released under the MIT License"),)
     rows = [(0, "released under the mit license zeta eta")] + [(i, "zeta eta") for i in range(1, 60)]

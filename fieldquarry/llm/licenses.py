@@ -146,62 +146,9 @@ class Scanner:
                 self.matrix[i, self.vocabulary[t]] += 1
         self.matrix *= self.idf
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
-        # a line can only reach the threshold if it holds one of the terms that carry each template
-        self.rare = self._needed()
         self.sizes = [len(terms(x)) for _, x in templates]
         self.share = np.ascontiguousarray((self.matrix**2).T)
 
-    def _needed(self) -> list[re.Pattern]:
-        """Terms without which no line can reach the threshold, as one pattern.
-
-        Dropping a template's heaviest terms until the rest's norm is below the threshold leaves no
-        line of the rest alone that could reach it; so every hit holds one of the dropped terms.
-        """
-        need: set[str] = set()
-        names = list(self.vocabulary)
-        for row in self.matrix:
-            rest = 1.0
-            for i in np.argsort(-row):
-                if rest < self.threshold**2 * (1 - 1e-9):
-                    break
-                need.add(names[i])
-                rest -= row[i] ** 2
-        return [re.compile("|".join(sorted(map(re.escape, need), key=len, reverse=True)), re.IGNORECASE | re.ASCII)]
-
-    def line(self, text: str) -> tuple[float, int]:
-        """(best cosine, template) of one line."""
-        counts: dict[str, int] = {}
-        for t in terms(text):
-            counts[t] = counts.get(t, 0) + 1
-        if not counts:
-            return 0.0, 0
-        v = np.zeros(len(self.vocabulary))
-        other = 0.0
-        for t, c in counts.items():
-            i = self.vocabulary.get(t)
-            if i is None:
-                other += (c * self.unseen) ** 2
-            else:
-                v[i] = c * self.idf[i]
-        cos = self.matrix @ v / np.sqrt(v @ v + other)
-        best = int(cos.argmax())
-        return min(1.0, float(cos[best])), best
-
-    def scan(self, text: str) -> tuple[str | None, float, int]:
-        """(licence, cosine, line number) of the best line that reaches the threshold."""
-        found = (None, 0.0, -1)
-        seen = -1
-        for m in self.rare[0].finditer(text):
-            if m.start() < seen:
-                continue
-            a = text.rfind("\n", 0, m.start()) + 1
-            z = text.find("\n", m.start())
-            seen = len(text) if z < 0 else z
-            cos, best = self.line(text[a:seen])
-            if cos >= self.threshold and cos > found[1] + 1e-12:
-                found = (self.names[best], cos, text.count("\n", 0, a))
-        return found
-
     def candidates(self, text: str) -> list[dict]:
         """Spans that could reach the threshold and be the best, whatever the idf of other terms.
 

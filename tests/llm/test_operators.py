@@ -86,18 +86,34 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0), F.col("path")).count() == 0
 
 
-def test_license_lines_against_all_lines():
+def test_license_spans_against_all_spans(spark):
+    """Every line, run of a template's size and whole text against every template, with every term's own idf."""
     random.seed(1)
-    pool = [t for _, x in licenses.TEMPLATES for t in x.split()] + ["foo", "bar", "2.0.1", "MIT."]
-    scanner = licenses.Scanner(50, {"the": 40, "mit": 3, "license": 9})
-    for _ in range(400):
-        text = "\n".join(" ".join(random.choices(pool, k=random.randint(0, 9))) if random.random() < 0.7 else random.choice(licenses.TEMPLATES)[1] + random.choice(["", " foo", " bar."]) for _ in range(4))
-        best = (None, 0.0, -1)
-        for i, line in enumerate(text.split("\n")):
-            cos, at = scanner.line(line)
-            if cos >= scanner.threshold and cos > best[1] + 1e-12:
-                best = (scanner.names[at], cos, i)
-        assert scanner.scan(text) == best
+    templates = licenses.TEMPLATES + licenses.HEADERS
+    pool = [t for _, x in templates for t in x.split()] + ["foo", "bar", "2.0.1", "MIT."]
+    one = lambda: " ".join(random.choices(pool, k=random.randint(0, 9))) if random.random() < 0.6 else " ".join(random.choice(["", "foo"]) if random.random() < 0.06 else w for w in random.choice(templates)[1].split())
+    texts = ["\n".join(one() for _ in range(random.randint(1, 4))) for _ in range(60)]
+    df = collections.Counter(t for x in texts for t in set(licenses.terms(x)))
+    idf = lambda t: math.log((1 + len(texts)) / (1 + df[t])) + 1
+    weigh = lambda ts: {t: c * idf(t) for t, c in collections.Counter(ts).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    ways = [(n, weigh(licenses.terms(x)), len(licenses.terms(x)), *licenses.naming_terms(n, x)) for n, x in templates]
+    want = {}
+    for i, text in enumerate(texts):
+        found = [(t, n) for n, line in enumerate(text.split("\n")) for t in licenses.terms(line)]
+        spans = [[x for x in found if x[1] == n] for n in {n for _, n in found}] + [found]
+        best = None
+        for name, v, size, must, never in ways:
+            for span in spans + [found[a : a + size] for a in range(len(found) - size + 1)]:
+                u = weigh([t for t, _ in span])
+                if u and must <= u.keys() and not never & u.keys():
+                    cos = sum(x * v.get(t, 0.0) for t, x in u.items()) / norm(u) / norm(v)
+                    if cos >= licenses.THRESHOLD - 1e-12 and (best is None or (-round(cos, 12), span[0][1], name) < best):
+                        best = (-round(cos, 12), span[0][1], name)
+        want[i] = best and (best[2], best[1], pytest.approx(-best[0], abs=1e-9))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.own_license and (r.own_license, r.line, r.cosine) for r in licenses.license_scan(rows, F.lit(None).cast("string"), templates=templates).collect()}
+    assert got == want and sum(x is not None for x in want.values()) > 20
 
 
 def test_license_headers_files_and_tags(spark):

@@ -3,10 +3,13 @@
 Documents become token ids plus an end id; only those longer than a sequence are cut. The packer sees
 only how many pieces there are of each length (at most `capacity` numbers, whatever the corpus), so
 bin completion runs on the driver: the best-fit decreasing plan is the first incumbent; around the
-largest length fillings that no further piece fits are enumerated (every multiple of a length),
-pruned by waste against the incumbent and applied as often as counts allow, each time using up a
-length. The search stops at the lower bound or at its budget (FILL_STEPS, FILLINGS, RETRIES) and never
-returns more bins than best-fit; within the budget it need not be optimal. Pieces then find
+largest length left, fillings that no further piece fits and no larger piece improves are made, and a
+bin's waste prunes against the incumbent. Three searches share this: branching from the root; a dive
+whose fillings waste least in prices, which the relaxation of the pieces still left gives (waste in
+tokens alone uses small pieces up too early), and which branches on the last pieces; and completing
+groups of badly filled bins anew. All stop at the lower bound (total length, pieces above half a bin,
+or the prices) or at counted budgets (about 15 s where best-fit misses the bound, nothing where it
+meets it). The result never has more bins than best-fit; it is optimal where it meets the bound. Pieces then find
 their place by rank within their length: the rank among their task's pieces plus the pieces of the
 tasks before, so only counts by length and task are shuffled, and a length that a third of all pieces
 share stays where its pieces are.
@@ -38,6 +41,10 @@ from fieldquarry.llm.common import give_back, joined, runs_of, small_batches, st
 CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried after the first step back.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
+#: Classes of lengths that a relaxation tells apart, its steps a class, and the price above 1 that it may leave.
+CLASSES, RELAX_STEPS, RELAX_GAP = 160, 30, 1e-6
+#: Pieces that are left to branching alone; groups of bins completed anew, bins in one, and bins tried after its first step back.
+TAIL, REPAIRS, REPAIR_BINS, REPAIR_TRIES = 60, 300, 8, 60
 #: Bytes of a worker's cache; units encoded and bytes of text taken at once; rows of the table of ranks that may be broadcast.
 CACHE_BYTES, ENCODE_WORDS, SLICE_TEXT, BROADCAST_ROWS = 16 << 20, 4000, 2 << 20, 400_000
 
@@ -129,15 +136,16 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, steps: int,
     return found or [(room, ())]
 
 
-def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], int, int]:
-    """(patterns, bins, lower bound); a pattern is ((length, times), ...) and how many bins use it."""
-    goal, best = least_bins(counts, capacity), best_fit(counts, capacity)
+def branch(counts: dict[int, int], capacity: int, goal: int, best: list, tries_allowed: int) -> list:
+    """Bin completion from the root: the fewest bins found, best (the incumbent) if none are fewer.
+
+    Around the largest length left its fillings are tried, least waste first, each as often as counts
+    allow and then once; a bin whose waste leaves no way to fewer bins than the incumbent's is pruned.
+    """
     best_bins = sum(n for _, n in best)
-    if best_bins <= goal:
-        return best, best_bins, goal
     left = dict(counts)
     lengths = sorted(left)
-    stack: list[list] = []  # [options, next option, applied pattern, times, waste of it]
+    stack: list[list] = []  # [top, options, next option, applied pattern, times, waste of it]
     wasted, tries, first = 0, 0, True
     size = sum(k * v for k, v in counts.items())
 
@@ -159,7 +167,7 @@ def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tup
             top = lengths[-1]
             left[top] -= 1
             inner = lengths if left[top] else lengths[:-1]
-            options = fillings(inner, left, capacity - top, FILL_STEPS, FILLINGS)
+            options = [(w, f, most) for w, f in fillings(inner, left, capacity - top, FILL_STEPS, FILLINGS) for most in (True, False)]
             left[top] += 1
             stack.append([top, options, 0, None, 0, 0])
         elif down:
@@ -179,18 +187,22 @@ def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tup
         top, options, i = frame[:3]
         first &= down
         tries += not first
-        if tries > RETRIES:
+        if tries > tries_allowed:
             break
         if i >= len(options):
             stack.pop()
             down = False
             continue
-        waste, filling = options[i]
+        waste, filling, most = options[i]
         frame[2] += 1
         merged = dict(filling)
         merged[top] = merged.get(top, 0) + 1
         pattern = tuple(sorted(merged.items(), reverse=True))
         times = min(left[length] // n for length, n in pattern)
+        if not most and times == 1:
+            down = False
+            continue
+        times = times if most else 1
         if wasted + waste * times > (best_bins - 1) * capacity - size:
             down = False
             continue
@@ -198,7 +210,183 @@ def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tup
         frame[3:] = [pattern, times, waste * times]
         wasted += waste * times
         down = True
-    return best, best_bins, goal
+    return best
+
+
+# ---- waste in prices ----------------------------------------------------------------------------
+def dearest(sizes: np.ndarray, prices: np.ndarray, caps: np.ndarray, capacity: int, pattern: bool = True) -> tuple[float, np.ndarray]:
+    """The greatest price that one bin can hold, at most caps of a size, and (if asked for) how many of each size it then holds."""
+    value, took = np.zeros(capacity + 1), []
+    for i in np.flatnonzero(prices > 1e-12):
+        size, most, chunk = int(sizes[i]), int(min(caps[i], capacity // sizes[i])), 1
+        while most > 0:
+            n = min(chunk, most)
+            with_it = value[: capacity + 1 - n * size] + n * prices[i]
+            better = with_it > value[n * size :] + 1e-12
+            value[n * size :] = np.where(better, with_it, value[n * size :])
+            if pattern:
+                took.append((i, n, better))
+            most, chunk = most - n, 2 * chunk
+    held, room = np.zeros(len(sizes)), capacity
+    for i, n, better in reversed(took):
+        if room >= n * sizes[i] and better[room - n * sizes[i]]:
+            held[i] += n
+            room -= n * int(sizes[i])
+    return float(value[capacity]), held
+
+
+def relax(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prices by size, fillings as columns, times of each): the relaxation that may use a filling in part.
+
+    A bin holds pieces worth 1 at most, so 1 less its price is what a filling wastes. Fillings enter
+    one at a time, always the one worth most at the prices so far.
+    """
+    m = len(sizes)
+    most = np.minimum(capacity // sizes, need).astype(float)
+    columns, cost = np.diag(most), np.ones(m)
+    inverse, times = np.diag(1 / most), need / most
+    for step in range(RELAX_STEPS * m):
+        prices = cost @ inverse
+        i = int(prices.argmin())
+        if prices[i] < -1e-9:  # more of a size than needed may be held
+            entering, price = -np.eye(m)[i], 0.0
+        else:
+            worth, entering = dearest(sizes, prices, need, capacity)
+            if worth <= 1 + RELAX_GAP:
+                break
+            price = 1.0
+        way = inverse @ entering
+        ratio = np.where(way > 1e-8, times / np.maximum(way, 1e-8), np.inf)
+        out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            break
+        columns[:, out], cost[out] = entering, price
+        if step % 64 == 63:
+            inverse = np.linalg.inv(columns)
+        else:
+            row = inverse[out] / way[out]
+            inverse = inverse - np.outer(way, row)
+            inverse[out] = row
+        times = np.maximum(inverse @ need, 0)
+    return cost @ inverse, columns[:, cost > 0], times[cost > 0]
+
+
+def priced_bound(counts: dict[int, int], capacity: int, at: np.ndarray, prices: np.ndarray) -> int:
+    """Lower bound: pieces at prices of which no bin can hold more than its share (a dual-feasible function)."""
+    lengths = np.array(sorted(counts))
+    own = np.interp(lengths, at, np.maximum(prices, 0))
+    n = np.array([counts[int(k)] for k in lengths])
+    worth = dearest(lengths, own, n, capacity, pattern=False)[0]
+    return int(np.ceil((own * n).sum() / worth - 1e-6)) if worth > 0 else 0
+
+
+class Pieces:
+    """Pieces left by length, and bins made from them around their largest."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.left, self.capacity, self.lengths = dict(counts), capacity, sorted(counts)
+        self.bins: list[tuple[tuple[tuple[int, int], ...], int]] = []
+
+    def largest(self, limit: int, used: dict[int, int]) -> int:
+        """The largest length up to limit of which more are left than used; 0 if there is none."""
+        for i in range(bisect_right(self.lengths, limit) - 1, -1, -1):
+            if self.left[self.lengths[i]] > used.get(self.lengths[i], 0):
+                return self.lengths[i]
+        return 0
+
+    def fill(self, limits: list[int], times: int) -> int:
+        """Make up to times bins: for each limit the largest piece up to it, made undominated; the bins made."""
+        used: dict[int, int] = {}
+        room = self.capacity
+        for limit in limits:
+            if length := self.largest(min(limit, room), used):
+                used[length] = used.get(length, 0) + 1
+                room -= length
+        while room:  # a larger piece in place of one that is held, or one more
+            swaps = [(b - a, a, b) for a in (*used, 0) if (b := self.largest(a + room, used)) > a]
+            if not swaps:
+                break
+            gain, a, b = max(swaps)
+            if a:
+                used[a] -= 1
+                if not used[a]:
+                    del used[a]
+            used[b] = used.get(b, 0) + 1
+            room -= gain
+        if not used:
+            return 0
+        times = min(times, *(self.left[k] // n for k, n in used.items()))
+        self.bins.append((tuple(sorted(used.items(), reverse=True)), times))
+        for k, n in used.items():
+            self.left[k] -= n * times
+            if not self.left[k]:
+                self.lengths.pop(bisect_right(self.lengths, k) - 1)
+        return times
+
+
+def dive(counts: dict[int, int], capacity: int, goal: int) -> tuple[list, int]:
+    """(plan, lower bound): bins filled as the relaxation of what is left tells, largest pieces first; the last ones by `branch`.
+
+    Each turn relaxes what is left (lengths in at most CLASSES classes, taken at their largest) and
+    makes the bins that it wants whole, or else those it wants most, so that prices follow the pieces.
+    """
+    pieces, bound = Pieces(counts, capacity), goal
+    while sum(pieces.left.values()) > TAIL:
+        classes = np.array_split(np.array(pieces.lengths), min(CLASSES, len(pieces.lengths)))
+        at = np.array([c[-1] for c in classes])
+        need = np.array([sum(pieces.left[int(k)] for k in c) for c in classes], float)
+        prices, columns, times = relax(at, need, capacity)
+        if not pieces.bins:
+            bound = max(goal, priced_bound(counts, capacity, at, prices))
+        whole = np.floor(times + 1e-6)
+        if whole.sum() * 4 < times.sum():
+            whole = np.maximum(whole, times >= min(0.6, times.max()))
+        for j in sorted(np.flatnonzero(whole), key=lambda j: tuple(columns[::-1, j]), reverse=True):
+            limits = [int(at[i]) for i in np.flatnonzero(columns[:, j])[::-1] for _ in range(int(columns[i, j]))]
+            todo = int(whole[j])
+            while todo and (made := pieces.fill(limits, todo)):
+                todo -= made
+    rest = {k: v for k, v in pieces.left.items() if v}
+    plan = pieces.bins + (branch(rest, capacity, least_bins(rest, capacity), best_fit(rest, capacity), RETRIES) if rest else [])
+    return plan, bound
+
+
+def recomplete(plan: list, capacity: int, goal: int) -> list:
+    """plan with groups of bins, the worst filled and others by lot, completed anew wherever that saves a bin."""
+    rng = np.random.default_rng(7)
+    plan = [list(p) for p in plan]
+    for _ in range(REPAIRS):
+        total = sum(n for _, n in plan)
+        if total <= goal:
+            break
+        waste = np.array([capacity - sum(k * n for k, n in p) for p, _ in plan], float)
+        order = np.argsort(-(waste + rng.random(len(plan)) * (waste.mean() + 1)), kind="stable")
+        picked = [*order[: REPAIR_BINS // 2], *rng.permutation(order[REPAIR_BINS // 2 :])[: REPAIR_BINS - REPAIR_BINS // 2]]
+        if sum(waste[i] for i in picked) < capacity:
+            continue
+        rest: dict[int, int] = {}
+        for i in picked:
+            for k, n in plan[i][0]:
+                rest[k] = rest.get(k, 0) + n
+        own = [(plan[i][0], 1) for i in picked]
+        made = branch(rest, capacity, len(own) - 1, own, REPAIR_TRIES)
+        if sum(n for _, n in made) < len(own):
+            for i in picked:
+                plan[i][1] -= 1
+            plan = [p for p in plan if p[1]] + [list(p) for p in made]
+    return [(p, n) for p, n in plan]
+
+
+def complete_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], int, int]:
+    """(patterns, bins, lower bound); a pattern is ((length, times), ...) and how many bins use it."""
+    goal, best = least_bins(counts, capacity), best_fit(counts, capacity)
+    if sum(n for _, n in best) > goal:
+        best = branch(counts, capacity, goal, best, RETRIES)
+    if sum(n for _, n in best) > goal:
+        plan, goal = dive(counts, capacity, goal)
+        best = min(best, plan, key=lambda p: sum(n for _, n in p))
+        best = recomplete(best, capacity, goal)
+    return best, sum(n for _, n in best), goal
 
 
 # ---- tokens -------------------------------------------------------------------------------------

@@ -791,6 +791,34 @@ def test_bins_are_optimal_on_small_cases(seed):
     assert packing.complete_bins(dict(collections.Counter(sizes)), 4096)[1] == 7
 
 
+@pytest.mark.parametrize(("low", "high", "n", "slack"), [(800, 2000, 600, 2), (900, 2300, 400, 1), (1100, 1700, 600, 3), (700, 2300, 300, 1), (1000, 1800, 600, 3)])
+def test_bins_come_near_the_bound_where_best_fit_does_not(low, high, n, slack):
+    random.seed(1)
+    counts = collections.Counter(random.randint(low, high) for _ in range(n))
+    plan, bins, bound = packing.complete_bins(dict(counts), 4096)
+    used = collections.Counter()
+    for pattern, times in plan:
+        assert sum(a * k for a, k in pattern) <= 4096
+        for a, k in pattern:
+            used[a] += k * times
+    assert used == counts and bins == sum(t for _, t in plan)
+    assert bound <= bins <= bound + slack and bins < best_fit_plain(list(counts.elements()), 4096)
+
+
+def test_prices_against_plain_search():
+    random.seed(8)
+    for _ in range(40):
+        sizes = [random.randint(3, 20) for _ in range(random.randint(1, 9))]
+        counts = collections.Counter(sizes)
+        at = np.array(sorted(counts))
+        need = np.array([counts[int(k)] for k in at], float)
+        prices, columns, times = packing.relax(at, need, 20)
+        assert np.allclose(prices @ need, times.sum()) and (columns @ times >= need - 1e-6).all() and (at @ columns <= 20).all()
+        assert packing.priced_bound(counts, 20, at, prices) <= least_bins_plain(sizes, 20)
+        worth, held = packing.dearest(at, prices, need, 20)
+        assert np.isclose(held @ prices, worth) and held @ at <= 20 and (held <= need).all() and worth <= 1 + 1e-6
+
+
 def test_units_encode_like_whole_texts():
     from tokenizers import Tokenizer
 

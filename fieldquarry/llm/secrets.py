@@ -6,9 +6,6 @@ share, or that very many repositories hold, is a copied example; any other may b
 (assign, access, hex) are always reported; generic tokens (20+ characters with a digit and letters of
 both cases) unless they are copied. Each candidate is labelled copied, owned (one owner) or shared.
 
-The DuckDB twin has no rule for repositories and drops generic tokens that two owners share; it agrees
-where no generic token has two owners and no value of fewer than COPIED_OWNERS has COPIED_REPOS.
-
 Defined cases: null text is empty and has no spans; repeated rows are scanned one by one and count
 as one repository; a null owner or repository is one of its own; an empty table gives no rows.
 A hot value's rows are spread over salts before they meet its counts. Offsets are code points.
@@ -166,22 +163,23 @@ def oracle() -> str:
     def found(kind: str, pattern: str, group: int) -> str:
         p = pattern.replace("'", "''")
         at = "(coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))"
-        return f"""SELECT doc_id, source, {KINDS.index(kind)} AS ord, '{kind}' AS kind, {at}::BIGINT AS a, ({at} + length(m[i]))::BIGINT AS z, g[i] AS v
-  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS g, string_split_regex(t, '{p}') AS s FROM d))"""
+        return f"""SELECT rid, doc_id, source, {KINDS.index(kind)} AS ord, '{kind}' AS kind, {at}::BIGINT AS a, ({at} + length(m[i]))::BIGINT AS z, g[i] AS v
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, doc_id, source, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS g, string_split_regex(t, '{p}') AS s FROM d))"""
 
     union = "\nUNION ALL ".join([found("assign", ASSIGN, 2), found("access", ACCESS, 0), found("hex", HEX, 0), found("generic", GENERIC, 0)])
     join = "coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord){}, '')"
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 c AS ({union}),
 k AS (SELECT * FROM c WHERE CASE kind WHEN 'assign' THEN length(v) >= {MIN_VALUE}
       WHEN 'generic' THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END),
-o AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners FROM k GROUP BY v),
-x AS (SELECT k.*, owners FROM k JOIN o USING (v)),
-y AS (SELECT * FROM x WHERE kind <> 'generic' OR (owners = 1 AND NOT EXISTS (
-      SELECT 1 FROM x b WHERE b.doc_id = x.doc_id AND b.kind <> 'generic' AND b.a < x.z AND x.a < b.z)))
+o AS (SELECT v, count(*) AS owners, sum(n) AS repos
+      FROM (SELECT v, source, count(*) AS n FROM (SELECT DISTINCT v, source, doc_id FROM k) GROUP BY v, source) GROUP BY v),
+x AS (SELECT k.*, CASE WHEN owners >= {COPIED_OWNERS} OR repos >= {COPIED_REPOS} THEN 'copied' WHEN owners = 1 THEN 'owned' ELSE 'shared' END AS label FROM k JOIN o USING (v)),
+y AS (SELECT * FROM x WHERE kind <> 'generic' OR (label <> 'copied' AND NOT EXISTS (
+      SELECT 1 FROM x b WHERE b.rid = x.rid AND b.kind <> 'generic' AND b.a < x.z AND x.a < b.z)))
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
        count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256({join.format(" FILTER (WHERE kind <> 'generic')")}) AS base_sha256, {join.format('')} AS spans,
-       count(*) FILTER (WHERE owners = 1) AS n_owned, count(*) FILTER (WHERE owners >= {COPIED_OWNERS}) AS n_copied
-FROM d LEFT JOIN y USING (doc_id) GROUP BY d.doc_id
+       count(*) FILTER (WHERE label = 'owned') AS n_owned, count(*) FILTER (WHERE label = 'copied') AS n_copied
+FROM d LEFT JOIN y USING (rid) GROUP BY d.rid, d.doc_id
 """

@@ -4,12 +4,13 @@ A document is a bag of passages. Every passage of the whole text is described by
 byte-class-pair frequencies and by how repetitive it is, encoded by a tanh layer, weighted by gated
 attention (softmax of w . (tanh(V h) * sigmoid(U h))), and the weighted passage representation is
 scored by a logistic unit. Weights are learned from document labels alone, by Adam on the driver,
-over a bounded sample of labelled documents (`MAX_TRAIN`, chosen by hash order, of each at most
-`MAX_PASSAGES`, so the driver's share does not grow with texts); scoring covers all.
+over a bounded sample of labelled rows: the first by hash of their id, whole texts only, until there
+are `MAX_TRAIN` rows or the next one would bring more than `TRAIN_PASSAGES` passages in all, so the
+driver's share does not grow with texts; scoring covers all.
 
-Defined cases: null and empty texts are one blank passage; null labels are not learned from; repeated
-labels count as often as they occur; without labelled rows (or with one class) the score is 0.5, or
-that class's share; an empty table gives no rows.
+Defined cases: null and empty texts are one blank passage; null labels are not learned from; equal
+rows (id, label and text) are learned from once; without labelled rows (or with one class) the score
+is 0.5, or that class's share; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 
 from fieldquarry.llm.common import small_batches, text_slices, tidy
 
-#: Bytes of a passage; labelled documents learned from, at most; passages of each, at most (spread over the text; scoring
-#: takes all); passages' hidden and attention width.
-PASSAGE, MAX_TRAIN, MAX_PASSAGES, HIDDEN, ATTENTION = 512, 2000, 128, 24, 12
+#: Bytes of a passage; labelled rows learned from, and their passages in all, at most; passages' hidden and attention width.
+PASSAGE, MAX_TRAIN, TRAIN_PASSAGES, HIDDEN, ATTENTION = 512, 2000, 100_000, 24, 12
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 4e-3, 1e-4
 #: Text bytes whose features are computed at once (small enough for a CPU's cache).
 FEATURE_BYTES = 1 << 20
@@ -161,23 +161,39 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
 
 
 def _featurise(batches):
-    for labels, texts in text_slices(batches, "label", limit=FEATURE_BYTES):
+    for keys, texts in text_slices(batches, "place", limit=FEATURE_BYTES):
         x, n = passage_features(texts)
-        bags = [part if len(part) <= MAX_PASSAGES else part[np.linspace(0, len(part) - 1, MAX_PASSAGES).astype(int)] for part in np.split(x, np.cumsum(n)[:-1])]
-        yield pa.RecordBatch.from_arrays([labels, pa.array([part.astype(np.float16).tobytes() for part in bags], pa.binary())], ["label", "x"])
+        bags = [part.astype(np.float16).tobytes() for part in np.split(x, np.cumsum(n)[:-1])]
+        yield pa.RecordBatch.from_arrays([keys, pa.array(bags, pa.binary())], ["place", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Learn from at most max_train labelled documents, the first by hash of their id."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_passages: int = TRAIN_PASSAGES
+) -> Model:
+    """Learn from at most max_train labelled rows of at most max_passages passages in all, the first by hash of their id.
+
+    The rows are chosen by their keys and sizes alone; their texts become features where they lie.
+    """
     docs = small_batches(docs)
-    lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
+    lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").distinct()
     lab = lab.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label").limit(max_train)
-    bags = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "doc_id").select("doc_id", "label", "text")
-    bags = bags.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label", F.xxhash64("text")).limit(max_train)
-    rows = bags.select("label", "text").mapInArrow(tidy(_featurise), "label int, x binary").collect()
-    xs = [np.frombuffer(r.x, dtype=np.float16).reshape(-1, N_FEATURES) for r in rows]
-    x = np.concatenate(xs).astype(np.float32) if xs else np.zeros((0, N_FEATURES), np.float32)
-    return train(x, np.array([len(v) for v in xs], dtype=np.int64), np.array([r.label for r in rows], dtype=np.float64))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bags = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(lab), "doc_id")
+    passages = F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1)).alias("n")
+    keys = bags.select("doc_id", "label", "h", passages).distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "label", "h").limit(max_train).collect()
+    through = np.cumsum([k.n for k in keys])
+    keys = keys[: int(np.searchsorted(through, max_passages, "right"))]
+    if not keys:
+        return train(np.zeros((0, N_FEATURES), np.float32), np.zeros(0, dtype=np.int64), np.zeros(0))
+    schema = bags.select("doc_id", "label", "h", F.lit(0).alias("place")).schema
+    chosen = docs.sparkSession.createDataFrame([(k.doc_id, k.label, k.h, i) for i, k in enumerate(keys)], schema)
+    rows = bags.join(F.broadcast(chosen), ["doc_id", "label", "h"]).select("place", "text").dropDuplicates(["place"])
+    found = {r.place: r.x for r in rows.mapInArrow(tidy(_featurise), "place int, x binary").collect()}
+    x = np.empty((int(through[len(keys) - 1]), N_FEATURES), np.float32)
+    ends = through[: len(keys)]
+    for i, end in enumerate(ends):
+        x[end - keys[i].n : end] = np.frombuffer(found.pop(i), dtype=np.float16).reshape(-1, N_FEATURES)
+    return train(x, np.array([k.n for k in keys], dtype=np.int64), np.array([k.label for k in keys], dtype=np.float64))
 
 
 def _scorer(model: Model):

@@ -579,6 +579,28 @@ def test_sharding(spark):
     assert sharding.extendible_shards(stored.limit(0), "doc_id", "n_bytes", 300).count() == 0
 
 
+def test_secrets_against_their_sql(spark, tmp_path):
+    import duckdb
+
+    two, many, base, once = "Ab3" * 8, "Zx9" * 8, "0123456789abcdef" * 2, "Qw7" * 9
+    rows = [(1, f"see {two} and password = {two}", "a"), (2, f"{two}", "b"), (3, once, None), (4, once, ""), (5, None, "a"), (6, "", "b"), (6, f"token: {once[:12]}", "b")]
+    rows += [(100 + i, f"{many} {base} é {i}", "hot") for i in range(secrets.COPIED_REPOS)]
+    rows += [(300 + i, "Kk8" * 9, owner) for i, owner in enumerate(["a", "b", "c"])] + [(400, f"passwd='{'Rr5' * 9}' {'Rr5' * 9}", "a")] * 2
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = secrets.op5_secret_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    plain = con.execute(secrets.oracle())
+    names = [d[0] for d in plain.description]
+    plain = sorted(plain.fetchall(), key=str)
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == plain
+    by = {r[names.index("doc_id")]: r for r in plain}
+    at = names.index
+    assert "generic" in by[2][at("spans")] and by[2][at("n_owned")] == 0  # two owners share it: not copied
+    assert "generic" not in by[100][at("spans")] and by[100][at("n_hex")] == by[100][at("n_copied")] == 1  # base spans stay
+    assert by[300][at("spans")] == "" and by[400][at("n_assign")] == 1
+
+
 # ---- 10 ----------------------------------------------------------------------------------------
 def test_quality(spark):
     random.seed(9)
@@ -598,6 +620,22 @@ def test_quality(spark):
     assert {r.score for r in quality.score(df, none).collect()} == {0.5} and quality.score(df.limit(0), model).count() == 0
 
 
+def test_classifier_learns_from_all_passages_of_chosen_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, n, y: seen.append((x.copy(), n.copy(), y.copy())))
+    long = " ".join(f"word{i}" for i in range(14_000))
+    rows = [(1, long), (2, "short text"), (3, None), (2, "short text"), (4, "other " * 90)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (4, 0)], "doc_id long, quality int")
+    quality.fit(docs_of(spark, rows), labels)
+    by_hash = sorted([(1, long, 1), (2, "short text", 0), (3, "", 1), (4, "other " * 90, 0)], key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+    parts = [quality.passage_features(pa.array([t], pa.large_string())) for _, t, _ in by_hash]
+    x, n, y = seen.pop()
+    assert n.tolist() == [int(p[1][0]) for p in parts] and max(n) > 200 and y.tolist() == [r[2] for r in by_hash]
+    assert np.allclose(x, np.concatenate([p[0] for p in parts]), atol=2e-3)
+    quality.fit(docs_of(spark, rows), labels, max_passages=int(n[:2].sum()))
+    assert seen.pop()[1].tolist() == n[:2].tolist()
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, n = rng.normal(size=(9, 5)).astype(np.float32), np.array([4, 2, 3])

@@ -61,7 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}").df
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Rows of the last stage; each stage's table goes once the next one is written, or a stage fails."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    try:
+        for name, stage in STAGES[:-1]:
+            before, kept = kept, store(stage(spark, docs, sf_dir), f"stage-{name}")
+            docs = kept.df
+            if before is not None:
+                before.drop()
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        if kept is not None:
+            kept.drop()

@@ -41,8 +41,8 @@ from fieldquarry.llm.common import give_back, joined, runs_of, small_batches, st
 CAPACITY, END_ID = 4096, 1
 #: Search steps for one filling, fillings kept for one bin, and bins tried after the first step back.
 FILL_STEPS, FILLINGS, RETRIES = 2000, 4, 2000
-#: Classes of lengths that a relaxation tells apart, its steps a class, and the price above 1 that it may leave.
-CLASSES, RELAX_STEPS, RELAX_GAP = 160, 30, 1e-6
+#: Classes of lengths that a relaxation tells apart, its steps a class, the price above 1 that it may leave, and relaxations of one dive.
+CLASSES, RELAX_STEPS, RELAX_GAP, TURNS = 160, 30, 1e-6, 40
 #: Pieces that are left to branching alone; groups of bins completed anew, bins in one, and bins tried after its first step back.
 TAIL, REPAIRS, REPAIR_BINS, REPAIR_TRIES = 60, 300, 8, 60
 #: Bytes of a worker's cache; units encoded and bytes of text taken at once; rows of the table of ranks that may be broadcast.
@@ -331,7 +331,9 @@ def dive(counts: dict[int, int], capacity: int, goal: int) -> tuple[list, int]:
     makes the bins that it wants whole, or else those it wants most, so that prices follow the pieces.
     """
     pieces, bound = Pieces(counts, capacity), goal
-    while sum(pieces.left.values()) > TAIL:
+    for _ in range(TURNS):
+        if sum(pieces.left.values()) <= TAIL:
+            break
         classes = np.array_split(np.array(pieces.lengths), min(CLASSES, len(pieces.lengths)))
         at = np.array([c[-1] for c in classes])
         need = np.array([sum(pieces.left[int(k)] for k in c) for c in classes], float)

@@ -75,11 +75,17 @@ def store(df: DataFrame, name: str) -> Stored:
 
 
 class Scratch:
-    """Tables of one run; those that no later read needs are dropped together."""
+    """Tables of one run; those that no later read needs are dropped together, also where the run fails (`with`)."""
 
     def __init__(self) -> None:
         self.made: list[Stored] = []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.clear()
+
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.made.append(store(df, name))
         return self.made[-1].df

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import small_batches, store, text_slices
+from fieldquarry.llm.common import Scratch, small_batches, text_slices
 
 THRESHOLD = 0.8
 TERM = re.compile(r"[a-z0-9.]*[a-z0-9]")
@@ -256,29 +256,34 @@ def _best_spans(found: DataFrame, counts: DataFrame, n_docs: int, threshold: flo
 
 
 def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", is_license_file: Column | None = None, templates=None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, own_license, cosine, line, license, inherited_from (directory, '' for the root)."""
+    """doc_id, path, own_license, cosine, line, license, inherited_from (directory, '' for the root), as a stored table."""
+    with Scratch() as scratch:
+        return scratch.finish(_licensed(docs, path, id_col, text_col, is_license_file, templates, threshold, scratch), "license-scan")
+
+
+def _licensed(docs: DataFrame, path: Column, id_col: str, text_col: str, is_license_file: Column | None, templates, threshold: float, scratch: Scratch) -> DataFrame:
     templates = all_templates() if templates is None else templates
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
     keyed = rows.select(F.struct("doc_id", "path").alias("row"), "text")
     counted = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = store(counted, "license-terms").df
+    counts = scratch.put(counted, "license-terms")
     df = {r.term: r.n for r in counts.where(F.col("term").isNull() | F.col("term").isin(vocabulary)).collect()}  # one row for each template term
     n_docs = df.pop(None, 0) or 0
     scan = keyed.mapInArrow(_scan(n_docs, df, templates, threshold), f"doc_id long, path string, spans {SPANS}")
-    scan = store(scan.withColumn("rid", F.monotonically_increasing_id()), "license-spans").df
+    scan = scratch.put(scan.withColumn("rid", F.monotonically_increasing_id()), "license-spans")
     scan = scan.select("rid", "doc_id", "path").join(_best_spans(scan, counts, n_docs, threshold), "rid", "left")
     scan = scan.select("doc_id", "path", F.col("best.own_license").alias("license"), F.coalesce("best.cosine", F.lit(0.0)).alias("cosine"), F.coalesce("best.line", F.lit(-1)).alias("line"))
     named = F.rlike("path", F.lit(r"(^|/)(LICEN[CS]E|COPYING)[^/]*$")) if is_license_file is None else is_license_file
-    found = store(scan.withColumn("governs", F.coalesce(named, F.lit(False))).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")), "licenses").df
+    found = scratch.put(scan.withColumn("governs", F.coalesce(named, F.lit(False))).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")), "licenses")
     files = found.where("governs AND license IS NOT NULL").groupBy("dir").agg(F.max_by("license", F.struct("cosine", "license")).alias("from_license"))
-    files = store(files.withColumnRenamed("dir", "ancestor"), "license-files").df
+    files = scratch.put(files.withColumnRenamed("dir", "ancestor"), "license-files")
     # nearest ancestor: every distinct directory with its prefixes, the longest that is governed
     dirs = found.where("dir IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
     ups = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).alias("ancestor")).distinct()
     near = ups.join(files, "ancestor").groupBy("dir").agg(F.max_by(F.struct("from_license", "ancestor"), F.length("ancestor")).alias("near"))
-    near = store(near.select("dir", "near.from_license", "near.ancestor"), "license-dirs").df
+    near = scratch.put(near.select("dir", "near.from_license", "near.ancestor"), "license-dirs")
     out = found.join(near, "dir", "left")
     inherits = F.col("license").isNull()
     return out.select(

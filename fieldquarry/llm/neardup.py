@@ -157,11 +157,15 @@ def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
 
 
-def _alike(batches):
-    """Pairs (a, b, sa, sb) whose signatures agree in AGREE components or more."""
-    for b in batches:
-        ok = (_signatures(b.column("sa")) == _signatures(b.column("sb"))).sum(axis=1) >= AGREE
-        yield b.select(["a", "b"]).filter(pa.array(ok))
+def _alike(agree: int):
+    """Of pairs (a, b, sa, sb) those whose signatures agree in so many components or more."""
+
+    def run(batches):
+        for b in batches:
+            ok = (_signatures(b.column("sa")) == _signatures(b.column("sb"))).sum(axis=1) >= agree
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
 
 
 def _cuts(*columns: np.ndarray) -> list[tuple[int, int]]:
@@ -173,10 +177,10 @@ def _cuts(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(columns[0])], strict=True))
 
 
-def _block_candidates(table: pa.Table) -> pa.Table:
+def _block_candidates(table: pa.Table, agree: int) -> pa.Table:
     """Of the blocks of a cell, the rows that some row of another component may be linked with.
 
-    A pair counts only in the least band that it shares, where its signatures agree in AGREE components
+    A pair counts only in the least band that it shares, where its signatures agree in `agree` components
     or more and its sizes do not rule it out.
     """
     table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
@@ -193,7 +197,7 @@ def _block_candidates(table: pa.Table) -> pa.Table:
         x, y = np.nonzero(np.triu(pair))
         for at in range(0, len(x), PAIRS):
             same = sig[s + x[at : at + PAIRS]] == sig[s + y[at : at + PAIRS]]
-            ok = same.sum(axis=1) >= AGREE
+            ok = same.sum(axis=1) >= agree
             ok &= same.reshape(len(same), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[s]
             keep[s + x[at : at + PAIRS][ok]] = True
             keep[s + y[at : at + PAIRS][ok]] = True
@@ -281,9 +285,17 @@ def _dealt(rows: DataFrame, bytes_each) -> DataFrame:
     return rows.withColumn("cell", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(cells)))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, n_shingles, fp, class, component_id) per row; class: a number of its own for each class."""
-    scratch = Scratch()
+def _classes(docs: DataFrame, id_col: str, text_col: str, agree: int = AGREE, into: Scratch | None = None) -> DataFrame:
+    """(doc_id, text_key, n_shingles, fp, class, component_id) per row, as a table that stays, or one of `into`.
+
+    class: a number of its own for each class. All other tables go, also where a step fails.
+    """
+    with Scratch() as scratch:
+        out = _united(docs, id_col, text_col, agree, scratch)
+        return store(out, "classes").df if into is None else into.put(out, "classes")
+
+
+def _united(docs: DataFrame, id_col: str, text_col: str, agree: int, scratch: Scratch) -> DataFrame:
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketch = rows.select(F.struct("doc_id", "text_key").alias("row"), "text").mapInArrow(tidy(_sketch), "doc_id long, text_key long, fp long, n long, bands array<long>")
@@ -309,7 +321,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = near.groupBy("id").agg(F.max(F.struct("shared", "centre", "p")).alias("b"))
     near = near.select(F.least("id", "b.p").alias("a"), F.greatest("id", "b.p").alias("b")).distinct()
     near = near.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    near = scratch.put(near.mapInArrow(_alike, "a long, b long"), "pairs")
+    near = scratch.put(near.mapInArrow(_alike(agree), "a long, b long"), "pairs")
     links = scratch.put(_verified(near, sets), "links")
     labels = connected_components(links, scratch)
 
@@ -317,7 +329,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
     open_ = scratch.put(_in_blocks(scratch.put(now, "placed")), "open")
     asked = _dealt(open_, F.lit(4 * BANDS * ROWS)).join(sigs, "id")
-    asked = scratch.put(asked.groupBy("cell").applyInArrow(_block_candidates, "bucket long, i int, j int, own int, id long, n long, component long"), "asked")
+    asked = scratch.put(asked.groupBy("cell").applyInArrow(lambda table: _block_candidates(table, agree), "bucket long, i int, j int, own int, id long, n long, component long"), "asked")
     asked = _dealt(asked, F.col("n") * 8).join(sets.select("id", "items"), "id")
     more = scratch.put(asked.groupBy("cell").applyInArrow(_block_links, "a long, b long").distinct(), "links")
     if not more.isEmpty():
@@ -326,20 +338,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = scratch.put(classes, "classes")
     classes = classes.join(classes.groupBy("class").agg(F.min("rep").alias("component_id")), "class").select("fp", "class", "component_id")
     out = sketch.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left")
-    out = out.select("doc_id", "text_key", "n_shingles", "fp", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return scratch.finish(out, "classes")
+    return out.select("doc_id", "text_key", "n_shingles", "fp", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", agree: int = AGREE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row; component_id: least doc_id of the class.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row; component_id: least doc_id of the class."""
-    return _classes(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    agree: components of two signatures that must be equal before their shingles are compared; with 0
+    all pairs that share a band are compared exactly.
+    """
+    return _classes(docs, id_col, text_col, agree).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class (that of the least id, then of the least hash of its text; of equal rows
     the least by the hash of all columns); rows without an id stay. All columns are as they are."""
-    keys = _classes(docs, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.first("class").alias("class"), F.count("*").alias("n"))
-    scratch = Scratch()
+    with Scratch() as scratch:
+        return _first_of_classes(docs, id_col, text_col, scratch)
+
+
+def _first_of_classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    keys = _classes(docs, id_col, text_col, into=scratch).where("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.first("class").alias("class"), F.count("*").alias("n"))
     keys = scratch.put(keys.withColumn("class", F.coalesce(F.col("class").cast("string"), F.concat_ws(":", F.lit("-"), "doc_id", "text_key"))), "row-keys")
     first = keys.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.*")
     repeated = scratch.put(keys.join(first, ["doc_id", "text_key"]).where("n > 1").select("doc_id", "text_key"), "repeated-rows")
@@ -351,7 +370,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         again = keyed.join(small_side(store(repeated.select(F.col("doc_id").alias("nd_id"), F.col("text_key").alias("nd_key")), "repeated").df), ["nd_id", "nd_key"], "left_semi")
         order = Window.partitionBy("nd_id", "nd_key").orderBy(F.xxhash64(*docs.columns))
         out = out.unionByName(again.withColumn("nd_at", F.row_number().over(order)).where("nd_at = 1").select(*docs.columns))
-    scratch.clear()
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldquarry.llm.common import Stored, store
+from fieldquarry.llm.common import Scratch, store
 
 HASH_BITS = 60
 #: Trie depth beyond what an even spread would need, and bits added by each further round.
@@ -35,7 +35,7 @@ def _prefix(bits: Column | int) -> Column:
     return F.expr(f"shiftright(s_hash, {HASH_BITS - bits})") if isinstance(bits, int) else F.call_function("shiftright", F.col("s_hash"), bits)
 
 
-def _leaves(cells: DataFrame, top: int, depth: int, limit: int) -> DataFrame:
+def _leaves(cells: DataFrame, top: int, depth: int, limit: int, scratch: Scratch) -> DataFrame:
     """Shards of a trie over cells (cell, bytes, rows): prefix, depth, shard_bytes, and whether they fit.
 
     top: bits that all cells of one tree share at least (its roots are known to be oversized, but for
@@ -44,7 +44,7 @@ def _leaves(cells: DataFrame, top: int, depth: int, limit: int) -> DataFrame:
     levels = F.explode(F.sequence(F.lit(top), F.lit(depth))).alias("depth")
     nodes = cells.select("cell", "bytes", "rows", levels)
     nodes = nodes.groupBy("depth", F.call_function("shiftright", F.col("cell"), F.lit(depth) - F.col("depth")).alias("prefix")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
-    nodes = store(nodes, "nodes").df
+    nodes = scratch.put(nodes, "nodes")
     big = nodes.where(F.col("shard_bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
     small = nodes.where(F.col("shard_bytes") <= limit).withColumn("up", F.call_function("shiftright", F.col("prefix"), F.lit(1)))
     fits = small.join(big, ["depth", "up"], "left_semi").drop("up")
@@ -66,7 +66,8 @@ def extendible_shards(rows: DataFrame, id_col: str, bytes_col: str, limit: int)
     top, left, done = 0, rows, []
     while True:
         cells = left.groupBy(_prefix(depth).alias("cell")).agg(F.sum(bytes_col).alias("bytes"), F.count("*").alias("rows"))
-        leaves = store(_leaves(cells, top, depth, limit), "leaves").df
+        with Scratch() as scratch:
+            leaves = scratch.finish(_leaves(cells, top, depth, limit, scratch), "leaves")
         spread = F.explode(F.sequence(F.call_function("shiftleft", F.col("prefix"), F.lit(depth) - F.col("depth")), F.call_function("shiftleft", F.col("prefix") + 1, F.lit(depth) - F.col("depth")) - 1))
         cover = leaves.select(spread.alias("cell"), "depth", "prefix", "shard_bytes", "shard_rows", "fits")
         dealt = left.withColumn("cell", _prefix(depth)).join(cover, "cell").drop("cell")
@@ -75,7 +76,8 @@ def extendible_shards(rows: DataFrame, id_col: str, bytes_col: str, limit: int)
             break
         left = dealt.where("NOT fits").select(*rows.columns)
         if depth == HASH_BITS:
-            done.append(_pages(store(left, "overflow"), bytes_col, limit))
+            with Scratch() as scratch:
+                done.append(_pages(scratch.put(left, "overflow"), bytes_col, limit, scratch))
             break
         left, top, depth = store(left, "oversized").df, depth, min(HASH_BITS, depth + ROUND_BITS)
     out = done[0]
@@ -87,10 +89,10 @@ def extendible_shards(rows: DataFrame, id_col: str, bytes_col: str, limit: int)
     return out.withColumn("oversize", F.col("shard_bytes") > limit)
 
 
-def _pages(stored: Stored, bytes_col: str, limit: int) -> DataFrame:
+def _pages(rows: DataFrame, bytes_col: str, limit: int, scratch: Scratch) -> DataFrame:
     """Pages of rows with equal hashes: running bytes within (hash, input partition), then offsets."""
-    rows = stored.df.withColumn("o_part", F.spark_partition_id()).withColumn("o_row", F.monotonically_increasing_id())
-    rows = store(rows, "numbered").df
+    rows = rows.withColumn("o_part", F.spark_partition_id()).withColumn("o_row", F.monotonically_increasing_id())
+    rows = scratch.put(rows, "numbered")
     order = ["o_row"]
     parts = rows.groupBy("s_hash", "o_part").agg(F.sum(bytes_col).alias("b"), F.count("*").alias("n"), F.max(bytes_col).alias("most"))
     over = Window.partitionBy("s_hash").orderBy("o_part")

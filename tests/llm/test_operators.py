@@ -808,14 +808,45 @@ def test_hot_bucket_with_few_strangers(spark, monkeypatch):
     assert got == components(sets, links)
 
 
-def test_no_tables_are_left_but_results(spark, texts):
+def left_by(spark, run):
+    """Kinds of tables that a run leaves in the shared folder."""
     from pathlib import Path
 
     folder = Path(common.shared_dir(spark))
     before = {p.name for p in folder.iterdir()} if folder.exists() else set()
-    neardup.near_duplicates(docs_of(spark, texts[:20])).count()
-    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
-    assert left == {"classes"}
+    run()
+    return {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+
+
+def test_no_tables_are_left_but_results(spark, texts):
+    docs = docs_of(spark, texts[:20]).withColumn("path", F.lit("a/b.txt"))
+    assert left_by(spark, lambda: neardup.near_duplicates(docs).count()) == {"classes"}
+    assert left_by(spark, lambda: neardup.drop_near_duplicates(docs).count()) <= {"duplicates", "repeated"}
+    assert left_by(spark, lambda: licenses.license_scan(docs, F.col("path")).count()) == {"license-scan"}
+    rows = spark.createDataFrame([(i % 7, 100) for i in range(50)], "doc_id long, n_bytes long")
+    assert left_by(spark, lambda: sharding.extendible_shards(rows, "doc_id", "n_bytes", 300).count()) <= {"leaves", "oversized", "paged"}
+
+
+def test_no_tables_are_left_by_a_run_that_fails(spark, texts, monkeypatch):
+    def broken(*args):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(neardup, "_verified", broken)
+    monkeypatch.setattr(licenses, "_best_spans", broken)
+    docs = docs_of(spark, texts[:20]).withColumn("path", F.lit("a/b.txt"))
+    for run in (lambda: neardup.near_duplicates(docs), lambda: neardup.drop_near_duplicates(docs), lambda: licenses.license_scan(docs, F.col("path"))):
+
+        def fails(run=run):
+            with pytest.raises(RuntimeError):
+                run()
+
+        assert left_by(spark, fails) == set()
+
+
+def test_pairs_without_the_signature_filter(spark, texts):
+    """With agree=0 every pair that shares a band is compared exactly: the same classes."""
+    both = [sorted(tuple(r) for r in neardup.near_duplicates(docs_of(spark, texts).where("doc_id IS NOT NULL"), agree=n).collect()) for n in (neardup.AGREE, 0)]
+    assert both[0] == both[1] and any(i != c for i, _, c in both[0])
 
 
 @pytest.mark.parametrize("seed", range(4))

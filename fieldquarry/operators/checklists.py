@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from fieldquarry.functions import text as T
 from fieldquarry.operators import rules
-from fieldquarry.operators.fields import cut_at_labels, section_by_keywords
+from fieldquarry.operators.fields import WIRELESS_REG, cut_at_labels, section_by_keywords
 
 # Labels of the remote-data block, clock fields in order, line items, quality parameters.
 REMOTE = (
@@ -241,36 +239,135 @@ def device_columns(text: Column) -> Column:
     )
 
 
-# Words after which a device name goes on, and words that usually belong to one.
-CONNECTORS = frozenset({"AND", "HW", "WITH", "FOR", "OF", "TO", "IN", "ON", "BY", "&", "+", "OR"})
-TAILS = frozenset({"WARRANTY", "HARDWARE", "SOFTWARE", "ADAPTER", "CABLE", "POWER", "SUPPLY", "MODULE", "UNIT", "KIT", "SET", "BLACK", "WHITE", "MINI", "STANDARD", "ORIGINAL"})
+# Words after which a device name goes on, words that usually belong to the name before them,
+# headings of device tables (several words of one heading may stand apart).
+CONNECTORS = ("AND", "HW", "WITH", "FOR", "OF", "TO", "IN", "ON", "BY", "&", "+", "OR")
+TAILS = ("WARRANTY", "HARDWARE", "SOFTWARE", "ADAPTER", "CABLE", "POWER", "SUPPLY", "MODULE", "UNIT", "KIT", "SET", "BLACK", "WHITE", "MINI", "STANDARD", "ORIGINAL")
+TABLE_HEADINGS = ("CABUT", "PENGGANTI", "PASANG BARU", "TIDAK TERPAKAI", "EXISTING", "Nama Barang", "No Reg", "No. Reg", "S/N")
+#: A product code: letters and a digit, with or without a dash between them.
+CODE = r"(?i)[A-Z]-?\d"
+#: Signs of a name that is whole: a unit, a code, something added.
+WHOLE = r"\d[A-Z]|[A-Z]-\d|\+\s*[A-Z]"
+#: Most characters behind the last number that may belong to its name; most words and letters of such a tail.
+BEHIND, TAIL_WORDS, TAIL_LETTERS = 50, 2, 15
 
+_WORDS = "array<string>"
+_HEADING = "(?i)" + "|".join(r"\s*".join(rf"\Q{w}\E" for w in h.split()) for h in TABLE_HEADINGS)
+_HEAD_WORD = "(?i)\\A(?:" + "|".join(rf"\Q{h}\E" for h in TABLE_HEADINGS if " " not in h) + r"|No\.?Reg)"
+_NUMBER_WORD = r"(?i)\AB2WN[A-Z0-9]"
 
-def goes_on(word: str, before: list[str]) -> bool:
-    """Whether a word continues the device name before it rather than starting the next."""
-    if not before:
-        return False
-    if before[-1].upper() in CONNECTORS:
-        return True
-    return word.upper() in TAILS and len(before) <= 4
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
-@F.pandas_udf(StringType())
-def join_continuations(names: pd.Series) -> pd.Series:
-    """Device names of a document (one a line): leading words that continue the name before move to it.
 
-    Each step changes the name that the next one is judged by, hence Arrow rather than columns.
+def _is_upper(word: Column) -> Column:
+    return (F.upper(word) == word) & (F.lower(word) != word)
+
+
+def goes_on(word: Column, before: Column) -> Column:
+    """Whether a word continues the device name before it (an array of words) rather than starting the next.
+
+    So it does behind a connector; a usual tail does behind at most four words; a word of at most three
+    letters behind at most two, unless the name is whole or the word is a code or of mixed case.
+    """
+    n, name = F.size(before), F.array_join(before, " ")
+    short = (F.length(word) <= 3) & (n <= 2) & ~F.rlike(word, F.lit(CODE)) & ~F.rlike(word, F.lit("[a-z][A-Z]|[A-Z][a-z]+[A-Z]")) & ~F.rlike(name, F.lit(WHOLE))
+    return (n > 0) & (F.upper(F.element_at(before, -1)).isin(*CONNECTORS) | (F.upper(word).isin(*TAILS) & (n <= 4)) | short)
+
+
+def join_continuations(names: Column) -> Column:
+    """Device names of a text (one a line): leading words that continue the name before move to it.
+
+    A line keeps its last word. Each step changes the name that the next one is judged by: a fold over
+    the lines, and over the words of each. Null stays null.
     """
 
-    def one(text):
-        if text is None:
-            return None
-        out: list[list[str]] = []
-        for line in text.split("\n"):
-            words = line.split()
-            while out and len(words) > 1 and goes_on(words[0], out[-1]):
-                out[-1].append(words.pop(0))
-            out.append(words)
-        return "\n".join(" ".join(w) for w in out)
-
-    return names.map(one)
+    def split_line(before: Column, words: Column) -> Column:
+        """struct<before, own>: the words of a line that move, behind those before it, and those that stay."""
+        zero = F.struct(before.alias("before"), F.array().cast(_WORDS).alias("own"))
+        numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i < F.size(words) - 1).alias("free")))
+
+        def step(acc: Column, x: Column) -> Column:
+            moves = x["free"] & (F.size(acc["own"]) == 0) & goes_on(x["w"], acc["before"])
+            one = F.array(x["w"])
+            return F.when(moves, F.struct(F.concat(acc["before"], one).alias("before"), acc["own"].alias("own"))).otherwise(F.struct(acc["before"].alias("before"), F.concat(acc["own"], one).alias("own")))
+
+        return F.aggregate(numbered, zero, step)
+
+    def line(acc: Column, words: Column) -> Column:
+        moved = lambda m: F.struct(F.concat(acc["done"], F.array(m["before"])).alias("done"), m["own"].alias("last"), F.lit(True).alias("any"))
+        first = F.struct(acc["done"].alias("done"), words.alias("last"), F.lit(True).alias("any"))
+        return F.when(acc["any"], T.let(split_line(acc["last"], words), moved)).otherwise(first)
+
+    zero = F.struct(F.array().cast(f"array<{_WORDS}>").alias("done"), F.array().cast(_WORDS).alias("last"), F.lit(False).alias("any"))
+    made = F.aggregate(F.transform(F.split(names, "\n", -1), _words), zero, line, lambda a: F.concat(a["done"], F.array(a["last"])))
+    return F.array_join(F.transform(made, lambda ws: F.array_join(ws, " ")), "\n")
+
+
+def tail_behind(text: Column) -> Column:
+    """Of the text behind a registration number the words that belong to the name before the number, '' if none.
+
+    One-letter words are passed over. The tail ends at a heading or another number; at a first word that is
+    a code, or of six and more capitals before a word of five and more, a digit or a heading (a new name); at
+    a later word of more than five letters not behind '+' or '&'; and at two words or fifteen letters. Two
+    words of six and more capitals are a name of their own, hence none.
+    """
+
+    def taken(words: Column) -> Column:
+        known = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("next"), F.when(i > 0, F.get(words, i - 1)).alias("prev")))
+
+        def step(acc: Column, x: Column) -> Column:
+            w, nxt, n = x["w"], x["next"], F.size(acc["own"])
+            phrase = (F.length(w) >= 6) & _is_upper(w) & (((F.length(nxt) >= 5) & _is_upper(nxt)) | F.rlike(nxt, F.lit(r"\d")) | F.rlike(nxt, F.lit(_HEAD_WORD)))
+            starts = (n == 0) & (phrase | F.rlike(w, F.lit(CODE)))
+            fits = (n < TAIL_WORDS) & (F.length(F.array_join(acc["own"], "")) + F.length(w) <= TAIL_LETTERS)
+            likely = (F.length(w) <= 5) | F.coalesce(x["prev"].isin("+", "&"), F.lit(False)) | (n == 0)
+            ends = F.rlike(w, F.lit(_HEAD_WORD)) | F.rlike(w, F.lit(_NUMBER_WORD)) | ((F.length(w) > 1) & (starts | ~fits | ~likely))
+            own = F.when(F.length(w) > 1, F.concat(acc["own"], F.array(w))).otherwise(acc["own"])
+            return F.when(acc["open"] & ~ends, F.struct(F.lit(True).alias("open"), own.alias("own"))).otherwise(F.struct(F.lit(False).alias("open"), acc["own"].alias("own")))
+
+        return F.aggregate(known, F.struct(F.lit(True).alias("open"), F.array().cast(_WORDS).alias("own")), step, lambda a: a["own"])
+
+    own_name = lambda ws: (F.size(ws) == TAIL_WORDS) & F.forall(ws, lambda w: (F.length(w) >= 6) & _is_upper(w))
+    return T.let(T.let(_words(text), taken), lambda ws: F.when(own_name(ws), "").otherwise(F.array_join(ws, " ")))
+
+
+def device_items(text: Column, pattern: str = WIRELESS_REG) -> Column:
+    """array<struct<nama_barang, no_reg>> of a device table's text: names before their numbers, with what belongs to them behind.
+
+    A name is what stands before its number, without headings, of at most ten words; a tail behind the
+    number is added to it (and stays part of the next name, which is judged on its own). Where the first
+    of several words continues the name before, it moves there. Names of fewer than three letters are no
+    items. Null text: null; no number: no items.
+    """
+    regs = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+
+    def rows(parts: Column) -> Column:
+        def one(reg: Column, i: Column) -> Column:
+            own = F.get(parts, i)
+            # only the text before the first number has a heading of its own: what follows its last one counts
+            own = F.when(i == 0, F.element_at(F.split(own, _HEADING, -1), -1)).otherwise(F.regexp_replace(F.regexp_replace(own, r"(?i)PENGGANTI.*?PASANG\s+BARU", ""), _HEADING, ""))
+            own = F.regexp_replace(F.array_join(_words(F.regexp_replace(own, r"(?i)C\.?DATA\s*PERANGKAT", "")), " "), r"\A[|,.\-_:;]+|[|,.\-_:;]+\z", "")
+            own = T.let(_words(own), lambda ws: F.slice(ws, F.greatest(F.lit(1), F.size(ws) - 9), 10))
+            behind = F.get(parts, i + 1)
+            behind = F.when(i == F.size(parts) - 2, F.substring(behind, 1, BEHIND)).otherwise(behind)
+            return F.struct(F.concat(own, _words(tail_behind(behind))).alias("words"), reg.alias("no_reg"))
+
+        return F.zip_with(F.sequence(F.lit(0), F.size(parts) - 2), F.slice(regs, 1, F.size(parts) - 1), lambda i, reg: one(reg, i))
+
+    kind = "array<struct<words:array<string>,no_reg:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        def placed(last: Column) -> Column:
+            moves = (F.size(acc) > 0) & (F.size(x["words"]) >= 2) & F.coalesce(goes_on(F.get(x["words"], F.lit(0)), last["words"]), F.lit(False))
+            before = F.when(moves, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.concat(last["words"], F.slice(x["words"], 1, 1)).alias("words"), last["no_reg"].alias("no_reg"))))).otherwise(acc)
+            own = F.when(moves, F.slice(x["words"], 2, F.size(x["words"]))).otherwise(x["words"])
+            return F.when(F.length(F.array_join(own, " ")) >= 3, F.concat(before, F.array(F.struct(own.alias("words"), x["no_reg"].alias("no_reg"))))).otherwise(before)
+
+        return T.let(F.get(acc, F.size(acc) - 1), placed)
+
+    none = F.array().cast(kind)
+    parts = F.split(text, pattern, -1)
+    made = F.aggregate(F.when(F.size(regs) > 0, T.let(parts, rows)).otherwise(none), none, step)
+    return F.when(text.isNotNull(), F.transform(made, lambda r: F.struct(F.array_join(r["words"], " ").alias("nama_barang"), r["no_reg"].alias("no_reg"))))

@@ -82,18 +82,87 @@ def vendor(text: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in vendor_parts(text).items()])
 
 
+# Kinds of work that a line of executors may name, headings that end a vendor's name.
+WORK_KINDS = ("survey", "instalasi", "aktivasi", "dismantle")
+AFTER_VENDOR = ("INFORMASI", "HASIL", "PEKERJAAN", "Kontak")
+_CONTACT, _PIC = "kontak pic pelanggan", "pic pelanggan"
+
+
+def _rest(line: Column, words: int) -> Column:
+    """A line behind its first words and what separates them from a value."""
+    return T.strip(F.regexp_replace(line, rf"(?U)\A(?:\S+\s+){{{words - 1}}}[^\s:]+\s*[:\-–]?", ""))
+
+
+def _first_at(lines: Column, test) -> Column:
+    """The position (from 1) of the first line that passes, 0 without one."""
+    return F.coalesce(F.array_position(F.transform(lines, lambda x: F.coalesce(test(x), F.lit(False))), True), F.lit(0)).cast("int")
+
+
+def _begins(start: str):
+    return lambda x: F.startswith(F.regexp_replace(F.lower(x), r"(?U)\s+", " "), F.lit(start))
+
+
+def _customer_pic(lines: Column) -> Column:
+    """What stands between the lines of the person's and the contact's label, else what follows the label in its line."""
+    at, until = _first_at(lines, _begins(_PIC)), _first_at(lines, _begins(_CONTACT))
+    below = F.when((at > 0) & (until > at + 1), F.array_join(F.slice(lines, at + 1, F.greatest(until - at - 1, F.lit(0))), "\n"))
+    own = F.when(at > 0, _rest(F.get(lines, at - 1), 2))
+    return F.coalesce(below, F.when(own != "", own))
+
+
+def _customer_contact(lines: Column) -> Column:
+    """The number behind the contact's label, else at the start of the next line."""
+    at = _first_at(lines, _begins(_CONTACT))
+    own = F.when(at > 0, _rest(F.get(lines, at - 1), 3))
+    number = T.strip(F.regexp_extract(F.when(own == "", F.get(lines, at)).otherwise(own), r"\A[-0-9+() ]+", 0))
+    return F.when(number != "", number)
+
+
+def _vendor_name(lines: Column) -> Column:
+    """'Vendor : NAME' in a line; else, without a colon, capitals and digits behind 'Vendor' and in the lines
+    below it, up to a blank line, a heading or the end. lines: with blank ones."""
+    colon = F.get(F.filter(lines, lambda x: F.rlike(x, F.lit(r"(?i)\AVendor\s*:\s*\S"))), F.lit(0))
+
+    def named(at: Column) -> Column:
+        rest = F.slice(lines, at, F.size(lines))
+        ends = F.array_position(F.transform(rest, lambda x, i: (i > 0) & ((x == "") | F.rlike(x, F.lit(r"\A(?:" + "|".join(AFTER_VENDOR) + ")")))), True).cast("int")
+        first = F.when(F.rlike(F.get(rest, F.lit(0)), F.lit(r"\AVendor\z")) & (F.get(rest, F.lit(1)) == ""), F.array_position(F.transform(rest, lambda x, i: (i > 0) & (x != "")), True).cast("int")).otherwise(F.lit(1))
+        # a blank line right below the label is passed over: the name is the next run of lines
+        tail = F.slice(rest, first + 1, F.size(rest))
+        stop = F.array_position(F.transform(tail, lambda x: (x == "") | F.rlike(x, F.lit(r"\A(?:" + "|".join(AFTER_VENDOR) + ")"))), True).cast("int")
+        block = F.when(first > 1, F.concat(F.slice(rest, first, F.lit(1)), F.slice(tail, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(tail))))).otherwise(F.slice(rest, F.lit(1), F.when(ends > 0, ends - 1).otherwise(F.size(rest))))
+        name = T.strip(F.regexp_replace(F.regexp_replace(F.array_join(block, " "), r"\AVendor\b", ""), r"(?U)\s+", " "))
+        return F.when(F.rlike(name, F.lit(r"\A[A-Z][A-Z0-9 ]*\z")), name)
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.rlike(F.get(lines, i - 1), F.lit(r"\AVendor(?:\s+[A-Z]|\z)")))
+    below = F.get(F.filter(F.transform(starts, named), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(F.when(colon.isNotNull(), _rest(colon, 1)), below)
+
+
+def _technician(text: Column, name: Column) -> Column:
+    """What stands between 'Pelaksana', with the kind of work and 'dari Tim Vendor', and the next 'Vendor', without the vendor's name."""
+    behind = F.get(F.split(text, r"(?i)\bPelaksana\b", 2), F.lit(1))
+    behind = F.regexp_replace(behind, r"(?iU)\A\s*(?:" + "|".join(WORK_KINDS) + r")?\s*(?:dari\s+Tim\s+Vendor)?\s*:?\s*", "")
+    parts = F.split(behind, r"(?iU)\s+Vendor\b|\AVendor\b", 2)
+    own = F.when(F.size(parts) == 2, F.regexp_replace(F.get(parts, F.lit(0)), r"(?U)\s+", " "))
+    return T.strip(F.regexp_replace(own, F.concat(F.lit("(?iU)(?<!\\w)\\Q"), F.coalesce(name, F.lit("\0")), F.lit("\\E(?!\\w)")), F.lit("")))
+
+
 def vendor_parts(text: Column) -> dict[str, Column]:
-    """Coordinates, contact, vendor name and technician (minus the vendor's name)."""
-    name = T.found(text, r"(?i)Vendor\s*:?\s*([^\n]+)")
-    tech = T.found(text, r"(?is)Pelaksana[^\n:]*:?\s*(.*?)\s*Vendor")
-    quoted = F.concat(F.lit("\\Q"), F.coalesce(name, F.lit("\0")), F.lit("\\E"))
+    """Coordinates (whole numbers too), the customer's person and contact, vendor name and technician (minus the vendor's name).
+
+    Labels and values may share a line or stand on lines of their own.
+    """
+    number = r"(-?\d+(?:\.\d*)?)"
+    spot = rf"(?iU)Koordinat\s*{number}\s*,\s*{number}"
+    name = T.let(T.lines_of(text, keep_blank=True), _vendor_name)
     return {
-        "latitude": T.found(text, r"(?i)Koordinat\s*\n?\s*(-?\d+\.\d+)\s*,", 1),
-        "longitude": T.found(text, r"(?i)Koordinat\s*\n?\s*-?\d+\.\d+\s*,\s*(-?\d+\.\d+)", 1),
-        "pic_pelanggan": T.found(text, r"(?i)(?<!Kontak )PIC\s*Pelanggan\s*:\s*([^\n]+)"),
-        "kontak_pic_pelanggan": T.strip(T.found(text, r"(?i)Kontak\s+PIC\s+Pelanggan\s*[:\-]?\s*([0-9+\-() ]*[0-9])")),
-        "teknisi": T.strip(F.regexp_replace(tech, quoted, F.lit(""))),
-        "nama_vendor": T.strip(name),
+        "latitude": T.found(text, spot, 1),
+        "longitude": T.found(text, spot, 2),
+        "pic_pelanggan": T.let(T.lines_of(text), _customer_pic),
+        "kontak_pic_pelanggan": T.let(T.lines_of(text), _customer_contact),
+        "teknisi": T.let(name, lambda n: _technician(text, n)),
+        "nama_vendor": name,
     }
 
 

@@ -34,10 +34,10 @@ def _dismantle(text: Column) -> Column:
 
 
 def _checklist(kind: str) -> Callable[[Column], Column]:
-    pattern = fields.WIRELESS_REG if kind == "wireless" else fields.WIRELINE_REG
+    devices = checklists.device_items if kind == "wireless" else lambda text: fields.devices(text, fields.WIRELINE_REG)
 
     def made(text: Column) -> Column:
-        common = [checklists.remote_data(text).alias("data_remote"), checklists.clocks(text).alias("pelaksanaan"), fields.devices(text, pattern).alias("data_perangkat")]
+        common = [checklists.remote_data(text).alias("data_remote"), checklists.clocks(text).alias("pelaksanaan"), devices(text).alias("data_perangkat")]
         if kind == "wireless":
             return F.struct(*common, fields.voltage_table(text).alias("tegangan"), fields.quality_pair(text, "RSL").alias("rsl"), checklists.ups(text).alias("ups"), F.struct(*[fields.quality_table(text, t).alias(n) for n, t in rules.QUALITY.items()]).alias("quality_parameter"))
         return F.struct(*common, checklists.location(text).alias("data_lokasi"), checklists.electrical(text).alias("electrical"), checklists.environment(text).alias("environment"), checklists.indoor(text).alias("indoor_area"), checklists.line_items(text).alias("line_checklist"))

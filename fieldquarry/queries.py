@@ -145,6 +145,23 @@ def _rt_vendor(spark, d):
     return work_orders(spark, d).select("doc_id", fields.vendor(F.col("text")).alias("v")).select("doc_id", "v.teknisi", "v.nama_vendor", "v.latitude", "v.longitude")
 
 
+@query("vendor_forms", f"{_WO}, w AS (SELECT *, id_spk % 3 AS form FROM wo WHERE teknisi IS NOT NULL) SELECT id_spk AS doc_id, teknisi, nama_vendor, '-' || s_suppkey % 90 AS latitude, CASE form WHEN 2 THEN '106.' ELSE '106.25' END AS longitude, 'Ibu ' || id_spk || CASE form WHEN 0 THEN chr(10) || 'Lantai 2' ELSE '' END AS pic_pelanggan, '+62 (21) ' || id_spk AS kontak_pic_pelanggan FROM w")
+def _vendor_forms(spark, d):
+    """Execution blocks in three printed forms: labels on lines of their own, labels with colons, names in a line with its label."""
+    e = catalog.spk_execution_info(spark, d).where("teknisi IS NOT NULL").select(F.col("id_spk").alias("doc_id"), "teknisi", "nama_vendor", "latitude")
+    own = catalog.spk(spark, d).select(F.col("id_spk").alias("doc_id"), F.initcap("jenis_spk").alias("kind"))
+    # the supplier's key by the printed latitude: -6 - key / 1000
+    south = F.concat(F.lit("-"), (F.round((-F.col("latitude") - 6) * 1000).cast("long") % 90).cast("string"))
+    pic, phone = F.concat(F.lit("Ibu "), "doc_id"), F.concat(F.lit("+62 (21) "), "doc_id")
+    lines = lambda *x: F.concat_ws("\n", *[F.lit(y) if isinstance(y, str) else y for y in x])
+    first = lines(F.concat(F.lit("Pelaksana Survey dari Tim Vendor\n"), "teknisi"), "Vendor", F.regexp_replace("nama_vendor", " ", "\n"), "", "INFORMASI", "Koordinat", F.concat(south, F.lit(", 106.25")), "PIC Pelanggan (nama)", pic, "Lantai 2", "Kontak PIC Pelanggan", phone)
+    second = lines(F.concat(F.lit("Koordinat "), south, F.lit(" , 106.25")), F.concat(F.lit("Pelaksana : "), "teknisi"), F.concat(F.lit("Vendor : "), "nama_vendor"), F.concat(F.lit("PIC Pelanggan : "), pic), F.concat(F.lit("Kontak PIC Pelanggan : "), phone, F.lit(" Bpk")))
+    third = lines(F.concat(F.lit("Pelaksana INSTALASI "), "teknisi", F.lit(" "), "nama_vendor"), F.concat(F.lit("Vendor "), "nama_vendor"), "Kontak Person", "PIC Pelanggan", pic, F.concat(F.lit("Kontak PIC Pelanggan - "), phone), F.concat(F.lit("Koordinat\n\n"), south, F.lit(",106.")))
+    form = F.pmod("doc_id", F.lit(3))
+    made = e.join(own, "doc_id").select("doc_id", F.when(form == 0, first).when(form == 1, second).otherwise(third).alias("text"))
+    return made.select("doc_id", fields.vendor(F.col("text")).alias("v")).select("doc_id", "v.teknisi", "v.nama_vendor", "v.latitude", "v.longitude", "v.pic_pelanggan", "v.kontak_pic_pelanggan")
+
+
 @query("ordinal_timestamps", f"{_WO} SELECT id_spk AS doc_id, coalesce(strftime(datang, '%d/%b/%Y %H:%M'), '') AS first_stamp, coalesce(strftime(selesai, '%d/%b/%Y %H:%M'), '') AS second_stamp, '' AS third_stamp FROM wo")
 def _stamps(spark, d):
     s = fields.stamps(F.col("text"))
@@ -958,6 +975,35 @@ def _continuations(spark, d):
     return _numbers(spark, d).select("doc_id", checklists.join_continuations(names).alias("names"))
 
 
+#: Device tables: what is printed before, between and behind the numbers, and the names that are read, by order.
+DEVICES = (
+    (("C.DATA PERANGKAT EXISTING Nama Barang No.Reg S/N ROUTER {c} ", " + Antena\nModem {s} ", " S/N 0815"), ("ROUTER {c} Antena Modem", "+ Antena Modem {s}")),
+    (("CABUT Nama Barang Firewall HW AND ", " WARRANTY ADAPTOR {c} ", " ADAPTOR 12V"), ("Firewall HW AND WARRANTY", "ADAPTOR {c}")),
+    (("Nama Barang PSU ", "\nFG-50E BOX {s} ", " CABUT"), ("PSU", "FG-50E BOX {s}")),
+    (("", " ADAPTOR POWER 12 ", " Kit"), ("ADAPTOR POWER 12 Kit",)),
+    (("PENGGANTI PASANG BARU |Switch {c} ", " BLACK , Kabel {s} ", ""), ("Switch {c} BLACK Kabel BLACK", ", Kabel {s}")),
+)
+
+
+def _device_rows() -> str:
+    """The names as rows (kind, part, name) of DuckDB."""
+    return ", ".join(f"({k}, {len(parts) - 1 - len(names) + i}, '{n}')" for k, (parts, names) in enumerate(DEVICES) for i, n in enumerate(names))
+
+
+@query("device_items", f"WITH k(kind, part, name) AS (VALUES {_device_rows()}) SELECT o_orderkey AS doc_id, part + 1 AS item, 'B2WN' || lpad((o_orderkey + part)::VARCHAR, 10, '0') AS no_reg, replace(replace(name, '{{c}}', 'C' || o_custkey), '{{s}}', 'T' || o_orderkey % 100) AS nama_barang FROM orders JOIN k ON kind = o_orderkey % {len(DEVICES)}")
+def _device_items(spark, d):
+    o = catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    reg = lambda n: F.concat(F.lit("B2WN"), F.lpad((F.col("doc_id") + n).cast("string"), 10, "0"))
+    text = F
+    for k, (parts, _) in enumerate(DEVICES):
+        made = F.concat(F.lit(parts[0]), reg(0), F.lit(parts[1]), reg(1), F.lit(parts[2]))
+        text = text.when(F.pmod("doc_id", F.lit(len(DEVICES))) == k, made)
+    text = F.replace(F.replace(text, F.lit("{c}"), F.concat(F.lit("C"), "o_custkey")), F.lit("{s}"), F.concat(F.lit("T"), F.col("doc_id") % 100))
+    items = o.select("doc_id", F.explode(checklists.device_items(text)).alias("i"))
+    at = (F.substring("i.no_reg", 5, 10).cast("long") - F.col("doc_id") + 1).cast("int")
+    return items.select("doc_id", at.alias("item"), "i.no_reg", "i.nama_barang")
+
+
 @query("parser_status_lookup", f"{_PM} SELECT doc_id, CASE WHEN code IN ('002', '003', '013', '014', '015') THEN 'planned' WHEN code <> '016' THEN 'active' END AS status, CASE WHEN code <> '016' THEN 'pmpop' END AS category FROM f")
 def _status(spark, d):
     """What the registry says of each form's type."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldquarry.functions import similarity as S
 from fieldquarry.functions import text as T
-from fieldquarry.operators import fields, forms, layout
+from fieldquarry.operators import checklists, fields, forms, layout
 
 
 def one(spark, text, make):
@@ -144,3 +144,49 @@ def test_headers_and_boxes(spark):
     spans = spark.createDataFrame([("d", 1, "FOTO", 50.0, 100.0, 12.0), ("d", 1, "no. ", 300.0, 500.0, 12.0), ("d", 1, "FOTO 2", 380.0, 500.0, 12.0), ("d", 1, "foot", 10.0, 950.0, 14.0)], "doc_id string, page int, text string, x double, y double, size double")
     assert {r.text for r in layout.valid_header(spans).collect()} == {"FOTO", "no. "}
     assert layout.near_box(spans, 55, 95, 10).count() == 1
+
+
+@pytest.mark.parametrize(
+    "behind,tail",
+    [
+        ("Kit", "Kit"), ("+ Antena Modem X", "Antena Modem"), ("WARRANTY ADAPTOR", ""), ("ADAPTOR 12V", ""), ("FG-50E Kit", ""), ("B311As", ""), ("Antenna CABUT x", "Antenna"), ("CABUT Kit", ""),
+        ("a Kit - Box Set", "Kit Box"), ("Antenna Cabinet", "Antenna"), ("Antenna + Cabinet", "Antenna Cabinet"), ("Antennas + Cabinets", "Antennas"), ("ROUTER + ANTENA", ""), ("Kit B2WN0123456789 Box", "Kit"), ("", ""), ("EXISTINGS", ""), ("Verylongdescriptor", ""),
+    ],
+)
+def test_tail_behind_a_number(spark, behind, tail):
+    assert one(spark, behind, checklists.tail_behind) == tail
+
+
+@pytest.mark.parametrize(
+    "word,before,want",
+    [
+        ("Router", "Firewall HW AND", True), ("KIT", "one two three four", True), ("KIT", "one two three four five", False), ("HW", "PSU", True), ("HW", "PSU 12V", False), ("HW", "PSU + Box", False),
+        ("HW", "a b c", False), ("1A", "PSU", True), ("A1", "PSU", False), ("aB", "PSU", False), ("FORTIGATE", "PSU", False), ("KIT", "", False),
+    ],
+)
+def test_words_that_go_on(spark, word, before, want):
+    assert one(spark, before, lambda c: checklists.goes_on(F.lit(word), F.filter(F.split(c, " "), lambda w: w != ""))) is want
+
+
+def test_continuations_by_line(spark):
+    assert one(spark, "PSU\nHW AND\n\nKIT", checklists.join_continuations) == "PSU HW\nAND\n\nKIT"
+    assert one(spark, None, checklists.join_continuations) is None and one(spark, "", checklists.join_continuations) == ""
+
+
+def test_device_items(spark):
+    a, b = "B2WN0000000001", "B2WN0000000002"
+    text = f"CABUT Nama Barang No.Reg {' '.join('w%d' % i for i in range(12))} {a} KIT, Modem {b} {'Box' + ' ' * 60}Set"
+    got = [tuple(r) for r in one(spark, text, checklists.device_items)]
+    assert got == [(" ".join("w%d" % i for i in range(2, 12)) + " KIT, Modem", a), ("KIT, Modem Box", b)]
+    assert one(spark, "no number", checklists.device_items) == [] and one(spark, None, checklists.device_items) is None
+    assert one(spark, f"x {a}", checklists.device_items) == []
+
+
+def test_vendor_without_end_or_name(spark):
+    v = lambda t: one(spark, t, fields.vendor)
+    assert v("Vendor\n\nPT ABC\nJAYA").nama_vendor == "PT ABC JAYA"
+    assert v("Tim Vendor\nbudi").nama_vendor is None and v("Vendor\nbudi\n\nVendor ABC\nKontak").nama_vendor == "ABC"
+    assert v("Pelaksana BUDI").teknisi is None and v("Kontak PIC Pelanggan\nsiang").kontak_pic_pelanggan is None
+    assert v("PIC Pelanggan\nKontak PIC Pelanggan : 08-1").pic_pelanggan is None
+    assert v("") == v("x") and all(x is None for x in v(""))
+    assert v(None).nama_vendor is None

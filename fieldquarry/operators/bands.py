@@ -19,7 +19,8 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: tuple[str, ...], y:
     """points with the spans (of the same keys) that hold their y: low < y < high; borders are for `more` to decide.
 
     The spans' columns other than keys must have other names than the points'. `more` is a further
-    condition over both. how: inner, left_semi, left_anti or left.
+    condition over both. how: inner, left_semi, left_anti or left. Both sides are shuffled: rows that
+    come of `explode` are guessed far too small, and a broadcast of them would go through the driver.
     """
     bins = F.explode(F.sequence(bin_of(F.col(low), width), bin_of(F.greatest(F.col(low), F.col(high)), width)))
     s = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("__bin", bins)
@@ -31,4 +32,4 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: tuple[str, ...], y:
     on &= (F.col(y) >= F.col(low)) & (F.col(y) <= F.col(high))
     if more is not None:
         on &= more
-    return p.join(s, on, how).drop("__at", "__bin", *[f"__{k}" for k in keys])
+    return p.join(s.hint("merge"), on, how).drop("__at", "__bin", *[f"__{k}" for k in keys])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from fieldquarry.operators import rules
 
 GRAM = 3
+#: Labels that are broadcast at most, with their grams; more are shuffled.
+MANY_LABELS = 20_000
 
 
 def plain(text: Column) -> Column:
@@ -28,8 +30,10 @@ def contained(texts: DataFrame, labels: DataFrame) -> DataFrame:
 
     An inverted index on grams: of each label's grams the one that fewest texts hold is looked up,
     and only texts that hold it are searched. Labels shorter than a gram are grams themselves; empty
-    ones are held by nothing.
+    ones are held by nothing. What is broadcast is said here, as Spark guesses texts from `explode` too small.
     """
+    few = labels.limit(MANY_LABELS + 1).count() <= MANY_LABELS
+    known = F.broadcast if few else lambda df: df.hint("merge")
     sizes = F.explode(F.array(*[F.lit(i) for i in range(1, GRAM + 1)]))
     size = F.least(F.lit(GRAM), F.length("label_key"))
     whole = labels.where("label_key <> ''").withColumn("size", size)
@@ -37,11 +41,11 @@ def contained(texts: DataFrame, labels: DataFrame) -> DataFrame:
     wanted = grams.select("size", "gram").distinct()
     held = texts.withColumn("size", sizes)
     made = F.when(F.col("size") == 1, _grams(F.col("text"), 1)).when(F.col("size") == 2, _grams(F.col("text"), 2)).otherwise(_grams(F.col("text"), GRAM))
-    posted = held.join(F.broadcast(wanted.select("size").distinct()), "size").select("text", "size", F.explode(made).alias("gram")).join(wanted, ["size", "gram"])
+    posted = held.join(F.broadcast(wanted.select("size").distinct()), "size").select("text", "size", F.explode(made).alias("gram")).join(known(wanted), ["size", "gram"])
     counts = posted.groupBy("size", "gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(counts, ["size", "gram"], "left").groupBy("label_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "gram")).alias("g"))
+    rarest = grams.join(counts.hint("merge"), ["size", "gram"], "left").groupBy("label_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "gram")).alias("g"))
     chosen = rarest.where("g.n > 0").select("label_key", F.col("g.size").alias("size"), F.col("g.gram").alias("gram"))
-    return posted.join(chosen, ["size", "gram"]).where(F.contains("text", F.col("label_key"))).select("text", "label_key")
+    return posted.join(known(chosen), ["size", "gram"]).where(F.contains("text", F.col("label_key"))).select("text", "label_key")
 
 
 def find_labels(tokens: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def find_labels(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     wanted = labels.withColumn("__label", plain(F.col("label")))
     pairs = contained(t.select(F.col("__text").alias("text")).where("text IS NOT NULL").distinct(), wanted.select(F.col("__label").alias("label_key")).where("label_key IS NOT NULL").distinct())
     pairs = pairs.select(F.col("text").alias("__text"), F.col("label_key").alias("__label"))
-    return t.join(pairs, "__text").join(wanted, "__label").drop("__text", "__label")
+    return t.join(pairs.join(wanted.hint("merge"), "__label").hint("merge"), "__text").drop("__text", "__label")
 
 
 # ---- headings with wrong letters ----------------------------------------------------------------

@@ -1,8 +1,10 @@
 """What large tables need: plans that gather nothing on the driver or in one task, and queries that differ once caches are full."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from fieldquarry.operators import layout
+from fieldquarry.operators import headings, layout
 
 
 def plan_of(df):
@@ -21,3 +23,19 @@ def test_bands_are_not_broadcast(spark, tmp_path):
     df = layout.column_band(stored_tokens(spark, tmp_path), ("POWER",))
     assert "Broadcast" not in plan_of(df)
     assert {(r.standard, r.existing) for r in df.collect()} == {("ON", "")} and df.count() == 50
+
+
+def test_label_hits_broadcast_only_labels(spark, tmp_path):
+    labels = spark.createDataFrame([("nama-pelanggan",), ("FOTO LOKASI",)], "label string")
+    df = headings.find_labels(stored_tokens(spark, tmp_path), labels)
+    plan = plan_of(df)
+    assert "BroadcastHashJoin [__text" not in plan and not re.search(r"BroadcastHashJoin \[size[^\n]*BuildLeft", plan)
+    assert df.count() == 50
+
+
+def test_more_labels_than_are_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(headings, "MANY_LABELS", 1)
+    labels = spark.createDataFrame([("nama-pelanggan",), ("pow",), ("o",), ("FOTO LOKASI",)], "label string")
+    df = headings.find_labels(stored_tokens(spark, tmp_path), labels)
+    assert not re.search(r"BroadcastHashJoin \[size\S*, gram", plan_of(df))
+    assert {(r.text, r.label) for r in df.collect()} == {("Nama Pelanggan", "nama-pelanggan"), ("POWER", "pow"), ("POWER", "o"), ("ON", "o")}

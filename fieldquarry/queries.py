@@ -801,7 +801,7 @@ def _count_flag(spark, d):
 @query("cache_fifo_dedup", "SELECT md5(lower(trim(event_type || (user_id % 400)))) AS cache_key, min(event_id) AS seq FROM events GROUP BY 1 ORDER BY seq DESC LIMIT 1000")
 def _cache(spark, d):
     e = catalog.table(spark, d, "events")
-    return conversation.fifo_cache(e, "event_id", conversation.question_key(F.concat("event_type", F.pmod("user_id", F.lit(400)))))
+    return conversation.newest_keys(e, "event_id", conversation.question_key(F.concat("event_type", F.col("user_id") % 400)))
 
 
 #: Customers come back after their keys were pushed out: 60 keys of more than a hundred.

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fieldquarry.operators import headings, layout
+from fieldquarry.operators import conversation, headings, layout
 
 
 def plan_of(df):
@@ -39,3 +39,8 @@ def test_more_labels_than_are_broadcast(spark, tmp_path, monkeypatch):
     df = headings.find_labels(stored_tokens(spark, tmp_path), labels)
     assert not re.search(r"BroadcastHashJoin \[size\S*, gram", plan_of(df))
     assert {(r.text, r.label) for r in df.collect()} == {("Nama Pelanggan", "nama-pelanggan"), ("POWER", "pow"), ("POWER", "o"), ("ON", "o")}
+
+
+def test_newest_keys_keep_their_first_request(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "a"), (5, None), (6, None)], "seq long, k string")
+    assert [(r.cache_key, r.seq) for r in conversation.newest_keys(df, "seq", F.col("k"), most=3).collect()] == [(None, 5), ("c", 3), ("b", 2)]

@@ -36,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each core that documents are spread over.
+WAVES = 8
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to all cores by their keys. A small file, or one of few row groups, is read by one task or few, and
+    what is made of its rows (texts, records, tokens) costs far more than moving them."""
+    return rows.repartition(WAVES * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _lookup(c, values: dict[str, str]):
     out = F
     for k, v in values.items():

@@ -98,7 +98,7 @@ def work_orders(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, text): a work order for each order, as printed."""
     s, j = catalog.spk(spark, d), catalog.jaringan(spark, d).drop("is_deleted")
     e, p = catalog.spk_execution_info(spark, d).drop("id_execution"), catalog.spk_pelaksanaan(spark, d).drop("id_pelaksanaan")
-    r = s.join(j, "no_jaringan").join(p, "id_spk", "left").join(e, "id_spk", "left")
+    r = catalog.spread(s.join(j, "no_jaringan").join(p, "id_spk", "left").join(e, "id_spk", "left"), "id_spk")
     stamp = lambda c: F.coalesce(F.date_format(c, "dd/MMM/yyyy HH:mm"), F.lit("-"))
     text = F.concat_ws(
         "\n", F.lit("SURAT PERINTAH KERJA"), F.concat(F.lit("SPK "), F.upper("jenis_spk")), F.concat(F.lit("Nomor : "), "no_spk"),
@@ -158,7 +158,7 @@ def _vendor_forms(spark, d):
     second = lines(F.concat(F.lit("Koordinat "), south, F.lit(" , 106.25")), F.concat(F.lit("Pelaksana : "), "teknisi"), F.concat(F.lit("Vendor : "), "nama_vendor"), F.concat(F.lit("PIC Pelanggan : "), pic), F.concat(F.lit("Kontak PIC Pelanggan : "), phone, F.lit(" Bpk")))
     third = lines(F.concat(F.lit("Pelaksana INSTALASI "), "teknisi", F.lit(" "), "nama_vendor"), F.concat(F.lit("Vendor "), "nama_vendor"), "Kontak Person", "PIC Pelanggan", pic, F.concat(F.lit("Kontak PIC Pelanggan - "), phone), F.concat(F.lit("Koordinat\n\n"), south, F.lit(",106.")))
     form = F.pmod("doc_id", F.lit(3))
-    made = e.join(own, "doc_id").select("doc_id", F.when(form == 0, first).when(form == 1, second).otherwise(third).alias("text"))
+    made = catalog.spread(e.join(own, "doc_id"), "doc_id").select("doc_id", F.when(form == 0, first).when(form == 1, second).otherwise(third).alias("text"))
     return made.select("doc_id", fields.vendor(F.col("text")).alias("v")).select("doc_id", "v.teknisi", "v.nama_vendor", "v.latitude", "v.longitude", "v.pic_pelanggan", "v.kontak_pic_pelanggan")
 
 
@@ -198,7 +198,7 @@ _SURVEY_ROWS = (
 
 def surveys(spark, d) -> DataFrame:
     """(doc_id, text): a survey report for each customer, with repeated labels, a label without a value and a missing section."""
-    c = catalog.table(spark, d, "customer")
+    c = catalog.spread(catalog.table(spark, d, "customer"), "c_custkey")
     text = F.concat(
         F.lit("SURAT PERINTAH KERJA\nSPK SURVEY\nNomor : 1\nStatus Gedung\n"), "c_mktsegment", F.lit("\nKondisi Gedung\nBaik\nPelanggan bersedia dipasang perangkat\nEmail\nto c"), "c_custkey", F.lit("@mail.test now\nINFORMASI LOKASI ANTENA\nLokasi Antena\n"), "c_name",
         F.lit("\nTindak Lanjut\nlama\nTindak Lanjut\nbaru\nSURVEY REPORT\nDATA PERIZINAN DAN BIAYA  YANG TIMBUL DALAM GEDUNG\nPIC BM\n"), "c_name",
@@ -307,7 +307,7 @@ def _image_labels(spark, d):
 
 def pm_forms(spark, d) -> DataFrame:
     """(doc_id, text): a maintenance form for each part."""
-    p = catalog.table(spark, d, "part")
+    p = catalog.spread(catalog.table(spark, d, "part"), "p_partkey")
     code = F.lpad((F.pmod("p_partkey", F.lit(16)) + 1).cast("string"), 3, "0")
     volts = F.concat((F.col("p_size") + 20).cast("string"), F.lit(","), F.pmod("p_partkey", F.lit(10)).cast("string"))
     status = F.when(F.pmod("p_partkey", F.lit(3)) == 0, "NOK").otherwise("OK")
@@ -366,7 +366,7 @@ def _capacity(spark, d):
 
 
 def _numbers(spark, d, key="supplier", col="s_suppkey"):
-    return catalog.table(spark, d, key).select(F.col(col).alias("doc_id"))
+    return catalog.spread(catalog.table(spark, d, key).select(F.col(col).alias("doc_id")), "doc_id")
 
 
 def _lines(n, make):
@@ -561,7 +561,7 @@ def _folder(spark, d):
 # ---- layout ------------------------------------------------------------------------------------
 def tokens(spark, d) -> DataFrame:
     """(doc_id, idx, text, x, y): a printed table for each order; a token for each line number."""
-    o = catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c"))
+    o = catalog.spread(catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c")), "doc_id")
     k = F.col("doc_id")
     rows = [("Nama Pelanggan", F.lit(40.0), F.lit(100.0)), (":", F.lit(180.0), F.lit(100.0)), (F.concat(F.lit("CUSTOMER "), "c"), F.lit(200.0), F.lit(102.0)), ("Kota", F.lit(40.0), F.lit(130.0)), ("POWER", F.lit(60.0), F.lit(400.0)),
             ("OK", F.lit(480.0), F.lit(405.0)), (F.concat(F.lit("ON"), F.pmod(k, F.lit(7))), F.lit(300.0), F.lit(402.0)), ("GREEN", F.lit(700.0), F.lit(430.0)), (F.concat(F.lit("B2WN"), F.lpad(k.cast("string"), 10, "0")), F.lit(100.0), F.lit(600.0)), (F.concat(F.lit("B2WN"), F.lpad((k + 1).cast("string"), 10, "0")), 500.0 + F.pmod(k, F.lit(3)), F.lit(600.0)), ("Kota", F.lit(45.0), F.lit(700.0))]
@@ -638,7 +638,7 @@ def _ocr_shapes(spark, d):
 
 @query("device_name_boxes", "SELECT o_orderkey AS doc_id, 'B2WN' || lpad(o_orderkey::VARCHAR, 10, '0') AS no_reg, 'left' AS side, 'Router C' || o_custkey AS name FROM orders UNION ALL SELECT o_orderkey, 'B2WN' || lpad((o_orderkey + 1)::VARCHAR, 10, '0'), 'right', 'Modem FO' FROM orders")
 def _device_boxes(spark, d):
-    o = catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    o = catalog.spread(catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey"), "doc_id")
     reg = lambda n: F.concat(F.lit("B2WN"), F.lpad((F.col("doc_id") + n).cast("string"), 10, "0"))
     token = lambda t, x, y: F.struct(t.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"))
     made = F.array(
@@ -935,7 +935,7 @@ def site_checklists(spark, d) -> DataFrame:
         F.lit("1. Output Tegangan\nP-N "), 220 + F.pmod(k, F.lit(9)), F.lit(" VAC . VAC 221 VAC\nP-G 219 VAC\nGrounding Bar terkoneksi ke : Gedung\nENVIRONMENT\nAC Pendingin Ruangan : Ada\nSuhu Ruangan Perangkat : "), 20 + F.pmod(k, F.lit(5)),
         F.lit("\nMERK UPS : APC\nKapasitas : 10 KVA\nLINE CHECKLIST\nSite Area\nKabel RJ-11 Baik\nPhone Box : "), "jenis_spk", F.lit("\nHRB\nKabel Data OK\nTes Konektivitas\nTest Ping "), k, F.lit(" ms\nRSL\n--\nStandard\n-65 dBm\nNama Barang Router A B2WX"), F.lpad(k.cast("string"), 10, "0"), F.lit("\nNama Barang Modem B"),
     )
-    return s.join(j, "no_jaringan").select(k.alias("doc_id"), text.alias("text"))
+    return catalog.spread(s.join(j, "no_jaringan"), "id_spk").select(k.alias("doc_id"), text.alias("text"))
 
 
 _CL = f"{catalog.ORACLE}, cl AS (SELECT s.id_spk AS doc_id, s.*, j.nama_pelanggan, j.lokasi_pelanggan, strftime(tanggal_spk, '%d-%b-%Y') AS day FROM spk s JOIN jaringan j USING (no_jaringan))"
@@ -992,7 +992,7 @@ def _device_rows() -> str:
 
 @query("device_items", f"WITH k(kind, part, name) AS (VALUES {_device_rows()}) SELECT o_orderkey AS doc_id, part + 1 AS item, 'B2WN' || lpad((o_orderkey + part)::VARCHAR, 10, '0') AS no_reg, replace(replace(name, '{{c}}', 'C' || o_custkey), '{{s}}', 'T' || o_orderkey % 100) AS nama_barang FROM orders JOIN k ON kind = o_orderkey % {len(DEVICES)}")
 def _device_items(spark, d):
-    o = catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    o = catalog.spread(catalog.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey"), "doc_id")
     reg = lambda n: F.concat(F.lit("B2WN"), F.lpad((F.col("doc_id") + n).cast("string"), 10, "0"))
     text = F
     for k, (parts, _) in enumerate(DEVICES):

@@ -79,7 +79,7 @@ def list_items(text: Column) -> Column:
 
 def vendor(text: Column) -> Column:
     """vendor_parts as one struct."""
-    return F.struct(*[c.alias(n) for n, c in vendor_parts(text).items()])
+    return T.let(F.struct(T.lines_of(text, keep_blank=True).alias("lines")), lambda t: T.let(F.struct(_vendor_name(t["lines"]).alias("name"), F.filter(t["lines"], lambda x: x != "").alias("held")), lambda v: F.struct(*[c.alias(n) for n, c in _vendor_parts(text, v["held"], v["name"]).items()])))
 
 
 # Kinds of work that a line of executors may name, headings that end a vendor's name.
@@ -153,14 +153,18 @@ def vendor_parts(text: Column) -> dict[str, Column]:
 
     Labels and values may share a line or stand on lines of their own.
     """
+    return _vendor_parts(text, T.lines_of(text), T.let(T.lines_of(text, keep_blank=True), _vendor_name))
+
+
+def _vendor_parts(text: Column, lines: Column, name: Column) -> dict[str, Column]:
+    """vendor_parts from a text, its lines that are not blank and its vendor's name."""
     number = r"(-?\d+(?:\.\d*)?)"
     spot = rf"(?iU)Koordinat\s*{number}\s*,\s*{number}"
-    name = T.let(T.lines_of(text, keep_blank=True), _vendor_name)
     return {
         "latitude": T.found(text, spot, 1),
         "longitude": T.found(text, spot, 2),
-        "pic_pelanggan": T.let(T.lines_of(text), _customer_pic),
-        "kontak_pic_pelanggan": T.let(T.lines_of(text), _customer_contact),
+        "pic_pelanggan": T.let(lines, _customer_pic),
+        "kontak_pic_pelanggan": T.let(lines, _customer_contact),
         "teknisi": T.let(name, lambda n: _technician(text, n)),
         "nama_vendor": name,
     }
@@ -171,9 +175,9 @@ def _is_label(line: Column, labels: tuple[str, ...]) -> Column:
 
 
 def _pairs(text: Column, clean: bool = False) -> Column:
-    """array<struct<own, next>> of a text's lines."""
+    """array<struct<own, low, next>> of a text's lines; low: in lower case."""
     lines = T.lines_of(T.clean_space(text) if clean else text)
-    return T.let(lines, lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("own"), F.get(ls, i + 1).alias("next"))))
+    return T.let(lines, lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("own"), F.lower(x).alias("low"), F.get(ls, i + 1).alias("next"))))
 
 
 def label_next_line(text: Column, labels: tuple[str, ...], keep: str = "last") -> Column:
@@ -211,7 +215,8 @@ def label_inline(text: Column, labels: tuple[str, ...]) -> Column:
 
 
 def _line_test(label: str, pattern: str):
-    return lambda x: F.rlike(x["own"], F.lit(pattern)) | (F.lower(x["own"]) == label.lower())
+    # most lines go by their first letters, before any pattern
+    return lambda x: F.startswith(x["low"], F.lit(label.lower())) & (F.rlike(x["own"], F.lit(pattern)) | (x["low"] == label.lower()))
 
 
 def _key(label: str) -> str:
@@ -233,7 +238,7 @@ def label_prefix(text: Column, labels: tuple[str, ...]) -> Column:
 
 
 def _prefix_test(label: str):
-    return lambda x: F.startswith(F.lower(x["own"]), F.lit(label.lower()))
+    return lambda x: F.startswith(x["low"], F.lit(label.lower()))
 
 
 HH_LABEL = r"(?i)\A(?:" + "|".join(rules.HH_LABELS) + r")-\d+\z"

@@ -187,9 +187,7 @@ def device_names(tokens: DataFrame, pattern: str, left: float = 400.0, right: fl
     """
     hits = column_split(tokens, pattern, keys).select(*keys, F.regexp_extract("text", pattern, 0).alias("no_reg"), "side", F.col("idx").alias("ri"), (F.col("y") - above).alias("__low"), F.col("y").alias("__high"))
     low = F.lower(F.trim("text"))
-    printed = F.lit(False)
-    for w in rules.DEVICE_SKIPPED:
-        printed |= F.rlike(low, F.lit(rf"(?<![a-z]){w.replace('.', chr(92) + '.')}(?![a-z])"))
+    printed = F.rlike(low, F.lit("(?<![a-z])(?:" + "|".join(w.replace(".", r"\.") for w in rules.DEVICE_SKIPPED) + ")(?![a-z])"))
     words = tokens.where(~F.rlike("text", F.lit(pattern)) & (F.length(F.trim("text")) >= 2) & ~printed & ~F.rlike("text", F.lit(r"\A\s*(\d{2}-[A-Za-z]{3}-\d{4}|\d{2}:\d{2})")))
     column = F.when(F.col("side") == "right", F.col("x") >= right).otherwise(F.col("x") <= left)
     joined = bands.interval_join(words, hits, keys, "y", "__low", "__high", width=above, more=(F.col("y") > F.col("__low")) & column)

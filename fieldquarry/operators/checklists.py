@@ -38,28 +38,38 @@ def is_wireline(text: Column) -> Column:
 
 def remote_data(text: Column) -> Column:
     """struct of the remote-data fields; a province that names a work order is none."""
-    text = T.clean_checklist(text)
+    return T.let(T.clean_checklist(text), _remote)
+
+
+def _remote(text: Column) -> Column:
     made = [(n, F.coalesce(cut_at_labels(text, p, STOPS), F.lit(""))) for n, p in REMOTE]
-    made = [(n, F.when(F.contains(F.lower(v), F.lit("spk")), "").otherwise(v) if n == "propinsi" else v) for n, v in made]
+    made = [(n, T.let(v, lambda x: F.when(F.contains(F.lower(x), F.lit("spk")), "").otherwise(x)) if n == "propinsi" else v) for n, v in made]
     date = F.coalesce(T.found(text, rf"(?i)Tanggal\s*:?\s*({STAMP}(?:\s+\d{{2}}:\d{{2}})?)"), F.lit(""))
     return F.struct(*[v.alias(n) for n, v in made], date.alias("tanggal"))
 
 
 def clocks(text: Column) -> Column:
     """struct of eight clock fields: six by position in the block, two by their labels."""
-    text = T.clean_checklist(text)
-    block = F.coalesce(T.found(text, r"(?is)(Jam\s*Perintah.*?)(?=GLOBAL|Latitude|DATA\s*LOKASI|\z)"), F.lit(""))
-    dates = F.regexp_extract_all(block, F.lit(f"({STAMP})"), F.lit(1))
-    times = F.regexp_extract_all(block, F.lit(r"(\d{2}:\d{2})"), F.lit(1))
+    def of(t: Column) -> Column:
+        block = F.coalesce(T.found(t["text"], r"(?is)(Jam\s*Perintah.*?)(?=GLOBAL|Latitude|DATA\s*LOKASI|\z)"), F.lit(""))
+        return T.let(block, lambda b: T.let(F.struct(F.regexp_extract_all(b, F.lit(f"({STAMP})"), F.lit(1)).alias("dates"), F.regexp_extract_all(b, F.lit(r"(\d{2}:\d{2})"), F.lit(1)).alias("times")), lambda m: _clocks(t["text"], b, m["dates"], m["times"])))
+
+    return T.let(F.struct(T.clean_checklist(text).alias("text")), of)
+
+
+def _clocks(text: Column, block: Column, dates: Column, times: Column) -> Column:
     nth = lambda i: F.coalesce(F.when(F.get(times, F.lit(i)).isNotNull(), F.concat(F.get(dates, F.lit(i)), F.lit(" "), F.get(times, F.lit(i)))), F.get(dates, F.lit(i)), F.lit(""))
     late = [F.when(F.length(block) > 0, F.coalesce(T.found(text, rf"(?i){p}\s*:?\s*({STAMP}(?:\s+\d{{2}}:\d{{2}})?)"), F.lit(""))).otherwise("").alias(n) for n, p in LATE_CLOCKS]
     return F.struct(*[nth(i).alias(n) for i, n in enumerate(CLOCKS)], *late)
 
 
 def location(text: Column) -> Column:
-    text = T.clean_checklist(text)
+    return T.let(T.clean_checklist(text), _location)
+
+
+def _location(text: Column) -> Column:
     lat, lon = T.found(text, r"(?i)Latitude\s*:?\s*([\d°'\".-]+)"), T.found(text, r"(?i)Longitude\s*:?\s*([\d°'\".-]+)")
-    keep = lambda v: F.coalesce(F.when(v != ".", v), F.lit(""))
+    keep = lambda v: T.let(v, lambda x: F.coalesce(F.when(x != ".", x), F.lit("")))
     floor = T.strip(T.found(text, r"(?i)Posisi\s*Modem\s*di\s*Lt\.\s*:?\s*([A-Za-z0-9 ]+?)(?=\s+Ruang|\n|\z)"))
     room = T.strip(T.found(text, r"(?i)\bRuang\s*:?\s*([A-Za-z ]+?)(?=\s+P-G|\s+\d|\n|\z)"))
     return F.struct(keep(lat).alias("latitude"), keep(lon).alias("longitude"), F.coalesce(floor, F.lit("")).alias("posisi_modem_di_lt"), F.coalesce(room, F.lit("")).alias("ruang"))
@@ -69,16 +79,16 @@ def voltage_row(text: Column, label: str) -> Column:
     """struct<pln, ups, it> of a labelled row: three readings, over lines too, else as many as the line holds; '.' is none."""
     three = T.found(text, rf"(?i)({label}(?:\s+[\d.]+\s*VAC){{3}})")
     line = F.coalesce(three, T.found(text, rf"(?i){label}\s+(.+?)(?=\n|P-[NG]|N-G|Grounding|\z)"))
-    got = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r"(?i)([\d.]+)\s*VAC"), F.lit(1))
-    one = lambda i: F.coalesce(F.when(F.get(got, F.lit(i)) != ".", F.concat(F.get(got, F.lit(i)), F.lit(" VAC"))), F.lit(""))
-    return F.struct(*[one(i).alias(n) for i, n in enumerate(("pln", "ups", "it"))])
+    numbers = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r"(?i)([\d.]+)\s*VAC"), F.lit(1))
+    one = lambda got, i: F.coalesce(F.when(F.get(got, F.lit(i)) != ".", F.concat(F.get(got, F.lit(i)), F.lit(" VAC"))), F.lit(""))
+    return T.let(numbers, lambda got: F.struct(*[one(got, i).alias(n) for i, n in enumerate(("pln", "ups", "it"))]))
 
 
 def electrical(text: Column) -> Column:
     table = F.coalesce(T.found(text, r"(?is)(Output\s*Tegangan.*?)(?=Grounding\s*Bar|ENVIRONMENT|INDOOR|OUTDOOR|\z)"), F.lit(""))
     bar = T.strip(T.found(text, r"(?i)Grounding\s*Bar\s*terkoneksi\s*ke\s*:?\s*([A-Za-z ]+?)(?=\s*N?DOOR|\n|\z)"))
-    bar = F.when(~F.rlike(bar, F.lit("(?i)INDOOR|OUTDOOR|AREA")), bar)
-    return F.struct(*[voltage_row(table, r).alias(n) for n, r in (("p_n", "P-N"), ("p_g", "P-G"), ("n_g", "N-G"))], F.coalesce(bar, F.lit("")).alias("grounding_bar"))
+    bar = T.let(bar, lambda b: F.when(~F.rlike(b, F.lit("(?i)INDOOR|OUTDOOR|AREA")), b))
+    return T.let(table, lambda t: F.struct(*[voltage_row(t, r).alias(n) for n, r in (("p_n", "P-N"), ("p_g", "P-G"), ("n_g", "N-G"))], F.coalesce(bar, F.lit("")).alias("grounding_bar")))
 
 
 def environment(text: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldquarry.functions import text as T
 from fieldquarry.operators import rules
 
 CODE = r"FM-LAP-?\s*D2-SOP-003-(\d{3})"
@@ -29,35 +30,44 @@ def count_in(text: Column, words: tuple[str, ...]) -> Column:
 
 def pm_by_code(text: Column) -> Column:
     """Form type by its document code (case-sensitive); null for an unknown code."""
-    code = F.regexp_extract(text, CODE, 1)
-    return first_of([(code == k, v) for k, v in rules.PM_CODES.items()])
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in rules.PM_CODES.items() for x in pair]), F.regexp_extract(text, CODE, 1))
 
 
 def pm_by_title(text: Column) -> Column:
     """Form type by the first title that the text holds, whole words only."""
-    low = F.lower(text)
+    return T.let(F.lower(text), _by_title)
+
+
+def _by_title(low: Column) -> Column:
     return first_of([(F.rlike(low, F.lit(t.replace("-", r"\-") + r"(?![a-z0-9])")), v) for t, v in rules.PM_TITLES])
 
 
 def document_type(text: Column) -> Column:
-    low = F.lower(text)
+    return F.coalesce(pm_by_code(text), T.let(F.lower(text), lambda low: F.coalesce(_by_title(low), _by_words(low))))
+
+
+def _by_words(low: Column) -> Column:
     has = lambda *w: reduce(lambda a, b: a & b, [F.contains(low, F.lit(x)) for x in w])
-    rest = first_of(
+    return first_of(
         [(has("checklist", "wireline"), "checklist_wireline"), (has("checklist", "wireless"), "checklist_wireless"), *((has(f"spk {k}") | has(k, "spk"), f"spk_{k}") for k in rules.ORDER_KINDS)],
         "unknown",
     )
-    return F.coalesce(pm_by_code(text), pm_by_title(text), rest)
 
 
 def confidence(text: Column, doc_type: Column) -> Column:
     """high, medium or low; a document code makes a form's confidence high."""
-    low = F.lower(text)
-    plain = F.regexp_replace(F.trim(low), r"\s+", " ")
+    return T.let(F.lower(text), lambda low: F.when(F.startswith(doc_type, F.lit("form_pm_")), T.let(F.regexp_replace(F.trim(low), r"\s+", " "), _form_level)).otherwise(_word_level(low, doc_type)))
+
+
+def _form_level(plain: Column) -> Column:
     score = reduce(lambda a, b: a + b, [2 * F.rlike(plain, F.lit(p)).cast("int") for p in rules.PM_STRONG]) + count_in(plain, rules.PM_SUPPORT)
-    form = F.when(F.rlike(plain, F.lit(CODE.lower().replace(r"\\d", r"\d"))) | (score >= 6), "high").when(score >= 3, "medium").otherwise("low")
+    coded = F.rlike(plain, F.lit(CODE.lower().replace(r"\\d", r"\d")))
+    return T.let(score, lambda s: F.when(coded | (s >= 6), "high").when(s >= 3, "medium").otherwise("low"))
+
+
+def _word_level(low: Column, doc_type: Column) -> Column:
     hits = first_of([(doc_type == t, count_in(low, words)) for t, words in rules.TYPE_KEYWORDS.items()], F.lit(0))
-    other = F.when(hits >= 3, "high").when(hits >= 2, "medium").otherwise("low")
-    return F.when(F.startswith(doc_type, F.lit("form_pm_")), form).otherwise(other)
+    return T.let(hits, lambda h: F.when(h >= 3, "high").when(h >= 2, "medium").otherwise("low"))
 
 
 def category_table(spark: SparkSession) -> DataFrame:

@@ -20,8 +20,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: White space as Unicode has it: what `(?U)\s` takes.
+BLANKS = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    """Without white space at both ends; no pattern, as lines are stripped more often than all else is done."""
+    return F.btrim(c, lit(BLANKS))
 
 
 def lines_of(c: Column, keep_blank: bool = False) -> Column:

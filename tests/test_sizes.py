@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldquarry import queries
+from fieldquarry.functions import text as T
 from fieldquarry.operators import checklists, classify, conversation, fields, forms, headings, layout
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +74,12 @@ def test_label_lines_by_their_first_letters(spark):
     text = "STATUS gedung : Baik\nStatus Gedung\nalamat\nPIC BM - Budi\nAlamat = Jl. X\nstatus gedungan : y"
     row = spark.createDataFrame([(text,)], "t string").select(fields.label_inline(F.col("t"), ("Status Gedung", "PIC BM", "Alamat", "Email PIC")).alias("x")).head().x
     assert row == {"status_gedung": "Baik", "pic_bm": "Budi", "alamat": "PIC BM - Budi", "email_pic": None}
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    """Around a letter and alone, each character of the first plane; and no pattern in the plan."""
+    c = F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')")
+    rows = spark.range(0xD800).unionByName(spark.range(0xE000, 0xFFFE)).select(F.explode(F.array(c, F.concat(c, F.lit("a"), c, c, F.lit("b"), c, F.lit(" ")), F.concat(F.lit("\n"), c, F.lit("\t")))).alias("t"))
+    df = rows.select(T.strip(F.col("t")).alias("a"), F.regexp_replace("t", r"(?U)\A\s+|\s+\z", "").alias("b"))
+    assert df.where("a <> b").count() == 0 and df.where("a <> ''").count() > 60_000
+    assert "RLIKE" not in plan_of(rows.select(T.strip(F.col("t")))) and "regexp" not in plan_of(rows.select(T.strip(F.col("t"))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldquarry.llm.common import Scratch, connected_components, forest_roots
+from fieldquarry.llm.common import Scratch, connected_components, forest_roots, small_batches
 from fieldquarry.llm.neardup import mix
 
 THRESHOLD = 0.95
@@ -35,6 +35,8 @@ MIN_SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 100_000, 25_000
 #: Bytes of a shard's vectors at most; pairs of vectors that are compared or held at once; share of a shard above which a
 #: widened beam is replaced by the whole shard.
 SHARD_BYTES, PAIRS, EXACT_SHARE = 192 << 20, 4 << 20, 256
+#: Bytes of a piece of a graph: no row that the JVM sorts, shuffles or hands over is larger; pieces in a file.
+PIECE, PIECES_A_FILE = 4 << 20, 4
 #: Neighbours of a point, beams of building and of a first search, points searched in step.
 NEIGHBOURS, BUILD_BEAM, SEARCH_BEAM, STEP = 12, 32, 24, 256
 #: Vectors of an audit (of the block, and of the shard itself), and the mean share of a vector's links that must be found.
@@ -53,6 +55,8 @@ class Graph:
 
     vectors: np.ndarray
     layers: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: The vectors in the order of the lowest layer's points, made at the first search.
+    ordered: np.ndarray | None = None
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -209,7 +213,9 @@ def _descend(above: Graph, queries: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     points, near = graph.layers[0]
-    own = graph.vectors[points]
+    if graph.ordered is None:
+        graph.ordered = graph.vectors[points]
+    own = graph.ordered
     entry = _descend(Graph(graph.vectors, graph.layers[1:]), queries, own)
     ids, sims = beam_search(own, near, queries, entry, min(beam, len(points)))
     return np.where(ids >= 0, points[ids], -1), sims
@@ -239,7 +245,8 @@ def audited_beam(graph: Graph, queries: np.ndarray, threshold: float) -> tuple[i
     spread = lambda m: np.linspace(0, m - 1, min(AUDIT, m)).astype(np.int64)
     # the shard's own vectors have at least themselves to find; the block's may have links here
     sample = np.concatenate([queries[spread(len(queries))], graph.vectors[spread(n)]])
-    truth = np.concatenate([(sample[i : i + STEP] @ graph.vectors.T >= threshold).sum(1) for i in range(0, len(sample), STEP)])
+    step = max(1, min(STEP, PAIRS // max(n, 1)))
+    truth = np.concatenate([(sample[i : i + step] @ graph.vectors.T >= threshold).sum(1) for i in range(0, len(sample), step)])
     while True:
         found = np.zeros(len(sample), np.int64)
         for q, _ in link_steps(graph, sample, threshold, beam):
@@ -300,8 +307,18 @@ def _matrix(table: pa.Table) -> np.ndarray:
 def _build(table: pa.Table) -> pa.Table:
     table = table.combine_chunks().sort_by([("key", "ascending"), ("node", "ascending")])
     graph = build(_matrix(table), table.column("key").to_numpy())
-    one = [pa.array([table.column(c)[0].as_py()], pa.int64()) for c in ("dim", "shard")]
-    return pa.table([*one, *(pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in ("node", "copies")), pa.array([graph.dump()], pa.binary())], ["dim", "shard", "nodes", "copies", "graph"])
+    whole = memoryview(graph.dump())
+    pieces = [whole[i : i + PIECE] for i in range(0, len(whole), PIECE)]
+    keys = [pa.array([table.column(c)[0].as_py()] * len(pieces), pa.int64()) for c in ("dim", "shard")]
+    own = [pa.array([table.column(c).to_numpy().tobytes(), *[None] * (len(pieces) - 1)], pa.binary()) for c in ("node", "copies")]
+    return pa.table([*keys, pa.array(range(len(pieces)), pa.int64()), *own, pa.array(pieces, pa.binary())], ["dim", "shard", "piece", "nodes", "copies", "graph"])
+
+
+def _shard(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Graph]:
+    """(nodes, copies, graph) of a shard's pieces, in any order; one row may be a whole shard."""
+    order = np.argsort(table.column("piece").to_numpy()) if "piece" in table.column_names else [0]
+    own = (np.frombuffer(table.column(c)[int(order[0])].as_py(), np.int64) for c in ("nodes", "copies"))
+    return *own, Graph.load(b"".join(table.column("graph")[int(i)].as_buffer() for i in order))
 
 
 LINKS = {"node": pa.int64(), "n": pa.int64(), "root": pa.int64(), "beam": pa.int64(), "sampled": pa.int64(), "found": pa.int64()}
@@ -313,8 +330,8 @@ def _link(threshold: float):
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         if not shard.num_rows or not block.num_rows:
             return pa.table({k: pa.array([], t) for k, t in LINKS.items()})
-        own, copies = (np.frombuffer(shard.column(c)[0].as_py(), np.int64) for c in ("nodes", "copies"))
-        graph = Graph.load(shard.column("graph")[0].as_py())
+        own, copies, graph = _shard(shard)
+        del shard  # the pieces are held once more in the graph
         asks, queries = block.column("node").to_numpy(), _matrix(block.combine_chunks())
         beam, sampled, found = audited_beam(graph, queries, threshold)
         names, place = np.unique(np.concatenate([asks, own]), return_inverse=True)
@@ -365,7 +382,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     most = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * size.dim)))
     shards, blocks = max(MIN_SHARDS, -(-size.n // most)), max(1, -(-size.n // min(BLOCK_ROWS, most)))
     deal = nodes.select("dim", "node", "key", "copies", "embedding", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    graphs = scratch.put(deal.groupBy("dim", "shard").applyInArrow(_build, "dim long, shard long, nodes binary, copies binary, graph binary"), "graphs")
+    graphs = small_batches(deal).groupBy("dim", "shard").applyInArrow(_build, "dim long, shard long, piece long, nodes binary, copies binary, graph binary")
+    graphs = scratch.put(graphs, "graphs", PIECES_A_FILE)
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     asks = nodes.select("dim", "node", "embedding", F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"))
     keys = ["dim", "shard", "block"]

@@ -963,3 +963,18 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+def test_graphs_travel_in_pieces(spark, monkeypatch):
+    """Rows with a shard's graph stay small however large the shard; what is linked is the same."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(40, 16)), 3, axis=0) + rng.normal(size=(120, 16)) * 0.02
+    table = pa.table({"dim": [16] * 120, "shard": [0] * 120, "node": np.arange(120), "key": np.arange(120), "copies": np.ones(120, np.int64), "embedding": list(v)})
+    whole = hnsw._shard(hnsw._build(table))
+    monkeypatch.setattr(hnsw, "PIECE", 1000)
+    made = hnsw._build(table)
+    assert made.num_rows > 10 and max(len(x) for x in made.column("graph").to_pylist()) <= 1000
+    nodes, copies, graph = hnsw._shard(made.take(pa.array(rng.permutation(made.num_rows))))
+    assert (nodes == whole[0]).all() and (copies == 1).all() and (graph.vectors == whole[2].vectors).all()
+    block = pa.table({"node": np.arange(120), "embedding": list(v)})
+    assert hnsw._link(0.95)(made, block).to_pylist() == hnsw._link(0.95)(hnsw._build(table), block).to_pylist()

@@ -28,17 +28,17 @@ def said(spark, d):
 
 
 def in_batches(spark, rows, folder, n=3):
-    """rows as a stream of n files, one a micro-batch; which file holds a row has nothing to do with its order."""
-    for i in range(n):
-        rows.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(n)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    """rows as a stream of about n micro-batches, with a file for each core in each; which file holds a row has nothing to do with its order."""
+    cores = spark.sparkContext.defaultParallelism
+    rows.repartition(n * cores, F.xxhash64("conv_id", "turn")).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", cores).parquet(f"{folder}/in")
 
 
 @query("stream_context", f"{_SAID} SELECT conv_id, turn, md5(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS 4 PRECEDING)) AS history, ctx AS ctx_network, last_value(ord IGNORE NULLS) OVER (PARTITION BY conv_id, epoch ORDER BY turn ROWS UNBOUNDED PRECEDING) AS ctx_order FROM p")
 def _stream_context(spark, d):
     folder = shared.work_folder(spark, "turns")
     made = turns.conversation_context(in_batches(spark, said(spark, d), folder), k=5, patience_ms=3_600_000)
-    turns.write_available(made, f"{folder}/out", f"{folder}/state", partitions=4)
+    turns.write_available(made, f"{folder}/out", f"{folder}/state", partitions=max(4, 2 * spark.sparkContext.defaultParallelism))
     return spark.read.schema(turns.ROWS).parquet(f"{folder}/out").withColumn("history", F.md5("history"))
 
 

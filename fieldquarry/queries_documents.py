@@ -18,7 +18,7 @@ t AS (SELECT k, page, n_pages, CASE WHEN page = 1 THEN first_page WHEN page = 2
 
 def page_files(spark, d):
     """A folder of PDF files, one for each customer; every fiftieth is cut short."""
-    c = catalog.table(spark, d, "customer")
+    c = catalog.spread(catalog.table(spark, d, "customer"), "c_custkey")
     k = F.col("c_custkey")
     first = F.concat(F.lit("SPK SURVEY\nNama Pelanggan : "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))
     more = F.transform(F.sequence(F.lit(2), F.pmod(k, F.lit(4)).cast("int") + 1, F.lit(1)), lambda i: F.when(i == 2, F.concat(F.lit("é→ "), "c_nationkey")).otherwise(F.concat(F.lit("Lampiran "), i, F.lit(" untuk pelanggan "), k)))
@@ -120,9 +120,9 @@ def _crop_files(spark, d):
     name = F.concat_ws("/", F.concat(F.lit("d"), "doc_id"), layout.crop_name(F.col("label"), F.col("page"), "pgm"))
     folder = shared.work_folder(spark, "crops")
     blobs.write_files(blobs.distinct_names(crops.select(name.alias("name"), "doc_id", "page", "image"), "doc_id", "page").withColumnRenamed("image", "content"), folder)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    part = F.regexp_extract("path", r"/d(\d+)/([^/]+)$", 1).cast("long")
-    return files.select(part.alias("doc_id"), F.regexp_extract("path", r"/d(\d+)/([^/]+)$", 2).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+    files = blobs.read_files(spark, folder)
+    part = F.regexp_extract("name", r"^d(\d+)/([^/]+)$", 1).cast("long")
+    return files.select(part.alias("doc_id"), F.regexp_extract("name", r"^d(\d+)/([^/]+)$", 2).alias("name"), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
 
 
 # ---- sections with wrong letters ---------------------------------------------------------------

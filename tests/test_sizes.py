@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fieldquarry import queries
+from fieldquarry import queries, queries_documents, queries_streams
 from fieldquarry.functions import text as T
 from fieldquarry.operators import checklists, classify, conversation, fields, forms, headings, layout
+from fieldquarry.sources import blobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,23 @@ def test_strip_takes_what_the_pattern_takes(spark):
     df = rows.select(T.strip(F.col("t")).alias("a"), F.regexp_replace("t", r"(?U)\A\s+|\s+\z", "").alias("b"))
     assert df.where("a <> b").count() == 0 and df.where("a <> ''").count() > 60_000
     assert "RLIKE" not in plan_of(rows.select(T.strip(F.col("t")))) and "regexp" not in plan_of(rows.select(T.strip(F.col("t"))))
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    rows = spark.range(40).repartition(4).select(F.concat(F.lit("d"), F.col("id") % 3, F.lit("/f"), "id").alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    folder = str(tmp_path / "out")
+    assert blobs.read_files(spark, folder).count() == 0
+    blobs.write_files(rows, folder)
+    assert {(r.name, bytes(r.content)) for r in blobs.read_files(spark, folder).collect()} == {(f"d{i % 3}/f{i}", str(i).encode()) for i in range(40)}
+    assert len(blobs.BlobReader(folder).partitions()) == 4  # folders of tasks, however many files they hold
+
+
+def test_crops_are_not_listed_by_the_driver(spark):
+    assert "binaryFile" not in queries_documents._crop_files(spark, SF)._jdf.queryExecution().analyzed().toString()
+
+
+def test_stream_files_for_all_cores(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") % 50).alias("conv_id"), "id", F.col("id").alias("turn"))
+    queries_streams.in_batches(spark, rows, str(tmp_path))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) >= 2 * spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 2000

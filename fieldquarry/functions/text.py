@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,31 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.rlike(text, lit(pattern)), F.regexp_extract(text, pattern, group))
 
 
+def held(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first match, '' without a match or a text: for values whose absence and emptiness are one."""
+    return F.coalesce(F.regexp_extract(text, pattern, group), lit(""))
+
+
+#: Characters other than letters A to Z that a pattern of such letters takes when it ignores case by Unicode.
+FOLDED = "\u017f\u0131\u0130\u212a"
+
+
+def folded(text: Column) -> Column:
+    """struct<low, odd>: the text in lower case, and whether characters are in it whose lower case does not tell what patterns take."""
+    return F.struct(F.lower(text).alias("low"), reduce(lambda a, b: a | b, [F.contains(text, lit(c)) for c in FOLDED]).alias("odd"))
+
+
+def may_hold(fold: Column, words: tuple[str, ...]) -> Column:
+    """Whether a pattern of these words, ignoring case, can match the text of a fold: cheap, before a pattern runs over it."""
+    return reduce(lambda a, b: a & b, [F.contains(fold["low"], lit(w.lower())) for w in words], lit(True)) | fold["odd"]
+
+
+def label_words(pattern: str) -> tuple[str, ...]:
+    """The words that a field's pattern has before its first group; none unless they stand there plainly."""
+    plain = re.sub(r"\\s[*+]|\\\.\??| [*+]|:|\[1-3\]", " ", pattern.split("(")[0])
+    return tuple(plain.split()) if re.fullmatch(r"[A-Za-z ]*", plain) else ()
+
+
 def join_key_values(text: Column) -> Column:
     """'Key', ':', 'Value' on lines of their own become 'Key: Value'; lines are stripped."""
     text = F.regexp_replace(text, r"(?U)([A-Za-z0-9.\s]+)\n\s*:\s*\n\s*", "$1: ")
@@ -70,14 +98,14 @@ def key_of(label: Column) -> Column:
     return F.replace(key, lit("penanggungjawab_pengurusan_dan_pembayaran_sewa"), lit("penanggungjawab_sewa"))
 
 
-def search_field(text: Column, pattern: str, multiline: bool = False) -> Column:
+def search_field(text: Column, pattern: str, multiline: bool = False, fold: Column | None = None) -> Column:
     """The first group of pattern, by the field rules.
 
     Empty captures take the line after the first label line, unless it looks like a label itself;
     single-line values that hold a line break or a colon count as missing; multi-line values are
-    joined by spaces.
+    joined by spaces. With the text's fold, texts without the label's words are passed over.
     """
-    p = SEARCH_FLAGS + pattern
+    p, words = SEARCH_FLAGS + pattern, label_words(pattern)
     value = strip(F.regexp_extract(text, p, 1))
 
     def after(lines: Column) -> Column:
@@ -90,8 +118,9 @@ def search_field(text: Column, pattern: str, multiline: bool = False) -> Column:
             return strip(F.regexp_replace(v, r"(?U)\s*\n\s*", " "))
         return F.when(~F.contains(v, lit("\n")) & ~F.contains(v, lit(":")), v)
 
-    found_ = let(value, lambda v: F.when(v == "", let(F.split(text, r"\R", -1), after)).otherwise(good(v)))
-    return F.when(F.rlike(text, lit(p)), found_)
+    # what is empty may be no match
+    found_ = let(value, lambda v: F.when(v == "", F.when(F.rlike(text, lit(p)), let(F.split(text, r"\R", -1), after))).otherwise(good(v)))
+    return found_ if fold is None else F.when(may_hold(fold, words), found_)
 
 
 def section(text: Column, start: str, end: str) -> Column:

@@ -30,7 +30,8 @@ def count_in(text: Column, words: tuple[str, ...]) -> Column:
 
 def pm_by_code(text: Column) -> Column:
     """Form type by its document code (case-sensitive); null for an unknown code."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in rules.PM_CODES.items() for x in pair]), F.regexp_extract(text, CODE, 1))
+    known = F.create_map(*[F.lit(x) for pair in rules.PM_CODES.items() for x in pair])
+    return F.when(F.contains(text, F.lit("FM-LAP")), F.try_element_at(known, F.regexp_extract(text, CODE, 1)))
 
 
 def pm_by_title(text: Column) -> Column:
@@ -39,7 +40,8 @@ def pm_by_title(text: Column) -> Column:
 
 
 def _by_title(low: Column) -> Column:
-    return first_of([(F.rlike(low, F.lit(t.replace("-", r"\-") + r"(?![a-z0-9])")), v) for t, v in rules.PM_TITLES])
+    # most titles go by their letters, before any pattern
+    return first_of([(F.contains(low, F.lit(t)) & F.rlike(low, F.lit(t.replace("-", r"\-") + r"(?![a-z0-9])")), v) for t, v in rules.PM_TITLES])
 
 
 def document_type(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,18 +16,17 @@ EMAIL = r"[\w.-]+@[\w.-]+\.\w+"
 
 def order_parts(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> dict[str, Column]:
     """Sections by the field tables, and the three positional stamps; a column for each, so that a record holds none twice."""
-    _, report = T.split_report(text)
-    own = lambda s, part: [T.search_field(part, p, multi).alias(name) for name, p, _, multi in s]
-    made = {}
-    for name in sections:
-        if name == "pelaksanaan":
-            made[name] = stamps(text)
-        elif all(part == "report" for _, _, part, _ in rules.SECTIONS[name]):
-            made[name] = T.let(report, lambda part, name=name: F.struct(*own(rules.SECTIONS[name], part)))
-        else:
-            parts = {"all": text, "report": report}
-            made[name] = F.struct(*[T.search_field(parts[part], p, multi).alias(n) for n, p, part, multi in rules.SECTIONS[name]])
-    return made
+    return {name: stamps(text) if name == "pelaksanaan" else _by_labels(text, rules.SECTIONS[name]) for name in sections}
+
+
+def _by_labels(text: Column, table: tuple[tuple[str, str, str, bool], ...]) -> Column:
+    """struct of a table's fields (name, pattern, part of the text, multi-line); each part is cut out and folded once."""
+    both = lambda t: F.struct(t.alias("text"), T.folded(t).alias("fold"))
+    parts = {"all": both(text)}
+    if any(part == "report" for _, _, part, _ in table):
+        parts["report"] = T.let(T.split_report(text)[1], both)
+    field = lambda k, p, part, multi: T.search_field(k[part]["text"], p, multi, k[part]["fold"])
+    return T.let(F.struct(*[c.alias(n) for n, c in parts.items()]), lambda k: F.struct(*[field(k, p, part, multi).alias(n) for n, p, part, multi in table]))
 
 
 def work_order(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> Column:
@@ -38,35 +38,55 @@ def _words(heading: str) -> str:
     return r"\s*".join(map(re.escape, heading.split()))
 
 
+#: The survey's sections by name: heading, headings that end it, fold, labels (None: hand holes).
+SURVEY_PARTS = {n: own for n, *own in rules.SURVEY} | {n: (start, ends, "groups", None) for n, start, ends in rules.HH_SECTIONS}
+
+
 def survey(text: Column) -> Column:
     """survey_parts as one struct."""
     return F.struct(*[c.alias(n) for n, c in survey_parts(text).items()])
 
 
 def survey_parts(text: Column) -> dict[str, Column]:
-    """The survey's sections: a map of labels and values for each, arrays for hand holes.
+    """The survey's sections: a map of labels and values for each, arrays for hand holes."""
+    return {n: survey_part(text, n) for n in SURVEY_PARTS}
+
+
+def survey_part(text: Column, name: str) -> Column:
+    """A section of the survey.
 
     A section that has a heading but is missing is read from the whole text where the fold needs no
     section, else it is empty.
     """
+    start, ends, fold, labels = SURVEY_PARTS[name]
     folds = {
-        "next": lambda t, ls: label_next_line(t, ls), "last": lambda t, ls: label_next_line(T.clean_space(t), ls), "first": lambda t, ls: label_next_line(T.clean_space(t), ls, keep="first"),
-        "inline": lambda t, ls: label_inline(F.regexp_replace(t, r"(?i)\(PLN ([PN])-\s*\n\s*([NG])\)", r"(PLN $1-$2)"), ls), "prefix": label_prefix,
+        "next": lambda t: label_next_line(t, labels), "last": lambda t: label_next_line(T.clean_space(t), labels), "first": lambda t: label_next_line(T.clean_space(t), labels, keep="first"),
+        "inline": lambda t: label_inline(F.regexp_replace(t, r"(?i)\(PLN ([PN])-\s*\n\s*([NG])\)", r"(PLN $1-$2)"), labels), "prefix": lambda t: label_prefix(t, labels), "groups": hh_groups,
     }
-    made = {}
-    for name, start, ends, fold, labels in rules.SURVEY:
-        own = text
-        if start:
-            stop = "|".join([*map(_words, ends), r"\z"])
-            own = F.coalesce(T.found(text, rf"(?iU){_words(start)}([\s\S]*?)(?={stop})"), text if fold in ("inline", "last") else F.lit(""))
-        made[name] = folds[fold](own, labels)
-    for name, start, ends in rules.HH_SECTIONS:
-        made[name] = hh_groups(F.coalesce(T.section(text, _words(start), "|".join(map(_words, ends))), F.lit("")))
-    return made
+
+    def section(known: Column) -> Column:
+        if not start:
+            return text
+        if fold == "groups":
+            own = T.section(text, _words(start), "|".join(map(_words, ends)))
+        else:
+            own = T.found(text, rf"(?iU){_words(start)}([\s\S]*?)(?={'|'.join([*map(_words, ends), chr(92) + 'z'])})")
+        return F.coalesce(F.when(T.may_hold(known, tuple(start.split())), own), text if fold in ("inline", "last") else F.lit(""))
+
+    # read from the whole text, one without any label's words gives what an empty one does
+    whole = not start or fold in ("inline", "last")
+    own = T.let(T.folded(text), lambda k: F.when(~_any_label(k, labels), F.lit("")).otherwise(section(k)) if whole else section(k))
+    return folds[fold](own)
+
+
+def _any_label(fold: Column, labels: tuple[str, ...]) -> Column:
+    """Whether all words of one of the labels are in a text, wherever they stand."""
+    return reduce(lambda a, b: a | b, [T.may_hold(fold, tuple(re.findall("[A-Za-z]{2,}", label))) for label in labels])
 
 
 def stamps(text: Column) -> Column:
-    return F.struct(*[T.nth_match(text, T.STAMP, i).alias(n) for i, n in enumerate(("permintaan_pelanggan", "datang", "selesai"))])
+    all_ = F.regexp_extract_all(text, F.lit(T.STAMP), F.lit(0))
+    return T.let(all_, lambda m: F.struct(*[F.coalesce(F.get(m, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(("permintaan_pelanggan", "datang", "selesai"))]))
 
 
 def list_items(text: Column) -> Column:
@@ -99,23 +119,29 @@ def _first_at(lines: Column, test) -> Column:
 
 
 def _begins(start: str):
-    return lambda x: F.startswith(F.regexp_replace(F.lower(x), r"(?U)\s+", " "), F.lit(start))
+    # most lines go by their first word, before any pattern
+    return lambda x: F.startswith(F.lower(x), F.lit(start.split()[0])) & F.startswith(F.regexp_replace(F.lower(x), r"(?U)\s+", " "), F.lit(start))
 
 
 def _customer_pic(lines: Column) -> Column:
     """What stands between the lines of the person's and the contact's label, else what follows the label in its line."""
-    at, until = _first_at(lines, _begins(_PIC)), _first_at(lines, _begins(_CONTACT))
-    below = F.when((at > 0) & (until > at + 1), F.array_join(F.slice(lines, at + 1, F.greatest(until - at - 1, F.lit(0))), "\n"))
-    own = F.when(at > 0, _rest(F.get(lines, at - 1), 2))
-    return F.coalesce(below, F.when(own != "", own))
+    def between(at: Column, until: Column) -> Column:
+        below = F.when((at > 0) & (until > at + 1), F.array_join(F.slice(lines, at + 1, F.greatest(until - at - 1, F.lit(0))), "\n"))
+        own = F.when(at > 0, _rest(F.get(lines, at - 1), 2))
+        return F.coalesce(below, T.let(own, lambda o: F.when(o != "", o)))
+
+    places = F.struct(_first_at(lines, _begins(_PIC)).alias("at"), _first_at(lines, _begins(_CONTACT)).alias("until"))
+    return T.let(places, lambda p: between(p["at"], p["until"]))
 
 
 def _customer_contact(lines: Column) -> Column:
     """The number behind the contact's label, else at the start of the next line."""
-    at = _first_at(lines, _begins(_CONTACT))
-    own = F.when(at > 0, _rest(F.get(lines, at - 1), 3))
-    number = T.strip(F.regexp_extract(F.when(own == "", F.get(lines, at)).otherwise(own), r"\A[-0-9+() ]+", 0))
-    return F.when(number != "", number)
+    def behind(at: Column) -> Column:
+        own = F.when(at > 0, _rest(F.get(lines, at - 1), 3))
+        number = T.strip(F.regexp_extract(T.let(own, lambda o: F.when(o == "", F.get(lines, at)).otherwise(o)), r"\A[-0-9+() ]+", 0))
+        return T.let(number, lambda n: F.when(n != "", n))
+
+    return T.let(_first_at(lines, _begins(_CONTACT)), behind)
 
 
 def _vendor_name(lines: Column) -> Column:
@@ -136,7 +162,7 @@ def _vendor_name(lines: Column) -> Column:
 
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.rlike(F.get(lines, i - 1), F.lit(r"\AVendor(?:\s+[A-Z]|\z)")))
     below = F.get(F.filter(F.transform(starts, named), lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(F.when(colon.isNotNull(), _rest(colon, 1)), below)
+    return F.coalesce(T.let(colon, lambda c: F.when(c.isNotNull(), _rest(c, 1))), below)
 
 
 def _technician(text: Column, name: Column) -> Column:
@@ -144,7 +170,7 @@ def _technician(text: Column, name: Column) -> Column:
     behind = F.get(F.split(text, r"(?i)\bPelaksana\b", 2), F.lit(1))
     behind = F.regexp_replace(behind, r"(?iU)\A\s*(?:" + "|".join(WORK_KINDS) + r")?\s*(?:dari\s+Tim\s+Vendor)?\s*:?\s*", "")
     parts = F.split(behind, r"(?iU)\s+Vendor\b|\AVendor\b", 2)
-    own = F.when(F.size(parts) == 2, F.regexp_replace(F.get(parts, F.lit(0)), r"(?U)\s+", " "))
+    own = T.let(parts, lambda ps: F.when(F.size(ps) == 2, F.regexp_replace(F.get(ps, F.lit(0)), r"(?U)\s+", " ")))
     return T.strip(F.regexp_replace(own, F.concat(F.lit("(?iU)(?<!\\w)\\Q"), F.coalesce(name, F.lit("\0")), F.lit("\\E(?!\\w)")), F.lit("")))
 
 
@@ -180,6 +206,12 @@ def _pairs(text: Column, clean: bool = False) -> Column:
     return T.let(lines, lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("own"), F.lower(x).alias("low"), F.get(ls, i + 1).alias("next"))))
 
 
+def _label_lines(text: Column, labels: tuple[str, ...]) -> Column:
+    """_pairs of the lines that begin with a label, so that each label is looked for in few lines."""
+    begins = r"\A(?:" + "|".join(rf"\Q{label.lower()}\E" for label in labels) + ")"
+    return F.filter(_pairs(text), lambda x: F.rlike(x["low"], F.lit(begins)))
+
+
 def label_next_line(text: Column, labels: tuple[str, ...], keep: str = "last") -> Column:
     """map key -> next line, for labels that fill a line; e-mail fields must hold an address.
 
@@ -211,7 +243,7 @@ def label_inline(text: Column, labels: tuple[str, ...]) -> Column:
 
         return T.let(F.get(F.filter(own, _line_test(label, pattern)), F.lit(0)), entry)
 
-    return T.let(_pairs(text), lambda own: F.map_from_entries(F.array(*[one(own, label) for label in labels])))
+    return T.let(_label_lines(text, labels), lambda own: F.map_from_entries(F.array(*[one(own, label) for label in labels])))
 
 
 def _line_test(label: str, pattern: str):
@@ -234,7 +266,7 @@ def label_prefix(text: Column, labels: tuple[str, ...]) -> Column:
 
         return T.let(F.get(F.filter(own, _prefix_test(label)), F.lit(0)), entry)
 
-    return T.let(_pairs(text), lambda own: F.map_from_entries(F.filter(F.array(*[one(own, label) for label in labels]), lambda e: e["value"].isNotNull())))
+    return T.let(_label_lines(text, labels), lambda own: F.map_from_entries(F.filter(F.array(*[one(own, label) for label in labels]), lambda e: e["value"].isNotNull())))
 
 
 def _prefix_test(label: str):

@@ -20,37 +20,39 @@ def _struct(parts: dict[str, Column]) -> Column:
     return F.struct(*[c.alias(n) for n, c in parts.items()])
 
 
-def _order(text: Column) -> Column:
-    return _struct(fields.order_parts(text, ORDER_SECTIONS) | {"vendor": fields.vendor(text)})
+#: A part of a record: its value from the text, or such a function and what is taken of its value. Functions that
+#: several types have are one object, so that parse() makes and computes them once for all of them.
+Part = Callable[[Column], Column] | tuple[Callable[[Column], Column], Callable[[Column], Column]]
+#: A type's record: its parts by name, or a function from the text to the whole struct.
+Record = tuple[tuple[str, Part], ...] | Callable[[Column], Column]
 
 
-def _survey(text: Column) -> Column:
-    return _struct(fields.order_parts(text, ORDER_SECTIONS) | {"vendor": fields.vendor(text)} | fields.survey_parts(text))
+def _sections() -> dict[str, Callable[[Column], Column]]:
+    return {n: lambda text, n=n: fields.order_parts(text, (n,))[n] for n in ORDER_SECTIONS}
 
 
-def _dismantle(text: Column) -> Column:
-    own, worker = fields.order_parts(text, ("spk", "pelanggan", "jaringan", "pelaksanaan")), fields.vendor_parts(text)
-    return _struct(own | {"pekerja_cabut": _struct({n: worker[n] for n in REMOVED}), "list_item": fields.list_items(text)})
+_OWN = _sections()
+_ORDER = (*_OWN.items(), ("vendor", fields.vendor))
+_SURVEY = (*_ORDER, *((n, lambda text, n=n: fields.survey_part(text, n)) for n in fields.SURVEY_PARTS))
+_DISMANTLE = (
+    *((n, _OWN[n]) for n in ("spk", "pelanggan", "jaringan", "pelaksanaan")), ("pekerja_cabut", (fields.vendor, lambda v: _struct({n: v[n] for n in REMOVED}))), ("list_item", fields.list_items),
+)
 
 
-def _checklist(kind: str) -> Callable[[Column], Column]:
-    devices = checklists.device_items if kind == "wireless" else lambda text: fields.devices(text, fields.WIRELINE_REG)
+def _checklist(kind: str) -> Record:
+    common = (("data_remote", checklists.remote_data), ("pelaksanaan", checklists.clocks))
+    if kind == "wireless":
+        quality = lambda text: F.struct(*[fields.quality_table(text, t).alias(n) for n, t in rules.QUALITY.items()])
+        return (*common, ("data_perangkat", checklists.device_items), ("tegangan", fields.voltage_table), ("rsl", lambda text: fields.quality_pair(text, "RSL")), ("ups", checklists.ups), ("quality_parameter", quality))
+    devices = lambda text: fields.devices(text, fields.WIRELINE_REG)
+    return (
+        *common, ("data_perangkat", devices), ("data_lokasi", checklists.location), ("electrical", checklists.electrical), ("environment", checklists.environment), ("indoor_area", checklists.indoor),
+        ("line_checklist", checklists.line_items),
+    )
 
-    def made(text: Column) -> Column:
-        common = [checklists.remote_data(text).alias("data_remote"), checklists.clocks(text).alias("pelaksanaan"), devices(text).alias("data_perangkat")]
-        if kind == "wireless":
-            return F.struct(*common, fields.voltage_table(text).alias("tegangan"), fields.quality_pair(text, "RSL").alias("rsl"), checklists.ups(text).alias("ups"), F.struct(*[fields.quality_table(text, t).alias(n) for n, t in rules.QUALITY.items()]).alias("quality_parameter"))
-        return F.struct(*common, checklists.location(text).alias("data_lokasi"), checklists.electrical(text).alias("electrical"), checklists.environment(text).alias("environment"), checklists.indoor(text).alias("indoor_area"), checklists.line_items(text).alias("line_checklist"))
 
-    return made
-
-
-def _form(*more: tuple[str, Callable[[Column], Column]]) -> Callable[[Column], Column]:
-    def made(text: Column) -> Column:
-        own = [f(text).alias(n) for n, f in more]
-        return F.struct(forms.header(text).alias("header"), forms.general(text).alias("informasi_umum"), *own, forms.notes(text).alias("notes"), forms.executors(text).alias("pelaksana"))
-
-    return made
+def _form(*more: tuple[str, Callable[[Column], Column]]) -> Record:
+    return (("header", forms.header), ("informasi_umum", forms.general), *more, ("notes", forms.notes), ("pelaksana", forms.executors))
 
 
 def _items(start: str, end: str, letters: str, prefix: str) -> Callable[[Column], Column]:
@@ -65,8 +67,8 @@ _PERFORMANCE = ("performance_measurement", _items(r"2\.\s*Performance", r"(?:3\.
 _MARKED = _form(_PHYSICAL, _PERFORMANCE)
 
 #: Registry: a document type's record. New types are added here (or to a copy that parse() is given).
-PARSERS: dict[str, Callable[[Column], Column]] = {
-    "spk_survey": _survey, "spk_instalasi": _order, "spk_aktivasi": _order, "spk_dismantle": _dismantle,
+PARSERS: dict[str, Record] = {
+    "spk_survey": _SURVEY, "spk_instalasi": _ORDER, "spk_aktivasi": _ORDER, "spk_dismantle": _DISMANTLE,
     "checklist_wireless": _checklist("wireless"), "checklist_wireline": _checklist("wireline"),
     **{f"form_pm_{n}": _MARKED for n in ("petir_grounding", "instalasi_kabel", "pole_tower")},
     "form_pm_rectifier": _form(("rectifier", forms.rectifier)),
@@ -79,26 +81,41 @@ PARSERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-#: Record expressions by application, column and registry: making one takes thousands of calls into the JVM.
-_MADE: dict[tuple, Column] = {}
+#: Record expressions by application, column and registry: making them takes thousands of calls into the JVM.
+_MADE: dict[tuple, tuple[list[Column], Column]] = {}
 
 
-def record_column(spark, text_col: str = "text", parsers: dict[str, Callable[[Column], Column]] | None = None) -> Column:
-    """The record of a row as JSON by its document_type, null without parser. Made once a session and registry."""
+def record_columns(spark, text_col: str = "text", parsers: dict[str, Record] | None = None) -> tuple[list[Column], Column]:
+    """The parts of all records, each for the types that have it, and over these the record of a row as JSON by its
+    document_type, null without parser. Made once a session and registry."""
     parsers = PARSERS if parsers is None else parsers
     key = (spark.sparkContext.applicationId, text_col, tuple(parsers.items()))
     if key not in _MADE:
-        types: dict[Callable[[Column], Column], list[str]] = {}
-        for t, f in parsers.items():
-            types.setdefault(f, []).append(t)
-        _MADE[key] = classify.first_of([(F.col("document_type").isin(*ts), to_json(f(F.col(text_col)))) for f, ts in types.items()])
+        types: dict[Record, list[str]] = {}
+        for t, record in parsers.items():
+            types.setdefault(record, []).append(t)
+        owners: dict[Callable[[Column], Column], list[str]] = {}
+        for record, ts in types.items():
+            for f in dict.fromkeys([record] if callable(record) else [_function(part) for _, part in record]):
+                owners.setdefault(f, []).extend(ts)
+        names = {f: f"__part_{i}" for i, f in enumerate(owners)}
+        is_a = lambda ts: F.col("document_type").isin(*ts)
+        parts = [F.when(is_a(ts), f(F.col(text_col))).alias(names[f]) for f, ts in owners.items()]
+        value = lambda part: F.col(names[part]) if callable(part) else part[1](F.col(names[part[0]]))
+        whole = lambda record: value(record) if callable(record) else _struct({n: value(part) for n, part in record})
+        _MADE[key] = parts, classify.first_of([(is_a(ts), to_json(whole(record))) for record, ts in types.items()])
     return _MADE[key]
 
 
-def parse(docs: DataFrame, text_col: str = "text", parsers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def _function(part: Part) -> Callable[[Column], Column]:
+    return part if callable(part) else part[0]
+
+
+def parse(docs: DataFrame, text_col: str = "text", parsers: dict[str, Record] | None = None) -> DataFrame:
     """docs with document_type, category, parsing_status and parsed (the record as JSON, null without parser)."""
     typed = classify.with_envelope(docs.withColumn("document_type", classify.document_type(F.col(text_col))))
-    return typed.withColumn("parsed", record_column(docs.sparkSession, text_col, parsers))
+    parts, record = record_columns(docs.sparkSession, text_col, parsers)
+    return typed.select("*", *parts).select(*typed.columns, record.alias("parsed"))
 
 
 def parser_status(spark) -> DataFrame:

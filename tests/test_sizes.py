@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldquarry import queries, queries_documents, queries_streams
 from fieldquarry.functions import text as T
-from fieldquarry.operators import checklists, classify, conversation, fields, forms, headings, layout
+from fieldquarry.operators import checklists, classify, conversation, fields, forms, headings, layout, records, rules
 from fieldquarry.sources import blobs
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +86,47 @@ def test_strip_takes_what_the_pattern_takes(spark):
     assert "RLIKE" not in plan_of(rows.select(T.strip(F.col("t")))) and "regexp" not in plan_of(rows.select(T.strip(F.col("t"))))
 
 
+@pytest.mark.parametrize("pattern,most", [(r"Formulir\s*(.*?)\s*Versi", 1), (r"No\.?\s*FPS\s*:", 6), (r"(?i)\bPelaksana\b", 1), (r"No\s+Nama\s+Mitra", 2)])
+def test_types_share_the_parts_of_their_records(spark, pattern, most):
+    """A part that several types have is in the plan once; labels are named by extraction, test and the line below, in text and report."""
+    docs = spark.range(1).select(F.concat(F.col("id").cast("string"), F.lit("x")).alias("text"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = records.parse(docs)._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 1 <= plan.count(pattern) <= most
+
+
+def test_parsers_of_ones_own(spark):
+    """Whole functions and parts may stand side by side; a part is shared by function."""
+    own = {"spk_survey": lambda t: F.struct(F.length(t).alias("n")), "spk_aktivasi": (("low", F.lower), ("first", (F.lower, lambda v: F.substring(v, 1, 3))))}
+    docs = spark.createDataFrame([(1, "SPK survey"), (2, "SPK AKTIVASI"), (3, "SPK dismantle"), (4, None)], "doc_id int, text string")
+    out = records.parse(docs, parsers=own)
+    assert out.columns == ["doc_id", "text", "document_type", "category", "folder", "parsing_status", "parsed"]
+    assert {r.doc_id: r.parsed for r in out.collect()} == {1: '{"n":10}', 2: '{"low":"spk aktivasi","first":"spk"}', 3: None, 4: None}
+
+
+def test_a_fold_loses_no_match(spark):
+    """Each character of the first plane that a pattern of letters takes, ignoring case, has that letter as its lower case or is odd."""
+    c = F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')")
+    rows = spark.range(0xD800).unionByName(spark.range(0xE000, 0xFFFE)).select(c.alias("t"))
+    taken = rows.where(F.rlike("t", F.lit("(?iU)[a-z]"))).select("t", T.folded(F.col("t")).alias("f"))
+    assert taken.where(~F.rlike("f.low", F.lit("[a-z]")) & ~F.col("f.odd")).count() == 0 and taken.where("f.odd").count() == 4
+    text = F.lit("No Fp\u017f : 7\nJa\u017fa\nVPN")
+    row = spark.range(1).select(*[T.search_field(text, p, m, T.folded(text)).alias(n) for n, p, _, m in (rules.labelled("no_fps", "No. FPS"), rules.labelled("pop", "POP"))]).head()
+    assert (row.no_fps, row.pop) == ("7", None)
+    assert T.label_words(rules.labelled("x", "Tgl.RFS PLG")[1]) == ("Tgl", "RFS", "PLG") and T.label_words("(A|B)") == T.label_words("A?b: (x)") == ()
+
+
+def test_survey_without_labels(spark):
+    """Texts that hold no label's words give what empty ones do; a label's line is found wherever its section is missing."""
+    texts = ["", "SPK survey\nAlmat\nx", "SPK survey\nALAMAT\nJl. X\nUPS : 3 kVA\nlokasi  antena\natap"]
+    rows = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fields.survey(F.col("t")).alias("s")).collect()]
+    assert rows[0] == rows[1] and rows[2].informasi_gedung == {"alamat": "Jl. X"}
+    assert rows[2].sarpen_ruang_server["ups"] == "3 kVA" and rows[2].lokasi_antena == {"lokasi_antena": "atap"}
+
+
 def test_files_are_listed_by_tasks(spark, tmp_path):
     rows = spark.range(40).repartition(4).select(F.concat(F.lit("d"), F.col("id") % 3, F.lit("/f"), "id").alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
     folder = str(tmp_path / "out")

@@ -32,9 +32,18 @@ def strip(c: Column) -> Column:
     return F.btrim(c, lit(BLANKS))
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def is_plain(c: Column, also: str = "") -> Column:
+    """Whether a text is ASCII and has no blanks but line feeds and spaces, nor one of the other characters."""
+    return is_ascii(c) & ~F.rlike(c, lit(r"[\t\x0b-\x0d" + also + "]"))
+
+
 def lines_of(c: Column, keep_blank: bool = False) -> Column:
-    """Stripped lines."""
-    out = F.transform(F.split(c, r"\R", -1), strip)
+    """Stripped lines. Plain texts, which are most, are split and stripped without a pattern."""
+    out = let(c, lambda t: F.when(is_plain(t), F.transform(F.split(t, "\n", -1), lambda x: F.trim(x))).otherwise(F.transform(F.split(t, r"\R", -1), strip)))
     return out if keep_blank else F.filter(out, lambda x: x != "")
 
 
@@ -54,7 +63,11 @@ FOLDED = "\u017f\u0131\u0130\u212a"
 
 def folded(text: Column) -> Column:
     """struct<low, odd>: the text in lower case, and whether characters are in it whose lower case does not tell what patterns take."""
-    return F.struct(F.lower(text).alias("low"), reduce(lambda a, b: a | b, [F.contains(text, lit(c)) for c in FOLDED]).alias("odd"))
+    return F.struct(F.lower(text).alias("low"), is_odd(text).alias("odd"))
+
+
+def is_odd(text: Column) -> Column:
+    return ~is_ascii(text) & reduce(lambda a, b: a | b, [F.contains(text, lit(c)) for c in FOLDED])
 
 
 def may_hold(fold: Column, words: tuple[str, ...]) -> Column:

@@ -39,9 +39,13 @@ def pm_by_title(text: Column) -> Column:
     return T.let(F.lower(text), _by_title)
 
 
+#: What each title holds one of.
+_IN_TITLES = tuple(dict.fromkeys("preventive" if "preventive" in t else t for t, _ in rules.PM_TITLES))
+
+
 def _by_title(low: Column) -> Column:
-    # most titles go by their letters, before any pattern
-    return first_of([(F.contains(low, F.lit(t)) & F.rlike(low, F.lit(t.replace("-", r"\-") + r"(?![a-z0-9])")), v) for t, v in rules.PM_TITLES])
+    # most texts go by one word, most titles by their letters, before any pattern
+    return F.when(any_in(low, _IN_TITLES), first_of([(F.contains(low, F.lit(t)) & F.rlike(low, F.lit(t.replace("-", r"\-") + r"(?![a-z0-9])")), v) for t, v in rules.PM_TITLES]))
 
 
 def document_type(text: Column) -> Column:
@@ -50,10 +54,9 @@ def document_type(text: Column) -> Column:
 
 def _by_words(low: Column) -> Column:
     has = lambda *w: reduce(lambda a, b: a & b, [F.contains(low, F.lit(x)) for x in w])
-    return first_of(
-        [(has("checklist", "wireline"), "checklist_wireline"), (has("checklist", "wireless"), "checklist_wireless"), *((has(f"spk {k}") | has(k, "spk"), f"spk_{k}") for k in rules.ORDER_KINDS)],
-        "unknown",
-    )
+    listed = F.when(has("checklist"), first_of([(has("wireline"), "checklist_wireline"), (has("wireless"), "checklist_wireless")]))
+    ordered = F.when(has("spk"), first_of([(has(k), f"spk_{k}") for k in rules.ORDER_KINDS]))
+    return F.coalesce(listed, ordered, F.lit("unknown"))
 
 
 def confidence(text: Column, doc_type: Column) -> Column:

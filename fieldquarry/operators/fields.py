@@ -16,17 +16,76 @@ EMAIL = r"[\w.-]+@[\w.-]+\.\w+"
 
 def order_parts(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> dict[str, Column]:
     """Sections by the field tables, and the three positional stamps; a column for each, so that a record holds none twice."""
-    return {name: stamps(text) if name == "pelaksanaan" else _by_labels(text, rules.SECTIONS[name]) for name in sections}
+    one = lambda name: T.let(order_values(text, (name,)), lambda v: order_section(v, name))
+    return {name: stamps(text) if name == "pelaksanaan" else one(name) for name in sections}
 
 
-def _by_labels(text: Column, table: tuple[tuple[str, str, str, bool], ...]) -> Column:
-    """struct of a table's fields (name, pattern, part of the text, multi-line); each part is cut out and folded once."""
-    both = lambda t: F.struct(t.alias("text"), T.folded(t).alias("fold"))
-    parts = {"all": both(text)}
-    if any(part == "report" for _, _, part, _ in table):
-        parts["report"] = T.let(T.split_report(text)[1], both)
-    field = lambda k, p, part, multi: T.search_field(k[part]["text"], p, multi, k[part]["fold"])
-    return T.let(F.struct(*[c.alias(n) for n, c in parts.items()]), lambda k: F.struct(*[field(k, p, part, multi).alias(n) for n, p, part, multi in table]))
+_BEHIND = r"\s*:\s*"
+
+
+def _value_name(pattern: str, part: str) -> str:
+    """A field's name among the values: the letters of its label or title, and its part of the text."""
+    return f"{part}_{_label_key(pattern)}"
+
+
+def _label_key(pattern: str) -> str:
+    return re.sub(r"\\s|\[.*?\]|[^A-Za-z]", "", pattern.split(_BEHIND)[0]).lower()
+
+
+def order_values(text: Column, sections: tuple[str, ...] = tuple(rules.SECTIONS)) -> Column:
+    """struct of each distinct field of the sections, once however many sections have it (order_section takes them from it).
+
+    The labels in the text are found in one pass, which marks them; fields of one line are read from what stands behind
+    their first mark. No label ends where another does, so the pass finds each. What is empty or cut there, and texts that are
+    not plain (ASCII, no blanks but line feeds and spaces), go by the field's own pattern.
+    """
+    return T.let(text, lambda t: _order_values(t, sections))
+
+
+def _marks(labels: tuple[str, ...]) -> str:
+    """A pattern that takes each label with its colon in a plain text, whatever the case; labels by their first letters, as most characters begin none."""
+    by_first: dict[str, list[str]] = {}
+    for x in labels:
+        by_first.setdefault(x[0], []).append(x[1:])
+    return rf"(?i)(?=[{''.join(by_first)}])({'|'.join(f'{c}(?:{chr(124).join(ends)})' for c, ends in by_first.items())}){_BEHIND}"
+
+
+def _order_values(text: Column, sections: tuple[str, ...]) -> Column:
+    table = {_value_name(p, part): (p, part, multi) for s in sections for _, p, part, multi in rules.SECTIONS[s]}
+    labels = {n: p.split(_BEHIND)[0] for n, (p, part, _) in table.items() if part == "all" and _BEHIND in p}
+    plain = T.is_plain(text, "\x01\x02")
+    pieces = F.split(F.regexp_replace(text, _marks(tuple(labels.values())), "\x01$1\x02"), "\x01", -1)
+    known = {"plain": plain, "pieces": F.when(plain, pieces)}
+    if any(part == "report" for _, part, _ in table.values()):
+        known["report"] = T.split_report(text)[1]
+
+    def read(k: Column) -> Column:
+        last = F.size(k["pieces"]) - 1
+        # a line that the next label cuts is left to the pattern: that label may end on another line
+        line = lambda x, i: T.let(F.substring_index(x, "\x02", -1), lambda b: F.when((i == last) | F.contains(b, F.lit("\n")), F.trim(F.substring_index(b, "\n", 1))).otherwise(F.lit("")))
+        keys = F.array_join(F.transform(k["pieces"], lambda x, i: F.when(i > 0, F.substring_index(x, "\x02", 1)).otherwise(F.lit(""))), ",")
+        own = {"plain": k["plain"], "keys": F.regexp_replace(F.lower(keys), "[^a-z,]+", ""), "lines": F.transform(k["pieces"], line)}
+        return F.struct(*[c.alias(n) for n, c in own.items()], *([k["report"].alias("report")] if "report" in known else []))
+
+    def value(k: Column, name: str) -> Column:
+        pattern, part, multi = table[name]
+        if part != "all" or name not in labels:
+            return T.search_field(text if part == "all" else k[part], pattern, multi)
+        whole, at = T.search_field(text, pattern, multi), F.find_in_set(F.lit(_label_key(pattern)), k["keys"])
+        if multi:
+            return F.when(~k["plain"] | (at > 0), whole)
+        digits = pattern.endswith(rules.CAPTURES["digits"])
+        line = F.get(k["lines"], at - 1)
+        # a first label without digits need not be the one that the pattern takes
+        return T.let(F.regexp_extract(line, r"\A[0-9]+", 0) if digits else line, lambda v: F.when(~k["plain"] | (v == ""), whole).when(~F.contains(v, F.lit(":")), v))
+
+    made = lambda k: F.struct(*[value(k, n).alias(n) for n in table])
+    return T.let(F.struct(*[c.alias(n) for n, c in known.items()]), lambda k: T.let(read(k), made))
+
+
+def order_section(values: Column, name: str) -> Column:
+    """A section's struct from order_values."""
+    return F.struct(*[values[_value_name(p, part)].alias(n) for n, p, part, _ in rules.SECTIONS[name]])
 
 
 def work_order(text: Column, sections: tuple[str, ...] = (*rules.SECTIONS, "pelaksanaan")) -> Column:
@@ -44,16 +103,16 @@ SURVEY_PARTS = {n: own for n, *own in rules.SURVEY} | {n: (start, ends, "groups"
 
 def survey(text: Column) -> Column:
     """survey_parts as one struct."""
-    return F.struct(*[c.alias(n) for n, c in survey_parts(text).items()])
+    return T.let(T.folded(text), lambda k: F.struct(*[survey_part(text, n, k).alias(n) for n in SURVEY_PARTS]))
 
 
 def survey_parts(text: Column) -> dict[str, Column]:
     """The survey's sections: a map of labels and values for each, arrays for hand holes."""
-    return {n: survey_part(text, n) for n in SURVEY_PARTS}
+    return {n: T.let(T.folded(text), lambda k, n=n: survey_part(text, n, k)) for n in SURVEY_PARTS}
 
 
-def survey_part(text: Column, name: str) -> Column:
-    """A section of the survey.
+def survey_part(text: Column, name: str, known: Column) -> Column:
+    """A section of the survey, from the text and its fold.
 
     A section that has a heading but is missing is read from the whole text where the fold needs no
     section, else it is empty.
@@ -75,8 +134,7 @@ def survey_part(text: Column, name: str) -> Column:
 
     # read from the whole text, one without any label's words gives what an empty one does
     whole = not start or fold in ("inline", "last")
-    own = T.let(T.folded(text), lambda k: F.when(~_any_label(k, labels), F.lit("")).otherwise(section(k)) if whole else section(k))
-    return folds[fold](own)
+    return folds[fold](F.when(~_any_label(known, labels), F.lit("")).otherwise(section(known)) if whole else section(known))
 
 
 def _any_label(fold: Column, labels: tuple[str, ...]) -> Column:
@@ -99,7 +157,12 @@ def list_items(text: Column) -> Column:
 
 def vendor(text: Column) -> Column:
     """vendor_parts as one struct."""
-    return T.let(F.struct(T.lines_of(text, keep_blank=True).alias("lines")), lambda t: T.let(F.struct(_vendor_name(t["lines"]).alias("name"), F.filter(t["lines"], lambda x: x != "").alias("held")), lambda v: F.struct(*[c.alias(n) for n, c in _vendor_parts(text, v["held"], v["name"]).items()])))
+    def known(lines: Column) -> Column:
+        own = {"name": _vendor_name(lines), "held": F.filter(lines, lambda x: x != ""), "spot": _spot(text), "names_pic": _names_pic(text)}
+        return F.struct(*[c.alias(n) for n, c in own.items()])
+
+    parts = lambda k: F.struct(*[c.alias(n) for n, c in _vendor_parts(text, k["held"], k["name"], k["spot"], k["names_pic"]).items()])
+    return T.let(T.lines_of(text, keep_blank=True), lambda lines: T.let(known(lines), parts))
 
 
 # Kinds of work that a line of executors may name, headings that end a vendor's name.
@@ -123,6 +186,11 @@ def _begins(start: str):
     return lambda x: F.startswith(F.lower(x), F.lit(start.split()[0])) & F.startswith(F.regexp_replace(F.lower(x), r"(?U)\s+", " "), F.lit(start))
 
 
+def _names_pic(text: Column) -> Column:
+    """Whether the labels of the customer's person and contact can be in a text: one pattern, before its lines are looked at."""
+    return F.rlike(text, F.lit(r"(?iU)pic\s+pelanggan"))
+
+
 def _customer_pic(lines: Column) -> Column:
     """What stands between the lines of the person's and the contact's label, else what follows the label in its line."""
     def between(at: Column, until: Column) -> Column:
@@ -147,7 +215,9 @@ def _customer_contact(lines: Column) -> Column:
 def _vendor_name(lines: Column) -> Column:
     """'Vendor : NAME' in a line; else, without a colon, capitals and digits behind 'Vendor' and in the lines
     below it, up to a blank line, a heading or the end. lines: with blank ones."""
-    colon = F.get(F.filter(lines, lambda x: F.rlike(x, F.lit(r"(?i)\AVendor\s*:\s*\S"))), F.lit(0))
+    # most lines go by their first letters, before any pattern
+    begins = lambda x: F.startswith(x, F.lit("V")) | F.startswith(x, F.lit("v"))
+    colon = F.get(F.filter(lines, lambda x: begins(x) & F.rlike(x, F.lit(r"(?i)\AVendor\s*:\s*\S"))), F.lit(0))
 
     def named(at: Column) -> Column:
         rest = F.slice(lines, at, F.size(lines))
@@ -160,7 +230,7 @@ def _vendor_name(lines: Column) -> Column:
         name = T.strip(F.regexp_replace(F.regexp_replace(F.array_join(block, " "), r"\AVendor\b", ""), r"(?U)\s+", " "))
         return F.when(F.rlike(name, F.lit(r"\A[A-Z][A-Z0-9 ]*\z")), name)
 
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.rlike(F.get(lines, i - 1), F.lit(r"\AVendor(?:\s+[A-Z]|\z)")))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.startswith(F.get(lines, i - 1), F.lit("Vendor")) & F.rlike(F.get(lines, i - 1), F.lit(r"\AVendor(?:\s+[A-Z]|\z)")))
     below = F.get(F.filter(F.transform(starts, named), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(T.let(colon, lambda c: F.when(c.isNotNull(), _rest(c, 1))), below)
 
@@ -171,7 +241,10 @@ def _technician(text: Column, name: Column) -> Column:
     behind = F.regexp_replace(behind, r"(?iU)\A\s*(?:" + "|".join(WORK_KINDS) + r")?\s*(?:dari\s+Tim\s+Vendor)?\s*:?\s*", "")
     parts = F.split(behind, r"(?iU)\s+Vendor\b|\AVendor\b", 2)
     own = T.let(parts, lambda ps: F.when(F.size(ps) == 2, F.regexp_replace(F.get(ps, F.lit(0)), r"(?U)\s+", " ")))
-    return T.strip(F.regexp_replace(own, F.concat(F.lit("(?iU)(?<!\\w)\\Q"), F.coalesce(name, F.lit("\0")), F.lit("\\E(?!\\w)")), F.lit("")))
+    bare = lambda o: F.regexp_replace(o, F.concat(F.lit("(?iU)(?<!\\w)\\Q"), F.coalesce(name, F.lit("\0")), F.lit("\\E(?!\\w)")), F.lit(""))
+    # a pattern of the name is made for each text, so only where the name can be
+    held = lambda o: ~T.is_ascii(o) | ~T.is_ascii(name) | F.contains(name, F.lit("\\E")) | F.contains(F.lower(o), F.lower(name))
+    return T.strip(T.let(own, lambda o: F.when(name.isNull() | held(o), bare(o)).otherwise(o)))
 
 
 def vendor_parts(text: Column) -> dict[str, Column]:
@@ -179,25 +252,37 @@ def vendor_parts(text: Column) -> dict[str, Column]:
 
     Labels and values may share a line or stand on lines of their own.
     """
-    return _vendor_parts(text, T.lines_of(text), T.let(T.lines_of(text, keep_blank=True), _vendor_name))
+    return _vendor_parts(text, T.lines_of(text), T.let(T.lines_of(text, keep_blank=True), _vendor_name), _spot(text), _names_pic(text))
+
+
+_NUMBER = r"(-?\d+(?:\.\d*)?)"
+SPOT = rf"(?iU)Koordinat\s*{_NUMBER}\s*,\s*{_NUMBER}"
 
 
-def _vendor_parts(text: Column, lines: Column, name: Column) -> dict[str, Column]:
-    """vendor_parts from a text, its lines that are not blank and its vendor's name."""
-    number = r"(-?\d+(?:\.\d*)?)"
-    spot = rf"(?iU)Koordinat\s*{number}\s*,\s*{number}"
+def _spot(text: Column) -> Column:
+    """The label and the numbers of the first coordinates, '' without any: a text is searched once for both."""
+    return F.regexp_extract(text, SPOT, 0)
+
+
+def _vendor_parts(text: Column, lines: Column, name: Column, spot: Column, names_pic: Column) -> dict[str, Column]:
+    """vendor_parts from a text, its lines that are not blank, its vendor's name, its coordinates and whether it may name the person."""
+    number = lambda i: F.when(spot != "", F.regexp_extract(spot, SPOT, i))
     return {
-        "latitude": T.found(text, spot, 1),
-        "longitude": T.found(text, spot, 2),
-        "pic_pelanggan": T.let(lines, _customer_pic),
-        "kontak_pic_pelanggan": T.let(lines, _customer_contact),
+        "latitude": number(1),
+        "longitude": number(2),
+        "pic_pelanggan": F.when(names_pic, T.let(lines, _customer_pic)),
+        "kontak_pic_pelanggan": F.when(names_pic, T.let(lines, _customer_contact)),
         "teknisi": T.let(name, lambda n: _technician(text, n)),
         "nama_vendor": name,
     }
 
 
 def _is_label(line: Column, labels: tuple[str, ...]) -> Column:
-    return F.lower(line).isin(*[x.lower() for x in labels])
+    return _is_low_label(F.lower(line), labels)
+
+
+def _is_low_label(low: Column, labels: tuple[str, ...]) -> Column:
+    return low.isin(*[x.lower() for x in labels])
 
 
 def _pairs(text: Column, clean: bool = False) -> Column:
@@ -228,7 +313,7 @@ def label_next_line(text: Column, labels: tuple[str, ...], keep: str = "last") -
         good = F.filter(rank, lambda r: ~F.exists(rank, lambda o: (o["e"]["key"] == r["e"]["key"]) & later(o, r)))
         return F.map_from_entries(F.transform(good, lambda r: r["e"]))
 
-    hits = F.filter(_pairs(text), lambda x: _is_label(x["own"], labels))
+    hits = F.filter(_pairs(text), lambda x: _is_low_label(x["low"], labels))
     return T.let(F.transform(hits, lambda x, i: F.struct(entry(x).alias("e"), i.alias("i"))), pick)
 
 
@@ -243,7 +328,8 @@ def label_inline(text: Column, labels: tuple[str, ...]) -> Column:
 
         return T.let(F.get(F.filter(own, _line_test(label, pattern)), F.lit(0)), entry)
 
-    return T.let(_label_lines(text, labels), lambda own: F.map_from_entries(F.array(*[one(own, label) for label in labels])))
+    none = F.map_from_entries(F.array(*[F.struct(F.lit(_key(label)).alias("key"), F.lit(None).cast("string").alias("value")) for label in labels]))
+    return T.let(_label_lines(text, labels), lambda own: F.when(F.size(own) > 0, F.map_from_entries(F.array(*[one(own, label) for label in labels]))).otherwise(none))
 
 
 def _line_test(label: str, pattern: str):
@@ -266,7 +352,7 @@ def label_prefix(text: Column, labels: tuple[str, ...]) -> Column:
 
         return T.let(F.get(F.filter(own, _prefix_test(label)), F.lit(0)), entry)
 
-    return T.let(_label_lines(text, labels), lambda own: F.map_from_entries(F.filter(F.array(*[one(own, label) for label in labels]), lambda e: e["value"].isNotNull())))
+    return T.let(_label_lines(text, labels), lambda own: F.map_from_entries(F.when(F.size(own) > 0, F.filter(F.array(*[one(own, label) for label in labels]), lambda e: e["value"].isNotNull())).otherwise(F.array().cast("array<struct<key:string,value:string>>"))))
 
 
 def _prefix_test(label: str):

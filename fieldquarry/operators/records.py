@@ -27,13 +27,13 @@ Part = Callable[[Column], Column] | tuple[Callable[[Column], Column], Callable[[
 Record = tuple[tuple[str, Part], ...] | Callable[[Column], Column]
 
 
-def _sections() -> dict[str, Callable[[Column], Column]]:
-    return {n: lambda text, n=n: fields.order_parts(text, (n,))[n] for n in ORDER_SECTIONS}
+def _sections() -> dict[str, Part]:
+    return {n: fields.stamps if n == "pelaksanaan" else (fields.order_values, lambda v, n=n: fields.order_section(v, n)) for n in ORDER_SECTIONS}
 
 
 _OWN = _sections()
 _ORDER = (*_OWN.items(), ("vendor", fields.vendor))
-_SURVEY = (*_ORDER, *((n, lambda text, n=n: fields.survey_part(text, n)) for n in fields.SURVEY_PARTS))
+_SURVEY = (*_ORDER, *((n, (fields.survey, lambda v, n=n: v[n])) for n in fields.SURVEY_PARTS))
 _DISMANTLE = (
     *((n, _OWN[n]) for n in ("spk", "pelanggan", "jaringan", "pelaksanaan")), ("pekerja_cabut", (fields.vendor, lambda v: _struct({n: v[n] for n in REMOVED}))), ("list_item", fields.list_items),
 )

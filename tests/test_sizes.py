@@ -151,3 +151,43 @@ def test_stream_files_for_all_cores(spark, tmp_path):
     queries_streams.in_batches(spark, rows, str(tmp_path))
     assert len(list((tmp_path / "in").glob("*.parquet"))) >= 2 * spark.sparkContext.defaultParallelism
     assert spark.read.parquet(str(tmp_path / "in")).count() == 2000
+
+
+def test_fields_of_several_sections_are_computed_once(spark):
+    """A field that sections share, coordinates and the fold of a survey are in the plan once (a field: extraction, test, line below)."""
+    docs = spark.range(1).select(F.concat(F.col("id").cast("string"), F.lit("x")).alias("text"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = records.parse(docs)._jdf.queryExecution().analyzed().toString()
+        survey = docs.select(fields.survey(F.col("text")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 1 <= plan.count(r"Manage\s*Router\s*:") <= 3 and 1 <= plan.count(r"Jasa\s*:") <= 3
+    assert survey.count("\u212a") == 1
+
+
+def test_marked_fields_are_those_of_their_patterns(spark):
+    """Fields read behind marks are what their own patterns find, where labels are broken, cut, repeated, empty or not plain."""
+    head = "SPK SURVEY\nNomor : 1/WO\nNama Pelanggan : PT X\n"
+    texts = [
+        "", head, head + "Jasa : x Media Akses : FO\nKecepatan : 10 Mbps", head + "Jasa : xNama\nPelanggan\n:\n Budi\nKecepatan : 3 Telepon\n: 5", "JASA:VPN\njasa : b\nTelepon : abc\nTELEPON  :  021 x\nNo Jaringan:7",
+        head + "Tanggal :\n\nAlamat\nNo. FPS :\n9\nTgl. RFS PLG : 1:2\nOpsi Router 1/3 : a\nPOP : a\nb\nIP LAN : 10.0.0.1\nBERITA ACARA\nNomor SPK : 3\nKontak Person : a\nb\nTelepon : 5",
+        "Ja\u017fa : 1\nMedia\u00a0Akses : FO", "Jasa\t:\tVPN \r\nPOP : x", "Jasa : a\x01b\nPOP : \x02c\nKecepatan : 1", "Telepon : Telepon : 5\nNomorNomor : 4\nNo No. FPS : 3 :", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    report = T.split_report(F.col("t"))[1]
+    own = F.struct(*[F.struct(*[T.search_field(F.col("t") if part == "all" else report, p, m).alias(n) for n, p, part, m in table]).alias(s) for s, table in rules.SECTIONS.items()])
+    for r in df.select("i", fields.work_order(F.col("t"), tuple(rules.SECTIONS)).alias("a"), own.alias("b"), fields.order_values(F.col("t")).alias("v")).collect():
+        assert r.a == r.b, texts[r.i]
+    keys = [fields._label_key(p) for p in {p.split(fields._BEHIND)[0] for table in rules.SECTIONS.values() for _, p, part, _ in table if part == "all" and fields._BEHIND in p}]
+    assert not [(a, b) for a in keys for b in keys if a != b and a.endswith(b)]
+    patterns = {}
+    for name, p in ((fields._value_name(p, part), p) for table in rules.SECTIONS.values() for _, p, part, _ in table):
+        assert patterns.setdefault(name, p) == p
+
+
+def test_plain_lines_are_those_of_the_pattern(spark):
+    texts = ["", "a", " a \n\n b", "a\r\nb\x0bc\x85d\u2028e", "\ta\u00a0\n\u2003b ", "a\x1cb\n \n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select(T.lines_of(F.col("t"), keep_blank=True).alias("a"), F.transform(F.split("t", r"\R", -1), T.strip).alias("b")).collect()
+    assert [r.a for r in out] == [r.b for r in out]
